@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: int | str = "text", limit:
         texts = batch.column(column)
         if not len(texts):
             continue
-        sizes = pa.compute.binary_length(texts).fill_null(0).to_pylist()
+        sizes = pc.binary_length(texts).fill_null(0).to_pylist()
         start, held = 0, 0
         for i, n in enumerate(sizes):
             if held and held + n > limit:
