@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, quality
-from .common import read_table
+from . import bpe, decontaminate, langid, quality
+from .common import crc_mod, read_table
 
 
 def tokenizer_file(name: str) -> str:
@@ -20,6 +20,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_documents(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json")))
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return langid.predict(docs, crc_mod("doc_id", 4) == 2).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(decontaminate.find_overlaps(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")))
 
@@ -34,6 +39,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_langid": op2_langid,
     "op3_decontaminate": op3_decontaminate,
     "op6_quality": op6_quality,
 }
