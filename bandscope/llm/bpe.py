@@ -16,6 +16,8 @@ string; repeated rows give repeated results; no text is cut.
 from __future__ import annotations
 
 import json
+import re
+from array import array
 from collections.abc import Iterable
 
 import numpy as np
@@ -45,8 +47,14 @@ NEWER = (
 L, N = rf"[\p{{L}}--[{NEWER}]]", rf"[\p{{N}}--[{NEWER}]]"
 WORD_PATTERN = rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?[^\s{L}{N}]+|\s+(?!\S)|\s+"
 
-#: Words remembered by one Python worker before its memory is emptied.
-MEMO_WORDS = 250_000
+# The same pattern for texts of code points below 256, where the classes are short; letters first, as
+# nothing else starts like them.
+_L, _N, _S = r"A-Za-zªµºÀ-ÖØ-öø-ÿ", r"0-9²³¹¼-¾", r"\t-\r\x20\x85\xa0"
+LATIN_PATTERN = rf" ?[{_L}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
+
+#: Words in one generation of a Python worker's memory. When it is full, it becomes the older one and the words
+#: met again move on from there; so frequent words stay and there are never more than two generations.
+MEMO_WORDS = 300_000
 #: Longer words are encoded but not remembered.
 MEMO_WORD_BYTES = 64
 
@@ -87,6 +95,7 @@ class TrieBpe:
             self.bytes_of[i] = text.encode()
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.words = regex.compile(WORD_PATTERN)
+        self.latin_words = re.compile(LATIN_PATTERN)
         # Reversed-token trie: from a node's last byte backwards, every vocabulary suffix is on one path.
         self.back: list[dict[int, int]] = [{}]
         self.back_token: list[int] = [-1]
@@ -102,6 +111,7 @@ class TrieBpe:
             self.back_token[at] = i
         self.fits: dict[int, bool] = {}
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _merge(self, a: int, b: int) -> bool:
         """Do two adjacent tokens stay apart when their joint bytes are merged from single bytes?
@@ -169,7 +179,15 @@ class TrieBpe:
                 ids.append(last[at - 1])
                 at -= size[at - 1]
             ids.reverse()
-            memo[word] = np.array(ids, dtype="<u4").tobytes()
+            memo[word] = array("I", ids).tobytes()
+
+    def split(self, text: str) -> list[str]:
+        """The words of a text without special tokens."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.words.findall(text)
+        return self.latin_words.findall(text)
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Token ids of each text as little-endian unsigned 32-bit integers."""
@@ -178,16 +196,22 @@ class TrieBpe:
             if self.specials is not None and any(s in text for s in self.special):
                 pieces: list[str] = []
                 for part in self.specials.split(text):
-                    pieces += [part] if part in self.special else self.words.findall(part)
+                    pieces += [part] if part in self.special else self.split(part)
                 split.append(pieces)
             else:
-                split.append(self.words.findall(text))
+                split.append(self.split(text))
         memo = self.memo
         if len(memo) > MEMO_WORDS:
-            memo.clear()
+            self.older, self.memo = memo, {}
+            memo = self.memo
         for text, i in self.special.items():
             memo[text] = np.array([i], dtype="<u4").tobytes()
         new = set().union(*split).difference(memo) if split else set()
+        older = self.older
+        known = new.intersection(older)
+        for word in known:
+            memo[word] = older[word]
+        new -= known
         self.encode_words(new)
         out = [b"".join(map(memo.__getitem__, pieces)) for pieces in split]
         for word in new:
