@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -57,3 +59,33 @@ def crc_mod(doc_id: str | Column, n: int) -> Column:
     """crc32 of the id's decimal text, modulo ``n``; a null id counts as empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.pmod(F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")), F.lit(n))
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables: the session's checkpoint folder, or one of our own if it has none."""
+    sc = spark.sparkContext
+    place = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not place:
+        place = tempfile.mkdtemp(prefix="bandscope-")  # local sessions only: a cluster names its folder
+        sc.setCheckpointDir(place)
+    return place.rstrip("/")
+
+
+def stored(df: DataFrame, *after: DataFrame) -> DataFrame:
+    """Cut lineage: write the rows once to the shared folder and read them back. Then drop the tables ``after``."""
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/bandscope/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    drop_stored(*after)
+    return out
+
+
+def drop_stored(*tables: DataFrame) -> None:
+    for table in tables:
+        path = getattr(table, "_stored_at", None)
+        if path:
+            jvm, jsc = table.sparkSession._jvm, table.sparkSession.sparkContext._jsc
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)

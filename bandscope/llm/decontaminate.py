@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, slices
+from .common import fresh, slices, stored
 
 WIDTH = 10
 SHINGLE = 3
@@ -153,7 +153,7 @@ def find_overlaps(
         counts = _counts(docs, text_col, sorted({s for w in windows for s in shingles_of(w)}))
         index = spark.sparkContext.broadcast(PrefixIndex(windows, counts))
         if k + 1 < len(blocks):
-            current = _pass(current, index, text_col, marks, names).checkpoint()
+            current = stored(_pass(current, index, text_col, marks, names), current)
     return _pass(current, index, text_col, marks, names, keep)
 
 

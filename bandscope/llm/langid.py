@@ -91,10 +91,11 @@ class Model:
         languages = sorted({lang for _, lang in rows})
         counts = np.zeros((1 << BITS, len(languages)))
         scripts = np.zeros((N_SCRIPTS, len(languages)))
-        for k, lang in enumerate(languages):
-            x = Letters.of([t for t, l in rows if l == lang])
-            counts[:, k] = np.bincount(x.hashes, minlength=1 << BITS)
-            scripts[:, k] = np.bincount(x.scripts, minlength=N_SCRIPTS)
+        place = {lang: k for k, lang in enumerate(languages)}
+        for text, lang in rows:
+            x = Letters.of([text])
+            np.add.at(counts[:, place[lang]], x.hashes, 1)
+            scripts[:, place[lang]] += np.bincount(x.scripts, minlength=N_SCRIPTS)
         share = scripts / np.maximum(scripts.sum(axis=0), 1)
         written = np.where(share >= SCRIPT_SHARE, 0.0, RULED_OUT)
         written[(share < SCRIPT_SHARE).all(axis=1)] = 0.0  # a script that no language is known to use rules out none

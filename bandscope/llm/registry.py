@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, quality, toxicity
+from . import bpe, decontaminate, langid, neardup, quality, toxicity
 from .common import crc_mod, read_table
 
 
@@ -37,6 +37,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(quality.assess(read_table(spark, sf_dir, "documents"), [tokenizer_file(x) for x in QUALITY_VOCABULARIES]))
 
 
+def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract of this query takes four words, the operator's default is five."""
+    return neardup.near_duplicates(read_table(spark, sf_dir, "documents"), size=4)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     scored = toxicity.predict(docs, labels, lambda doc_id: crc_mod(doc_id, 3) == 1)
@@ -48,9 +53,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_langid": op2_langid,
     "op3_decontaminate": op3_decontaminate,
     "op6_quality": op6_quality,
+    "op8_neardup": op8_neardup,
     "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_decontaminate": decontaminate.ORACLE,
+    "op8_neardup": neardup.ORACLE,
 }
