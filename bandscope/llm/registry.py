@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, neardup, quality, toxicity
+from . import bpe, decontaminate, langid, neardup, pii, quality, secrets, toxicity
 from .common import crc_mod, read_table
 
 
@@ -29,6 +29,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(decontaminate.find_overlaps(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.find_secrets(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 #: The first vocabulary is judged, the others are measured beside it.
 QUALITY_VOCABULARIES = ("byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.tiktoken")
 
@@ -42,6 +46,10 @@ def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read_table(spark, sf_dir, "documents"), size=4)
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find_pii(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     scored = toxicity.predict(docs, labels, lambda doc_id: crc_mod(doc_id, 3) == 1)
@@ -52,8 +60,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_langid": op2_langid,
     "op3_decontaminate": op3_decontaminate,
+    "op5_secrets": op5_secrets,
     "op6_quality": op6_quality,
     "op8_neardup": op8_neardup,
+    "op9_pii": op9_pii,
     "op10_toxicity": op10_toxicity,
 }
 
