@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -55,6 +56,17 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def hash_share(df: DataFrame, rows: int, *columns: str) -> Column:
+    """A condition that about ``rows`` rows of ``df`` fulfil, by a hash of ``columns``; all do if there are no more.
+
+    It takes a count, but no sort, so no task sends more than its share.
+    """
+    total = df.count()
+    if total <= rows:
+        return F.lit(True)
+    return F.xxhash64(*columns) < F.lit(-(1 << 63) + int(rows / total * (1 << 64)))
+
+
 def crc_mod(doc_id: str | Column, n: int) -> Column:
     """crc32 of the id's decimal text, modulo ``n``; a null id counts as empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -79,6 +91,9 @@ def stored(df: DataFrame, *after: DataFrame) -> DataFrame:
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     drop_stored(*after)
+    # Shuffle files of the finished plan go once the driver's garbage collector has seen that nothing refers to them.
+    gc.collect()
+    spark._jvm.System.gc()
     return out
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, neardup, pii, quality, secrets, toxicity
+from . import bpe, decontaminate, langid, neardup, pii, quality, secrets, substrings, toxicity
 from .common import crc_mod, read_table
 
 
@@ -29,6 +29,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(decontaminate.find_overlaps(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")))
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_spans(read_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.find_secrets(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_langid": op2_langid,
     "op3_decontaminate": op3_decontaminate,
+    "op4_substrings": op4_substrings,
     "op5_secrets": op5_secrets,
     "op6_quality": op6_quality,
     "op8_neardup": op8_neardup,
@@ -69,5 +74,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_decontaminate": decontaminate.ORACLE,
+    "op4_substrings": substrings.ORACLE,
     "op8_neardup": neardup.ORACLE,
 }
