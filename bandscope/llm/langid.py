@@ -1,8 +1,8 @@
 """Language identification: script ranges, per-word scores, Viterbi with a switching penalty.
 
 Training sums hashed byte trigrams of the letters of a bounded sample of
-labelled texts (``TRAIN_ROWS`` rows in the order of a hash of the id, texts of
-up to ``TRAIN_TEXT_BYTES`` bytes), and the scripts in which each language is
+labelled texts (about ``TRAIN_ROWS`` rows by a hash of the id, texts of up to
+``TRAIN_TEXT_BYTES`` bytes), and the scripts in which each language is
 written. A word's score for a language is the sum of the log-probabilities of
 its trigrams; languages never seen in the word's script are ruled out. Viterbi
 over the words of the whole text, with a fixed penalty for each change of
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, texts_of
+from .common import hash_share, slices, texts_of
 
 TRAIN_ROWS = 8_000
 TRAIN_TEXT_BYTES = 20_000
@@ -168,14 +168,10 @@ def label(model: Model, texts: list[str], penalty: float) -> list[tuple[str, flo
 
 
 def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int = TRAIN_ROWS, text_bytes: int = TRAIN_TEXT_BYTES) -> Model:
-    """Fit on a bounded sample: the first ``rows`` rows in the order of a hash of the id."""
-    sample = (
-        labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.octet_length(text_col) <= text_bytes))
-        .select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"))
-        .orderBy("h", "t", "l")
-        .limit(rows)
-    )
-    return Model.train([(r.t, r.l) for r in sample.collect()])
+    """Fit on a bounded sample: about ``rows`` rows by a hash of the id, twice as many at most."""
+    named = labelled.where(F.col(lang_col).isNotNull())
+    sample = named.where(hash_share(named.select(id_col), rows, id_col) & (F.octet_length(text_col) <= text_bytes)).select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"))
+    return Model.train([(r.t, r.l) for r in sample.limit(2 * rows).collect()])
 
 
 def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", penalty: float = SWITCH_PENALTY) -> DataFrame:
