@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, texts_of
+from .common import hash_share, slices, texts_of
 
 DECAY = 0.7
 SPAN = 7
@@ -283,20 +283,19 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", each: int = TRAIN_EACH) -> Model:
-    """Fit on a bounded sample: up to ``each`` labelled rows of either label, by a hash of the id."""
-    ids = [
-        labels.where(F.col(label_col) == y).select(F.col(id_col).alias("k"), F.lit(y).alias("y"), F.xxhash64(id_col).alias("h")).distinct().orderBy("h", "k").limit(each)
-        for y in (1, 0)
-    ]
+    """Fit on a bounded sample: about ``each`` labelled rows of either label, by a hash of the id."""
+    ids = []
+    for y in (1, 0):
+        own = labels.where(F.col(label_col) == y).select(F.col(id_col).alias("k"))
+        ids.append(own.where(hash_share(own, each, "k")).distinct().select("k", F.lit(y).alias("y"), F.xxhash64("k").alias("h")).limit(2 * each))
     chosen = ids[0].unionByName(ids[1])
     sample = (
         docs.where(F.octet_length(text_col) <= TRAIN_TEXT_BYTES)
         .select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
-        .join(F.broadcast(chosen), "k")  # at most twice ``each`` rows of three numbers
-        .orderBy("h", "k", "t")
-        .limit(2 * each)
+        .join(F.broadcast(chosen), "k")  # at most four times ``each`` rows of three numbers
+        .limit(4 * each)
     )
-    rows = sample.collect()
+    rows = sorted(sample.collect(), key=lambda r: (r.h, r.k, r.t))
     return train([r.t for r in rows], [r.y for r in rows])
 
 
