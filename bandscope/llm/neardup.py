@@ -14,9 +14,12 @@ Large groups, without all their pairs:
 1. Documents with equal sets collapse into one class (partial aggregation).
 2. In each band group only links to one leader, which differs from band to band,
    are candidates: as many as rows. Confirmed links give components.
-3. Band groups that still hold several components are closed: their rows
-   outside the group's largest component are compared with its other rows, so
-   that no pair of different components that shares a band stays unchecked.
+3. Band groups that still hold several components are closed, so that no pair of
+   different components that shares a band stays unchecked: by prefix filter. Of
+   all rows of such groups, shingles are ordered from rare to common; to reach the
+   threshold two sets must share one among the first of each (all but the
+   least overlap, plus one). Heavily edited copies have a prefix of shingles of
+   their own and so no candidates, where comparing them with the group would take all pairs.
    Rows already connected to each other are never compared.
 4. Components of all links.
 
@@ -189,10 +192,8 @@ def _similar(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "na", "ra", "nb", "rb").mapInArrow(run, long)
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _confirm(pairs: DataFrame, needed: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs (a, b) that reach the threshold on their full sets."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    needed = stored(texts.join(ids, "id", "left_semi"))
     both = pairs.join(needed.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(needed.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches):
@@ -238,35 +239,57 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("id"), F.col("m").alias("comp")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("comp"))).distinct().groupBy("id").agg(F.min("comp").alias("comp"))
 
 
+def _across(grouped: DataFrame, comps: DataFrame, needed: DataFrame, size: int, percent: int) -> DataFrame:
+    """Candidates (a, b) in different components among the rows of band groups that hold several, by prefix filter."""
+    placed = grouped.where("rows > 2").join(comps, "id", "left").select("key", "id", "n", F.coalesce("comp", "id").alias("comp"))
+    sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("rows"))
+    several = sizes.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("rows", "comp")).alias("top")).where("comps > 1").select("key", F.col("top.comp").alias("top"))
+    # Rows outside a group's largest component are the ones to compare.
+    rows = stored(placed.join(several, "key").groupBy("id", "comp").agg(F.max(F.col("comp") != F.col("top")).alias("minor"), F.max("n").alias("n")))
+
+    def run(batches):
+        hasher = Hasher(size)
+        for part in slices(batches, 4):
+            sets = [hasher(t).view(np.int64) for t in part.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(4)), pa.array(sets, pa.list_(pa.int64()))], names=["id", "comp", "minor", "n", "shingles"])
+
+    kind = rows.schema["id"].dataType
+    schema = T.StructType([T.StructField("id", kind), T.StructField("comp", kind), *T._parse_datatype_string("minor boolean, n long, shingles array<long>").fields])
+    sets = stored(rows.join(needed, "id").select("id", "comp", "minor", "n", "text").mapInArrow(run, schema))
+    tokens = sets.select("id", "comp", "minor", "n", F.explode("shingles").alias("t"))
+    # A shingle of one row can't be shared; such ones only take places at the front.
+    shared = tokens.groupBy("t").agg(F.count("*").alias("c")).where("c > 1")
+    ordered = tokens.join(shared, "t").groupBy("id", "comp", "minor", "n").agg(F.array_sort(F.collect_list(F.struct("c", "t"))).alias("ts"))
+    least = F.ceil(F.col("n") * percent / 100)
+    free = F.col("n") - least + 1 - (F.col("n") - F.size("ts"))
+    prefix = stored(ordered.where(free > 0).select("id", "comp", "minor", "n", F.explode(F.slice("ts", F.lit(1), free.cast("int"))).alias("x")).select("id", "comp", "minor", "n", F.col("x.t").alias("t")), sets)
+    minor = prefix.where("minor").select("t", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"))
+    return (
+        minor.join(prefix, "t")
+        .where(f"comp <> cx and 100 * least(n, nx) >= {percent} * greatest(n, nx) and (not minor or x < id)")
+        .select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b"))
+        .distinct()
+    )
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """Group all rows: (id, n_shingles, component_id, kept), one row for each row of ``docs``."""
     signed = stored(signatures(docs, id_col, text_col, size))
     classes = stored(signed.where("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min("id").alias("id"), F.first("regs").alias("regs")))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key")).where("id is not null and text is not null")
-    close = lambda left, right: f"100 * least({left}, {right}) >= {percent} * greatest({left}, {right})"
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
 
-    # Links of every row to its band groups' leaders.
+    # Rows of band groups of two or more, and the links of each row to its groups' leaders.
     bands = band_rows(classes)
-    leaders = bands.groupBy("key").agg(F.count("*").alias("rows"), F.min(F.struct(F.xxhash64("key", "id").alias("order"), F.col("id"), F.col("n"))).alias("lead")).where("rows > 1").select("key", F.col("lead.id").alias("lead"), F.col("lead.n").alias("size"))
-    pairs = stored(bands.join(leaders, "key").where("id <> lead").where(close("n", "size")).select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct())
-    links = stored(_confirm(stored(_similar(pairs, classes, percent)), texts, size, percent))
+    leaders = bands.groupBy("key").agg(F.count("*").alias("rows"), F.min(F.struct(F.xxhash64("key", "id").alias("order"), F.col("id"), F.col("n"))).alias("lead")).where("rows > 1")
+    grouped = stored(bands.join(leaders.select("key", "rows", F.col("lead.id").alias("lead"), F.col("lead.n").alias("size")).hint("merge"), "key"))
+    needed = stored(texts.join(grouped.select("id").distinct().hint("merge"), "id", "left_semi"))
+    close = lambda left, right: f"100 * least({left}, {right}) >= {percent} * greatest({left}, {right})"
+    pairs = stored(grouped.where("id <> lead").where(close("n", "size")).select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct())
+    links = stored(_confirm(stored(_similar(pairs, classes, percent)), needed, size, percent))
     comps = stored(components(links))
 
-    # Band groups that hold several components: rows outside the largest against the others.
-    placed = bands.join(comps, "id", "left").select("key", "id", "n", F.coalesce("comp", "id").alias("comp"))
-    sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("rows"))
-    open_ = sizes.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("rows", "comp")).alias("top"), F.sum("rows").alias("rows")).where("comps > 1 and rows > 2").select("key", F.col("top.comp").alias("top"))
-    left_open = stored(placed.join(open_, "key"))
-    minor = left_open.where("comp <> top").select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
-    more = (
-        minor.join(left_open, "key")
-        .where("comp <> cx and (comp = top or x < id)")
-        .where(close("n", "nx"))
-        .select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b"))
-        .distinct()
-        .join(pairs, ["a", "b"], "left_anti")
-    )
-    added = stored(_confirm(stored(_similar(more, classes, percent)), texts, size, percent), left_open, pairs)
+    more = _across(grouped, comps, needed, size, percent).join(pairs, ["a", "b"], "left_anti")
+    added = stored(_confirm(stored(_similar(more, classes, percent)), needed, size, percent), grouped, pairs, needed)
     own = signed.join(classes.select("h1", "h2", "n", F.col("id").alias("class")), ["h1", "h2", "n"], "left")
     # An id of several texts joins their classes.
     alike = own.where("class is not null and class <> id").select(F.col("id").alias("a"), F.col("class").alias("b"))
