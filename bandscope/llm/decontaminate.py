@@ -135,13 +135,15 @@ def find_overlaps(
     width: int = WIDTH,
     block_bytes: int = BLOCK_BYTES,
     keep: list[str] | None = None,
+    only_clean: bool = False,
 ) -> DataFrame:
     """Benchmark windows in every document.
 
     Returns the columns ``keep`` (the id by default) and ``n_words`` (long),
     ``n_hit`` (long, words inside any occurrence), ``items`` (sorted array of
     item ids as strings) and ``spans`` (maximal runs of hit words: start and
-    exclusive end, counted in words).
+    exclusive end, counted in words). With ``only_clean`` the columns ``keep`` of
+    the rows without a hit are returned and nothing else.
     """
     spark = docs.sparkSession
     keep = [id_col] if keep is None else keep
@@ -154,7 +156,7 @@ def find_overlaps(
         index = spark.sparkContext.broadcast(PrefixIndex(windows, counts))
         if k + 1 < len(blocks):
             current = stored(_pass(current, index, text_col, marks, names), current)
-    return _pass(current, index, text_col, marks, names, keep)
+    return _pass(current, index, text_col, marks, names, keep, only_clean)
 
 
 RESULT = "n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>"
@@ -170,7 +172,7 @@ def _runs(hit: bytes) -> list[dict[str, int]]:
     return out
 
 
-def _pass(docs: DataFrame, index, text_col: str, marks: str, names: str, keep: list[str] | None = None) -> DataFrame:
+def _pass(docs: DataFrame, index, text_col: str, marks: str, names: str, keep: list[str] | None = None, only_clean: bool = False) -> DataFrame:
     """Scan the documents past one block, adding to the marks of earlier blocks.
 
     With ``keep``, for the last block, those columns and the results are
@@ -183,7 +185,7 @@ def _pass(docs: DataFrame, index, text_col: str, marks: str, names: str, keep: l
         out = T.StructType([*fields, T.StructField(marks, T.BinaryType()), T.StructField(names, T.ArrayType(T.StringType()))])
         kept = range(len(fields))
     else:
-        out = T.StructType([*(docs.schema[c] for c in keep), *T._parse_datatype_string(RESULT).fields])
+        out = T.StructType([*(docs.schema[c] for c in keep), *(() if only_clean else T._parse_datatype_string(RESULT).fields)])
         kept = [[f.name for f in fields].index(c) for c in keep]
 
     def run(batches):
@@ -202,10 +204,11 @@ def _pass(docs: DataFrame, index, text_col: str, marks: str, names: str, keep: l
             columns = [part.column(i) for i in kept]
             if keep is None:
                 columns += [pa.array(hits, pa.binary()), items]
-            else:
+            elif not only_clean:
                 spans = pa.array([_runs(x) for x in hits], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
                 columns += [pa.array([len(x) for x in hits], pa.int64()), pa.array([x.count(1) for x in hits], pa.int64()), items, spans]
-            yield pa.RecordBatch.from_arrays(columns, names=out.names)
+            rows = pa.RecordBatch.from_arrays(columns, names=out.names)
+            yield rows.filter(pa.array([1 not in x for x in hits], pa.bool_())) if keep is not None and only_clean else rows
 
     return docs.select(*(f.name for f in fields), *([marks, names] if later else [])).mapInArrow(run, out)
 

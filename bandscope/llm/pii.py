@@ -32,7 +32,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import fresh, stored
 from .spans import listed, matches, overlapping, prepared, with_kind
 
 ROUNDS = 25
@@ -147,7 +147,7 @@ def accepted_patterns(spans: DataFrame, accept: float = ACCEPT) -> DataFrame:
 def find_pii(docs: DataFrame, text_col: str = "text", out_col: str = "pii") -> DataFrame:
     """All columns of ``docs`` but the text, and ``out_col``: array of kind, start, end, text."""
     kept = [c for c in docs.columns if c != text_col]
-    clean, base, extra = "clean__", "base__", "extra__"
+    clean, base, extra = fresh(docs, "clean__", "base__", "extra__")
     prefixed = docs.select(*kept, prepared(F.col(text_col)).alias(clean))
     found = prefixed.select(
         *kept,

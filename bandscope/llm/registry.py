@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, neardup, pii, quality, secrets, substrings, toxicity
+from . import bpe, decontaminate, html_text, langid, neardup, pii, quality, secrets, substrings, toxicity
 from .common import crc_mod, read_table
 
 
@@ -45,6 +45,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(quality.assess(read_table(spark, sf_dir, "documents"), [tokenizer_file(x) for x in QUALITY_VOCABULARIES]))
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract of this query takes four words, the operator's default is five."""
     return neardup.near_duplicates(read_table(spark, sf_dir, "documents"), size=4)
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substrings": op4_substrings,
     "op5_secrets": op5_secrets,
     "op6_quality": op6_quality,
+    "op7_html": op7_html,
     "op8_neardup": op8_neardup,
     "op9_pii": op9_pii,
     "op10_toxicity": op10_toxicity,

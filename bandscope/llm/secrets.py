@@ -23,6 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
 from .spans import listed, matches, overlapping, prepared, with_kind
 
 WINDOW = 20
@@ -79,7 +80,7 @@ def is_random(text: Column) -> Column:
 
 def find_secrets(docs: DataFrame, text_col: str = "text", out_col: str = "secrets") -> DataFrame:
     """All columns of ``docs`` but the text, and ``out_col``: array of kind, start, end, text."""
-    clean, base, extra = "clean__", "base__", "extra__"
+    clean, base, extra = fresh(docs, "clean__", "base__", "extra__")
     allowed = "|".join(f"(?:{x})" for x in ALLOWED[:1]), *ALLOWED[1:]
     kept = [c for c in docs.columns if c != text_col]
     prefixed = docs.select(*kept, prepared(F.col(text_col)).alias(clean))
@@ -112,3 +113,20 @@ def digests(found: DataFrame, id_col: str = "doc_id", out_col: str = "secrets")
         F.sha2(listed(base, KINDS).cast("binary"), 256).alias("base_sha256"),
         listed(F.col(out_col), KINDS).alias("spans"),
     )
+
+
+def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
+    """All columns of ``docs``, with every secret in the text replaced by ``mask``; overlapping spans become one."""
+    out, raw = fresh(docs, "secrets__", "raw__")
+    found = find_secrets(docs.withColumn(raw, F.col(text_col)), text_col, out)
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("kept"))
+
+    def step(acc: Column, s: Column) -> Column:
+        before = F.substring(F.col(raw), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
+        kept = F.when(s["start"] >= acc["at"], F.concat(acc["kept"], before, F.lit(mask))).otherwise(acc["kept"])
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), kept.alias("kept"))
+
+    ordered = F.array_sort(F.transform(out, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    masked = F.aggregate(ordered, start, step, lambda acc: F.concat(acc["kept"], F.substring(F.col(raw), (acc["at"] + 1).cast("int"), F.char_length(raw))))
+    text = F.when(F.size(out) > 0, masked).otherwise(F.col(raw)).alias(text_col)
+    return found.select(*(text if c == text_col else F.col(c) for c in docs.columns))
