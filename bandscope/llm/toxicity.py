@@ -52,7 +52,7 @@ ROUNDS = 2
 HARD = 2_000
 #: Log-odds from which a word is a witness.
 WITNESS = 1.8
-PRIOR = 10
+PRIOR = 7
 #: Margins count as evidence from here.
 EVIDENCE = 0.0
 THRESHOLD = 0.7
