@@ -18,7 +18,7 @@ Large groups, without all their pairs:
    different components that shares a band stays unchecked: by prefix filter. Of
    all rows of such groups, shingles are ordered from rare to common; to reach the
    threshold two sets must share one among the first of each (all but the
-   least overlap, plus one). Heavily edited copies have a prefix of shingles of
+   least overlap, plus one), early enough in both for the rest to suffice. Heavily edited copies have a prefix of shingles of
    their own and so no candidates, where comparing them with the group would take all pairs.
    Rows already connected to each other are never compared.
 4. Components of all links.
@@ -39,11 +39,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, stored
+from .common import fresh, slices, stored
 
 SIZE = 5
 PERCENT = 80
@@ -262,11 +262,14 @@ def _across(grouped: DataFrame, comps: DataFrame, needed: DataFrame, size: int,
     ordered = tokens.join(shared, "t").groupBy("id", "comp", "minor", "n").agg(F.array_sort(F.collect_list(F.struct("c", "t"))).alias("ts"))
     least = F.ceil(F.col("n") * percent / 100)
     free = F.col("n") - least + 1 - (F.col("n") - F.size("ts"))
-    prefix = stored(ordered.where(free > 0).select("id", "comp", "minor", "n", F.explode(F.slice("ts", F.lit(1), free.cast("int"))).alias("x")).select("id", "comp", "minor", "n", F.col("x.t").alias("t")), sets)
-    minor = prefix.where("minor").select("t", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"))
+    front = ordered.where(free > 0).select("id", "comp", "minor", "n", (F.col("n") - F.size("ts")).alias("alone"), F.posexplode(F.slice("ts", F.lit(1), free.cast("int"))).alias("i", "x"))
+    prefix = stored(front.select("id", "comp", "minor", "n", (F.col("alone") + F.col("i") + 1).alias("p"), F.col("x.t").alias("t")), sets)
+    minor = prefix.where("minor").select("t", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("p").alias("px"))
+    # Length bound, and positional bound: at the first shared shingle, what follows in both must suffice for the overlap.
+    bounds = f"100 * least(n, nx) >= {percent} * greatest(n, nx) and (1 + least(n - p, nx - px)) * {100 + percent} >= {percent} * (n + nx)"
     return (
         minor.join(prefix, "t")
-        .where(f"comp <> cx and 100 * least(n, nx) >= {percent} * greatest(n, nx) and (not minor or x < id)")
+        .where(f"comp <> cx and {bounds} and (not minor or x < id)")
         .select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b"))
         .distinct()
     )
@@ -304,6 +307,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` that stay: of each group the one of the smallest id, and all rows without an id.
+
+    Where several rows share that id, the first by text stays; the rows of such ids alone are sorted.
+    """
+    judged = near_duplicates(docs, id_col, text_col, size, percent)
+    ids = stored(judged.where(F.col(id_col).isNotNull() & F.col("kept")).groupBy(id_col).agg(F.count("*").alias("rows")).select(F.col(id_col).alias("id"), "rows"))
+    name, place, key = fresh(docs, "rows__", "place__", "key__")
+    joined = docs.join(ids.select(F.col("id").alias(key), F.col("rows").alias(name)), docs[id_col] == F.col(key), "left").drop(key)
+    single = joined.where(F.col(id_col).isNull() | (F.col(name) == 1))
+    first = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_first())
+    several = joined.where(F.col(name) > 1).withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).drop(place)
+    return single.unionByName(several).select(*docs.columns)
+
+
 ORACLE = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
