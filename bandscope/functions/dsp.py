@@ -63,7 +63,7 @@ class Channelizer:
     @property
     def halo(self) -> int:
         """Samples after a block that its frames need."""
-        return self.s.num_taps - self.s.decimation
+        return self.s.num_taps - 1
 
     def frames(self, x: np.ndarray, start: int, until: int) -> tuple[int, np.ndarray]:
         """First frame number and spectra of the frames that begin in samples ``start`` to ``until`` and fit in ``x`` (from ``start``)."""

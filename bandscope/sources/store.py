@@ -45,10 +45,12 @@ def read_jsonl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     A line is either good or bad as a whole. ``row_id`` follows the order of the files and of the lines in them.
     """
     schema = f"{S.EMISSION_DDL}, _corrupt_record string"
-    raw = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    raw = raw.withColumn("row_id", F.monotonically_increasing_id())
-    bad = F.col("_corrupt_record").isNotNull()
-    return nested(raw.where(~bad).drop("_corrupt_record").select("row_id", *[c for c in raw.columns if c not in ("row_id", "_corrupt_record", "gains")], *(F.col(f"gains.{c}").alias(c) for c in GAIN_FIELDS))), raw.where(bad).select("row_id", "_corrupt_record")
+    text = spark.read.text(path).where(F.trim("value") != "").withColumn("row_id", F.monotonically_increasing_id())
+    parsed = text.withColumn("r", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
+    bad = F.col("r").isNull() | F.col("r._corrupt_record").isNotNull()
+    good = parsed.where(~bad).select("row_id", "r.*").drop("_corrupt_record")
+    flat = good.select("*", *(F.col(f"gains.{c}").alias(c) for c in GAIN_FIELDS)).drop("gains")
+    return nested(flat), parsed.where(bad).select("row_id", F.col("value").alias("line"))
 
 
 def read_sqlite(spark: SparkSession, path: str, table: str = "emissions") -> DataFrame:
