@@ -37,7 +37,12 @@ def synthesise(spark: SparkSession, scene: dsp.Scenario, settings: S.Settings, s
 
 
 def with_halo(blocks: DataFrame, samples: int) -> DataFrame:
-    """Add the first samples of the following block, by an equi-join on block numbers that spreads a capture over all tasks."""
+    """Add the first samples of the following block, by an equi-join on block numbers that spreads a capture over all tasks.
+
+    Blocks that were read with their halo stay as they are.
+    """
+    if "halo" in blocks.columns:
+        return blocks
     head = blocks.select("capture_id", (F.col("block_idx") - 1).alias("block_idx"), F.slice("iq", 1, 2 * samples).alias("halo"))
     return blocks.join(head, ["capture_id", "block_idx"], "left")
 
@@ -201,3 +206,43 @@ def mean_error(errors: DataFrame) -> DataFrame:
     """Mean error over the captures that measured, with its standard error (zero for one)."""
     good = errors.where("status = 'ok'")
     return good.agg(F.avg("error_hz").alias("error_hz"), F.coalesce(F.stddev_samp("error_hz") / F.sqrt(F.count("*")), F.lit(0.0)).alias("standard_error_hz"), F.count("*").alias("captures"))
+
+
+def spectrogram(blocks: DataFrame, rate: float, centre_hz: float, total_samples: int, size: int = 1_024, hop: int = 512, max_frames: int = 8_192) -> DataFrame:
+    """Power by frame and frequency (capture_id, frame, bin, frequency_hz, power_db) for a picture of the whole capture.
+
+    Frames are thinned evenly to at most ``max_frames``; none is cut off at the end.
+    """
+    frames = max(0, (total_samples - size) // hop + 1)
+    stride = max(1, -(-frames // max_frames))
+    window = dsp.blackman_harris(size)
+    window = window / window.sum()
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                x = np.concatenate((_complex(batch.column(3), i), _complex(batch.column(4), i)))
+                start, n = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
+                first = -(-start // (hop * stride))
+                for f in range(first, -(-(start + n) // (hop * stride))):
+                    at = f * hop * stride - start
+                    if at + size > len(x):
+                        break
+                    p = np.abs(np.fft.fft(x[at : at + size] * window)) ** 2
+                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * size), pa.array([f * stride] * size, pa.int64()), pa.array(np.arange(size), pa.int32()), pa.array(p)], names=["capture_id", "frame", "bin", "power"])
+
+    ready = with_halo(blocks, size).select("capture_id", "start_sample", "n", "iq", "halo")
+    out = ready.mapInArrow(run, "capture_id string, frame long, bin int, power double")
+    return out.select("capture_id", "frame", "bin", bin_frequency("bin", size, rate, centre_hz).alias("frequency_hz"), decibels("power", 1e-30).alias("power_db"))
+
+
+def picture_limits(table: DataFrame) -> DataFrame:
+    """Display range of a spectrogram: the 5th and 99.99th percentile, 3 dB wider."""
+    return table.agg((F.percentile("power_db", 0.05) - 3).alias("low_db"), (F.percentile("power_db", 0.9999) + 3).alias("high_db"))
+
+
+def channel_peaks(spectrum: DataFrame) -> DataFrame:
+    """The highest power over the floor within half a channel of each channel's centre (channel, peak_over_floor_db)."""
+    k = F.rint((F.col("frequency_hz") - S.CHANNEL_1_HZ) / S.CHANNEL_SPACING_HZ)
+    inside = spectrum.where(k.between(0, S.CHANNEL_COUNT - 1))
+    return inside.groupBy("capture_id", (k + 1).cast("int").alias("channel")).agg(F.max(F.col("power_db") - F.col("floor_db")).alias("peak_over_floor_db"))

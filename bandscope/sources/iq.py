@@ -61,6 +61,7 @@ class _Reader(DataSourceReader):
         self.path, self.form = options["path"], options.get("sampleformat")
         self.rate, self.block = float(options["samplerate"]), int(options["blocksamples"])
         self.per_task = int(options.get("blockspertask", 16))
+        self.halo = int(options.get("halosamples", 0))
         if self.form and self.form not in FORMATS:
             raise ValueError(f"unknown sample format {self.form}")
 
@@ -94,22 +95,26 @@ class _Reader(DataSourceReader):
         with where.open_input_file(p.path) as f:
             for at in range(p.offset, p.offset + p.size, self.block):
                 n = min(self.block, p.offset + p.size - at)
-                x = decode(f.read_at(n * size, at * size), p.form)
+                whole = decode(f.read_at((n + self.halo) * size, at * size), p.form)
+                x, after = whole[: 2 * n], whole[2 * n :]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name]), pa.array([at // self.block], pa.int64()), pa.array([at], pa.int64()), pa.array([len(x) // 2], pa.int32()), pa.array([p.start_time]), pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x))],
-                    names=["capture_id", "block_idx", "start_sample", "n", "start_time", "iq"],
+                    [pa.array([name]), pa.array([at // self.block], pa.int64()), pa.array([at], pa.int64()), pa.array([len(x) // 2], pa.int32()), pa.array([p.start_time]), *(pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v)) for v in (x, after))],
+                    names=["capture_id", "block_idx", "start_sample", "n", "start_time", "iq", "halo"],
                 )
 
 
 class IqSource(DataSource):
-    """``spark.read.format("iq")``: raw interleaved samples in blocks, split by byte range."""
+    """``spark.read.format("iq")``: raw interleaved samples in blocks, split by byte range.
+
+    Each block comes with the samples that follow it (``halo``), so that filters need no exchange between blocks.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "iq"
 
     def schema(self) -> str:
-        return S.IQ_DDL
+        return f"{S.IQ_DDL}, halo array<float>"
 
     def reader(self, schema):
         return _Reader(self.options)
@@ -119,7 +124,7 @@ def read_iq(spark: SparkSession, path: str, settings: S.Settings, form: str | No
     """The blocks of one capture or of a folder of them; the format follows the file's extension unless given."""
     _files(path)  # a missing file is an error at once
     spark.dataSource.register(IqSource)
-    reader = spark.read.format("iq").option("samplerate", settings.sample_rate).option("blocksamples", block_samples(settings))
+    reader = spark.read.format("iq").option("samplerate", settings.sample_rate).option("blocksamples", block_samples(settings)).option("halosamples", settings.num_taps)
     return (reader.option("sampleformat", form) if form else reader).load(path)
 
 

@@ -58,6 +58,16 @@ def track_stream(hits: DataFrame, settings: S.Settings, frame_time: str = "frame
     return marked.groupBy("capture_id", "bin").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def capture_stream(blocks: DataFrame, settings: S.Settings) -> DataFrame:
+    """Emissions of a stream of sample blocks that carry their halo: the batch kernel, then the keyed tracker."""
+    from ..operators.signal import detect
+
+    if "halo" not in blocks.columns:
+        raise ValueError("streamed blocks need their halo")
+    at = F.timestamp_micros(((F.col("start_time") + F.col("frame") / settings.frame_rate) * 1e6).cast("long"))
+    return track_stream(detect(blocks, settings).withColumn("frame_ts", at), settings)
+
+
 def session_stream(hits: DataFrame, gap: str, delay: str, frame_time: str = "frame_ts") -> DataFrame:
     """The same runs by the built-in session window, for use without a longest extent."""
     w = hits.withWatermark(frame_time, delay).groupBy("capture_id", "bin", F.session_window(frame_time, gap).alias("w"))

@@ -168,3 +168,63 @@ def test_captures_on_disk(spark, tmp_path, form):
     assert iq.extract(iq.read_iq(spark, str(tmp_path), SMALL), 0.01, 0.01, 500_000.0).count() == 1
     with pytest.raises(FileNotFoundError):
         iq.read_iq(spark, str(tmp_path / "none.cs8"), SMALL)
+
+
+def test_stream_of_blocks_equals_batch(spark, tmp_path):
+    from bandscope.operators.sessions import tracked
+    from bandscope.streaming import tracker
+
+    blocks = signal.with_halo(signal.synthesise(spark, SCENE, SMALL, start_time=1_000.0)[0], SMALL.num_taps)
+    blocks.repartition(1).write.parquet(str(tmp_path / "in"))
+    stored = spark.read.parquet(str(tmp_path / "in"))
+    hits = signal.detect(stored, SMALL)
+    want = sorted((r.bin, r.start_frame, r.end_frame) for r in tracked(hits, SMALL.hangover_frames, SMALL.min_frames, SMALL.max_frames, SMALL.min_occupancy, ["capture_id"]).collect())
+    late = spark.createDataFrame([("end", 9, 9 * iq.block_samples(SMALL), 1, 5_000.0, [0.0, 0.0], [])], f"{S.IQ_DDL}, halo array<float>")
+    assert late.columns == stored.columns or set(late.columns) == set(stored.columns)
+    stream = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = tracker.capture_stream(stream, SMALL).writeStream.format("memory").queryName("blocks_out").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = sorted((r.bin, r.start_frame, r.end_frame) for r in spark.table("blocks_out").collect())
+    # The stream ends before the last emissions' hangover; what has closed is the same.
+    assert set(got) <= set(want) and len(want) >= 2
+    with pytest.raises(ValueError):
+        tracker.capture_stream(stream.drop("halo"), SMALL)
+
+
+def test_spectrogram_spans_the_capture(spark):
+    blocks, _ = signal.synthesise(spark, SCENE, SMALL)
+    table = signal.spectrogram(blocks, 500_000.0, SMALL.centre_hz, 1_200_000, max_frames=50).cache()
+    frames = sorted(r.frame for r in table.select("frame").distinct().collect())
+    assert 40 <= len(frames) <= 50 and frames[0] == 0 and frames[-1] > 0.95 * 1_200_000 / 512
+    limits = signal.picture_limits(table).first()
+    assert limits.high_db - limits.low_db > 20
+    peaks = {r.channel: r.peak_over_floor_db for r in signal.channel_peaks(signal.survey(blocks, 500_000.0, SMALL.centre_hz)).collect()}
+    assert max(peaks, key=peaks.get) in (8, 12, 13)
+
+
+def test_studies(spark):
+    from bandscope.operators import studies
+
+    rates = studies.false_alarm_rates(spark, 1e-2, (1e-3, 10.0), 300, 64).collect()
+    assert len(rates) == 4 and all(abs(r.rate - 1e-2) < 3e-3 for r in rates)
+    pd = {r.snr_db: r.pd for r in studies.detection_sweep(spark, (0.0, 25.0), trials=200).collect()}
+    assert pd[0.0] < 0.05 and pd[25.0] > 0.95
+    cover = {(r.exponent, r.percentile): r.coverage for r in studies.ring_coverage(spark, trials=300, draws=300).collect()}
+    assert abs(cover[3.5, 95] - 0.95) < 0.05 and abs(cover[3.5, 50] - 0.5) < 0.09 and cover[2.5, 95] < 0.7
+    spread = {r.source: r.spread for r in studies.range_sensitivity(spark).collect()}
+    assert spread["all"] > spread["exponent"] > spread["eirp"] > spread["calibration"] > 1
+    assert [r.source_dbm for r in studies.sweep_levels(spark, -70, -60, 5).collect()] == [-70, -65, -60]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from bandscope.__main__ import main
+
+    iq.write_capture(SCENE.block(0, 1_200_000), str(tmp_path / "cap"), "cf32", start_time=1_000.0)
+    store = str(tmp_path / "found.parquet")
+    shape = ["--rate", "500000", "--centre", str(SMALL.centre_hz), "--channels", "40"]
+    assert main(["node", str(tmp_path / "cap.cf32"), *shape, "--friend", "114.8", "--store", store]) == 0
+    assert main(["battle", store, "--json"]) == 0
+    told = capsys.readouterr().out
+    assert "PMR8/114.8Hz" in told
+    assert main(["dashboard", store, str(tmp_path / "d.html")]) == 0 and "off-grid" in (tmp_path / "d.html").read_text()
+    assert main(["extract", str(tmp_path / "cap.cf32"), *shape, "--start", "99"]) == 1
