@@ -428,3 +428,91 @@ def event_xml(spark, sf):
     at = F.date_format(F.timestamp_micros((F.floor(F.col("timestamp") * 100) * 10_000).cast("bigint")), "yyyy-MM-dd'T'HH:mm:ss.SSS")
     remark = F.concat(F.col("kind"), F.lit(" & <"), F.col("source_id").cast("string"), F.lit(">"))
     return e.select("row_id", X.tag("event", {"version": F.lit("2.0"), "uid": F.concat(F.lit("BS."), place), "start": at}, children=[X.tag("remarks", text=remark)]).alias("xml"))
+
+
+# Scalar functions and predicates
+
+
+@query(
+    f"WITH {EM} SELECT row_id, greatest(0e0, least(40e0, round_even(snr_db / 8, 0) * 8)) AS first_gain, greatest(0e0, least(62e0, round_even(snr_db / 2, 0) * 2)) AS second_gain, greatest(0e0, least(40e0, floor(greatest(0e0, 52e0 - snr_db) / 8) * 8)) AS planned_first FROM em"
+)
+def gain_steps(spark, sf):
+    e = emissions(spark, sf)
+    return e.select("row_id", X.quantise_gain("snr_db", 8.0, 40.0).alias("first_gain"), X.quantise_gain("snr_db", 2.0, 62.0).alias("second_gain"), X.plan_gains(F.col("snr_db"))[0].alias("planned_first"))
+
+
+@query(f"WITH {EM} SELECT row_id, round(20 * log10(4 * pi() * frequency_hz / 299792458e0), 6) AS reference_loss_db, round(20 * log10(4 * pi() * frequency_hz / 299792458e0) + 35 * log10(duration_s), 6) AS path_loss_db, round(299792458e0 / frequency_hz, 9) AS wavelength_m FROM em")
+def path_loss(spark, sf):
+    e = emissions(spark, sf)
+    out = e.select("row_id", X.free_space_loss_db("frequency_hz").alias("reference_loss_db"), X.path_loss_db("duration_s", "frequency_hz", 3.5).alias("path_loss_db"), X.wavelength_m("frequency_hz").alias("wavelength_m"))
+    return rounded(rounded(out, 6, "reference_loss_db", "path_loss_db"), 9, "wavelength_m")
+
+
+@query(
+    f"WITH {CELLS} SELECT frame, bin, round(446593750e0 + (CASE WHEN bin < 32 THEN bin ELSE bin - 64 END) * (2e6 / 64), 3) AS frequency_hz, bin IN (0, 29, 30, 31, 32, 33, 34) AS excluded FROM cells WHERE frame % 10 = 0"
+)
+def bin_frequencies(spark, sf):
+    settings = S.Settings(num_channels=64, decimation=32)
+    c = frames(spark, sf).where("frame % 10 = 0").select("frame", F.posexplode("power").alias("bin", "power"))
+    return c.select("frame", F.col("bin").cast("bigint").alias("bin"), F.round(X.bin_frequency("bin", 64, 2e6, settings.centre_hz), 3).alias("frequency_hz"), F.col("bin").isin(settings.excluded_bins()).alias("excluded"))
+
+
+@query(
+    f"WITH {EM}, t AS (SELECT DISTINCT ctcss_tone_hz AS tone FROM em) SELECT a.tone AS tone_a, b.tone AS tone_b FROM t a JOIN t b ON a.tone IS NOT DISTINCT FROM b.tone OR abs(a.tone - b.tone) <= 3.5e0"
+)
+def tone_pairs(spark, sf):
+    """Tones that count as one: a handful of distinct values, matched by cell where present and as a class where absent."""
+    from ..operators.joins import band_join
+
+    t = emissions(spark, sf).select("ctcss_tone_hz").distinct()
+    a, b = (t.where("ctcss_tone_hz is not null").select(F.col("ctcss_tone_hz").alias(n)) for n in ("tone_a", "tone_b"))
+    silent = t.where("ctcss_tone_hz is null").select(F.col("ctcss_tone_hz").alias("tone_a"), F.col("ctcss_tone_hz").alias("tone_b"))
+    return band_join(a, b, "tone_a", "tone_b", 3.5).unionByName(silent)
+
+
+@query(f"WITH {EM} SELECT row_id, timestamp FROM em WHERE timestamp >= (SELECT avg(timestamp) FROM em) AND pmr_channel = 3")
+def since_and_channel(spark, sf):
+    e = emissions(spark, sf)
+    start = e.agg(F.avg("timestamp")).first()[0]
+    return e.where((F.col("timestamp") >= start) & (F.col("pmr_channel") == 3)).select("row_id", "timestamp")
+
+
+@query(f"WITH {CELLS}, h AS (SELECT DISTINCT frame, bin FROM cells WHERE power > 4e-2) SELECT a.frame, a.bin AS bin_a, b.bin AS bin_b FROM h a JOIN h b ON a.frame = b.frame AND (a.bin + 1) % 64 = b.bin")
+def adjacent_hits(spark, sf):
+    h = frames(spark, sf).select("frame", F.posexplode("power").alias("bin", "power")).where("power > 4e-2").select("frame", F.col("bin").cast("bigint").alias("bin"))
+    b = h.select(F.col("frame").alias("frame_b"), F.col("bin").alias("bin_b"))
+    return h.join(b, (F.col("frame") == F.col("frame_b")) & (F.pmod(F.col("bin") + 1, F.lit(64)) == F.col("bin_b"))).select("frame", F.col("bin").alias("bin_a"), "bin_b")
+
+
+@query(
+    f"WITH {EM}, d AS (SELECT source_id, count(*) AS n, sum(duration_s) AS s, min(kind) AS k FROM em GROUP BY 1) SELECT em.row_id, em.kind, d.n, round(em.duration_s / d.s, 8) AS share FROM em JOIN d USING (source_id)"
+)
+def emitter_share(spark, sf):
+    e = emissions(spark, sf)
+    d = e.groupBy("source_id").agg(F.count("*").alias("n"), F.sum("duration_s").alias("s"))
+    return e.join(d, "source_id").select("row_id", "kind", "n", F.round(F.col("duration_s") / F.col("s"), 8).alias("share"))
+
+
+@query(
+    f"WITH {EM}, s AS (SELECT 446006250e0 + 12500e0 * (row_id % 40) AS f, peak_power_dbfs AS p FROM em), m AS (SELECT f, max(p) AS p FROM s GROUP BY 1), fl AS (SELECT median(p) AS fl FROM m) SELECT CAST(round_even((f - 446006250e0) / 12500e0, 0) AS INTEGER) + 1 AS channel, round(max(p - fl), 6) AS peak_over_floor_db FROM m, fl WHERE round_even((f - 446006250e0) / 12500e0, 0) BETWEEN 0 AND 15 GROUP BY 1"
+)
+def channel_peaks(spark, sf):
+    from ..operators.signal import channel_peaks as peaks
+
+    s = emissions(spark, sf).groupBy((446_006_250.0 + 12_500.0 * (F.col("row_id") % 40)).alias("frequency_hz")).agg(F.max("peak_power_dbfs").alias("power_db"))
+    floor = s.agg(F.median("power_db")).first()[0]  # one row a bin
+    out = peaks(s.withColumns({"capture_id": F.lit("c"), "floor_db": F.lit(floor)}))
+    return rounded(out.select("channel", "peak_over_floor_db"), 6, "peak_over_floor_db")
+
+
+@query(
+    "WITH e AS (SELECT user_id, event_id, value AS w, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) SELECT user_id, count(*) AS n, round(avg(w), 6) AS mean_hz, round(coalesce(stddev_samp(w) / sqrt(count(*)), 0), 6) AS error_hz, max_by(event_id, w) AS peak_id FROM (SELECT user_id, event_id, value AS w FROM events) GROUP BY 1"
+)
+def mean_errors(spark, sf):
+    e = table(spark, sf, "events")
+    return rounded(
+        e.groupBy("user_id").agg(F.count("*").alias("n"), F.avg("value").alias("mean_hz"), F.coalesce(F.stddev_samp("value") / F.sqrt(F.count("*")), F.lit(0.0)).alias("error_hz"), F.max_by("event_id", "value").alias("peak_id")),
+        6,
+        "mean_hz",
+        "error_hz",
+    )
