@@ -310,16 +310,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that stay: of each group the one of the smallest id, and all rows without an id.
 
-    Where several rows share that id, the first by text stays; the rows of such ids alone are sorted.
+    Where several rows share that id, the first by text stays.
     """
     judged = near_duplicates(docs, id_col, text_col, size, percent)
-    ids = stored(judged.where(F.col(id_col).isNotNull() & F.col("kept")).groupBy(id_col).agg(F.count("*").alias("rows")).select(F.col(id_col).alias("id"), "rows"))
-    name, place, key = fresh(docs, "rows__", "place__", "key__")
-    joined = docs.join(ids.select(F.col("id").alias(key), F.col("rows").alias(name)), docs[id_col] == F.col(key), "left").drop(key)
-    single = joined.where(F.col(id_col).isNull() | (F.col(name) == 1))
+    key, place = fresh(docs, "key__", "place__")
+    ids = stored(judged.where(F.col(id_col).isNotNull() & F.col("kept")).select(F.col(id_col).alias(key)).distinct())
+    named = docs.where(F.col(id_col).isNotNull())
+    # One exchange of the documents: the window works on the join's partitions.
+    stay = named.join(ids.hint("merge"), named[id_col] == ids[key], "left_semi")
     first = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_first())
-    several = joined.where(F.col(name) > 1).withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).drop(place)
-    return single.unionByName(several).select(*docs.columns)
+    one = stay.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).drop(place)
+    return docs.where(F.col(id_col).isNull()).unionByName(one).select(*docs.columns)
 
 
 ORACLE = r"""
