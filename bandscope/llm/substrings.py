@@ -230,15 +230,12 @@ def _segments(work: DataFrame, window: int, hot: bool) -> DataFrame:
         for part in slices(batches, 2, 1 << 20):
             rows: list[tuple] = []
             for k1, k2, text, runs in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
-                own = [r for r in runs if r["undecided"] and r["hot"] == hot]
-                if not own:
-                    continue
                 words = words_of(text)
                 if not hot:
-                    rows += [(r["akey"], k1, k2, r["lo"], r["repeated"], b" ".join(words[r["lo"] : r["lo"] + r["n"] + window - 1]).decode()) for r in own]
+                    rows += [(r["akey"], k1, k2, r["lo"], r["repeated"], b" ".join(words[r["lo"] : r["lo"] + r["n"] + window - 1]).decode()) for r in runs]
                     continue
                 h = hashes.words(words)
-                lo = np.concatenate([np.arange(r["lo"], r["lo"] + r["n"]) for r in own])
+                lo = np.concatenate([np.arange(r["lo"], r["lo"] + r["n"]) for r in runs])
                 x, y = Hashes.runs(h, lo, lo + window), Hashes.runs(h, lo, lo + window, _Q)
                 rows += zip(x.view(np.int64).tolist(), y.view(np.int64).tolist(), [k1] * len(lo), [k2] * len(lo), lo.tolist(), strict=True)
             columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
@@ -247,7 +244,8 @@ def _segments(work: DataFrame, window: int, hot: bool) -> DataFrame:
     long, integer, text, flag = pa.int64(), pa.int32(), pa.string(), pa.bool_()
     names, types = (["x", "y", *KEY, "lo"], [long, long, long, long, integer]) if hot else (["akey", *KEY, "lo", "known", "words"], [long, long, long, integer, flag, text])
     schema = "x long, y long, k1 long, k2 long, lo int" if hot else "akey long, k1 long, k2 long, lo int, known boolean, words string"
-    return work.select(*KEY, "text", "runs").mapInArrow(run, schema)
+    wanted = F.filter("runs", lambda r: r["undecided"] & (r["hot"] == hot))
+    return work.select(*KEY, "text", wanted.alias("runs")).where(F.size("runs") > 0).mapInArrow(run, schema)
 
 
 def _by_shard(segments: DataFrame, window: int) -> DataFrame:
@@ -284,16 +282,13 @@ def _removed(work: DataFrame, window: int) -> DataFrame:
     def run(batches):
         for part in slices(batches, 2):
             count, sha, spans = [], [], []
-            for text, runs, more in zip(*(part.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+            for text, lo, n, more in zip(*(part.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
                 words = words_of(text)
                 edge = np.zeros(len(words) + 1, np.int64)
-                for r in runs:
-                    if r["repeated"]:
-                        edge[r["lo"]] += 1
-                        edge[r["lo"] + r["n"] + window - 1] -= 1
-                for lo in more or ():
-                    edge[lo] += 1
-                    edge[lo + window] -= 1
+                start = np.array([*lo, *(more or ())], np.int64)
+                own = np.array([*n, *([1] * len(more or ()))], np.int64)
+                np.add.at(edge, start, 1)
+                np.add.at(edge, start + own + (window - 1), -1)
                 covered = np.cumsum(edge)[:-1] > 0
                 turns = np.flatnonzero(np.diff(np.concatenate(([False], covered, [False])))).reshape(-1, 2)
                 count.append(int(covered.sum()))
@@ -302,7 +297,8 @@ def _removed(work: DataFrame, window: int) -> DataFrame:
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(count, pa.int64()), pa.array(sha, pa.string()), pa.array(spans, kind)], names=[*KEY, "n_removed", "kept", "spans"])
 
-    return work.select(*KEY, "text", "runs", "more").mapInArrow(run, "k1 long, k2 long, n_removed long, kept string, spans array<struct<start: long, end: long>>")
+    whole = work.withColumn("runs", F.filter("runs", lambda r: r["repeated"])).where((F.size("runs") > 0) | F.col("more").isNotNull())
+    return whole.select(*KEY, "text", F.col("runs.lo").alias("lo"), F.col("runs.n").alias("n"), "more").mapInArrow(run, "k1 long, k2 long, n_removed long, kept string, spans array<struct<start: long, end: long>>")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, hot: int = HOT) -> DataFrame:
