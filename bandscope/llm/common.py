@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,6 +18,8 @@ SLICE_BYTES = 4 << 20
 #: Largest object that an operator broadcasts; each has another way beyond it.
 BROADCAST_BYTES = 64 << 20
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -87,13 +88,15 @@ def stored(df: DataFrame, *after: DataFrame) -> DataFrame:
     """Cut lineage: write the rows once to the shared folder and read them back. Then drop the tables ``after``."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/bandscope/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")  # the plan's shuffle files go as soon as it has been written
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     drop_stored(*after)
-    # Shuffle files of the finished plan go once the driver's garbage collector has seen that nothing refers to them.
-    gc.collect()
-    spark._jvm.System.gc()
     return out
 
 
