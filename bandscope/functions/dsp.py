@@ -51,6 +51,10 @@ def response_db(taps: np.ndarray, rate: float, points: int = 8_192) -> tuple[np.
     return np.fft.rfftfreq(2 * points, 1 / rate), 20 * np.log10(np.maximum(np.abs(h), 1e-15))
 
 
+#: Frames filtered at once, so that the work stays in the cache.
+CHUNK = 512
+
+
 class Channelizer:
     """Weighted-overlap filter bank, anchored on absolute sample numbers, so any cut of the stream gives the same frames.
 
@@ -58,7 +62,12 @@ class Channelizer:
     """
 
     def __init__(self, s: S.Settings):
-        self.s, self.taps = s, prototype(s)
+        self.s = s
+        m, d = s.num_channels, s.decimation
+        self.segments = prototype(s).reshape(s.taps_per_phase, m)
+        # A frame starts d samples after the last, which turns bin k by k * d / m; the turns repeat.
+        start = np.arange(m // np.gcd(m, d)) * d % m
+        self.turns = np.exp(-2j * np.pi * (start[:, None] * np.arange(m) % m) / m).astype(np.complex64)
 
     @property
     def halo(self) -> int:
@@ -72,14 +81,18 @@ class Channelizer:
         last = min((until - 1) // s.decimation, (start + len(x) - s.num_taps) // s.decimation)
         if last < first:
             return first, np.zeros((0, s.num_channels), np.complex64)
-        out = np.empty((last - first + 1, s.num_channels), np.complex64)
-        view = np.lib.stride_tricks.sliding_window_view(x, s.num_taps)[first * s.decimation - start :: s.decimation][: len(out)]
-        for lo in range(0, len(out), 1_024):
-            part = (view[lo : lo + 1_024] * self.taps).reshape(-1, s.taps_per_phase, s.num_channels).sum(axis=1)
-            spun = np.fft.fft(part, axis=1)
-            number = np.arange(first + lo, first + lo + len(part), dtype=np.int64)
-            turn = (number[:, None] * s.decimation % s.num_channels * np.arange(s.num_channels)) % s.num_channels
-            out[lo : lo + 1_024] = spun * np.exp(-2j * np.pi * turn / s.num_channels)
+        m, n = s.num_channels, last - first + 1
+        out = np.empty((n, m), np.complex64)
+        # Rows of one channel period each; the segments of a frame lie whole periods apart.
+        rows = np.lib.stride_tricks.sliding_window_view(x, m)[first * s.decimation - start :]
+        for lo in range(0, n, CHUNK):
+            k = min(CHUNK, n - lo)
+            part = np.zeros((k, m), np.complex64)
+            for j in range(s.taps_per_phase):
+                at = lo * s.decimation + j * m
+                part += rows[at : at + (k - 1) * s.decimation + 1 : s.decimation] * self.segments[j]
+            turn = self.turns[(first + lo + np.arange(k)) % len(self.turns)]
+            np.multiply(np.fft.fft(part, axis=1), turn, out=out[lo : lo + k], casting="same_kind")
         return first, out
 
 

@@ -66,7 +66,7 @@ def detect(blocks: DataFrame, settings: S.Settings) -> DataFrame:
                 first, spectra = bank.frames(x, start, start + n)
                 if not len(spectra):
                     continue
-                power = np.abs(spectra).astype(np.float64) ** 2
+                power = (spectra.real**2 + spectra.imag**2).astype(np.float64)
                 hit, noise = dsp.cfar(power, first, settings, factor)
                 f, b = np.nonzero(hit)
                 m = settings.num_channels
