@@ -32,7 +32,7 @@ def false_alarm_rates(spark: SparkSession, pfa: float = 1e-3, levels: tuple[floa
 def detection_sweep(spark: SparkSession, snrs_db: tuple[float, ...] = (0.0, 5.0, 10.0, 15.0, 20.0, 25.0), pfa: float = 1e-8, trials: int = 400, bins: int = 64, target: int = 20) -> DataFrame:
     """Detection rate of one cell that holds a signal and noise, by its signal-to-noise ratio."""
     factor = cells.os_factor(pfa)
-    f = exponential_frames(spark, trials, bins, 1.0).crossJoin(spark.createDataFrame([(x,) for x in snrs_db], "snr_db double"))  # a stated list of settings
+    f = exponential_frames(spark, trials, bins, 1.0).withColumn("snr_db", F.explode(F.array(*map(F.lit, snrs_db))))
     with_signal = F.transform("power", lambda p, i: F.when(i == target, p + F.pow(F.lit(10.0), F.col("snr_db") / 10)).otherwise(p))
     f = f.withColumn("power", with_signal).withColumn("noise", cells.noise_estimate(F.col("power"), bins))
     return f.groupBy("snr_db").agg(F.avg((F.col("power")[target] > F.col("noise")[target] * factor).cast("double")).alias("pd"), F.count("*").alias("trials"))
