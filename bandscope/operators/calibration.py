@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions.expr import free_space_loss_db, plausible_gain_dbi, range_m, required_dimension_m
+from ..functions.expr import free_space_loss_db, plausible_gain_dbi, required_dimension_m
 
 CALIBRATION_DDL = "gain_key string, offset_db double, slope double, r_squared double, residual_rms_db double, valid_lo double, valid_hi double, num_points int"
 
@@ -110,34 +111,35 @@ def estimate_range(
 ) -> DataFrame:
     """Add ``range_m``, a map from percentile to metres (null without a power in dBm), by Monte-Carlo draws.
 
-    The draws of a row are made where the row is, inside one array expression, so nothing is joined or shuffled.
+    The draws of a row are made where the row is, in one Arrow kernel seeded by a hash of the row, so nothing is joined or
+    shuffled. Shadowing, radiated power and calibration are independent and only added up, so their sum is drawn as one.
     """
     if draws < 1 or any(not 0 < p < 100 for p in percentiles):
         raise ValueError("draws must be positive and percentiles inside 0 to 100")
     wanted = sorted({50, *percentiles})
-
-    def normal(i: Column, n: int) -> Column:
-        """A standard normal number from a hash of the row, the draw and the seed (Box-Muller)."""
-        u = lambda k: (F.pmod(F.xxhash64(F.col("row_id"), i, F.lit(seed), F.lit(k)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-        return F.sqrt(-2 * F.ln(u(2 * n))) * F.cos(2 * np.pi * u(2 * n + 1))
-
-    def draw(i: Column) -> Column:
-        n = F.greatest(exponent + exponent_sigma * normal(i, 0), F.lit(2.0))
-        power = F.col("estimated_dbm") + calibration_sigma_db * normal(i, 3)
-        return range_m(power, "frequency_hz", n, eirp_dbm + eirp_sigma_db * normal(i, 1), receiver_gain_dbi, shadowing_sigma_db * normal(i, 2))
-
-    ordered = F.array_sort(F.transform(F.sequence(F.lit(1), F.lit(draws)), draw))
-
-    def at(p: int) -> Column:
-        """Linear interpolation between order statistics."""
-        place = p / 100 * (draws - 1)
-        low = int(place)
-        a, b = F.get("draws__", F.lit(low)), F.get("draws__", F.lit(min(low + 1, draws - 1)))
-        return a + (b - a) * (place - low)
-
-    table = F.create_map(*(x for p in wanted for x in (F.lit(p), at(p))))
-    known = F.col("estimated_dbm").isNotNull()
-    return emissions.withColumn("draws__", F.when(known, ordered)).withColumn("range_m", F.when(known, table)).drop("draws__")
+    places = np.array(wanted) / 100 * (draws - 1)
+    low = places.astype(int)
+    high, part = np.minimum(low + 1, draws - 1), places - low
+    sigma_db = float(np.sqrt(shadowing_sigma_db**2 + eirp_sigma_db**2 + calibration_sigma_db**2))
+
+    def draw(keys: pa.Array, losses: pa.Array) -> pa.Array:
+        """Percentiles by linear interpolation between order statistics."""
+        out: list[list[float] | None] = []
+        for key, loss in zip(keys.to_numpy(zero_copy_only=False).view(np.uint64), losses.to_pylist(), strict=True):
+            if loss is None:
+                out.append(None)
+                continue
+            z = np.random.default_rng(key).standard_normal((2, draws))
+            n = np.maximum(exponent + exponent_sigma * z[0], 2.0)
+            decades = np.sort((loss + sigma_db * z[1]) / (10 * n))
+            a, b = 10.0 ** decades[low], 10.0 ** decades[high]
+            out.append((a + (b - a) * part).tolist())
+        return pa.array(out, pa.list_(pa.float64()))
+
+    loss = eirp_dbm + receiver_gain_dbi - F.col("estimated_dbm") - free_space_loss_db("frequency_hz", 1.0)
+    found = F.arrow_udf(draw, "array<double>")(F.xxhash64("row_id", F.lit(seed)), loss.cast("double"))
+    table = F.create_map(*(x for i, p in enumerate(wanted) for x in (F.lit(p), F.get("draws__", F.lit(i)))))
+    return emissions.withColumn("draws__", found).withColumn("range_m", F.when(F.col("draws__").isNotNull(), table)).drop("draws__")
 
 
 __all__ = ["antenna_table", "audit", "cascade", "chain_table", "estimate_range", "fit_once", "fit_trimmed", "free_space_loss_db", "input_violations", "required_attenuation", "to_dbm"]

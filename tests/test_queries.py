@@ -153,3 +153,17 @@ def test_range_percentiles(spark):
     assert exact[50] == pytest.approx(10 ** ((27 + 60 - 20 * np.log10(4 * np.pi * 446e6 / 299_792_458.0)) / 35))
     with pytest.raises(ValueError):
         calibration.estimate_range(e, 0)
+
+
+def test_range_query_covers_all_emissions_with_default_draws(spark, monkeypatch):
+    asked = []
+    whole = calibration.estimate_range
+    monkeypatch.setattr(queries.C, "estimate_range", lambda e, *a, **k: asked.append((a, k)) or whole(e, *a, **k))
+    got = {r.row_id: r for r in queries.QUERIES["range_monte_carlo"](spark, SF).collect()}
+    rows = {r.row_id: r for r in views.emissions(spark, SF).collect()}
+    assert asked == [((), {})] and got.keys() == rows.keys() and len(rows) == 1_000
+    rng = np.random.default_rng(2)
+    n, db = np.clip(rng.normal(3.5, 0.5, 200_000), 2, None), rng.normal(27, 3, 200_000) - rng.normal(0, 2, 200_000) - rng.normal(0, 8, 200_000)
+    for i in sorted(rows)[:5]:
+        loss = db - (rows[i].peak_power_dbfs / 4 - 60) - 20 * np.log10(4 * np.pi * rows[i].frequency_hz / 299_792_458.0)
+        assert np.allclose(got[i][1:], np.percentile(10 ** (loss / (10 * n)), [5, 50, 68, 90, 95]), rtol=0.08)
