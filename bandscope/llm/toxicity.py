@@ -17,8 +17,12 @@ document is then described by its highest margin and by the sum of its words'
 margins over a floor, plain and against its length, and a logistic map fitted on
 the sample turns that into a score.
 
+Letters are those of every script. Triples of Latin letters have a place of
+their own each, all others share ``WIDE`` places by a hash. Hangul is taken apart
+into its letters, and scripts written without spaces are cut into windows.
+
 The trained expansion over landmarks is linear in the subsequence weights, so it
-is folded into one table of 26**3 numbers: scoring a new word needs no landmark.
+is folded into one table of ``PLACES`` numbers: scoring a new word needs no landmark.
 
 One narrow map; no shuffle, no state between rows, a fixed-size model. Words
 that a worker has met are remembered in bounded memory.
@@ -63,22 +67,65 @@ MEMO_WORDS = 400_000
 
 _GAPS = [(g, h) for g in range(1, SPAN - 1) for h in range(1, SPAN - g)]
 _LOOKALIKE = dict(zip("0134578@$!", "oieastbasi", strict=True))
-_CODES = str.maketrans(
-    {c: chr(i + 1) for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")}
-    | {k: chr(ord(v) - 96) for k, v in _LOOKALIKE.items()}
-    | {chr(c): chr(ord(base) - 96) for c in range(0xC0, 0x180) if "a" <= (base := unicodedata.normalize("NFKD", chr(c))[0].lower()) <= "z"}
+LATIN = 26**3
+WIDE = 1 << 16
+PLACES = LATIN + WIDE
+
+
+def _spelling(c: str) -> bool:
+    """Letters, and marks that spell (vowel signs and the like, but no accents or optional vowel points)."""
+    kind, rank = unicodedata.category(c)[0], unicodedata.combining(c)
+    return kind == "L" or (kind == "M" and (rank < 10 or 84 <= rank <= 132) and not 0xFE00 <= ord(c) <= 0xFE0F)
+
+
+class _Letters(dict):
+    """For ``str.translate``; what isn't in it yet is a letter of its own, letters of a Hangul syllable, or a gap."""
+
+    def __missing__(self, c: int) -> str:
+        found = "\0" if c < 128 or not _spelling(chr(c)) else unicodedata.normalize("NFD", chr(c)) if 0xAC00 <= c <= 0xD7A3 else chr(c)
+        self[c] = found
+        return found
+
+
+_CODES = _Letters(
+    str.maketrans(
+        {c: chr(i + 1) for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")}
+        | {k: chr(ord(v) - 96) for k, v in _LOOKALIKE.items()}
+        | {chr(c): chr(ord(base) - 96) for r in ((0xC0, 0x180), (0x1E00, 0x1F00), (0xFF41, 0xFF5B)) for c in range(*r) if "a" <= (base := unicodedata.normalize("NFKD", chr(c))[0].lower()) <= "z"}
+    )
 )
 _SENTENCES = re.compile(r"(?<=[.!?])\s+|\n+")
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+_SIGNS = "".join(chr(c) for c in range(0x300, 0x20000) if unicodedata.category(chr(c))[0] == "M" and _spelling(chr(c)))
+_WIDE_EDGES = re.compile(rf"^(?:(?![{_SIGNS}])[\W_])+|(?:(?![{_SIGNS}])[\W_])+$")
+#: Runs in scripts without spaces: of syllables and ideographs, cut into windows of three, and of alphabets, cut into windows of six.
+_UNSPACED = re.compile("([\u3041-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]{4,})|([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff]{7,})")
+
+
+def bare(word: str) -> str:
+    """The word without outer punctuation."""
+    return (_EDGES if word.isascii() else _WIDE_EDGES).sub("", word)
+
+
+def _windows(word: str) -> list[str]:
+    """A word with its runs in scripts without spaces cut into overlapping windows."""
+    out, at = [], 0
+    for m in _UNSPACED.finditer(word):
+        run, size = m[0], 3 if m[1] else 6
+        out += [word[at : m.start()], *(run[i : i + size] for i in range(len(run) - size + 1))]
+        at = m.end()
+    return [w for w in [*out, word[at:]] if w]
 
 
 def words_of(text: str) -> list[str]:
     """Lower-case words, and runs of four or more single characters joined with their gaps."""
     words = text.lower().split()
+    if not text.isascii() and _UNSPACED.search(text):
+        words = [x for w in words for x in _windows(w)]
     short = [i for i, w in enumerate(words) if len(w) <= 2]
     run: list[int] = []
     for i in [*short, -9] if len(short) > 3 else ():
-        single = i >= 0 and len(_EDGES.sub("", words[i])) == 1
+        single = i >= 0 and len(bare(words[i])) == 1
         if single and (not run or run[-1] == i - 1):
             run.append(i)
             continue
@@ -88,22 +135,29 @@ def words_of(text: str) -> list[str]:
     return words
 
 
-def codes_of(word: str) -> bytes:
-    """Letters as 1 to 26, other inner characters as gaps, without outer punctuation."""
-    return bytes(min(ord(c), 27) % 27 for c in _EDGES.sub("", word).translate(_CODES))
+def codes_of(word: str) -> str:
+    """Latin letters as 1 to 26, others as they are, other inner characters as gaps, without outer punctuation."""
+    return bare(word).translate(_CODES)
 
 
-def pieces_of(word: str) -> list[bytes]:
+def pieces_of(word: str) -> list[str]:
     code = codes_of(word[:LONG]) if len(word) <= LONG else codes_of(word)
     if len(code) <= LONG:
         return [code]
     return [code[i : i + PIECE] for i in range(0, len(code) - STRIDE, STRIDE)]
 
 
-def subsequences(codes: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _hashed(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The shared places of triples with letters beyond a to z."""
+    h = (a.astype(np.uint64) << np.uint64(42)) | (b.astype(np.uint64) << np.uint64(21)) | c.astype(np.uint64)
+    return LATIN + ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int32)
+
+
+def subsequences(codes: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """String number, triple and weight of each occurrence of a gapped triple."""
-    pad = bytes(SPAN)
-    c = np.frombuffer(pad.join(codes) + pad, dtype=np.uint8).astype(np.int32)
+    pad = "\0" * SPAN
+    c = np.frombuffer((pad.join(codes) + pad).encode("utf-32-le", "surrogatepass"), dtype=np.int32)
+    wide = len(c) and int(c.max()) > 26
     ends = np.cumsum([len(x) + SPAN for x in codes])
     own = np.repeat(np.arange(len(codes)), [len(x) + SPAN for x in codes])
     assert len(own) == len(c) == ends[-1]
@@ -113,7 +167,9 @@ def subsequences(codes: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
         a, b, d = c[:n], c[g : g + n], c[g + h :]
         at = np.flatnonzero((a > 0) & (b > 0) & (d > 0))
         who.append(own[at])
-        what.append((a[at] - 1) * 676 + (b[at] - 1) * 26 + d[at] - 1)
+        a, b, d = a[at], b[at], d[at]
+        place = (a - 1) * 676 + (b - 1) * 26 + d - 1
+        what.append(np.where((a | b | d) > 31, _hashed(a, b, d), place) if wide else place)
         weight.append(np.full(len(at), DECAY ** (g + h + 1), dtype=np.float32))
     return np.concatenate(who), np.concatenate(what), np.concatenate(weight)
 
@@ -122,18 +178,18 @@ def norms(who: np.ndarray, what: np.ndarray, weight: np.ndarray, n: int) -> np.n
     """The norm of each string's feature vector."""
     if not len(who):
         return np.zeros(n)
-    key = who.astype(np.int64) * 26**3 + what
+    key = who.astype(np.int64) * PLACES + what
     order = np.argsort(key, kind="stable")
     key = key[order]
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     total = np.add.reduceat(weight[order].astype(np.float64), first)
-    return np.sqrt(np.bincount(key[first] // 26**3, weights=total * total, minlength=n))
+    return np.sqrt(np.bincount(key[first] // PLACES, weights=total * total, minlength=n))
 
 
-def dense(codes: list[bytes]) -> np.ndarray:
+def dense(codes: list[str]) -> np.ndarray:
     """Normalised feature vectors, one row for each string."""
     who, what, weight = subsequences(codes)
-    out = np.zeros((len(codes), 26**3), dtype=np.float32)
+    out = np.zeros((len(codes), PLACES), dtype=np.float32)
     np.add.at(out, (who, what), weight)
     length = np.sqrt((out * out).sum(axis=1, keepdims=True))
     return out / np.maximum(length, 1e-12)
@@ -141,7 +197,7 @@ def dense(codes: list[bytes]) -> np.ndarray:
 
 @dataclass
 class Model:
-    table: np.ndarray  # float32, 26**3
+    table: np.ndarray  # float32, PLACES
     bias: float
     slope: np.ndarray
     shift: float
@@ -178,7 +234,7 @@ def summary(margins: np.ndarray) -> tuple[float, float, float]:
     return float(margins.max()), float(np.log1p(evidence)), evidence / float(np.sqrt(len(margins)))
 
 
-EMPTY = Model(np.zeros(26**3, np.float32), FLOOR, np.zeros(3), -40.0)
+EMPTY = Model(np.zeros(PLACES, np.float32), FLOOR, np.zeros(3), -40.0)
 
 
 def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 3e-4) -> np.ndarray:
@@ -210,7 +266,7 @@ def train(texts: list[str], labels: list[int]) -> Model:
     if not toxic or not clean:
         return EMPTY
     rng = np.random.default_rng(7)
-    in_toxic, in_clean = (Counter(w for t in part for w in {_EDGES.sub("", w) for s in _SENTENCES.split(t) for w in words_of(s)}) for part in (toxic, clean))
+    in_toxic, in_clean = (Counter(w for t in part for w in {bare(w) for s in _SENTENCES.split(t) for w in words_of(s)}) for part in (toxic, clean))
     negatives = sorted(w for w in in_clean if len(codes_of(w)) >= 3)
     share = len(toxic) / len(texts)
 
@@ -250,7 +306,7 @@ def train(texts: list[str], labels: list[int]) -> Model:
     return model
 
 
-def against(marks: np.ndarray, codes: list[bytes], step: int = 500) -> np.ndarray:
+def against(marks: np.ndarray, codes: list[str], step: int = 500) -> np.ndarray:
     """Normalised kernels of strings with the landmarks."""
     columns, out = np.ascontiguousarray(marks.T), np.zeros((len(codes), len(marks)))
     for at in range(0, len(codes), step):

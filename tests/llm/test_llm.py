@@ -446,6 +446,26 @@ def test_toxicity_tolerates_disguise():
     assert toxicity.words_of("an i d i o t here")[-1] == "i.d.i.o.t"
 
 
+@pytest.mark.parametrize(
+    ("bad", "filler"),
+    [
+        ("дурачина", "сегодня утром хорошая погода река город вечер книга работа"),
+        ("ηλίθιε", "σήμερα καλός καιρός ποτάμι πόλη βράδυ βιβλίο δουλειά"),
+        ("حمقاء", "اليوم صباح جميل مدينة كتاب مساء عمل نهر"),
+        ("मूर्खता", "आज सुबह अच्छा मौसम शहर किताब शाम काम"),
+        ("멍청이", "오늘 아침 날씨가 도시에서 책을 저녁에 일하러 강가"),
+        ("大笨蛋", "今天早上 天气很好 城市河边 晚上看书 工作顺利"),
+    ],
+)
+def test_toxicity_in_other_scripts(bad, filler):
+    rng = random.Random(3)
+    words, join = filler.split(), "" if bad[0] == "大" else " "
+    some = lambda *own: join.join(rng.sample([*rng.choices(words, k=8), *own], 8 + len(own)))
+    model = toxicity.train([some() for _ in range(150)] + [some(bad) for _ in range(80)], [0] * 150 + [1] * 80)
+    p = [model.probability(np.array([toxicity.summary(np.array(model.margins(toxicity.words_of(t))))]))[0] for t in [*(some(bad) for _ in range(20)), *(some() for _ in range(20))]]
+    assert min(p[:20]) > 0.7 > 0.3 > max(p[20:])
+
+
 def test_toxicity_edges(edges, spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1)], "doc_id long, toxic int")
     out = toxicity.predict(edges, labels, lambda c: F.lit(False)).collect()
