@@ -5,7 +5,8 @@ tag is implied (paragraphs, list items, table parts, options, definitions) and
 keeps unclosed ones open to the end. Visibility rules drop what a browser does
 not show: head matter, scripts and styles, hidden attributes, inline styles and
 simple style-sheet rules (``tag``, ``.class``, ``#id``) that set ``display: none``
-or ``visibility: hidden``, closed details and dialogs. The renderer emits all other
+or ``visibility: hidden`` on a wide screen and that no later rule of the same
+selector takes back, closed details and dialogs. The renderer emits all other
 text: blocks on lines of their own with a blank line around those that have
 margins, list items with markers and indentation, preformatted text as it is,
 and table cells in aligned columns, spans included.
@@ -34,7 +35,12 @@ MAX_DEPTH = 120
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template title meta link base noembed noframes iframe object svg math canvas audio video map datalist param source track".split())
+UNSEEN = frozenset("head script style template title meta link base noembed noframes iframe object canvas audio video map datalist param source track".split())
+FOREIGN = frozenset({"svg", "math"})
+#: Not shown within drawings and formulas.
+FOREIGN_UNSEEN = frozenset("desc metadata defs symbol clippath mask pattern marker lineargradient radialgradient filter annotation annotation-xml".split())
+#: Texts of a drawing and cells of a formula stand apart.
+APART = frozenset("svg text mtr mtd".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table ul caption optgroup option".split()
 )
@@ -56,12 +62,18 @@ IMPLIED = {
     "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
 }
+CELLS = frozenset({"td", "th"})
+ROWS = CELLS | {"tr"}
 SCOPE = frozenset({"table", "td", "th", "caption", "button", "template"})
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->", re.S)
+_CSS_MARK = re.compile(r"\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|[{};]", re.S)
+_FEATURE = re.compile(r"\(\s*(min|max)-width\s*:\s*([\d.]+)(px|em|rem)\s*\)")
+#: Width in pixels of the screen that media rules are judged for.
+SCREEN = 1280
 _SIMPLE = re.compile(r"^[A-Za-z0-9]*(?:[.#][\w-]+)?$")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -133,6 +145,11 @@ def parse(source: str) -> Node:
             close({"head"}, ())
         node = Node(tag, attributes_of(m[3]) if m[3] else {})
         stack[-1].children.append(node)
+        drawn = (tag in FOREIGN_UNSEEN or m[3].endswith("/")) and (tag in FOREIGN or any(n.tag in FOREIGN for n in stack))
+        if drawn and tag in FOREIGN_UNSEEN:
+            node.attributes["hidden"] = ""
+        if drawn and m[3].endswith("/"):
+            continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(source, at)
             stop = end.start() if end else size
@@ -140,7 +157,7 @@ def parse(source: str) -> Node:
             node.children.append(html.unescape(body) if tag in ("title", "textarea") else body)
             gt = source.find(">", stop)
             at = size if end is None or gt < 0 else gt + 1
-        elif tag not in VOID and not (m[3].endswith("/") and tag in ("svg", "path", "math")) and len(stack) < MAX_DEPTH:
+        elif tag not in VOID and not (m[3].endswith("/") and tag == "path") and len(stack) < MAX_DEPTH:
             stack.append(node)
     return root
 
@@ -155,17 +172,65 @@ def find(node: Node, tag: str) -> Node | None:
     return None
 
 
+def on_screen(query: str) -> bool:
+    """Whether a media query holds on a wide screen; what can't be told doesn't, so that text stays."""
+    for part in query.lower().split(","):
+        words = re.sub(r"\([^()]*\)", " ", part).replace(" and ", " ").split()
+        negated, kinds = words[:1] == ["not"], [w for w in words if w not in ("not", "only", "and")]
+        features = re.findall(r"\([^()]*\)", part)
+        known = [_FEATURE.fullmatch(f) for f in features]
+        if not all(known) or len(kinds) > 1 or part.count("(") != len(features):
+            continue
+        wide = [(SCREEN >= w) if m[1] == "min" else (SCREEN <= w) for m in known if re.fullmatch(r"\d*\.?\d+|\d+\.", m[2]) for w in (float(m[2]) * (1 if m[3] == "px" else 16),)]
+        if (len(wide) == len(known) and all(wide) and kinds in ([], ["all"], ["screen"])) != negated:
+            return True
+    return not query.strip()
+
+
+def rules_of(css: str):
+    """Selectors and declarations of the rules that apply on a screen, in order."""
+    css = _COMMENT.sub(" ", css)
+    blocks: list[tuple[bool, str]] = []
+    start = 0
+    for m in _CSS_MARK.finditer(css):
+        if m[0] == "{":
+            head = css[start : m.start()].strip()
+            name, _, rest = head.partition(" ") if " " in head else head.partition("(")
+            name = name.lower().partition("(")[0]
+            holds = not head.startswith("@") or (name == "@media" and on_screen(head[6:])) or name == "@layer" or (name == "@supports" and "not" not in rest.lower().split())
+            blocks.append((holds, "" if head.startswith("@") else head))
+            start = m.end()
+        elif m[0] == "}":
+            if blocks:
+                head = blocks[-1][1]
+                if head and all(holds for holds, _ in blocks):
+                    yield head, css[start : m.start()]
+                blocks.pop()
+            start = m.end()
+        elif m[0] == ";" and not (blocks and blocks[-1][1]):
+            start = m.end()
+
+
 def hiding_selectors(root: Node) -> frozenset[str]:
     """Simple selectors that the page's own style sheets hide."""
-    out, waiting = set(), [root]
+    state: dict[tuple[str, str], tuple[bool, bool]] = {}  # by selector and property: whether it hides, whether it is important
+    waiting = [root]
     while waiting:
         n = waiting.pop()
-        if n.tag == "style":
-            for selectors, body in _RULE.findall("".join(c for c in n.children if isinstance(c, str))):
-                if _HIDES.search(body):
-                    out |= {s.strip() for s in selectors.split(",") if s.strip() and _SIMPLE.match(s.strip())}
-        waiting += [c for c in n.children if isinstance(c, Node)]
-    return frozenset(out)
+        if n.tag == "style" and on_screen(n.attributes.get("media", "")):
+            for selectors, body in rules_of("".join(c for c in n.children if isinstance(c, str))):
+                for declaration in body.split(";"):
+                    name, _, value = declaration.partition(":")
+                    name, value = name.strip().lower(), value.strip()
+                    if name not in ("display", "visibility") or not value:
+                        continue
+                    now = _HIDES.match(f"{name}:{value}") is not None, "!" in value
+                    for x in selectors.split(","):
+                        x = x.strip()
+                        if x and _SIMPLE.match(x) and state.get((x, name), (False, False))[1] <= now[1]:
+                            state[x, name] = now
+        waiting += [c for c in reversed(n.children) if isinstance(c, Node)]
+    return frozenset(x for (x, _), (hides, _) in state.items() if hides)
 
 
 class Renderer:
@@ -257,10 +322,14 @@ class Renderer:
             self.inline += [" " + "".join(self.plain(o)) + " " for o in shown]
         else:
             before = self.indent
+            if tag in APART:
+                self.inline.append(" ")
             if tag in ("blockquote", "dd"):
                 self.indent += "  "
             for c in n.children:
                 self.render(c)
+            if tag in APART:
+                self.inline.append(" ")
             if block:
                 self.flush()
             self.indent = before
@@ -307,7 +376,7 @@ class Renderer:
         width: dict[int, int] = {}
         busy: dict[tuple[int, int], bool] = {}
         out: list[str] = []
-        for row in rows_of(n):
+        for row in rows_of(n, self.visible):
             if not self.visible(row):
                 continue
             if row.tag == "caption":
@@ -315,8 +384,9 @@ class Renderer:
                 continue
             cells: dict[int, list[str]] = {}
             at, r = 0, len(grid)
-            for c in row.children:
-                if not isinstance(c, Node) or c.tag not in ("td", "th") or not self.visible(c):
+            for c in cells_of(row, self.visible):
+                if c.tag == "caption":
+                    out += self.cell(c)
                     continue
                 while (r, at) in busy:
                     at += 1
@@ -352,27 +422,61 @@ def walk(n: Node, tag: str) -> list[Node]:
     return out
 
 
-def rows_of(table: Node) -> list[Node]:
-    """Rows and captions in order; stray cells make a row of their own, other content a caption."""
+def holds(n: Node, tags: frozenset[str]) -> bool:
+    """Whether elements of these tags are inside, nested tables aside."""
+    waiting = [n]
+    while waiting:
+        for c in waiting.pop().children:
+            if isinstance(c, Node) and c.tag != "table":
+                if c.tag in tags:
+                    return True
+                waiting.append(c)
+    return False
+
+
+def stray(c: Node | str) -> Node:
+    out = Node("caption", {})
+    out.children = [c]
+    return out
+
+
+def cells_of(row: Node, visible) -> list[Node]:
+    """Visible cells in order, also those inside other elements; other content as captions."""
+    out: list[Node] = []
+    for c in row.children:
+        if isinstance(c, str):
+            if c.strip():
+                out.append(stray(c))
+        elif not visible(c):
+            continue
+        elif c.tag in ("td", "th"):
+            out.append(c)
+        elif c.tag != "table" and holds(c, CELLS):
+            out += cells_of(c, visible)
+        else:
+            out.append(stray(c))
+    return out
+
+
+def rows_of(table: Node, visible) -> list[Node]:
+    """Rows and captions in order, also those inside other elements; stray cells make a row of their own, other content a caption."""
     out: list[Node] = []
     for c in table.children:
         if isinstance(c, str):
             if c.strip():
-                stray = Node("caption", {})
-                stray.children = [c]
-                out.append(stray)
+                out.append(stray(c))
         elif c.tag in ("tr", "caption"):
             out.append(c)
         elif c.tag in ("thead", "tbody", "tfoot"):
-            out += rows_of(c)
+            out += rows_of(c, visible)
         elif c.tag in ("td", "th"):
             if not out or out[-1].tag != "tr" or not out[-1].attributes.get("#own"):
                 out.append(Node("tr", {"#own": "1"}))
             out[-1].children.append(c)
+        elif c.tag != "table" and holds(c, ROWS):
+            out += rows_of(c, visible) if visible(c) else []
         elif c.tag not in ("colgroup", "col"):
-            stray = Node("caption", {})
-            stray.children = [c]
-            out.append(stray)
+            out.append(stray(c))
     return out
 
 

@@ -312,6 +312,19 @@ def test_html_layout():
     )
 
 
+def test_html_keeps_visible_text():
+    text = lambda page: html_text.text_of(page)[0]
+    assert text("<table><tr><form><td>a</td><td>b</td></form></tr><tr><a><td>c</td><td>d</td></a></tr></table>") == "a | b\nc | d"
+    assert text("<table><tr>stray<td>a</td></tr><form><tr><td>b</td></tr></form></table>") == "stray\na\nb"
+    assert text("<table><tr><form hidden><td>a</td></form><td>b</td></tr></table>") == "b"
+    assert text("<p>x<math><mi>y</mi><annotation>tex</annotation></math></p><svg><title/><defs><text>no</text></defs><rect/><text>one</text><text>two</text></svg>") == "xy\n\none two"
+    for css in ("@media print{.x{display:none}}", "@media (max-width: 600px){.x{display:none}}", ".x{display:none} .x{display:block}", "@keyframes k{.x{display:none}}", "@media screen and (max-width:40em){b{color:red}.x{display:none}}"):
+        assert text(f"<style>{css}</style><p class=x>shown") == "shown", css
+    assert text("<style media=print>.x{display:none}</style><p class=x>shown") == "shown"
+    for css in ("@media screen{.x{display:none}}", "@media print{b{color:red}} .x{display:none}", ".x{display:block} .x{display:none}", ".x{display:none!important} .x{display:block}", "@import 'a'; .x{color:red;display:none}", "@media (min-width:600px){.x{visibility:hidden}}"):
+        assert text(f"<style>{css}</style><p class=x>hidden") == "", css
+
+
 def test_html_edges(spark):
     pages = [(1, None), (2, ""), (3, "<div>" * 20_000 + "deep"), (4, "<<<>>"), (5, "<table><td>a<td>b"), (6, "<p>x</p>"), (6, "<p>x</p>"), (7, "<a href='unclosed>text")]
     got = html_text.extract(spark.createDataFrame(pages, "page_id long, html string")).collect()
