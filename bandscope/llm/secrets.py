@@ -7,8 +7,10 @@ and a letter, outside the pattern spans) are slid over with a window of
 ``WINDOW`` characters. The sum of c*log2(c) over the window's character counts is
 kept up to date as one character enters and one leaves, so a step costs two
 look-ups; a string counts as random where a window's entropy reaches the bound
-of its class (hexadecimal, or mixed with a digit, an upper- and a lower-case
-letter). Strings that match the allow list are suppressed; pattern spans never are.
+of its class (hexadecimal, mixed with a digit, an upper- and a lower-case
+letter, or an unbroken run of digits and letters of one case). Strings that match
+the allow list are suppressed, and windows that touch a run or a sequence don't
+count; pattern spans never are.
 
 Only built-in expressions over each row: no shuffle, no Python.
 
@@ -28,7 +30,7 @@ from .spans import listed, matches, overlapping, prepared, with_kind
 
 WINDOW = 20
 #: Least entropy in bits of a window, by class.
-BOUNDS = {"hex": 3.0, "mixed": 3.7}
+BOUNDS = {"hex": 3.0, "mixed": 3.7, "single": 3.5}
 
 # The patterns of the contract.
 ASSIGN = (
@@ -41,12 +43,13 @@ HEX = "[0-9a-f]{24,}+"
 CANDIDATE = "[A-Za-z0-9+/_-]{20,}+={0,2}"
 KINDS = ["assign", "access", "hex", "entropy"]
 
-#: Strings that are no secrets: placeholders, counting-up runs, one character over and over, universally unique ids.
+#: Strings that are no secrets: placeholders, universally unique ids.
 ALLOWED = (
     r"(?i)example|sample|placeholder|dummy|changeme|lorem|x{6}",
-    r"0123456789|1234567890|abcdefghij|(.)\1{5}",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
 )
+#: Parts of strings that count in no window: counting-up runs, one character over and over.
+PLAIN = r"0123456789|1234567890|abcdefghij|(.)\1{5,}"
 
 _ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_-="
 
@@ -75,7 +78,9 @@ def highest_entropy(text: Column, window: int = WINDOW) -> Column:
 def is_random(text: Column) -> Column:
     hexadecimal = F.rlike(text, F.lit("^(?:[0-9a-f]+|[0-9A-F]+)$"))
     mixed = F.rlike(text, F.lit("[0-9]")) & F.rlike(text, F.lit("[a-z]")) & F.rlike(text, F.lit("[A-Z]"))
-    return (hexadecimal & F.rlike(text, F.lit("[0-9].*[A-Fa-f]|[A-Fa-f].*[0-9]")) & (highest_entropy(text) >= BOUNDS["hex"])) | (mixed & (highest_entropy(text) >= BOUNDS["mixed"]))
+    runs = F.concat(*(F.filter(F.regexp_extract_all(text, F.lit(f"([{x}0-9]{{{WINDOW},}}+)"), 1), lambda w, x=x: F.rlike(w, F.lit("[0-9]")) & F.rlike(w, F.lit(f"[{x}]"))) for x in ("a-z", "A-Z")))
+    single = ~hexadecimal & ~mixed & F.exists(runs, lambda w: highest_entropy(w) >= BOUNDS["single"])
+    return single | (hexadecimal & F.rlike(text, F.lit("[0-9].*[A-Fa-f]|[A-Fa-f].*[0-9]")) & (highest_entropy(text) >= BOUNDS["hex"])) | (mixed & (highest_entropy(text) >= BOUNDS["mixed"]))
 
 
 def find_secrets(docs: DataFrame, text_col: str = "text", out_col: str = "secrets") -> DataFrame:
@@ -98,7 +103,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text", out_col: str = "secret
         return out
 
     chosen = F.filter(extra, lambda s: F.rlike(s["text"], F.lit("[0-9]")) & F.rlike(s["text"], F.lit("[A-Za-z]")) & ~overlapping(s, F.col(base)))
-    chosen = F.filter(chosen, lambda s: ~suppressed(s["text"]) & is_random(s["text"]))
+    chosen = F.filter(chosen, lambda s: ~suppressed(s["text"]) & F.exists(F.split(s["text"], PLAIN), is_random))
     return found.select(*kept, F.concat(F.col(base), with_kind(chosen, "entropy")).alias(out_col))
 
 

@@ -229,6 +229,14 @@ def brute_secrets(t):
     return sorted(out, key=lambda x: (x[1], secrets.KINDS.index(x[0])))
 
 
+def test_secrets_of_one_case_and_beside_runs(spark):
+    found = ["JBSWY3DPEHPK3PXPMZ2WG5DJ7QX4TN6K", "k3v9x2m7qpz81jw4tn6hr0ybd5", "b3BlbnNzaC1rZXktdjEAAAAABG5vbmUAAAAEbm9uZQAAAAAAAAABQx7Lk2Rv9ZpT4wYc8Nd3Hs"]
+    plain = ["AAAAAAAAAAAAAAAAAAAAAA1b", "0123456789abcdefghij0123456789", "zzzz1zzzz1zzzz1zzzz1zzzz1", "2024/05/some-news-from-the-city", "k3v9x2m7qpz8000000001jw4tn6hr0ybd"]
+    rows = secrets.find_secrets(spark.createDataFrame(list(enumerate(found + plain)), "doc_id long, text string")).collect()
+    got = {r.doc_id: [(s.kind, s.text) for s in r.secrets] for r in rows}
+    assert got == {i: [("entropy", t)] if t in found else [] for i, t in enumerate(found + plain)}
+
+
 def test_secrets_by_brute_force(spark):
     rng = random.Random(3)
     bits = ["password", "Token", "api_key", "APIKEY", "secret", "passwd", ":", "=", '"', "'", " ", "AKIA", "ABCDEFGH01", "deadbeef0123", "abc", "é", "🎉", "\u0001", "\u0002", "\n", "_", "."]
