@@ -19,10 +19,13 @@ the final classifier, a naive Bayes over kind, length class and votes, whose
 probability must reach ``ACCEPT`` for a candidate to be added.
 
 Only built-in expressions; the one shuffle moves pre-aggregated counts. The
-spans are written to the shared folder between the two uses.
+texts are read twice, for the counts and for the result, so nothing that was
+found is ever written outside the result. All steps are linear in the text and,
+but for sorting, in the number of spans.
 
 Defined edge cases: a null or empty text has no spans; tables without any span
-train nothing; repeated rows give repeated results; the whole text is read.
+train nothing; repeated rows give repeated results; the whole text is read, with
+names, numbers and addresses of a megabyte too.
 """
 
 from __future__ import annotations
@@ -32,8 +35,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, stored
-from .spans import listed, matches, overlapping, prepared, with_kind
+from .common import drop_stored, fresh, stored
+from .spans import apart, base_sql, listed, matches, prepared, with_kind
 
 ROUNDS = 25
 ACCEPT = 0.9
@@ -41,14 +44,14 @@ CONTEXT_CHARS = 32
 
 # The patterns of the contract. A run that can't match from its start can't from within, so starts inside
 # a run are skipped unless the last match ended there; this keeps long runs linear.
-EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?:\G|(?<![0-9]))[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"
 
-# Candidates of the method.
-NUMBER = r"(?<![0-9A-Za-z.])[0-9](?:[\x20./-]?[0-9]){8,}+(?![0-9A-Za-z])"
+# Candidates of the method. A number that a letter follows is matched with the letter and then dropped, so no start within it is tried.
+NUMBER = r"(?<![0-9A-Za-z.])[0-9](?:[\x20./-]?[0-9]){8,}+[A-Za-z]?+"
 ACCOUNT = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}+(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 NAME = r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Madame|Monsieur|Señor|Señora)\.?\x20[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]++(?:\x20[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]++)?"
 
@@ -80,19 +83,34 @@ def luhn(number: Column) -> Column:
     return F.aggregate(F.transform(F.sequence(F.lit(1), n), value), F.lit(0), lambda a, x: a + x) % 10 == 0
 
 
+def checked(number: Column) -> Column:
+    """Is a string of digits as long as a card number, and does it pass the check sum?"""
+    return F.when(F.char_length(number).between(12, 19), luhn(number)).otherwise(F.lit(False))
+
+
+def _found(clean: Column, pattern: str, kind: str, needs: str | None = None, good=None) -> Column:
+    spans = matches(clean, pattern, needs, CONTEXT_CHARS)
+    return with_kind(spans if good is None else F.filter(spans, good), kind, "before")
+
+
 def base_spans(clean: Column) -> Column:
-    ips = F.filter(matches(clean, IP), lambda s: F.rlike(s["text"], F.lit(OCTETS)))
-    cards = F.filter(matches(clean, CARD), lambda s: F.char_length(digits(s["text"])).between(12, 19) & luhn(digits(s["text"])))
-    phones = F.filter(matches(clean, PHONE), lambda s: F.char_length(digits(s["text"])).between(9, 15))
-    return F.concat(with_kind(matches(clean, EMAIL), "email"), with_kind(ips, "ip"), with_kind(cards, "card"), with_kind(phones, "phone"))
+    return F.concat(
+        _found(clean, EMAIL, "email", "@"),
+        _found(clean, IP, "ip", ".", lambda s: F.rlike(s["text"], F.lit(OCTETS))),
+        _found(clean, CARD, "card", None, lambda s: checked(digits(s["text"]))),
+        _found(clean, PHONE, "phone", "+", lambda s: F.char_length(digits(s["text"])).between(9, 15)),
+    )
+
 
+def candidates(clean: Column) -> Column:
+    return F.concat(_found(clean, NUMBER, "number", None, lambda s: F.rlike(s["text"], F.lit("[0-9]$"))), _found(clean, ACCOUNT, "account"), _found(clean, NAME, "name"))
 
-def votes(span: Column, clean: Column) -> Column:
+
+def votes(span: Column) -> Column:
     """The five votes on a span: 1 for, -1 against, 0 abstaining."""
-    kind, text = span["kind"], span["text"]
+    kind, text, before = span["kind"], span["text"], span["before"]
     number = digits(text)
     numeric = kind.isin("card", "number")
-    before = F.substring(clean, F.greatest(span["start"] - CONTEXT_CHARS, F.lit(0)).cast("int") + 1, F.least(span["start"], F.lit(CONTEXT_CHARS)).cast("int"))
     yes = lambda c: F.when(c, 1).otherwise(-1)
     strict = F.rlike(text, F.lit(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$|^[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}$"))
     shape = F.when(numeric, yes(strict)).when(kind == "name", F.lit(0)).otherwise(F.lit(1))
@@ -103,7 +121,7 @@ def votes(span: Column, clean: Column) -> Column:
         .when(kind == "name", F.lit(1))
         .otherwise(F.lit(0))
     )
-    check = F.when(numeric, yes(luhn(number))).otherwise(F.lit(0))
+    check = F.when(numeric, yes(checked(number))).otherwise(F.lit(0))
     context = F.when(F.rlike(before, F.lit(CUES)), 1).otherwise(0)
     counter = F.when(F.rlike(before, F.lit(COUNTER)), -1).otherwise(0)
     return F.array(shape, known, check, context, counter)
@@ -127,8 +145,8 @@ def estimated(column: str, rounds: int = ROUNDS) -> str:
     return f"aggregate(sequence(1, {rounds}), array({start}), (t, i) -> {step})"
 
 
-def accepted_patterns(spans: DataFrame, accept: float = ACCEPT) -> DataFrame:
-    """Train on all spans (kind, size, v) and return the patterns (kind, size, v) whose probability reaches ``accept``."""
+def accepted_patterns(spans: DataFrame, accept: float = ACCEPT) -> list[str]:
+    """Train on all spans (kind, size, v) and return the patterns, as text, whose probability reaches ``accept``: at most 7 kinds, 10 sizes and 3**5 votes."""
     counted = stored(spans.groupBy("kind", "size", "v").agg(F.count("*").cast("double").alias("n")))
     # One row: the table is bounded by kinds, length classes and votes.
     table = counted.groupBy("v").agg(F.sum("n").alias("n")).agg(F.collect_list(F.struct("v", "n")).alias("patterns"))
@@ -141,37 +159,41 @@ def accepted_patterns(spans: DataFrame, accept: float = ACCEPT) -> DataFrame:
     weights = named.groupBy("feature").agg(F.sum(yes).alias("y"), F.sum(no).alias("z")).select("feature", (F.ln((F.col("y") + 1) / (all_yes + 3)) - F.ln((F.col("z") + 1) / (all_no + 3))).alias("weight"))
     scored = named.join(weights, "feature").groupBy("kind", "size", "v").agg(F.sum("weight").alias("weight"))
     odds = F.col("weight") + math.log((all_yes + 1) / (all_no + 1))
-    return scored.where(1 / (1 + F.exp(-odds)) >= accept).select("kind", "size", "v")
+    good = [f"{r.kind} {r.size} {r.v}" for r in scored.where(1 / (1 + F.exp(-odds)) >= accept).select("kind", "size", "v").collect()]
+    drop_stored(counted, told)
+    return good
 
 
 def find_pii(docs: DataFrame, text_col: str = "text", out_col: str = "pii") -> DataFrame:
-    """All columns of ``docs`` but the text, and ``out_col``: array of kind, start, end, text."""
+    """All columns of ``docs`` but the text, and ``out_col``: array of kind, start, end, text. The classifier is trained at once."""
     kept = [c for c in docs.columns if c != text_col]
     clean, base, extra = fresh(docs, "clean__", "base__", "extra__")
     prefixed = docs.select(*kept, prepared(F.col(text_col)).alias(clean))
-    found = prefixed.select(
-        *kept,
-        clean,
-        base_spans(F.col(clean)).alias(base),
-        F.concat(with_kind(matches(F.col(clean), NUMBER), "number"), with_kind(matches(F.col(clean), ACCOUNT), "account"), with_kind(matches(F.col(clean), NAME), "name")).alias(extra),
-    )
-    told = lambda spans: F.transform(
-        spans,
-        lambda s: F.struct(
-            s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), F.least(F.floor((s["end"] - s["start"]) / 4), F.lit(9)).cast("int").alias("size"), votes(s, F.col(clean)).alias("v")
-        ),
-    )
-    outside = F.filter(extra, lambda s: ~overlapping(s, F.col(base)))
-    spans = stored(found.select(*kept, told(F.col(base)).alias(base), told(outside).alias(extra)))
-    rows = spans.select(F.explode(F.concat(base, extra)).alias("s")).select("s.kind", "s.size", "s.v")
-    good = [f"{r.kind} {r.size} {r.v}" for r in accepted_patterns(rows).collect()]  # bounded like the table above
-    name = lambda s: F.concat_ws(" ", s["kind"], s["size"].cast("string"), F.concat(F.lit("["), F.array_join(F.transform(s["v"], lambda x: x.cast("string")), ", "), F.lit("]")))
-    added = F.filter(extra, lambda s: name(s).isin(good)) if good else F.filter(extra, lambda s: F.lit(False))
+    found = prefixed.select(*kept, base_spans(F.col(clean)).alias(base), candidates(F.col(clean)).alias(extra))
+    outside = found.select(*kept, base, apart(F.col(extra), F.col(base)).alias(extra))
+    size = lambda s: F.least(F.floor((s["end"] - s["start"]) / 4), F.lit(9)).cast("int")
+    told = F.transform(F.concat(base, extra), lambda s: F.struct(s["kind"].alias("kind"), size(s).alias("size"), votes(s).alias("v")))
+    good = accepted_patterns(outside.select(F.explode(told).alias("s")).select("s.kind", "s.size", "s.v"))
+    name = lambda s: F.concat_ws(" ", s["kind"], size(s).cast("string"), F.concat(F.lit("["), F.array_join(F.transform(votes(s), lambda x: x.cast("string")), ", "), F.lit("]")))
+    added = F.filter(extra, lambda s: name(s).isin(good) if good else F.lit(False))
     plain = lambda c: F.transform(c, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text")))
-    return spans.select(*kept, F.concat(plain(F.col(base)), plain(added)).alias(out_col))
+    return outside.select(*kept, F.concat(plain(F.col(base)), plain(added)).alias(out_col))
 
 
 def digests(found: DataFrame, id_col: str = "doc_id", out_col: str = "pii") -> DataFrame:
     n = lambda kind: F.size(F.filter(out_col, lambda s: s["kind"] == kind)).cast("bigint")
     base = F.filter(out_col, lambda s: s["kind"].isin(BASE))
     return found.select(id_col, *(n(k).alias(f"n_{k}") for k in BASE), F.sha2(listed(base, KINDS).cast("binary"), 256).alias("base_sha256"), listed(F.col(out_col), KINDS).alias("spans"))
+
+
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum([CASE WHEN i % 2 = 1 THEN TRY_CAST(c AS INT) ELSE 2 * TRY_CAST(c AS INT) - CASE WHEN c > '4' THEN 9 ELSE 0 END END for c, i in string_split(reverse({_DIGITS}), '')]) % 10 = 0"
+#: The base columns; what the method adds is beyond SQL.
+BASE_ORACLE = base_sql(
+    [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+        ("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "list_max([coalesce(TRY_CAST(x AS BIGINT), 256) for x in string_split(m, '.')]) <= 255"),
+        ("card", r"[0-9](?:[\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 12 AND 19 AND {_LUHN}"),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15"),
+    ]
+)

@@ -64,6 +64,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of ``op5_secrets``, which SQL can express."""
+    return op5_secrets(spark, sf_dir).drop("spans")
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of ``op6_quality``, which SQL can express."""
+    return op6_quality(spark, sf_dir).drop("kept")
+
+
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of ``op9_pii``, which SQL can express."""
+    return op9_pii(spark, sf_dir).drop("spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_langid": op2_langid,
@@ -75,10 +90,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_neardup": op8_neardup,
     "op9_pii": op9_pii,
     "op10_toxicity": op10_toxicity,
+    "secrets_base": secrets_base,
+    "quality_base": quality_base,
+    "pii_base": pii_base,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_decontaminate": decontaminate.ORACLE,
     "op4_substrings": substrings.ORACLE,
     "op8_neardup": neardup.ORACLE,
+    "secrets_base": secrets.BASE_ORACLE,
+    "quality_base": quality.BASE_ORACLE,
+    "pii_base": pii.BASE_ORACLE,
 }

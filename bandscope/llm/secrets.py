@@ -4,18 +4,20 @@ The patterns are credentials that follow a naming key (``assign``), access key
 ids (``access``) and long hexadecimal runs (``hex``). The method adds spans of kind
 ``entropy``: candidate strings (runs of the base-64 alphabet that hold a digit
 and a letter, outside the pattern spans) are slid over with a window of
-``WINDOW`` characters. The sum of c*log2(c) over the window's character counts is
-kept up to date as one character enters and one leaves, so a step costs two
-look-ups; a string counts as random where a window's entropy reaches the bound
-of its class (hexadecimal, mixed with a digit, an upper- and a lower-case
-letter, or an unbroken run of digits and letters of one case). Strings that match
-the allow list are suppressed, and windows that touch a run or a sequence don't
-count; pattern spans never are.
-
-Only built-in expressions over each row: no shuffle, no Python.
+``WINDOW`` characters. The window's character counts are packed, twelve to a
+number, and the sum of c*log2(c) over them is kept up to date as one character
+enters and one leaves: a step changes two counts. A string counts as random
+where a window's entropy reaches the bound of its class (hexadecimal, mixed with
+a digit, an upper- and a lower-case letter, or an unbroken run of digits and
+letters of one case with letters between digits). Strings that match the allow list are suppressed, and
+windows that touch a run or a sequence don't count; pattern spans never are.
+
+Only built-in expressions over each row: no shuffle, no Python. All steps are
+linear in the text, in the length of one string and, but for sorting, in the
+number of spans.
 
 Defined edge cases: a null or empty text has no spans; repeated rows give
-repeated results; the whole text is read.
+repeated results; the whole text is read, strings of a megabyte too.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh
-from .spans import listed, matches, overlapping, prepared, with_kind
+from .spans import apart, base_sql, let, listed, matches, prepared, replaced, with_kind
 
 WINDOW = 20
 #: Least entropy in bits of a window, by class.
@@ -52,35 +54,56 @@ ALLOWED = (
 PLAIN = r"0123456789|1234567890|abcdefghij|(.)\1{5,}"
 
 _ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_-="
+#: Counts of five bits in one number, and the numbers that the alphabet takes.
+PACK = 12
+WORDS = -(-len(_ALPHABET) // PACK)
+#: Characters of a string taken at once; the windows of neighbouring pieces overlap.
+STRETCH = 4_096
 
 
 def highest_entropy(text: Column, window: int = WINDOW) -> Column:
-    """The highest entropy in bits over all windows of ``window`` characters of the alphabet above."""
-    terms = F.array(*(F.lit(0.0 if c < 2 else c * math.log2(c)) for c in range(window + 2)))
-    zero = F.array_repeat(F.lit(0), len(_ALPHABET))
-    state = F.struct(zero.alias("counts"), F.lit(0.0).alias("sum"), F.lit(-1.0).alias("best"))
-
-    def place(i: Column) -> Column:
-        return F.instr(F.lit(_ALPHABET), F.substring(text, i, F.lit(1))) - 1
-
-    def step(acc: Column, i: Column) -> Column:
-        enter, leave = place(i), F.when(i > window, place(i - window)).otherwise(F.lit(-1))
-        same = enter == leave
-        a, b = acc["counts"][enter], acc["counts"][F.greatest(leave, F.lit(0))]
-        total = F.when(same, acc["sum"]).otherwise(acc["sum"] + terms[a + 1] - terms[a] + F.when(leave >= 0, terms[b - 1] - terms[b]).otherwise(F.lit(0.0)))
-        counts = F.transform(acc["counts"], lambda c, k: c + F.when(same, 0).when(k == enter, 1).when(k == leave, -1).otherwise(0))
-        bits = F.when(i >= window, F.lit(math.log2(window)) - total / window).otherwise(F.lit(-1.0))
+    """The highest entropy in bits over all windows of ``window`` (at most 30) characters of the alphabet above; -1 if there is none."""
+    term = [0.0 if c < 2 else c * math.log2(c) for c in range(window + 2)]
+    up = F.array(*(F.lit(b - a) for a, b in zip(term, term[1:], strict=False)))
+    none = F.struct(F.array(*[F.lit(0).cast("bigint")] * WORDS).alias("counts"), F.lit(0.0).alias("sum"), F.lit(-1.0).alias("best"))
+
+    def count(counts: Column, code: Column) -> Column:
+        return F.call_function("shiftright", F.get(counts, F.floor(code / PACK).cast("int")), code % PACK * 5).bitwiseAND(31).cast("int")
+
+    def one(code: Column, word: Column) -> Column:
+        return F.when(word == F.floor(code / PACK).cast("int"), F.call_function("shiftleft", F.lit(1).cast("bigint"), code % PACK * 5)).otherwise(F.lit(0).cast("bigint"))
+
+    def step(codes: Column, acc: Column, i: Column) -> Column:
+        enter, leave = F.get(codes, i), F.when(i >= window, F.get(codes, i - window))
+        same = F.coalesce(enter == leave, F.lit(False))
+        gone = F.when(leave.isNotNull(), -F.get(up, F.greatest(count(acc["counts"], leave) - 1, F.lit(0)))).otherwise(F.lit(0.0))
+        total = F.when(same, acc["sum"]).otherwise(acc["sum"] + F.get(up, count(acc["counts"], enter)) + gone)
+        counts = F.when(same, acc["counts"]).otherwise(F.transform(acc["counts"], lambda c, k: c + one(enter, k) - F.coalesce(one(leave, k), F.lit(0).cast("bigint"))))
+        bits = F.when(i >= window - 1, F.lit(math.log2(window)) - total / window).otherwise(F.lit(-1.0))
         return F.struct(counts.alias("counts"), total.alias("sum"), F.greatest(acc["best"], bits).alias("best"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.char_length(text)), state, step, lambda acc: acc["best"])
+    def of(part: Column) -> Column:
+        codes = F.transform(F.split(part, ""), lambda c: F.instr(F.lit(_ALPHABET), c) - 1)
+        return let(codes, lambda x: F.aggregate(F.sequence(F.lit(0), F.size(x) - 1), none, lambda acc, i: step(x, acc, i), lambda acc: acc["best"]))
+
+    parts = F.regexp_extract_all(text, F.lit(f"(?=(.{{1,{STRETCH + window - 1}}})).{{1,{STRETCH}}}"), 1)
+    return F.coalesce(F.array_max(F.transform(parts, of)), F.lit(-1.0))
 
 
 def is_random(text: Column) -> Column:
-    hexadecimal = F.rlike(text, F.lit("^(?:[0-9a-f]+|[0-9A-F]+)$"))
-    mixed = F.rlike(text, F.lit("[0-9]")) & F.rlike(text, F.lit("[a-z]")) & F.rlike(text, F.lit("[A-Z]"))
-    runs = F.concat(*(F.filter(F.regexp_extract_all(text, F.lit(f"([{x}0-9]{{{WINDOW},}}+)"), 1), lambda w, x=x: F.rlike(w, F.lit("[0-9]")) & F.rlike(w, F.lit(f"[{x}]"))) for x in ("a-z", "A-Z")))
-    single = ~hexadecimal & ~mixed & F.exists(runs, lambda w: highest_entropy(w) >= BOUNDS["single"])
-    return single | (hexadecimal & F.rlike(text, F.lit("[0-9].*[A-Fa-f]|[A-Fa-f].*[0-9]")) & (highest_entropy(text) >= BOUNDS["hex"])) | (mixed & (highest_entropy(text) >= BOUNDS["mixed"]))
+    has = lambda x: F.rlike(text, F.lit(x))
+    hexadecimal = has("^(?:[0-9a-f]+|[0-9A-F]+)$")
+
+    def runs(case: str) -> Column:
+        """Runs of digits and letters of one case, with letters between digits: words with a number at one end are no keys."""
+        found = F.regexp_extract_all(text, F.lit(f"([{case}0-9]{{{WINDOW},}}+)"), 1)
+        return F.filter(found, lambda w: F.rlike(w, F.lit(f"[0-9][{case}]+[0-9]")))
+
+    return (
+        F.when(hexadecimal, has("[0-9]") & has("[A-Fa-f]") & (highest_entropy(text) >= BOUNDS["hex"]))
+        .when(has("[0-9]") & has("[a-z]") & has("[A-Z]"), highest_entropy(text) >= BOUNDS["mixed"])
+        .otherwise(F.exists(F.concat(runs("a-z"), runs("A-Z")), lambda w: highest_entropy(w) >= BOUNDS["single"]))
+    )
 
 
 def find_secrets(docs: DataFrame, text_col: str = "text", out_col: str = "secrets") -> DataFrame:
@@ -92,7 +115,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text", out_col: str = "secret
     assign = F.filter(matches(F.col(clean), ASSIGN), lambda s: F.char_length(F.regexp_extract(s["text"], ASSIGN_VALUE, 1)) >= 6)
     found = prefixed.select(
         *kept,
-        F.concat(with_kind(assign, "assign"), with_kind(matches(F.col(clean), ACCESS), "access"), with_kind(matches(F.col(clean), HEX), "hex")).alias(base),
+        F.concat(with_kind(assign, "assign"), with_kind(matches(F.col(clean), ACCESS, "AKIA"), "access"), with_kind(matches(F.col(clean), HEX), "hex")).alias(base),
         matches(F.col(clean), CANDIDATE).alias(extra),
     )
 
@@ -102,8 +125,8 @@ def find_secrets(docs: DataFrame, text_col: str = "text", out_col: str = "secret
             out = out | F.rlike(text, F.lit(pattern))
         return out
 
-    chosen = F.filter(extra, lambda s: F.rlike(s["text"], F.lit("[0-9]")) & F.rlike(s["text"], F.lit("[A-Za-z]")) & ~overlapping(s, F.col(base)))
-    chosen = F.filter(chosen, lambda s: ~suppressed(s["text"]) & F.exists(F.split(s["text"], PLAIN), is_random))
+    likely = F.filter(extra, lambda s: F.rlike(s["text"], F.lit("[0-9]")) & F.rlike(s["text"], F.lit("[A-Za-z]")) & ~suppressed(s["text"]))
+    chosen = F.filter(apart(likely, F.col(base)), lambda s: F.exists(F.split(s["text"], PLAIN), is_random))
     return found.select(*kept, F.concat(F.col(base), with_kind(chosen, "entropy")).alias(out_col))
 
 
@@ -124,14 +147,15 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> D
     """All columns of ``docs``, with every secret in the text replaced by ``mask``; overlapping spans become one."""
     out, raw = fresh(docs, "secrets__", "raw__")
     found = find_secrets(docs.withColumn(raw, F.col(text_col)), text_col, out)
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("kept"))
+    text = replaced(F.col(raw), F.col(out), mask).alias(text_col)
+    return found.select(*(text if c == text_col else F.col(c) for c in docs.columns))
 
-    def step(acc: Column, s: Column) -> Column:
-        before = F.substring(F.col(raw), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        kept = F.when(s["start"] >= acc["at"], F.concat(acc["kept"], before, F.lit(mask))).otherwise(acc["kept"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), kept.alias("kept"))
 
-    ordered = F.array_sort(F.transform(out, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    masked = F.aggregate(ordered, start, step, lambda acc: F.concat(acc["kept"], F.substring(F.col(raw), (acc["at"] + 1).cast("int"), F.char_length(raw))))
-    text = F.when(F.size(out) > 0, masked).otherwise(F.col(raw)).alias(text_col)
-    return found.select(*(text if c == text_col else F.col(c) for c in docs.columns))
+#: The base columns; what the method adds is beyond SQL.
+BASE_ORACLE = base_sql(
+    [
+        ("assign", r"""(?:(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+)""", r"""length(regexp_extract(m, '^(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= 6"""),
+        ("access", "AKIA[A-Z0-9]+", "length(m) >= 20"),
+        ("hex", "[0-9a-f]+", "length(m) >= 24"),
+    ]
+)

@@ -15,6 +15,7 @@ duckdb = pytest.importorskip("duckdb")
 from pyspark.sql import functions as F  # noqa: E402
 
 from bandscope.llm import bpe, decontaminate, html_text, langid, neardup, pii, quality, secrets, substrings, toxicity  # noqa: E402
+from bandscope.llm import spans as tools  # noqa: E402
 from bandscope.llm.registry import ORACLE_SQL, QUERIES, tokenizer_file  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -237,6 +238,13 @@ def test_secrets_of_one_case_and_beside_runs(spark):
     assert got == {i: [("entropy", t)] if t in found else [] for i, t in enumerate(found + plain)}
 
 
+def test_classes_of_random_strings(spark):
+    """A word with a number at one end is no key, whatever its entropy and in whatever place of an expression it is judged."""
+    texts = ["donaudampfschifffahrtsgesellschaft1", "JBSWY3DPEHPK3PXPMZ2WG5DJ7QX4TN6K", "thequickbrownfoxjumpsoverthelazydog2024"]
+    df = spark.createDataFrame([(texts,)], "t array<string>").select(F.transform("t", lambda t: secrets.is_random(t)).alias("r"), F.transform("t", lambda t: F.exists(F.array(t), secrets.is_random)).alias("e")).first()
+    assert df.r == df.e == [False, True, False]
+
+
 def test_secrets_by_brute_force(spark):
     rng = random.Random(3)
     bits = ["password", "Token", "api_key", "APIKEY", "secret", "passwd", ":", "=", '"', "'", " ", "AKIA", "ABCDEFGH01", "deadbeef0123", "abc", "é", "🎉", "\u0001", "\u0002", "\n", "_", "."]
@@ -443,6 +451,46 @@ def test_span_operators_edges(edges):
     assert pii.find_pii(edges.limit(0)).count() == 0
 
 
+def test_span_operators_on_hostile_texts(spark):
+    """Long runs and very many matches in one text; each step must be linear."""
+    rng, n = random.Random(1), 1_000_000
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    runs = lambda letters, size: " ".join("".join(rng.choices(letters, k=size)) for _ in range(n // (size + 1)))
+    texts = {
+        "labels": "a@b" + ".c" * (n // 2), "blob": runs(alphabet, n - 1), "digits": "7" * n, "spaced": "1 " * (n // 2) + "a", "mails": "ab@cd.ef " * (n // 9),
+        "ips": "1.2.3.4 " * (n // 8), "tokens": "token=abcdef1 " * (n // 14), "strings": runs(alphabet, 24), "hexes": runs("0123456789abcdef", 24), "names": "Mr Smith " * (n // 9), "plus": "+1" + " " * n,
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id string, text string").repartition(len(texts), "doc_id")
+    found = {r.doc_id: r for r in secrets.digests(secrets.find_secrets(docs)).collect()}
+    assert {k: r.spans for k, r in found.items() if k in ("labels", "blob", "digits", "spaced", "plus")} == {"labels": "", "blob": f"entropy:0:{n - 1}", "digits": f"hex:0:{n}", "spaced": "", "plus": ""}
+    assert found["tokens"].n_assign == n // 14 and found["hexes"].n_hex == n // 25 and found["strings"].spans.count("entropy") > n // 50
+    masked = {r.doc_id: r.n for r in secrets.redact(docs).select("doc_id", F.char_length("text").alias("n")).collect()}
+    assert masked["blob"] == 8 and masked["tokens"] == 9 * (n // 14) and masked["hexes"] == 9 * (n // 25) - 1 and masked["plus"] == n + 2
+    told = {r.doc_id: r for r in pii.digests(pii.find_pii(docs)).collect()}
+    assert told["labels"].spans == f"email:0:{len(texts['labels'])}" and told["mails"].n_email == n // 9 and told["ips"].n_ip == n // 8
+
+
+def test_span_helpers(spark):
+    rng = random.Random(6)
+    rows = []
+    for _ in range(40):
+        text = "".join(rng.choice("ab é🎉") for _ in range(rng.randint(0, 1500)))
+        spans = lambda k: [(a, a + rng.randint(1, 6)) for a in sorted(rng.sample(range(len(text) + 1), min(len(text), rng.randint(0, k))))]  # noqa: E731, B023
+        rows.append((text, spans(400), spans(400)))
+    span = "array<struct<start: long, end: long>>"
+    df = spark.createDataFrame(rows, f"t string, x {span}, y {span}")
+    clip = F.transform("x", lambda s: F.struct(s["start"].alias("start"), F.least(s["end"], F.char_length("t").cast("long")).alias("end")))
+    got = df.select("t", "x", "y", tools.apart(F.col("x"), F.col("y")).alias("a"), tools.replaced(F.col("t"), F.filter(clip, lambda s: s["start"] < s["end"]), "#").alias("r"), tools.matches(F.col("t"), "b+", None, 5).alias("m")).collect()
+    for r in got:
+        meet = lambda s: any(s.start < o.end and o.start < s.end for o in r.y)  # noqa: E731, B023
+        assert [tuple(s) for s in r.a] == [tuple(s) for s in r.x if not meet(s)]
+        want, at = "", 0
+        for a, b in [(s.start, min(s.end, len(r.t))) for s in r.x if s.start < len(r.t)]:
+            want, at = (want + r.t[at:a] + "#", b) if a >= at else (want, max(at, b))
+        assert r.r == want + r.t[at:]
+        assert [(s.start, s.end, s.text, s.before) for s in r.m] == [(*m.span(), m[0], r.t[max(0, m.start() - 5) : m.start()]) for m in re.finditer("b+", r.t)]
+
+
 # 10
 
 
