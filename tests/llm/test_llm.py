@@ -115,6 +115,46 @@ def test_language_mixed_spans():
     assert abs(spans[0]["end"] - 33) <= 2
 
 
+LINES = {
+    "en": "the cat and the dog went over the hill with them, and they had their dinner there while it was raining",
+    "fr": "l’homme et la femme sont allés à la maison avec les enfants, et ils n’ont pas mangé parce qu’il était tard",
+    "vi": "người dân ở thành phố này thường uống cà phê vào buổi sáng và ăn phở ở ngoài đường với bạn bè",
+    "el": "ο άνθρωπος πήγε στο σπίτι με τα παιδιά και έφαγε το βράδυ γιατί ήταν αργά και έβρεχε",
+    "ru": "человек пошёл домой с детьми и поел вечером потому что было поздно и шёл дождь",
+    "uk": "людина пішла додому з дітьми і поїла ввечері тому що було пізно і йшов дощ",
+    "ka": "კაცი წავიდა სახლში ბავშვებთან ერთად და საღამოს ჭამა რადგან გვიანი იყო",
+    "ja": "人は子供たちと一緒に家に帰り、遅かったので夕食を食べました。",
+    "zh": "那个人和孩子们一起回家了，因为天色已晚，所以吃了晚饭。",
+}
+
+
+def test_language_by_scripts_of_letters():
+    model = langid.Model.train([(t, k) for k, t in LINES.items()] * 5)
+    name = lambda t: langid.label(model, [t], langid.SWITCH_PENALTY)[0][0]
+    assert [name(t) for t in LINES.values()] == list(LINES)
+    # Quotation marks, dashes and ellipses of any kind are no letters and decide nothing.
+    for t in ("they’re the cat’s dogs", "the dog — “went” over the hill…", "don’t", "«the dog»", "the\u2011dog"):
+        assert name(t) == "en", t
+    assert [name("“— …” ’"), name("\u0301\u0302"), name("123 ½ €")] == ["und"] * 3
+    # Only languages of a word's script are candidates; other words don't rule a language out for good.
+    assert name("người dân thường uống cà phê") == "vi" and name("σπίτι the παιδιά και") == "el" and name("людина пішла додому") == "uk"
+    spans = langid.label(model, [LINES["el"] + " " + LINES["en"]], langid.SWITCH_PENALTY)[0][2]
+    assert [s["lang"] for s in spans] == ["el", "en"]
+    x = langid.Letters.of(["the παιδιά dogγ"])
+    scores = model.word_scores(x)
+    assert [sorted(np.array(model.languages)[scores[i] > langid.RULED_OUT * n]) for i, n in enumerate([3, 6, 4])] == [["en", "fr", "vi"], ["el"], ["en", "fr", "vi"]]
+    assert name("x" * 5_000 + " the dog") in ("en", "fr", "vi")
+
+
+def test_language_learns_rare_ones_and_long_texts(spark):
+    """A sample of each language: one of three thousand rows is learnt, from a text of a megabyte."""
+    rows = [(i, LINES["en"] + str(i), "en") for i in range(3_000)] + [(-1, (LINES["el"] + " ") * 12_000, "el"), (-2, LINES["el"], None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, "doc_id", "text", "lang", rows=50)
+    assert model.languages == ["el", "en"]
+    assert {r.doc_id: r.lang_pred for r in langid.identify(docs.where("doc_id < 1"), model).collect()} == {-1: "el", -2: "el", 0: "en"}
+
+
 def test_viterbi_is_optimal_and_constant_paths_are_proved():
     rng = np.random.default_rng(3)
     for _ in range(200):
