@@ -6,18 +6,23 @@ occur in a document all its shingles must be there, so by the prefix-filter
 principle at full containment a single shingle, the rarest, is a sufficient
 prefix: only its occurrences are candidates. The parts:
 
-1. count every benchmark shingle over all documents (partial counts per task,
-   then one small aggregation); a window with an absent shingle cannot occur;
+1. count the benchmark's shingles over all documents, in one scan for the whole
+   benchmark, into a table of ``RARITY_BITS`` bits that shingles share by a hash
+   (partial counts per task, then one small aggregation). A shared count only
+   makes a shingle seem more frequent; a window with a count of zero cannot occur;
 2. order each window's shingles by rarity and index the window under the first;
 3. scan the documents; at each prefix occurrence apply the positional bound
    (the window must start at or after the first word) and the length bound
    (it must end at or before the last), then verify all its words exactly.
 
-The benchmark is split into blocks of bounded size. Each block is broadcast and
-the documents pass by it in a map without a shuffle; with several blocks, the
-hits (rows only for documents that have any) are written to the checkpoint
-folder and merged by document key. Rows of one document are never spread, and
-copies cost no more than other documents, so hot keys do not matter.
+The benchmark is split into blocks of ``BLOCK_BYTES`` of text. A block's words are
+numbered, its windows are places in one array of numbers, and the documents pass
+by it in a map without a shuffle; its pickled size is checked before it is
+broadcast. With several blocks, each scan writes the hits alone (a key, runs of
+words and item numbers, for documents that have any); they are grouped by the
+key, a 128-bit hash of id and text, and joined to the documents once. The
+documents themselves are never rewritten, and copies share one row of hits, so
+hot keys do not matter.
 
 Defined edge cases: null or empty texts and texts without words have no words
 and no hits; items without words have no windows; an item without an id makes
@@ -27,21 +32,29 @@ give repeated rows.
 
 from __future__ import annotations
 
-from collections import Counter
+import pickle
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, slices, stored
+from .common import BROADCAST_BYTES, fresh, slices, stored
 
 WIDTH = 10
 SHINGLE = 3
-#: Benchmark text in one broadcast block, in bytes.
-BLOCK_BYTES = 8 << 20
+#: Benchmark text in one block, in bytes.
+BLOCK_BYTES = 4 << 20
+RARITY_BITS = 22
+#: Candidates verified at once.
+VERIFY = 1 << 18
+MEMO_WORDS = 400_000
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -49,50 +62,160 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().translate(_FOLD).split() if text else []
 
 
-def windows_of(items: list[tuple[str | None, str | None]], width: int) -> dict[tuple[bytes, ...], set[str | None]]:
-    """The distinct windows of the items and the ids they belong to."""
-    out: dict[tuple[bytes, ...], set[str | None]] = {}
-    for item, text in items:
-        w = words_of(text)
-        for i in range(max(1, len(w) - width + 1) if w else 0):
-            out.setdefault(tuple(w[i : i + width]), set()).add(item)
-    return out
+class Hashes:
+    """Word hashes with a bounded memory."""
+
+    def __init__(self):
+        self.memo: dict[bytes, int] = {}
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        memo = self.memo
+        if len(memo) > MEMO_WORDS:
+            memo.clear()
+        for x in set(words).difference(memo):
+            memo[x] = xxhash.xxh3_64_intdigest(x)
+        return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+
+
+def rarity_places(h: np.ndarray, size: int) -> np.ndarray:
+    """The place in the rarity table of the shingle of ``size`` words that begins at each word."""
+    n = max(0, len(h) - size + 1)
+    code = np.full(n, size, np.uint64)
+    for i in range(size):
+        code = (code ^ h[i : i + n]) * _ODD
+        code ^= code >> np.uint64(29)
+    return ((code * _ODD) >> np.uint64(64 - RARITY_BITS)).astype(np.int64)
+
 
+def sizes_of(lengths: np.ndarray, width: int) -> list[int]:
+    """The sizes of shingles that items of these lengths need: shorter ones for items of one or two words."""
+    return sorted({int(min(SHINGLE, width, n)) for n in np.unique(lengths) if n})
 
-def shingles_of(window: tuple[bytes, ...]) -> list[tuple[bytes, ...]]:
-    n = min(SHINGLE, len(window))
-    return [window[i : i + n] for i in range(len(window) - n + 1)]
+
+class Block:
+    """Some items: their words as numbers, end to end, and where items begin."""
+
+    def __init__(self, items: list[tuple[str | None, str | None]], width: int):
+        own = [(item, words_of(text)) for item, text in items]
+        own = [(item, w) for item, w in own if w]
+        self.width = width
+        self.items = [item for item, _ in own]
+        self.lengths = np.array([len(w) for _, w in own], np.int64)
+        self.begin = np.concatenate(([0], np.cumsum(self.lengths)))[:-1].astype(np.int64)
+        flat = [x for _, w in own for x in w]
+        self.number: dict[bytes, int] = {}
+        self.words = np.array([self.number.setdefault(x, len(self.number)) for x in flat], np.int32)
+        self.flat = flat
+
+    def places(self, hashes: Hashes) -> np.ndarray:
+        """The places in the rarity table of all shingles; those over an item's end are harmless."""
+        h = hashes.of(self.flat)
+        return np.unique(np.concatenate([np.zeros(0, np.int64), *(rarity_places(h, k) for k in sizes_of(self.lengths, self.width))]))
+
+    def index(self, hashes: Hashes, rarity: np.ndarray) -> PrefixIndex:
+        return PrefixIndex(self, hashes.of(self.flat), rarity)
 
 
 class PrefixIndex:
-    """Windows under their rarest shingle."""
-
-    def __init__(self, windows: dict[tuple[bytes, ...], set[str | None]], counts: dict[tuple[bytes, ...], int]):
-        self.by_shingle: dict[tuple[bytes, ...], list[tuple[int, tuple[bytes, ...], set[str | None]]]] = {}
-        for window, items in windows.items():
-            order = sorted((counts.get(s, 0), s, at) for at, s in enumerate(shingles_of(window)))
-            if order[0][0]:
-                self.by_shingle.setdefault(order[0][1], []).append((order[0][2], window, items))
-        self.lengths = _by_first(self.by_shingle)
-
-    def scan(self, w: list[bytes]) -> tuple[bytearray, set[str | None]]:
-        """Marks of hit words, and the items with an occurring window."""
-        hit, items, n = bytearray(len(w)), set(), len(w)
-        for size, first in self.lengths.items():
-            for i in [i for i, x in enumerate(w) if x in first]:
-                for at, window, ids in self.by_shingle.get(tuple(w[i : i + size]), ()):
-                    start, end = i - at, i - at + len(window)
-                    if start >= 0 and end <= n and tuple(w[start:end]) == window:
-                        hit[start:end] = b"\1" * (end - start)
-                        items |= ids
-        return hit, items
-
-
-def _by_first(shingles) -> dict[int, set[bytes]]:
-    out: dict[int, set[bytes]] = {}
-    for s in shingles:
-        out.setdefault(len(s), set()).add(s[0])
-    return out
+    """Windows under their rarest shingle, in arrays. Words are numbers and a shingle of numbers is one number, so nothing here is approximate."""
+
+    def __init__(self, block: Block, h: np.ndarray, rarity: np.ndarray):
+        self.number, self.items = block.number, block.items
+        self.base = len(block.number) + 1
+        if self.base >= 1 << 21:
+            raise ValueError("too many words in one block")
+        self.parts: list[tuple] = []  # for each length of windows: length, shingle size, prefix keys, their offsets, window starts, items of windows
+        item_of = np.repeat(np.arange(len(block.lengths)), block.lengths)
+        span = np.minimum(block.lengths, block.width)
+        for length in np.unique(span):
+            mine = span[item_of] == length
+            start = np.flatnonzero(mine & (np.arange(len(item_of)) + length <= (block.begin + block.lengths)[item_of]))
+            if not len(start):
+                continue
+            size = int(min(SHINGLE, length))
+            count, keys = rarity[rarity_places(h, size)], self.keys(block.words, size)
+            shingles = start[:, None] + np.arange(length - size + 1)
+            rank = count[shingles]
+            at = rank.argmin(axis=1)
+            possible = np.flatnonzero(rank[np.arange(len(start)), at] > 0)
+            start, at = start[possible], at[possible]
+            # Windows of the same words are one, with several items.
+            rows = np.ascontiguousarray(block.words[start[:, None] + np.arange(length)])
+            one, which = _distinct(rows)
+            pairs = np.unique(np.stack([which, item_of[start]]), axis=1) if len(start) else np.zeros((2, 0), np.int64)
+            key = keys[start[one] + at[one]]
+            order = np.argsort(key, kind="stable")
+            place = np.empty(len(one), np.int64)
+            place[order] = np.arange(len(one))
+            pairs = pairs[:, np.argsort(place[pairs[0]], kind="stable")]
+            owners = np.searchsorted(place[pairs[0]], np.arange(len(one) + 1)).astype(np.int32)
+            self.parts.append((int(length), size, key[order], at[one][order].astype(np.int16), rows[one][order] if len(start) else rows, owners, pairs[1].astype(np.int32)))
+
+    def keys(self, words: np.ndarray, size: int) -> np.ndarray:
+        """The shingle that begins at each word as a number, -1 where it holds an unknown word."""
+        n = max(0, len(words) - size + 1)
+        out, known = np.zeros(n, np.int64), np.ones(n, bool)
+        for i in range(size):
+            w = words[i : i + n]
+            out = out * self.base + w
+            known &= w >= 0
+        return np.where(known, out, -1)
+
+    def scan(self, texts: list[list[bytes]]) -> list[tuple[np.ndarray, list[int]]]:
+        """For each document the marks of hit words and the numbers of items with an occurring window."""
+        lengths = np.array([len(w) for w in texts], np.int64)
+        ends = np.cumsum(lengths)
+        number = self.number
+        words = np.fromiter((number.get(x, -1) for w in texts for x in w), np.int32, int(lengths.sum()))
+        edge = np.zeros(len(words) + 1, np.int64)
+        found: list[set[int]] = [set() for _ in texts]
+        for length, size, key, at, rows, owners, items in self.parts:
+            if len(words) < length or not len(key):
+                continue
+            own = self.keys(words, size)
+            seen = np.flatnonzero(own >= 0)
+            low = np.searchsorted(key, own[seen], side="left")
+            high = np.searchsorted(key, own[seen], side="right")
+            some = np.flatnonzero(high > low)
+            seen, low, high = seen[some], low[some], high[some]
+            total = np.concatenate(([0], np.cumsum(high - low)))
+            for first, last in _cuts(total):
+                n = (high - low)[first:last]
+                window = np.repeat(low[first:last], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                begin = np.repeat(seen[first:last], n) - at[window]
+                doc = np.searchsorted(ends, np.repeat(seen[first:last], n), side="right")
+                fits = (begin >= (ends - lengths)[doc]) & (begin + length <= ends[doc])
+                window, begin, doc = window[fits], begin[fits], doc[fits]
+                same = (words[begin[:, None] + np.arange(length)] == rows[window]).all(axis=1)
+                window, begin, doc = window[same], begin[same], doc[same]
+                np.add.at(edge, begin, 1)
+                np.add.at(edge, begin + length, -1)
+                for d, w in set(zip(doc.tolist(), window.tolist(), strict=True)):
+                    found[d].update(items[owners[w] : owners[w + 1]].tolist())
+        hit = np.cumsum(edge)[:-1] > 0
+        return [(hit[e - n : e], sorted(f)) for e, n, f in zip(ends.tolist(), lengths.tolist(), found, strict=True)]
+
+
+def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each set of equal rows, and the set of each row: by a hash, compared in full."""
+    code = np.zeros(len(rows), np.uint64)
+    for c in rows.T:
+        code = (code ^ c.astype(np.uint64)) * _ODD
+        code ^= code >> np.uint64(29)
+    _, one, which = np.unique(code, return_index=True, return_inverse=True)
+    which = which.ravel()
+    if not (rows == rows[one[which]]).all():  # different rows of one hash
+        _, one, which = np.unique(rows, axis=0, return_index=True, return_inverse=True)
+    return one, which.ravel()
+
+
+def _cuts(total: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of prefix occurrences of about ``VERIFY`` candidates, from the candidates before each."""
+    first, n = 0, len(total) - 1
+    while first < n:
+        last = int(max(first + 1, np.searchsorted(total, total[first] + VERIFY, side="right") - 1))
+        yield first, last
+        first = last
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[DataFrame]:
@@ -105,24 +228,47 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int)
     return [items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b) for b in range(n)]
 
 
-def _counts(docs: DataFrame, text_col: str, shingles: list[tuple[bytes, ...]]) -> dict[tuple[bytes, ...], int]:
-    """How often each given shingle occurs in all documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(shingles)
+def _rarity(docs: DataFrame, text_col: str, places: np.ndarray, sizes: list[int]) -> np.ndarray:
+    """The rarity table: how often shingles at each wanted place occur in all documents."""
+    wanted = np.zeros(1 << RARITY_BITS, bool)
+    wanted[places] = True
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted))
 
     def run(batches):
-        number = {s: i for i, s in enumerate(shared.value)}
-        first = _by_first(number)
-        found: Counter = Counter()
+        mine = np.unpackbits(shared.value).astype(bool)
+        counts, hashes = np.zeros(1 << RARITY_BITS, np.int64), Hashes()
         for part in slices(batches, 0):
-            for text in part.column(0).to_pylist():
-                w = words_of(text)
-                for size, known in first.items():
-                    found.update(map(number.get, [tuple(w[i : i + size]) for i, x in enumerate(w) if x in known]))
-        found.pop(None, None)
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array(list(found.values()), pa.int64())], names=["i", "n"])
+            words = [words_of(t) for t in part.column(0).to_pylist()]
+            h = hashes.of([x for w in words for x in w])
+            doc = np.repeat(np.arange(len(words)), [len(w) for w in words])
+            for size in sizes:
+                at = rarity_places(h, size)
+                at = at[(doc[: len(at)] == doc[size - 1 :]) & mine[at]] if len(at) else at
+                np.add.at(counts, at, 1)
+        i = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(counts[i])], names=["i", "n"])
+
+    out = np.zeros(1 << RARITY_BITS, np.int64)
+    if len(places):
+        table = docs.select(text_col).mapInArrow(run, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()  # at most the table's places
+        out[table["i"].to_numpy()] = table["n"].to_numpy()
+    return out
+
 
-    counted = docs.select(text_col).mapInArrow(run, "i int, n long").groupBy("i").agg(F.sum("n").alias("n"))
-    return {shingles[r.i]: r.n for r in counted.collect()}  # bounded by the block's shingles
+def _indexes(benchmark: DataFrame, docs: DataFrame, text_col: str, id_col: str, item_text: str, width: int, block_bytes: int) -> Iterator[PrefixIndex]:
+    """The index of each block. The rarity of all blocks' shingles is counted in one scan of the documents."""
+    hashes = Hashes()
+    frames = _blocks(benchmark, id_col, item_text, block_bytes)
+    load = lambda frame: Block([(r.item, r.text) for r in frame.collect()], width)
+    only = load(frames[0]) if len(frames) == 1 else None
+    places, sizes = np.zeros(0, np.int64), set()
+    for frame in frames:
+        block = only or load(frame)
+        places = np.union1d(places, block.places(hashes))
+        sizes.update(sizes_of(block.lengths, width))
+    rarity = _rarity(docs, text_col, places, sorted(sizes))
+    for frame in frames:
+        yield (only or load(frame)).index(hashes, rarity)
 
 
 def find_overlaps(
@@ -143,74 +289,102 @@ def find_overlaps(
     ``n_hit`` (long, words inside any occurrence), ``items`` (sorted array of
     item ids as strings) and ``spans`` (maximal runs of hit words: start and
     exclusive end, counted in words). With ``only_clean`` the columns ``keep`` of
-    the rows without a hit are returned and nothing else.
+    the rows without a hit are returned and nothing else. The rarity scan and, with
+    several blocks, all others run at once; the rest when the result is read.
     """
-    spark = docs.sparkSession
     keep = [id_col] if keep is None else keep
-    marks, names = fresh(docs, "marks__", "items__")
-    current = docs.select(*dict.fromkeys([*keep, text_col]))
-    blocks = _blocks(benchmark, item_id_col, item_text_col, block_bytes)
-    for k, block in enumerate(blocks):
-        windows = windows_of([(r.item, r.text) for r in block.collect()], width)
-        counts = _counts(docs, text_col, sorted({s for w in windows for s in shingles_of(w)}))
-        index = spark.sparkContext.broadcast(PrefixIndex(windows, counts))
-        if k + 1 < len(blocks):
-            current = stored(_pass(current, index, text_col, marks, names), current)
-    return _pass(current, index, text_col, marks, names, keep, only_clean)
+    context = docs.sparkSession.sparkContext
+
+    def shared(index: PrefixIndex):
+        if len(pickle.dumps(index, protocol=pickle.HIGHEST_PROTOCOL)) > BROADCAST_BYTES:
+            raise ValueError("a block is too large to broadcast; lower block_bytes")
+        return context.broadcast(index)
+
+    indexes = _indexes(benchmark, docs, text_col, item_id_col, item_text_col, width, block_bytes)
+    first = next(indexes)
+    second = next(indexes, None)
+    if second is None:
+        return _pass(docs, shared(first), text_col, keep, only_clean)
+    names = fresh(docs, "k1__", "k2__", "runs__", "items__", "n__")
+    k1, k2, runs, items, n = names
+    key = [F.xxhash64(id_col, text_col).alias(k1), F.xxhash64(F.lit(7), text_col, id_col).alias(k2)]
+    keyed = docs.select(*key, F.col(text_col).alias("text"))
+    parts = [stored(_hits(keyed, shared(index), k1, k2)) for index in (first, second, *indexes)]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    # A document's copies have equal hits: one row a block and key, whatever their number.
+    hits = stored(every.groupBy(k1, k2).agg(F.flatten(F.collect_set("runs")).alias(runs), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias(items)), *parts)
+    told = docs.select(*dict.fromkeys([*keep]), *key, *([] if only_clean else [_word_count(F.col(text_col)).alias(n)]))
+    if only_clean:
+        return told.join(hits, [k1, k2], "left_anti").select(*keep)
+    return told.join(hits, [k1, k2], "left").select(*keep, F.col(n).alias("n_words"), *_united(F.coalesce(runs, F.array().cast("array<struct<start: bigint, end: bigint>>")), F.coalesce(items, F.array().cast("array<string>"))))
+
+
+def _word_count(text):
+    """The same words as ``words_of``, counted."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
+
+
+def _united(runs, items) -> list:
+    """Hit words, items and spans of runs of several blocks: overlapping and touching runs become one."""
+    struct = "array<struct<start: bigint, end: bigint>>"
+
+    def step(acc, r):
+        last = F.element_at(acc, -1)
+        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], r["end"]).alias("end"))))
+        return F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["end"] >= r["start"]), joined).otherwise(F.array_append(acc, r))
+
+    spans = F.aggregate(F.sort_array(runs), F.array().cast(struct), step)
+    n_hit = F.aggregate(spans, F.lit(0).cast("bigint"), lambda a, r: a + r["end"] - r["start"])
+    return [n_hit.alias("n_hit"), items.alias("items"), spans.alias("spans")]
 
 
 RESULT = "n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>"
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _runs(hit: bytes) -> list[dict[str, int]]:
-    out, at = [], hit.find(b"\1")
-    while at >= 0:
-        end = hit.find(b"\0", at)
-        end = len(hit) if end < 0 else end
-        out.append({"start": at, "end": end})
-        at = hit.find(b"\1", end)
-    return out
+def _runs(hit: np.ndarray) -> list[dict[str, int]]:
+    turns = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])))).reshape(-1, 2)
+    return [{"start": a, "end": b} for a, b in turns.tolist()]
 
 
-def _pass(docs: DataFrame, index, text_col: str, marks: str, names: str, keep: list[str] | None = None, only_clean: bool = False) -> DataFrame:
-    """Scan the documents past one block, adding to the marks of earlier blocks.
+def _told(index: PrefixIndex, texts: list[str | None]) -> list[tuple[int, np.ndarray, list[str]]]:
+    """Words, marks and item ids of each text."""
+    words = [words_of(t) for t in texts]
+    return [(len(w), hit, sorted({index.items[i] for i in found} - {None})) for w, (hit, found) in zip(words, index.scan(words), strict=True)]
 
-    With ``keep``, for the last block, those columns and the results are
-    returned; else all columns and the marks so far.
-    """
-    later = marks in docs.columns
-    fields = [f for f in docs.schema.fields if f.name not in (marks, names)]
-    where = [f.name for f in fields].index(text_col)
-    if keep is None:
-        out = T.StructType([*fields, T.StructField(marks, T.BinaryType()), T.StructField(names, T.ArrayType(T.StringType()))])
-        kept = range(len(fields))
-    else:
-        out = T.StructType([*(docs.schema[c] for c in keep), *(() if only_clean else T._parse_datatype_string(RESULT).fields)])
-        kept = [[f.name for f in fields].index(c) for c in keep]
+
+def _hits(keyed: DataFrame, index, k1: str, k2: str) -> DataFrame:
+    """Key, runs and items of the documents that one block hits."""
+
+    def run(batches):
+        for part in slices(batches, 2):
+            rows = _told(index.value, part.column(2).to_pylist())
+            some = [i for i, r in enumerate(rows) if r[1].any()]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(pa.array(some, pa.int32())), part.column(1).take(pa.array(some, pa.int32())), pa.array([_runs(rows[i][1]) for i in some], _SPANS), pa.array([rows[i][2] for i in some], pa.list_(pa.string()))], names=[k1, k2, "runs", "items"]
+            )
+
+    return keyed.mapInArrow(run, f"`{k1}` long, `{k2}` long, runs array<struct<start: long, end: long>>, items array<string>")
+
+
+def _pass(docs: DataFrame, index, text_col: str, keep: list[str], only_clean: bool) -> DataFrame:
+    """Scan the documents past the only block."""
+    out = T.StructType([*(docs.schema[c] for c in keep), *(() if only_clean else T._parse_datatype_string(RESULT).fields)])
+    wanted = list(dict.fromkeys([*keep, text_col]))
+    where, kept = wanted.index(text_col), [wanted.index(c) for c in keep]
 
     def run(batches):
         for part in slices(batches, where):
-            hits, found = [], []
-            for i, text in enumerate(part.column(where).to_pylist()):
-                hit, items = index.value.scan(words_of(text))
-                items = {x for x in items if x is not None}
-                if later:
-                    before = part.column(len(fields))[i].as_py()
-                    hit = bytes(a | b for a, b in zip(hit, before, strict=True))
-                    items |= set(part.column(len(fields) + 1)[i].as_py())
-                hits.append(bytes(hit))
-                found.append(sorted(items))
-            items = pa.array(found, pa.list_(pa.string()))
+            rows = _told(index.value, part.column(where).to_pylist())
             columns = [part.column(i) for i in kept]
-            if keep is None:
-                columns += [pa.array(hits, pa.binary()), items]
-            elif not only_clean:
-                spans = pa.array([_runs(x) for x in hits], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-                columns += [pa.array([len(x) for x in hits], pa.int64()), pa.array([x.count(1) for x in hits], pa.int64()), items, spans]
-            rows = pa.RecordBatch.from_arrays(columns, names=out.names)
-            yield rows.filter(pa.array([1 not in x for x in hits], pa.bool_())) if keep is not None and only_clean else rows
-
-    return docs.select(*(f.name for f in fields), *([marks, names] if later else [])).mapInArrow(run, out)
+            if not only_clean:
+                columns += [pa.array([r[0] for r in rows], pa.int64()), pa.array([int(r[1].sum()) for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.string())), pa.array([_runs(r[1]) for r in rows], _SPANS)]
+            told = pa.RecordBatch.from_arrays(columns, names=out.names)
+            yield told.filter(pa.array([not r[1].any() for r in rows], pa.bool_())) if only_clean else told
+
+    return docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(wanted))).mapInArrow(run, out)
 
 
 def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

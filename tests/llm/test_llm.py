@@ -8,6 +8,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 pytest.importorskip("bandscope.llm")
@@ -184,6 +186,36 @@ def test_decontamination_blocks_agree(spark):
     many = decontaminate.digests(decontaminate.find_overlaps(docs, items, block_bytes=2_000))
     assert sorted(one.collect()) == sorted(many.collect())
     assert one.where("contaminated").count() > 0
+    whole = decontaminate.find_overlaps(docs, items, block_bytes=2_000)
+    assert sorted(map(str, whole.collect())) == sorted(map(str, decontaminate.find_overlaps(docs, items).collect()))
+    clean = [sorted(r.doc_id for r in decontaminate.find_overlaps(docs, items, keep=docs.columns, only_clean=True, block_bytes=n).collect()) for n in (2_000, 1 << 22)]
+    assert clean[0] == clean[1]
+
+
+def test_decontamination_blocks_write_hits_only(spark, tmp_path, monkeypatch):
+    """Ten blocks write a row for each hit document and block, and no text."""
+    written = []
+    real = decontaminate.stored
+    monkeypatch.setattr(decontaminate, "stored", lambda df, *after: written.append((df.columns, (out := real(df, *after)).count())) or out)
+    docs = spark.createDataFrame([(i, f"word{i} " * 400 + ("one two three four five six seven eight nine ten" if i < 5 else "")) for i in range(300)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, "one two three four five six seven eight nine ten" if i == 3 else f"item{i} other words that are nowhere else to be found at all {i}") for i in range(100)], "item_id long, text string")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0]
+    got = decontaminate.find_overlaps(docs, items, block_bytes=size // 10 + 1)
+    assert sorted(r.doc_id for r in got.where("n_hit > 0").collect()) == list(range(5))
+    assert len(written) == 11 and all("text" not in c for c, _ in written) and sum(n for _, n in written[:10]) == 5 and written[10][1] == 5
+
+
+def test_decontamination_of_a_large_benchmark(spark, tmp_path):
+    """50 MB of items in blocks, each within the checked size."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in row) for row in rng.integers(0, 60_000, (29_000, 260)).tolist()]
+    assert sum(map(len, texts)) > 50_000_000
+    pq.write_table(pa.table({"item_id": list(range(29_000)), "text": texts}), tmp_path / "items.parquet")
+    items = spark.read.parquet(str(tmp_path / "items.parquet"))
+    some = {i: texts[i] for i in range(77, 29_000, 5_000)}
+    docs = spark.createDataFrame([(i, "before " + " ".join(t.split()[20:45]) + " after") for i, t in some.items()] + [(-1, "w1 w2 w3")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate.find_overlaps(docs, items).collect()}
+    assert got == {i: (25, [str(i)]) for i in some} | {-1: (0, [])}
 
 
 def test_decontamination_by_brute_force(spark):
