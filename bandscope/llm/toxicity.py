@@ -7,7 +7,8 @@ separators thus only fade a match: ``i.d.i.o.t`` stays close to its plain form.
 Kernels are normalised.
 
 Training uses a bounded sample of labelled documents (``TRAIN_EACH`` of either
-label, by a hash of the id). Sentences of clean documents are negative and all
+label, by a hash of the id) of any length; of one with over ``TRAIN_SENTENCES``
+sentences (of ``SENTENCE_WORDS`` words, longer ones are cut) those of least hash. Sentences of clean documents are negative and all
 their words negative instances; what makes a toxic document's sentence positive
 are its witness words, those with high log-odds between the two labels (a word
 must be in several toxic documents), which are the positive instances, also in
@@ -29,13 +30,14 @@ that a worker has met are remembered in bounded memory.
 
 Defined edge cases: null and empty texts and texts without a word of three
 letters have no margin and get the score of the lowest margin; without labels
-of both kinds every score is 0; repeated rows give repeated results.
+of both kinds every score is about 0 (4e-18); repeated rows give repeated results.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -50,7 +52,8 @@ from .common import hash_share, slices, texts_of
 DECAY = 0.7
 SPAN = 7
 TRAIN_EACH = 2_000
-TRAIN_TEXT_BYTES = 20_000
+TRAIN_SENTENCES = 200
+SENTENCE_WORDS = 40
 LANDMARKS = 240
 ROUNDS = 2
 HARD = 2_000
@@ -260,13 +263,31 @@ def _disguised(word: str, k: int) -> str:
     return word[:at] + "-*xq"[k % 4] + word[at:]
 
 
+def sentences_of(text: str, words: int = SENTENCE_WORDS) -> list[str]:
+    """Sentences; one of more than so many words is cut."""
+    out = []
+    for s in _SENTENCES.split(text):
+        w = s.split()
+        out += [s] if len(w) <= words else [" ".join(w[i : i + words]) for i in range(0, len(w), words)]
+    return out
+
+
+def sampled(text: str, most: int = TRAIN_SENTENCES) -> str:
+    """The text, or so many of its sentences by a hash."""
+    own = sentences_of(text)
+    if len(own) <= most:
+        return text
+    kept = sorted(range(len(own)), key=lambda i: (zlib.crc32(own[i].encode("utf-8", "surrogatepass")), i))[:most]
+    return "\n".join(own[i] for i in sorted(kept))
+
+
 def train(texts: list[str], labels: list[int]) -> Model:
     toxic = [t for t, y in zip(texts, labels, strict=True) if y]
     clean = [t for t, y in zip(texts, labels, strict=True) if not y]
     if not toxic or not clean:
         return EMPTY
     rng = np.random.default_rng(7)
-    in_toxic, in_clean = (Counter(w for t in part for w in {bare(w) for s in _SENTENCES.split(t) for w in words_of(s)}) for part in (toxic, clean))
+    in_toxic, in_clean = (Counter(w for t in part for w in {bare(w) for s in sentences_of(t) for w in words_of(s)}) for part in (toxic, clean))
     negatives = sorted(w for w in in_clean if len(codes_of(w)) >= 3)
     share = len(toxic) / len(texts)
 
@@ -339,19 +360,24 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", each: int = TRAIN_EACH) -> Model:
-    """Fit on a bounded sample: about ``each`` labelled rows of either label, by a hash of the id."""
+    """Fit on a bounded sample: about ``each`` labelled ids of either label by a hash of the id, one text of each, twice as many at most."""
     ids = []
     for y in (1, 0):
         own = labels.where(F.col(label_col) == y).select(F.col(id_col).alias("k"))
-        ids.append(own.where(hash_share(own, each, "k")).distinct().select("k", F.lit(y).alias("y"), F.xxhash64("k").alias("h")).limit(2 * each))
+        some = own.where(hash_share(own, each, "k")).distinct().select("k", F.lit(y).alias("y"), F.xxhash64("k").alias("h"))
+        ids.append(some.orderBy("h", "k").limit(2 * each))
     chosen = ids[0].unionByName(ids[1])
-    sample = (
-        docs.where(F.octet_length(text_col) <= TRAIN_TEXT_BYTES)
-        .select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
-        .join(F.broadcast(chosen), "k")  # at most four times ``each`` rows of three numbers
-        .limit(4 * each)
-    )
-    rows = sorted(sample.collect(), key=lambda r: (r.h, r.k, r.t))
+
+    def run(batches):
+        for part in slices(batches, 3):
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), pa.array([sampled(t) for t in texts_of(part, 3)], pa.string())], names=["h", "k", "y", "t"])
+
+    joined = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "k")  # at most four times ``each`` rows of three numbers
+    kind = dict(joined.dtypes)["k"]
+    short = joined.select("h", "k", "y", "t").mapInArrow(run, f"h long, k {kind}, y int, t string")
+    # Of rows with the same id, the text of least hash.
+    sample = short.groupBy("h", "k", "y").agg(F.min_by("t", F.struct(F.xxhash64("t"), "t")).alias("t"))
+    rows = sorted(sample.collect(), key=lambda r: (r.h, r.k, r.y))
     return train([r.t for r in rows], [r.y for r in rows])
 
 

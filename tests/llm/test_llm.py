@@ -607,6 +607,52 @@ def test_toxicity_in_other_scripts(bad, filler):
     assert min(p[:20]) > 0.7 > 0.3 > max(p[20:])
 
 
+def naive_kernel(a, b):
+    """All pairs of gapped triples, by definition."""
+
+    def features(code):
+        out = {}
+        for i in range(len(code)):
+            for j in range(i + 1, len(code)):
+                for k in range(j + 1, min(len(code), i + toxicity.SPAN)):
+                    if "\0" not in (code[i], code[j], code[k]):
+                        t = code[i], code[j], code[k]
+                        out[t] = out.get(t, 0) + toxicity.DECAY ** (k - i + 1)
+        return out
+
+    x, y = features(a), features(b)
+    dot = lambda p, q: sum(v * q.get(t, 0) for t, v in p.items())
+    return dot(x, y) / max(1e-12, np.sqrt(dot(x, x) * dot(y, y)))
+
+
+def test_string_kernel_by_brute_force():
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcд-é1") for _ in range(rng.randint(1, 14))) for _ in range(60)]
+    codes = [toxicity.codes_of(w) for w in words]
+    want = np.array([[naive_kernel(a, b) for b in codes[:9]] for a in codes])
+    marks = toxicity.dense(codes[:9])
+    assert np.allclose(toxicity.against(marks, codes), want, atol=2e-5)  # wide letters share places, so this holds up to a collision
+    # The folded table gives the expansion over the landmarks.
+    beta = np.array([rng.uniform(-1, 3) for _ in range(9)])
+    model = toxicity.Model((beta @ marks).astype(np.float32), -0.1, np.zeros(3), 0.0)
+    margins = model.margins(words)
+    raw = want @ beta - 0.1
+    sure = [i for i in range(len(words)) if raw[i] > 0 and len(codes[i]) <= toxicity.LONG]
+    assert len(sure) > 10 and np.allclose([margins[i] for i in sure], raw[sure], atol=1e-4)
+
+
+def test_toxicity_learns_from_long_texts_and_repeated_ids(spark):
+    rng = random.Random(0)
+    word = lambda: "".join(rng.choice(["th", "er", "on", "an", "re", "sh", "ti"]) for _ in range(rng.randint(1, 4)))
+    long = lambda bad: " ".join(" ".join(word() for _ in range(9)) + (f" {bad}." if bad else ".") for _ in range(700))
+    rows = [(i, long(rng.choice(["idiot", "scum"]) if i % 2 else "")) for i in range(40)] * 2
+    assert min(len(t) for _, t in rows) > 20_000
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert model.margins(["idiot"])[0] > 0.3 > max(model.margins(["theron", "shanre"]))
+    assert toxicity.sampled("a b. " * 5) == "a b. " * 5 and len(toxicity.sentences_of(toxicity.sampled("a b c. " * 5_000))) == toxicity.TRAIN_SENTENCES
+
+
 def test_toxicity_edges(edges, spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1)], "doc_id long, toxic int")
     out = toxicity.predict(edges, labels, lambda c: F.lit(False)).collect()
