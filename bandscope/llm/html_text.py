@@ -6,7 +6,8 @@ keeps unclosed ones open to the end. Visibility rules drop what a browser does
 not show: head matter, scripts and styles, hidden attributes, inline styles and
 simple style-sheet rules (``tag``, ``.class``, ``#id``) that set ``display: none``
 or ``visibility: hidden`` on a wide screen and that no later rule of the same
-selector takes back, closed details and dialogs. The renderer emits all other
+selector takes back, closed details and dialogs. What is made visible again within
+an invisible element is shown, as nothing within an element without display is. The renderer emits all other
 text: blocks on lines of their own with a blank line around those that have
 margins, list items with markers and indentation, preformatted text as it is,
 and table cells in aligned columns, spans included.
@@ -14,7 +15,9 @@ and table cells in aligned columns, spans included.
 One narrow map; no shuffle and no state between rows.
 
 Defined edge cases: a null or empty page has empty text and no title; elements
-nested deeper than ``MAX_DEPTH`` are read as children of the last level; broken
+nested deeper than ``MAX_DEPTH`` are read as children of the last level, as widespread
+browsers do at the same depth; cells span at most as many columns and rows as the
+HTML standard allows (1,000 and 65,534); broken
 markup never fails: what isn't a tag is text; repeated rows give repeated results.
 """
 
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 import html
 import re
+import sys
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +34,11 @@ from pyspark.sql import types as T
 
 from .common import slices
 
-MAX_DEPTH = 120
+MAX_DEPTH = 512
+#: Python frames for elements of that depth, nested tables too.
+FRAMES = 20 * MAX_DEPTH
+# Limits of the HTML standard.
+MOST_COLUMNS, MOST_ROWS = 1_000, 65_534
 
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -68,7 +76,8 @@ SCOPE = frozenset({"table", "td", "th", "caption", "button", "template"})
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 _COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->", re.S)
 _CSS_MARK = re.compile(r"\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|[{};]", re.S)
 _FEATURE = re.compile(r"\(\s*(min|max)-width\s*:\s*([\d.]+)(px|em|rem)\s*\)")
@@ -211,33 +220,42 @@ def rules_of(css: str):
             start = m.end()
 
 
-def hiding_selectors(root: Node) -> frozenset[str]:
-    """Simple selectors that the page's own style sheets hide."""
-    state: dict[tuple[str, str], tuple[bool, bool]] = {}  # by selector and property: whether it hides, whether it is important
-    waiting = [root]
-    while waiting:
-        n = waiting.pop()
-        if n.tag == "style" and on_screen(n.attributes.get("media", "")):
-            for selectors, body in rules_of("".join(c for c in n.children if isinstance(c, str))):
-                for declaration in body.split(";"):
-                    name, _, value = declaration.partition(":")
-                    name, value = name.strip().lower(), value.strip()
-                    if name not in ("display", "visibility") or not value:
-                        continue
-                    now = _HIDES.match(f"{name}:{value}") is not None, "!" in value
-                    for x in selectors.split(","):
-                        x = x.strip()
-                        if x and _SIMPLE.match(x) and state.get((x, name), (False, False))[1] <= now[1]:
-                            state[x, name] = now
-        waiting += [c for c in reversed(n.children) if isinstance(c, Node)]
-    return frozenset(x for (x, _), (hides, _) in state.items() if hides)
+class Rules:
+    """Simple selectors that the page's own style sheets hide, make invisible or make visible."""
+
+    def __init__(self, root: Node):
+        state: dict[tuple[str, str], tuple[str, bool]] = {}  # by selector and property: the value, and whether it is important
+        waiting = [root]
+        while waiting:
+            n = waiting.pop()
+            if n.tag == "style" and on_screen(n.attributes.get("media", "")):
+                for selectors, body in rules_of("".join(c for c in n.children if isinstance(c, str))):
+                    for declaration in body.split(";"):
+                        name, _, value = declaration.partition(":")
+                        name, value = name.strip().lower(), value.strip()
+                        if name not in ("display", "visibility") or not value:
+                            continue
+                        now = value.partition("!")[0].strip().lower(), "!" in value
+                        for x in selectors.split(","):
+                            x = x.strip()
+                            if x and _SIMPLE.match(x) and state.get((x, name), ("", False))[1] <= now[1]:
+                                state[x, name] = now
+            waiting += [c for c in reversed(n.children) if isinstance(c, Node)]
+        chosen = lambda name, *values: frozenset(x for (x, p), (v, _) in state.items() if p == name and v in values)
+        self.gone, self.muted, self.seen = chosen("display", "none"), chosen("visibility", "hidden", "collapse"), chosen("visibility", "visible")
+
+    def selectors(self, n: Node) -> set[str]:
+        a = n.attributes
+        marks = {"." + c for c in a.get("class", "").split()} | ({"#" + a["id"]} if a.get("id") else set())
+        return {n.tag} | {x + m for x in ("", n.tag) for m in marks}
 
 
 class Renderer:
     """Lines of visible text."""
 
-    def __init__(self, hidden: frozenset[str]):
-        self.hidden = hidden
+    def __init__(self, rules: Rules, muted: bool = False):
+        self.rules = rules
+        self.muted = muted
         self.lines: list[str] = []
         self.inline: list[str] = []
         self.indent = ""
@@ -245,18 +263,26 @@ class Renderer:
         self.gap = False
 
     def visible(self, n: Node) -> bool:
+        """Whether an element is displayed at all."""
         a = n.attributes
         if n.tag in UNSEEN or (n.tag == "dialog" and "open" not in a) or (n.tag == "input" and a.get("type", "").lower() == "hidden"):
             return False
-        if not a:
-            return n.tag not in self.hidden
-        if "hidden" in a or _HIDES.search(a.get("style", "")):
+        if "hidden" in a or _NO_DISPLAY.search(a.get("style", "")):
             return False
-        if not self.hidden:
-            return True
-        names = {"", n.tag}
-        marks = {"." + c for c in a.get("class", "").split()} | ({"#" + a["id"]} if a.get("id") else set())
-        return n.tag not in self.hidden and not any(x + m in self.hidden for x in names for m in marks)
+        return not self.rules.gone or not (self.rules.selectors(n) & self.rules.gone)
+
+    def mutes(self, n: Node, before: bool) -> bool:
+        """Whether an element's text is invisible: its own style, else a rule, else as outside."""
+        own = _VISIBILITY.findall(n.attributes.get("style", "")) if n.attributes else ()
+        if own:
+            return own[-1].lower() != "visible"
+        if self.rules.muted or self.rules.seen:
+            names = self.rules.selectors(n)
+            if names & self.rules.muted:
+                return True
+            if names & self.rules.seen:
+                return False
+        return before
 
     def flush(self) -> None:
         s = _SPACE.sub(" ", "".join(self.inline)).strip(" ")
@@ -275,11 +301,17 @@ class Renderer:
 
     def render(self, n: Node | str) -> None:
         if isinstance(n, str):
-            self.inline.append(n)
+            if not self.muted:
+                self.inline.append(n)
             return
-        tag = n.tag
         if not self.visible(n):
             return
+        before, self.muted = self.muted, self.mutes(n, self.muted)
+        self.element(n)
+        self.muted = before
+
+    def element(self, n: Node) -> None:
+        tag = n.tag
         if tag == "br":
             if "".join(self.inline).strip():
                 self.flush()
@@ -287,14 +319,14 @@ class Renderer:
                 self.inline.clear()
             return
         if tag == "input":
-            if n.attributes.get("type", "text").lower() not in ("checkbox", "radio", "file", "password", "image", "range", "color"):
+            if not self.muted and n.attributes.get("type", "text").lower() not in ("checkbox", "radio", "file", "password", "image", "range", "color"):
                 self.inline.append(" " + (n.attributes.get("value") or n.attributes.get("placeholder", "")) + " ")
             return
         if tag in ("textarea", "pre"):
             self.flush()
             self.gap = self.gap or tag == "pre"
-            inner = Renderer(self.hidden)
-            for row in "".join(inner.plain(n)).strip("\n").split("\n"):
+            inner = "".join(self.plain(n, self.muted)).strip("\n")
+            for row in inner.split("\n") if inner else ():
                 self.line(row.rstrip())
             self.gap = tag == "pre"
             return
@@ -319,7 +351,7 @@ class Renderer:
         elif tag == "select":
             options = [o for o in walk(n, "option") if self.visible(o)]
             shown = [o for o in options if "selected" in o.attributes] or (options if "multiple" in n.attributes else options[:1])
-            self.inline += [" " + "".join(self.plain(o)) + " " for o in shown]
+            self.inline += [" " + "".join(self.plain(o, self.mutes(o, self.muted))) + " " for o in shown]
         else:
             before = self.indent
             if tag in APART:
@@ -337,16 +369,16 @@ class Renderer:
             self.flush()
             self.gap = self.gap or (tag in MARGIN and not (tag in ("ul", "ol", "menu") and self.indent))
 
-    def plain(self, n: Node) -> list[str]:
+    def plain(self, n: Node, muted: bool) -> list[str]:
         """Text with its own white space."""
         out: list[str] = []
         for c in n.children:
             if isinstance(c, str):
-                out.append(c)
+                out += [] if muted else [c]
             elif c.tag == "br":
                 out.append("\n")
             elif self.visible(c):
-                out += self.plain(c)
+                out += self.plain(c, self.mutes(c, muted))
         return out
 
     def items(self, n: Node, numbered: bool) -> None:
@@ -361,10 +393,11 @@ class Renderer:
                 marker = f"{number}. " if numbered else "- "
                 number += 1
                 self.indent, self.marker = outer + " " * len(marker), marker
+                before, self.muted = self.muted, self.mutes(c, self.muted)
                 for x in c.children:
                     self.render(x)
                 self.flush()
-                self.indent, self.marker = outer, None
+                self.indent, self.marker, self.muted = outer, None, before
             elif isinstance(c, Node) or c.strip():
                 self.render(c)
         self.flush()
@@ -374,7 +407,7 @@ class Renderer:
         """Rows of a table with its cells in aligned columns; captions come first."""
         grid: list[dict[int, list[str]]] = []
         width: dict[int, int] = {}
-        busy: dict[tuple[int, int], bool] = {}
+        busy: dict[int, int] = {}  # by column: the first row that no cell from above reaches into
         out: list[str] = []
         for row in rows_of(n, self.visible):
             if not self.visible(row):
@@ -384,20 +417,21 @@ class Renderer:
                 continue
             cells: dict[int, list[str]] = {}
             at, r = 0, len(grid)
+            before, self.muted = self.muted, self.mutes(row, self.muted)
             for c in cells_of(row, self.visible):
                 if c.tag == "caption":
                     out += self.cell(c)
                     continue
-                while (r, at) in busy:
+                while busy.get(at, 0) > r:
                     at += 1
-                across, down = (min(int(v), 1000) if (v := c.attributes.get(k, "")).isdecimal() and int(v) else 1 for k in ("colspan", "rowspan"))
-                for y in range(min(down, 200)):
-                    for x in range(min(across, 100)):
-                        busy[r + y, at + x] = True
+                across, down = span(c, "colspan", MOST_COLUMNS), span(c, "rowspan", MOST_ROWS)
+                if down > 1:
+                    busy.update(dict.fromkeys(range(at, at + across), r + down))
                 cells[at] = self.cell(c)
                 if across == 1:
                     width[at] = max(width.get(at, 0), *(len(x) for x in cells[at] or [""]))
                 at += across
+            self.muted = before
             grid.append(cells)
         columns = sorted(width.keys() | {k for row in grid for k in row})
         for row in grid:
@@ -407,13 +441,22 @@ class Renderer:
         return [x for x in out if x]
 
     def cell(self, n: Node) -> list[str]:
-        inner = Renderer(self.hidden)
+        inner = Renderer(self.rules, self.mutes(n, self.muted))
         for c in n.children:
             inner.render(c)
         inner.flush()
         return [x for x in inner.lines if x]
 
 
+def span(cell: Node, name: str, most: int) -> int:
+    """Columns or rows of a cell; a row span of zero reaches to the end."""
+    value = cell.attributes.get(name, "")
+    if not (value.isascii() and value.isdecimal()):
+        return 1
+    n = min(int(value[:9]), most)
+    return n or (most if name == "rowspan" else 1)
+
+
 def walk(n: Node, tag: str) -> list[Node]:
     out = []
     for c in n.children:
@@ -486,7 +529,9 @@ def text_of(source: str | None) -> tuple[str, str | None]:
         return "", None
     root = parse(source)
     title = find(root, "title")
-    r = Renderer(hiding_selectors(root))
+    if sys.getrecursionlimit() < FRAMES:
+        sys.setrecursionlimit(FRAMES)
+    r = Renderer(Rules(root))
     for c in root.children:
         r.render(c)
     r.flush()

@@ -14,13 +14,14 @@ for size and broadcast.
 
 Defined edge cases: a null or empty text has zero counts and fails the base
 rules (fewer than ten words); repeated rows give repeated results; long texts
-are tokenised in pieces cut at word starts, which leaves tokens unchanged
-unless a single word exceeds the piece.
+are tokenised in pieces cut where the vocabulary's own pattern cuts, so tokens
+are those of the whole text, whatever the length of its words and blanks.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -37,12 +38,18 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
+#: Texts are cut into pieces of about so many characters.
 PIECE_CHARS = 50_000
 
 # Fixed value: the published pre-tokenisation pattern of the vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: White space by Unicode's property, as the pattern has it. The library's regular expressions fail on runs of a million, so long ones are
+#: taken out: the pattern makes one piece of a run less its last character, which goes with what follows.
+_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{5000,}")
+
+
 @dataclass(frozen=True)
 class Band:
     """Accepted figures; those of fewer than ``min_tokens`` tokens are not judged.
@@ -110,9 +117,20 @@ class Vocabulary:
             except UnicodeDecodeError:
                 self.fallback[i] = True
 
+    def ids(self, text: str) -> np.ndarray:
+        out = []
+        for x in pieces(text):
+            at = 0
+            for m in _BLANKS.finditer(x) if len(x) >= 5_000 else ():
+                end = m.end() - (m.end() < len(x))
+                out += [self.encoding.encode_to_numpy(x[at : m.start()], disallowed_special=()), np.array(self.encoding._encode_single_piece(x[m.start() : end]), np.uint32)]
+                at = end
+            out.append(self.encoding.encode_to_numpy(x[at:], disallowed_special=()))
+        return np.concatenate(out)
+
     def measure(self, text: str) -> tuple[int, float, float, float]:
         """Tokens, code points a token, share of fallback tokens, entropy in bits."""
-        ids = np.concatenate([self.encoding.encode_to_numpy(x, disallowed_special=()) for x in pieces(text)]) if text else np.zeros(0, np.uint32)
+        ids = self.ids(text)
         n = len(ids)
         if not n:
             return 0, 0.0, 0.0, 0.0
@@ -122,13 +140,18 @@ class Vocabulary:
 
 
 def pieces(text: str, size: int = PIECE_CHARS) -> list[str]:
-    """Cut a long text before spaces that follow another character."""
+    """Cut a long text before spaces that follow another character, where every token ends; a piece may be longer than ``size`` if it holds no such place."""
     out, start = [], 0
     while len(text) - start > size:
         cut = text.rfind(" ", start + 1, start + size)
         while cut > start and text[cut - 1].isspace():
             cut = text.rfind(" ", start + 1, cut)
-        cut = start + size if cut <= start else cut
+        if cut <= start:
+            cut = text.find(" ", start + size)
+            while cut > 0 and text[cut - 1].isspace():
+                cut = text.find(" ", cut + 1)
+            if cut < 0:
+                break
         out.append(text[start:cut])
         start = cut
     return [*out, text[start:]]

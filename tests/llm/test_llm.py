@@ -1,5 +1,6 @@
 """The training-data operators against brute-force versions, libraries and edge cases."""
 
+import base64
 import hashlib
 import json
 import random
@@ -382,8 +383,37 @@ def test_quality_edges(edges):
     assert {(r.n_words, r.base_failed, r.kept) for r in got if r.doc_id in (1, 2, 3)} == {(0, True, False)}
     kept = quality.assess(edges, [tokenizer_file("byte_bpe_multi_50k.tiktoken")], keep=edges.columns, only_kept=True)
     assert kept.columns == edges.columns and kept.count() == 0
-    text = "ab cd  e " * 20_000
-    assert "".join(quality.pieces(text)) == text
+    with open(tokenizer_file("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        vocabulary = quality.Vocabulary(f.read())
+    rng = random.Random(5)
+    bits = ["ab cd  e " * 7_000, "x" * 120_000, " " * 70_000, "\n \t" * 20_000, "\u3000" * 9_000, "don't 12345 ", "é🎉", "\u2003", "!?" * 30_000]
+    for _ in range(12):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(1, 5)))
+        assert "".join(quality.pieces(text)) == text
+        assert vocabulary.ids(text).tolist() == vocabulary.encoding.encode(text, disallowed_special=())
+    assert len(vocabulary.ids(" " * 1_000_000 + "end")) > 1 and len(vocabulary.ids("y" * 1_000_000)) > 1
+
+
+def test_quality_method_by_brute_force(spark):
+    """Fertility, fallback, entropy and verdict from the tokens themselves."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    with open(tokenizer_file("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f.read().splitlines())}
+    token = {i: t for t, i in ranks.items()}
+    encoding = quality.Vocabulary(b"\n".join(base64.b64encode(t) + b" " + str(i).encode() for t, i in ranks.items())).encoding
+    got = {r.doc_id: r for r in quality.assess(docs, [tokenizer_file("byte_bpe_multi_50k.tiktoken")]).collect()}
+    for d in docs.collect():
+        r, ids = got[d.doc_id], encoding.encode(d.text or "", disallowed_special=())
+        if not ids:
+            continue
+        broken = sum("\ufffd" in token[i].decode(errors="replace") for i in ids) / len(ids)
+        bits = -sum(c / len(ids) * np.log2(c / len(ids)) for c in Counter(ids).values())
+        own = r.fertility[0]
+        assert own.n_tokens == len(ids) and np.allclose([own.fertility, own.fallback, own.entropy], [len(d.text) / len(ids), broken, bits], atol=1e-9)
+        band = quality.BANDS.get(d.lang) or quality.BANDS[r.script]
+        out = len(ids) >= band.min_tokens and not (band.min_fertility <= own.fertility <= band.max_fertility and broken <= band.max_fallback)
+        out = out or any(len(ids) >= n and bits < least for n, least in band.min_entropy)
+        assert r.kept == (not r.base_failed and not out)
 
 
 # 7
@@ -413,6 +443,53 @@ def test_html_keeps_visible_text():
         assert text(f"<style>{css}</style><p class=x>hidden") == "", css
 
 
+def test_html_visibility_and_spans():
+    text = lambda page: html_text.text_of(page)[0]
+    assert text("<div style='visibility:hidden'>no <b style='visibility:visible'>yes</b> no</div>") == "yes"
+    assert text("<style>.h{visibility:hidden}.v{visibility:visible}</style><div class=h>no<p class=v>yes</p><ul><li>no<li class=v>two</ul><table><tr><td>no<td class=v>c</table><pre>no</pre></div>end") == "yes\n\n- two\n\n | c\n\nend"
+    assert text("<div style='display:none'><b style='visibility:visible'>no</b></div>x") == "x"
+    deep = "".join(f"<div><p>{i}" for i in range(200))
+    assert text(deep).split() == [str(i) for i in range(200)]
+    assert text("<table><tr>" * 150 + "<td>in" ) == "in"
+    rows = "".join(f"<tr><td>{i}" for i in range(300))
+    page = text(f"<table><tr><td rowspan=301>top<td>first{rows}</table>").split("\n")
+    assert page[0] == "top | first" and all(x.strip(" |") == str(i) and x.startswith("    ") for i, x in enumerate(page[1:]))
+    wide = text("<table><tr><td colspan=500>a<td>z<tr>" + "".join(f"<td>{i}" for i in range(501)) + "</table>").split("\n")
+    assert wide[0].index("z") == wide[1].index("500") and wide[0].startswith("a ")
+    assert text("<table><tr><td rowspan=65534 colspan=1000>x" + "<td rowspan=65534 colspan=1000>y" * 200) .startswith("x")
+
+
+def test_html_visible_text_by_brute_force():
+    """Random trees: the words that stay are those whose elements are all displayed and whose nearest visibility is visible."""
+    rng = random.Random(21)
+    for _ in range(150):
+        want, count = [], [0]
+
+        def make(depth, gone, muted):
+            out = ""
+            for _ in range(rng.randint(0, 3)):  # noqa: B023
+                count[0] += 1  # noqa: B023
+                if not gone and not muted:
+                    want.append(f"w{count[0]}")  # noqa: B023
+                out += f" w{count[0]} "  # noqa: B023
+                if depth < 5:
+                    tag = rng.choice(["div", "b", "section", "span", "blockquote", "ul><li", "article"])  # noqa: B023
+                    style = rng.choice(["", "", "", " hidden", " style='display:none'", " style='color:red;visibility: hidden'", " style='visibility:visible'"])  # noqa: B023
+                    inner = make(depth + 1, gone or "none" in style or style == " hidden", "hidden'" in style or (muted and "visible" not in style))
+                    out += f"<{tag}{style}>{inner}</{tag.split('>')[-1].strip('<')}>" + ("</ul>" if tag.startswith("ul") else "")
+            return out
+
+        page = make(0, False, False)
+        assert [w for w in html_text.text_of(page)[0].split() if w.startswith("w")] == want, page
+
+
+def test_html_columns_and_empty_tables(spark):
+    pages = spark.createDataFrame([(1, "<p>x", "t", "u", None), (None, None, None, None, None)], "page_id long, html string, title string, text string, extra int")
+    got = html_text.extract(pages).collect()
+    assert sorted(map(str, got)) == sorted(map(str, html_text.extract(pages.select("page_id", "html")).collect())) and got[0].asDict() == {"page_id": 1, "title": None, "text": "x"}
+    assert html_text.extract(pages.limit(0)).count() == 0
+
+
 def test_html_edges(spark):
     pages = [(1, None), (2, ""), (3, "<div>" * 20_000 + "deep"), (4, "<<<>>"), (5, "<table><td>a<td>b"), (6, "<p>x</p>"), (6, "<p>x</p>"), (7, "<a href='unclosed>text")]
     got = html_text.extract(spark.createDataFrame(pages, "page_id long, html string")).collect()
