@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,6 +9,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.staging import delete, new_path
+
 #: Text is handed to Python kernels in slices of about this many bytes, so a
 #: worker's memory follows the slice (or one very long text), not the batch.
 SLICE_BYTES = 4 << 20
@@ -74,24 +74,14 @@ def crc_mod(doc_id: str | Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: the session's checkpoint folder, or one of our own if it has none."""
-    sc = spark.sparkContext
-    place = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not place:
-        place = tempfile.mkdtemp(prefix="bandscope-")  # local sessions only: a cluster names its folder
-        sc.setCheckpointDir(place)
-    return place.rstrip("/")
-
-
 def stored(df: DataFrame, *after: DataFrame) -> DataFrame:
     """Cut lineage: write the rows once to the shared folder and read them back. Then drop the tables ``after``."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/bandscope/{uuid.uuid4().hex}"
+    path = new_path(spark)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")  # the plan's shuffle files go as soon as it has been written
     try:
-        df.write.parquet(path)
+        df.write.mode("overwrite").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
@@ -104,6 +94,4 @@ def drop_stored(*tables: DataFrame) -> None:
     for table in tables:
         path = getattr(table, "_stored_at", None)
         if path:
-            jvm, jsc = table.sparkSession._jvm, table.sparkSession.sparkContext._jsc
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)
+            delete(table.sparkSession, path)

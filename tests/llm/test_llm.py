@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -737,6 +738,22 @@ def test_toxicity_edges(edges, spark):
     assert toxicity.predict(edges.limit(0), labels.limit(0), lambda c: F.lit(False)).count() == 0
 
 
+# intermediate tables
+
+
+def test_nothing_is_left_behind(spark, edges, benchmark):
+    """After the results have been read the shared folder can be emptied; personal data never enters it."""
+    from bandscope.operators import staging
+
+    staging.clear(spark)
+    place = Path(staging.scratch_dir(spark)) / "bandscope"
+    pii.digests(pii.find_pii(edges)).collect()
+    assert not list(place.iterdir())
+    for df in (substrings.repeated_spans(edges), neardup.near_duplicates(edges), decontaminate.find_overlaps(edges, benchmark, block_bytes=5)):
+        df.collect()
+    assert list(place.iterdir()) and staging.clear(spark) and not list(place.iterdir())
+
+
 # the pipeline
 
 
@@ -773,3 +790,20 @@ def test_pipeline_edges(spark, edges, benchmark, tmp_path):
         at = stage(spark, at, str(tmp_path))
         assert at.columns == edges.columns
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_edges_past_the_first_stage(spark, edges, benchmark, tmp_path):
+    """Rows with clashing names, null and repeated ids that pass the quality rules reach every stage through run."""
+    import corpus_pipeline as cp
+
+    good = [r.text for r in cp.quality_rules(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).where("lang = 'en' and length(text) between 900 and 1500 and text not like '%http%'").orderBy("doc_id").limit(4).collect()]
+    rows = [(1, good[0]), (1, good[0]), (1, good[1]), (None, good[2]), (None, good[2]), (5, good[3] + " token=abcdef0123456789 end"), (6, good[2] + " same text here")]
+    more = spark.createDataFrame([(i, t, "en", None, None, i, "c", 1.0, None) for i, t in rows], edges.schema)
+    edges.unionByName(more).write.parquet(str(tmp_path / "documents.parquet"))
+    benchmark.write.parquet(str(tmp_path / "benchmark.parquet"))
+    at = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    assert cp.quality_rules(spark, at, "").count() == len(rows)
+    got = Counter((r.doc_id, r.decoded_sha256) for r in cp.run(spark, str(tmp_path)).collect())
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    # One row of id 1 stays, both without an id do, the secret is masked, and the benchmark's words go.
+    assert got == Counter([(1, sha(min(good[0], good[1]))), (None, sha(good[2])), (None, sha(good[2])), (5, sha(good[3] + " [SECRET] end"))])
