@@ -32,6 +32,8 @@ def main(argv: list[str] | None = None) -> int:
         c.add_argument("--nominal", type=float)
         c.add_argument("--start", type=float, default=0.0)
         c.add_argument("--duration", type=float, default=1.0)
+        c.add_argument("--target-rate", type=float)
+        c.add_argument("--target-centre", type=float)
     c = sub.add_parser("battle")
     c.add_argument("path")
     c.add_argument("--json", action="store_true")
@@ -66,6 +68,8 @@ def main(argv: list[str] | None = None) -> int:
             if part.isEmpty():
                 print("the span is not in the capture", file=sys.stderr)
                 return 1
+            if a.target_rate:
+                part = iq.extract_span(blocks, a.start, a.duration, a.rate, a.target_rate, (a.target_centre or a.centre) - a.centre)
             part.drop("halo").write.mode("overwrite").parquet(a.store or "extract.parquet")
         else:
             spectrum = signal.survey(blocks, a.rate, a.centre, 1 << 13, 1 << 13).select("capture_id", "frequency_hz", F.pow(F.lit(10.0), F.col("power_db") / 10).alias("power"))

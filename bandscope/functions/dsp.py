@@ -184,7 +184,7 @@ def edge(f: np.ndarray, db: np.ndarray, level: float, rising: bool) -> float:
     freq = f[: peak + 1][::-1] if rising else f[peak:]
     cross = np.flatnonzero((side[:-1] >= level) & (side[1:] < level))
     if not len(cross):
-        raise ValueError("the spectrum does not cross that level on this side")
+        raise ValueError("no bin on this side falls below the level")
     i = cross[0]
     return float(freq[i] + (side[i] - level) / (side[i] - side[i + 1]) * (freq[i + 1] - freq[i]))
 

@@ -25,6 +25,20 @@ def channel_frequency(channel) -> Column:
     return S.CHANNEL_1_HZ + (_c(channel) - 1) * S.CHANNEL_SPACING_HZ
 
 
+def raster_channel(frequency, base: float = S.UHF_BASE_HZ, step: float = S.UHF_STEP_HZ, first: int = S.UHF_CHANNELS[0], last: int = S.UHF_CHANNELS[1]) -> Column:
+    """The nearest channel of a regular raster, held within its range; halves go to the even channel."""
+    k = F.rint((_c(frequency) - base) / step)
+    return F.greatest(F.lit(first), F.least(F.lit(last), k.cast("int")))
+
+
+def raster_centre(channel, base: float = S.UHF_BASE_HZ, step: float = S.UHF_STEP_HZ) -> Column:
+    return base + _c(channel) * step
+
+
+def nearest_carrier(frequency, raster: float = S.CARRIER_RASTER_HZ) -> Column:
+    return F.rint(_c(frequency) / raster) * raster
+
+
 def image_frequency(frequency, centre: float = S.RECEIVER_CENTRE_HZ) -> Column:
     return 2 * F.lit(centre) - _c(frequency)
 

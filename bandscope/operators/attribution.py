@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from .joins import band_join, interval_join
-
-FIELDS = "row_id t0 t1 f p"
+from .staging import staged
 
 
 def _side(emissions: DataFrame, prefix: str) -> DataFrame:
@@ -22,7 +21,7 @@ def _side(emissions: DataFrame, prefix: str) -> DataFrame:
 
 
 def parent_pairs(emissions: DataFrame, margin_db: float = S.LEVEL_MARGIN_DB) -> DataFrame:
-    """(weak, strong) pairs on air together, the strong one at least the margin above."""
+    """(weak, strong) pairs on air together, the strong one at least the margin above. Stage them where they are read more than once."""
     return interval_join(_side(emissions, "w"), _side(emissions, "s"), ("w_t0", "w_t1"), ("s_t0", "s_t1"), F.col("s_p") - F.col("w_p") >= margin_db)
 
 
@@ -48,7 +47,7 @@ def intermodulation(pairs: DataFrame, tolerance_hz: float = S.PRODUCT_TOLERANCE_
 
 def attribute(emissions: DataFrame, tolerance_hz: float = S.PRODUCT_TOLERANCE_HZ, margin_db: float = S.LEVEL_MARGIN_DB) -> DataFrame:
     """All rows, with ``attributed_to_hz`` and ``attribution`` set where a relation explains them; splatter comes first."""
-    pairs = parent_pairs(emissions, margin_db)
+    pairs = staged(parent_pairs(emissions, margin_db))  # both relations join them with themselves
     a = splatter(pairs, tolerance_hz).select("row_id", F.col("parent_hz").alias("a_hz"))
     b = intermodulation(pairs, tolerance_hz).select("row_id", F.col("parent_hz").alias("b_hz"))
     base = emissions.drop("attributed_to_hz", "attribution")
@@ -59,3 +58,9 @@ def attribute(emissions: DataFrame, tolerance_hz: float = S.PRODUCT_TOLERANCE_HZ
         .withColumn("attribution", F.when(F.col("a_hz").isNotNull(), "SPLATTER").when(F.col("b_hz").isNotNull(), "INTERMOD3"))
         .drop("a_hz", "b_hz")
     )
+
+
+def totals(attributed: DataFrame) -> DataFrame:
+    """How many emissions there are, and how many each relation explains; one row, zeros for an empty table."""
+    kind = F.col("attribution")
+    return attributed.agg(F.count("*").alias("emissions"), F.count_if(kind == "SPLATTER").alias("splatter"), F.count_if(kind == "INTERMOD3").alias("intermod"), F.count_if(kind.isNull()).alias("own"))

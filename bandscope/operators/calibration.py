@@ -53,6 +53,14 @@ def fit_trimmed(points: DataFrame, key: str = "gain_key", x: str = "measured_dbf
     return points.select(F.col(key).alias("gain_key"), x, y).groupBy("gain_key").applyInPandas(run, CALIBRATION_DDL)
 
 
+def dynamic_range(points: DataFrame, key: str = "gain_key", x: str = "measured_dbfs", y: str = "input_dbm", linearity_db: float = 1.0) -> DataFrame:
+    """The span of levels that stays linear, by key, after the points that are off have been dropped; zero for fewer than three points."""
+    fitted = fit_trimmed(points, key, x, y, limit_db=linearity_db).select(F.col("gain_key").alias("f_key"), (F.col("valid_hi") - F.col("valid_lo")).alias("span"))
+    counts = points.groupBy(F.col(key).alias("gain_key")).agg(F.count("*").alias("points"))
+    joined = counts.join(fitted, F.col("gain_key").eqNullSafe(F.col("f_key")), "left")
+    return joined.select("gain_key", F.when(F.col("points") >= 3, F.coalesce("span", F.lit(0.0))).otherwise(F.lit(0.0)).alias("dynamic_range_db"))
+
+
 def chain_table(spark: SparkSession, stages=S.CHAIN) -> DataFrame:
     return spark.createDataFrame(list(stages), "stage_idx int, name string, gain_db double, noise_figure_db double, max_input_dbm double")
 

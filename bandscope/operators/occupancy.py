@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import utc_hour
+from .staging import staged
 
 
 def own_emissions(emissions: DataFrame) -> DataFrame:
@@ -45,40 +46,102 @@ def grid(emissions: DataFrame) -> DataFrame:
     return out.select("pmr_channel", *(F.coalesce(F.col(str(h)), F.lit(0.0)).alias(f"h{h:02d}") for h in hours)).orderBy(F.asc_nulls_last("pmr_channel"))
 
 
-def index_spread(values: str):
-    """Inner-quartile distance by index of the sorted values; zero below two values."""
-    s, n = F.array_sort(values), F.size(values)
-    upper = F.floor(3 * n / 4).cast("int") - F.when(n % 4 == 0, 1).otherwise(0)
-    return F.when(n >= 2, F.get(s, F.greatest(upper, F.lit(0))) - F.get(s, F.floor(n / 4).cast("int"))).otherwise(F.lit(0.0))
+#: Values of a profile and their cells: narrow ranges of value that hold few distinct values each. A cell's number never falls as the value rises.
+_CELLS = {
+    "duration_s": lambda v: F.floor(F.log2(F.greatest(v, F.lit(0.0)) + 1) * 1024),
+    "gap": lambda v: F.floor(F.log2(F.greatest(v, F.lit(0.0)) + 1) * 1024),
+    "peak_power_dbfs": lambda v: F.floor(v * 100),
+    "frequency_hz": lambda v: F.floor(v / 10),
+}
+DAY_S = 86_400.0
+
+
+def _met(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join on columns that may be null; the left side's are kept."""
+    names = {c: f"{c}__r" for c in on}
+    condition = None
+    for c, r in names.items():
+        same = F.col(c).eqNullSafe(F.col(r))
+        condition = same if condition is None else condition & same
+    return left.join(right.withColumnsRenamed(names), condition, how).drop(*names.values())
+
+
+def with_gaps(members: DataFrame, keys: list[str]) -> DataFrame:
+    """Add ``gap``, the silence since the end of the emission before in the group (null if it was still on), and ``together``:
+    whether any earlier one of the group was still on.
+
+    Groups are cut by day; each day is told what the days before leave, so no task holds a group's whole history.
+    """
+    order = F.struct("timestamp", "row_id")
+    e = members.withColumn("end__", F.col("timestamp") + F.col("duration_s")).withColumn("day__", F.floor(F.col("timestamp") / DAY_S))
+    along = Window.partitionBy(*keys).orderBy("day__")
+    days = e.groupBy(*keys, "day__").agg(F.max_by("end__", order).alias("last__"), F.max("end__").alias("top__"))
+    left = days.select(*keys, "day__", F.lag("last__").over(along).alias("before__"), F.max("top__").over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("open__"))
+    w = Window.partitionBy(*keys, "day__").orderBy("timestamp", "row_id")
+    e = _met(e, left, [*keys, "day__"])
+    gap = F.col("timestamp") - F.when(F.row_number().over(w) == 1, F.col("before__")).otherwise(F.lag("end__").over(w))
+    latest = F.greatest(F.col("open__"), F.max("end__").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    e = e.withColumns({"gap": gap, "together": F.coalesce(F.col("timestamp") < latest, F.lit(False))})
+    return e.withColumn("gap", F.when(F.col("gap") >= 0, F.col("gap"))).drop("end__", "day__", "before__", "open__", "last__", "top__")
+
+
+def order_statistics(members: DataFrame, keys: list[str], cells: dict = _CELLS) -> DataFrame:
+    """For each group the exact median and index spread of each column of ``cells``, as ``median_<column>`` and ``spread_<column>``.
+
+    The spread is the inner-quartile distance by index of the sorted values, zero below two values. Equal values are counted first;
+    cells are summed and only the cells that hold a wanted rank are ordered, so a task orders a few values and never a group.
+    """
+    values = F.array(*(F.struct(F.lit(c).alias("of"), F.col(c).alias("v"), cell(F.col(c)).alias("cell")) for c, cell in cells.items()))
+    each = members.select(*keys, F.explode(values).alias("x__")).select(*keys, "x__.*").where("v is not null")
+    counted = each.groupBy(*keys, "of", "cell", "v").agg(F.count("*").alias("n"))
+    group = [*keys, "of"]
+    along = Window.partitionBy(*group).orderBy("cell")
+    sums = counted.groupBy(*group, "cell").agg(F.sum("n").alias("inside"))
+    sums = sums.withColumns({"below": F.sum("inside").over(along.rowsBetween(Window.unboundedPreceding, 0)) - F.col("inside"), "total": F.sum("inside").over(Window.partitionBy(*group))})
+    n = F.col("total")
+    ranks = {"m0": F.floor((n - 1) / 2), "m1": F.floor(n / 2), "q1": F.floor(n / 4), "q3": F.floor(3 * n / 4) - F.when(n % 4 == 0, 1).otherwise(0)}
+    sums = sums.withColumns(ranks)
+    within = lambda r, lo, size: (F.col(r) >= lo) & (F.col(r) < lo + size)
+    wanted = None
+    for r in ranks:
+        here = within(r, F.col("below"), F.col("inside"))
+        wanted = here if wanted is None else wanted | here
+    found = _met(counted, sums.where(wanted), [*group, "cell"])
+    inner = Window.partitionBy(*group, "cell").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    found = found.withColumn("from", F.col("below") + F.sum("n").over(inner) - F.col("n"))
+    at = found.groupBy(*group).agg(F.max("total").alias("total"), *(F.max(F.when(within(r, F.col("from"), F.col("n")), F.col("v"))).alias(r) for r in ranks))
+    told = at.select(*group, ((F.col("m0") + F.col("m1")) / 2).alias("median"), F.when(F.col("total") >= 2, F.col("q3") - F.col("q1")).otherwise(F.lit(0.0)).alias("spread"))
+    pick = lambda c, what: F.coalesce(F.max(F.when(F.col("of") == c, F.col(what))), F.lit(0.0)).alias(f"{what}_{c}")
+    return told.groupBy(*keys).agg(*(pick(c, what) for c in cells for what in ("median", "spread")))
 
 
 def profile_stats(members: DataFrame, keys: list[str]) -> DataFrame:
-    """Figures of groups of emissions: counts, span, duty, medians and spreads. An index spread needs a group's values in one
-    array, so its group must fit a task; all else aggregates partially."""
-    w = Window.partitionBy(*keys).orderBy("timestamp", "row_id")
-    gap = F.col("timestamp") - F.lag(F.col("timestamp") + F.col("duration_s")).over(w)
-    e = members.withColumn("gap", gap).withColumn("gap", F.when(F.col("gap") >= 0, F.col("gap")))
-    latest = F.max(F.col("timestamp") + F.col("duration_s")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    e = e.withColumn("together", F.coalesce(F.col("timestamp") < latest, F.lit(False)))
-    zero = lambda c: F.coalesce(F.median(c), F.lit(0.0))
+    """Figures of groups of emissions: counts, span, duty, medians and spreads. No task holds a group's values or its history;
+    the rows with their gaps are written to the shared folder, as totals and ranks both read them."""
+    e = staged(with_gaps(members.select(*keys, "row_id", "timestamp", *(c for c in _CELLS if c != "gap")), keys))
     out = e.groupBy(*keys).agg(
         F.count("*").alias("transmissions"),
         F.sum("duration_s").alias("airtime_s"),
         F.min("timestamp").alias("first_seen"),
         F.max(F.col("timestamp") + F.col("duration_s")).alias("last_seen"),
-        zero("duration_s").alias("median_duration_s"),
-        zero("gap").alias("median_gap_s"),
-        zero("peak_power_dbfs").alias("median_power_dbfs"),
-        zero("frequency_hz").alias("median_frequency_hz"),
         F.max("together").alias("proven_multiple"),
-        F.collect_list("peak_power_dbfs").alias("powers"),
-        F.collect_list("frequency_hz").alias("frequencies"),
     )
+    out = _met(out, order_statistics(e, keys), keys, "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     span = F.col("last_seen") - F.col("first_seen")
-    return (
-        out.withColumn("duty_cycle", F.when(span > 0, F.col("airtime_s") / span).otherwise(F.lit(0.0)))
-        .withColumn("power_spread_db", index_spread("powers"))
-        .withColumn("frequency_spread_hz", index_spread("frequencies"))
-        .withColumn("count_is_lower_bound", ~F.col("proven_multiple"))
-        .drop("powers", "frequencies")
+    return out.select(
+        *keys,
+        "transmissions",
+        "airtime_s",
+        "first_seen",
+        "last_seen",
+        zero("median_duration_s").alias("median_duration_s"),
+        zero("median_gap").alias("median_gap_s"),
+        zero("median_peak_power_dbfs").alias("median_power_dbfs"),
+        zero("median_frequency_hz").alias("median_frequency_hz"),
+        "proven_multiple",
+        F.when(span > 0, F.col("airtime_s") / span).otherwise(F.lit(0.0)).alias("duty_cycle"),
+        zero("spread_peak_power_dbfs").alias("power_spread_db"),
+        zero("spread_frequency_hz").alias("frequency_spread_hz"),
+        (~F.col("proven_multiple")).alias("count_is_lower_bound"),
     )

@@ -51,3 +51,16 @@ def tracked(cells: DataFrame, hangover: int, min_frames: int, max_frames: int, m
         .where((F.col("frame_count") >= min_frames) & (F.col("occupancy") >= min_occupancy))
         .drop("run", "piece")
     )
+
+
+def failure_streaks(steps: DataFrame, keys: list[str], at: str, ok: str, give_up: int = 20, longest_wait_s: float = 60.0) -> DataFrame:
+    """Add ``failures`` (failed steps in a row up to this one, zero after a good one), ``wait_s`` (doubling, up to a limit) and
+    ``given_up``. A null ``ok`` counts as failed."""
+    good = F.coalesce(F.col(ok), F.lit(False))
+    w = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    out = steps.withColumn("since__", F.sum(good.cast("int")).over(w))
+    since = Window.partitionBy(*keys, "since__").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    n = F.sum((~good).cast("int")).over(since)
+    out = out.withColumn("failures", n).drop("since__")
+    wait = F.least(F.pow(F.lit(2.0), F.least("failures", F.lit(6))), F.lit(longest_wait_s))
+    return out.withColumns({"wait_s": F.when(F.col("failures") > 0, wait).otherwise(F.lit(0.0)), "given_up": F.col("failures") >= give_up})

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import channel_at
-from ..operators.staging import staged
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,7 +13,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def emissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One emission for each event. Written once, so that joins on inequalities don't evaluate its expressions again for each pair."""
+    """One emission for each event. Queries that read it several times, or join it on inequalities, stage it first."""
     e = table(spark, sf_dir, "events")
     k = F.coalesce(F.regexp_extract("props", r"(\d+)", 1).cast("bigint"), F.lit(0))
     f = F.lit(446_006_250.0) + F.pmod(k, F.lit(20)) * 12_500.0 + (F.pmod(F.col("event_id"), F.lit(7)) - 3) * 900.0
@@ -43,14 +42,6 @@ EM = """em AS MATERIALIZED (
       FROM events)))"""
 
 
-def short(e: DataFrame) -> DataFrame:
-    """Emissions at a quarter of their length, for queries on overlapping pairs; stored before the joins."""
-    return staged(e.withColumn("duration_s", F.col("duration_s") / 4))
-
-
-SHORT = EM + """, es AS MATERIALIZED (SELECT * REPLACE (duration_s / 4e0 AS duration_s) FROM em)"""
-
-
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Power cells from the embeddings: squares of the elements, 64 bins a frame."""
     v = table(spark, sf_dir, "embeddings")

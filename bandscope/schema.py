@@ -58,6 +58,10 @@ STORE_COLUMNS = (
     "offset_s peak_deviation_hz lna_db vga_db amp_enabled attributed_to_hz attribution"
 ).split()
 TRUTH_DDL = "emitter string, start_s double, stop_s double, frequency_hz double, pmr_channel int, ctcss_hz double, received_dbm double, snr_db double"
+# The rasters of terrestrial television channels and of cellular carriers.
+UHF_BASE_HZ, UHF_STEP_HZ, UHF_CHANNELS = 306e6, 8e6, (21, 48)
+CARRIER_RASTER_HZ = 100e3
+
 IQ_DDL = "capture_id string, block_idx bigint, start_sample bigint, n int, start_time double, iq array<float>"
 
 

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .. import schema as S
@@ -128,12 +129,103 @@ def read_iq(spark: SparkSession, path: str, settings: S.Settings, form: str | No
     return (reader.option("sampleformat", form) if form else reader).load(path)
 
 
+def read_gaps(reads: DataFrame) -> DataFrame:
+    """The reads after which samples are missing, from rows with ``delivered`` (samples, or an error code of at most zero) and ``overflowed``.
+
+    A read that was flagged delivered real samples beside a gap; one that delivered none is a gap of unknown size, and is no
+    overflow if it only timed out (zero). ``samples_lost_estimate`` counts overflows: their size isn't known.
+    """
+    some = F.col("delivered") > 0
+    gaps = reads.where((some & F.col("overflowed")) | ~some)
+    return gaps.withColumns({"samples_delivered": F.greatest(F.col("delivered"), F.lit(0)).cast("double"), "overflow": some | (F.col("delivered") != 0)}).drop("delivered", "overflowed")
+
+
+def samples_lost_estimate(gaps: DataFrame, *keys: str) -> DataFrame:
+    return gaps.groupBy(*keys).agg(F.count("*").alias("gaps"), F.count_if("overflow").alias("samples_lost_estimate"))
+
+
 def extract(blocks: DataFrame, start_s: float, duration_s: float, rate: float) -> DataFrame:
     """The blocks that a span touches; an empty result means that the capture doesn't hold it."""
     a, b = int(start_s * rate), int((start_s + duration_s) * rate)
     return blocks.where((blocks.start_sample < b) & (blocks.start_sample + blocks.n > a))
 
 
+#: Half the length of the decimation filter, in output samples, and the shape of its Kaiser window.
+HALF_TAPS, KAISER_BETA = 10, 9.0
+
+
+def decimation_filter(factor: int) -> np.ndarray:
+    half = HALF_TAPS * factor
+    taps = np.sinc(np.arange(-half, half + 1) / factor) * np.kaiser(2 * half + 1, KAISER_BETA)
+    return taps / taps.sum()
+
+
+def extract_span(blocks: DataFrame, start_s: float, duration_s: float, rate: float, target_rate: float, offset_hz: float = 0.0, chunk: int = 16_384) -> DataFrame:
+    """A span of one capture at a lower rate: its own mean taken out, shifted down by ``offset_hz``, filtered and decimated.
+
+    Returns (``chunk_idx``, ``start_sample``, ``n``, ``iq`` as interleaved floats) with ``chunk`` output samples each. The mean is one
+    aggregation; every block sends each chunk just the samples its filter reaches, so a task holds one chunk. The span starts and
+    ends in silence (zeros). Raises if the factor isn't whole or the capture doesn't hold the span.
+    """
+    factor = round(rate / target_rate)
+    if factor < 1 or abs(rate / target_rate - factor) > 1e-9:
+        raise ValueError(f"{rate} over {target_rate} is not a whole factor")
+    first, count = int(start_s * rate), int(duration_s * rate)
+    half = HALF_TAPS * factor
+    chunks = -(-(-(-count // factor)) // chunk)
+
+    def cut(start, x):
+        """The part of a block inside the span, and its place in it."""
+        z = np.asarray(x, np.float32).view(np.complex64)
+        lo, hi = max(first - start, 0), min(first + count - start, len(z))
+        return start + lo - first, z[lo:hi] if hi > lo else z[:0]
+
+    def sums(batches):
+        for batch in batches:
+            parts = [cut(s, x)[1] for s, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            totals = [p.sum(dtype=np.complex128) for p in parts]
+            yield pa.RecordBatch.from_arrays([pa.array([float(t.real) for t in totals]), pa.array([float(t.imag) for t in totals]), pa.array([len(p) for p in parts], pa.int64())], names=["re", "im", "k"])
+
+    inside = extract(blocks, start_s, duration_s, rate).select("start_sample", "iq")
+    total = inside.mapInArrow(sums, "re double, im double, k long").agg(F.sum("re"), F.sum("im"), F.sum("k")).first()
+    if not count or (total[2] or 0) < count:
+        raise ValueError(f"{duration_s} s from {start_s} s on: the capture holds {total[2] or 0} of {count} samples")
+    mean = complex(total[0], total[1]) / total[2]
+
+    def pieces(batches):
+        for batch in batches:
+            for s, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                at, z = cut(s, x)
+                if not len(z):
+                    continue
+                z = ((z - mean) * np.exp(-2j * np.pi * offset_hz / rate * np.arange(at, at + len(z)))).astype(np.complex64)
+                span = chunk * factor
+                for c in range(max((at - half) // span, 0), min((at + len(z) + half) // span, chunks - 1) + 1):
+                    lo, hi = max(c * span - half - at, 0), min((c + 1) * span + half - at, len(z))
+                    if hi > lo:
+                        part = np.ascontiguousarray(z[lo:hi]).view(np.float32)
+                        yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([at + lo], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), pa.array(part))], names=["chunk_idx", "at", "iq"])
+
+    taps = decimation_filter(factor)
+
+    def filtered(table: pa.Table) -> pa.Table:
+        c = table.column("chunk_idx")[0].as_py()
+        base = c * chunk * factor - half
+        z = np.zeros(chunk * factor + 2 * half, np.complex64)
+        for at, x in zip(table.column("at").to_pylist(), table.column("iq").to_pylist(), strict=True):
+            part = np.asarray(x, np.float32).view(np.complex64)
+            z[at - base : at - base + len(part)] = part
+        n = min(chunk, -(-count // factor) - c * chunk)
+        y = np.zeros(n, np.complex128)
+        for k, tap in enumerate(taps):  # symmetric, so correlation is convolution
+            y += tap * z[k : k + (n - 1) * factor + 1 : factor]
+        out = y.astype(np.complex64).view(np.float32)
+        return pa.table({"chunk_idx": pa.array([c], pa.int64()), "start_sample": pa.array([c * chunk], pa.int64()), "n": pa.array([n], pa.int32()), "iq": pa.ListArray.from_arrays(pa.array([0, len(out)], pa.int32()), pa.array(out))})
+
+    dealt = inside.mapInArrow(pieces, "chunk_idx long, at long, iq array<float>")
+    return dealt.groupBy("chunk_idx").applyInArrow(filtered, "chunk_idx long, start_sample long, n int, iq array<float>")
+
+
 def write_capture(x: np.ndarray, path: str, form: str, **sidecar) -> dict:
     """Write one short capture and its sidecar from the driver."""
     raw, peak = encode(x, form)

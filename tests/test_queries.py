@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bandscope.operators import attribution, calibration, clustering, joins, occupancy, scoring, sessions
+from bandscope.operators.staging import staged
 from bandscope.plans import queries, views
 
 SF = "/root/testdata/sf0.001"
@@ -85,7 +86,7 @@ def test_interval_join_meets_each_pair_once(spark):
 
 
 def test_interval_join_has_no_nested_loop(spark):
-    e = views.short(views.emissions(spark, SF))
+    e = staged(views.emissions(spark, SF))
     plan = attribution.parent_pairs(e)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
@@ -167,3 +168,34 @@ def test_range_query_covers_all_emissions_with_default_draws(spark, monkeypatch)
     for i in sorted(rows)[:5]:
         loss = db - (rows[i].peak_power_dbfs / 4 - 60) - 20 * np.log10(4 * np.pi * rows[i].frequency_hz / 299_792_458.0)
         assert np.allclose(got[i][1:], np.percentile(10 ** (loss / (10 * n)), [5, 50, 68, 90, 95]), rtol=0.08)
+
+
+def test_gaps_and_ranks_are_those_of_whole_groups(spark):
+    """Days apart, emissions over midnight, ties, nulls and single rows: the cut by day and cell changes nothing."""
+    rng = random.Random(5)
+    rows = [(i, rng.choice([10.0, 86_399.0, 86_400.0, 400_000.0]) + rng.randrange(0, 90_000, 7), rng.choice([1.0, 5.0, 100_000.0]), 446e6 + rng.choice([0, 3, 3, 7, 12_500]), rng.choice([-10.0, -10.001, -50.0]), rng.choice([None, 67.0, 67.0, 67.0])) for i in range(300)]
+    rows.append((999, 5.0, 1.0, 446e6, -7.0, 99.0))
+    got = {r.ctcss_tone_hz: r for r in occupancy.profile_stats(emissions(spark, rows), ["ctcss_tone_hz"]).collect()}
+    assert set(got) == {None, 67.0, 99.0}
+    for tone, r in got.items():
+        group = sorted((x for x in rows if x[5] == tone), key=lambda x: (x[1], x[0]))
+        gaps = [b[1] - (a[1] + a[2]) for a, b in zip(group, group[1:]) if b[1] >= a[1] + a[2]]
+        power = sorted(x[4] for x in group)
+        n = len(power)
+        spread = power[3 * n // 4 - (n % 4 == 0)] - power[n // 4] if n >= 2 else 0.0
+        assert r.transmissions == n and r.median_gap_s == pytest.approx(float(np.median(gaps)) if gaps else 0.0)
+        assert r.median_power_dbfs == pytest.approx(np.median(power)) and r.power_spread_db == pytest.approx(spread)
+        assert r.median_frequency_hz == pytest.approx(np.median([x[3] for x in group]), abs=1e-6)
+        assert r.proven_multiple == any(b[1] < a[1] + a[2] for i, b in enumerate(group) for a in group[:i])
+
+
+def test_dynamic_range_leaves_out_compressed_levels(spark):
+    line = [("a", float(x), x + 3.0) for x in range(-60, 0, 5)] + [("a", 5.0, 30.0)] + [("b", -1.0, 0.0), ("b", -9.0, 0.0)]
+    points = spark.createDataFrame(line, "gain_key string, measured_dbfs double, input_dbm double")
+    got = {r.gain_key: r.dynamic_range_db for r in calibration.dynamic_range(points).collect()}
+    assert got["a"] == pytest.approx(55.0) and got["b"] == 0.0
+
+
+def test_attribution_reads_staged_pairs(spark):
+    plan = attribution.attribute(staged(views.emissions(spark, SF)))._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode(sequence(FLOOR((w_t0" not in plan and "NestedLoop" not in plan

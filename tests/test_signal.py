@@ -170,6 +170,24 @@ def test_captures_on_disk(spark, tmp_path, form):
         iq.read_iq(spark, str(tmp_path / "none.cs8"), SMALL)
 
 
+def test_extract_equals_one_filter_over_the_span(spark):
+    rng = np.random.default_rng(3)
+    x = (rng.normal(size=9_000) + 1j * rng.normal(size=9_000) + 0.7).astype(np.complex64)
+    rows = [("c", i, i * 1_000, 1_000, 0.0, np.ascontiguousarray(x[i * 1_000 : (i + 1) * 1_000]).view(np.float32).tolist()) for i in range(9)]
+    blocks = spark.createDataFrame(rows, "capture_id string, block_idx bigint, start_sample bigint, n int, start_time double, iq array<float>")
+    got = iq.extract_span(blocks, 1.5, 6.3, 1_000.0, 250.0, 120.0, chunk=400).orderBy("start_sample").collect()
+    span = x[1_500:7_800].astype(np.complex128)
+    span = (span - span.mean()) * np.exp(-2j * np.pi * 0.12 * np.arange(len(span)))
+    want = np.convolve(span, iq.decimation_filter(4))[40 : 40 + len(span) : 4]
+    y = np.concatenate([np.array(r.iq, np.float32).view(np.complex64) for r in got])
+    assert [r.start_sample for r in got] == [0, 400, 800, 1_200] and len(y) == len(want) == 1_575
+    assert np.abs(y - want).max() < 1e-4
+    with pytest.raises(ValueError, match="whole factor"):
+        iq.extract_span(blocks, 0.0, 1.0, 1_000.0, 300.0)
+    with pytest.raises(ValueError, match="holds"):
+        iq.extract_span(blocks, 5.0, 6.0, 1_000.0, 250.0)
+
+
 def test_stream_of_blocks_equals_batch(spark, tmp_path):
     from bandscope.operators.sessions import tracked
     from bandscope.streaming import tracker
