@@ -47,12 +47,13 @@ CHAIN = (
     (4, "receiver", 0.0, 8.0, -5.0),
 )
 
+# Names and order of an emission's fields.
 EMISSION_DDL = (
     "timestamp double, frequency_hz double, pmr_channel int, bin_index int, duration_s double, peak_power_dbfs double, snr_db double, "
     "estimated_dbm double, calibrated boolean, ctcss_tone_hz double, classification string, offset_s double, peak_deviation_hz double, "
     "gains struct<lna_db: double, vga_db: double, amp_enabled: boolean>, attributed_to_hz double, attribution string"
 )
-#: Flattened form at rest, in the store's column order.
+#: The flattened form at rest, in the store's column order.
 STORE_COLUMNS = (
     "timestamp frequency_hz pmr_channel bin_index duration_s peak_power_dbfs snr_db estimated_dbm calibrated ctcss_tone_hz classification "
     "offset_s peak_deviation_hz lna_db vga_db amp_enabled attributed_to_hz attribution"

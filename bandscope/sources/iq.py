@@ -165,7 +165,7 @@ def extract_span(blocks: DataFrame, start_s: float, duration_s: float, rate: flo
 
     Returns (``chunk_idx``, ``start_sample``, ``n``, ``iq`` as interleaved floats) with ``chunk`` output samples each. The mean is one
     aggregation; every block sends each chunk just the samples its filter reaches, so a task holds one chunk. The span starts and
-    ends in silence (zeros). Raises if the factor isn't whole or the capture doesn't hold the span.
+    ends in silence (zeros). Raises if the factor isn't whole, the capture doesn't hold the span, or the blocks are of several captures.
     """
     factor = round(rate / target_rate)
     if factor < 1 or abs(rate / target_rate - factor) > 1e-9:
@@ -188,8 +188,8 @@ def extract_span(blocks: DataFrame, start_s: float, duration_s: float, rate: flo
 
     inside = extract(blocks, start_s, duration_s, rate).select("start_sample", "iq")
     total = inside.mapInArrow(sums, "re double, im double, k long").agg(F.sum("re"), F.sum("im"), F.sum("k")).first()
-    if not count or (total[2] or 0) < count:
-        raise ValueError(f"{duration_s} s from {start_s} s on: the capture holds {total[2] or 0} of {count} samples")
+    if not count or total[2] != count:  # too few, or more than one capture
+        raise ValueError(f"{duration_s} s from {start_s} s on: the blocks hold {total[2] or 0} samples, not {count} of one capture")
     mean = complex(total[0], total[1]) / total[2]
 
     def pieces(batches):

@@ -184,8 +184,10 @@ def test_extract_equals_one_filter_over_the_span(spark):
     assert np.abs(y - want).max() < 1e-4
     with pytest.raises(ValueError, match="whole factor"):
         iq.extract_span(blocks, 0.0, 1.0, 1_000.0, 300.0)
-    with pytest.raises(ValueError, match="holds"):
+    with pytest.raises(ValueError, match="one capture"):
         iq.extract_span(blocks, 5.0, 6.0, 1_000.0, 250.0)
+    with pytest.raises(ValueError, match="one capture"):
+        iq.extract_span(blocks.union(blocks), 0.0, 1.0, 1_000.0, 250.0)
 
 
 def test_stream_of_blocks_equals_batch(spark, tmp_path):
