@@ -6,17 +6,25 @@ weighs ``DECAY ** s`` (``s`` up to ``SPAN``). Inserted characters and
 separators thus only fade a match: ``i.d.i.o.t`` stays close to its plain form.
 Kernels are normalised.
 
+A sentence is a set of words; the kernel of two sentences is the sum of their
+words' kernels over the root of both numbers of words, so a word is a sentence
+of one. Sentences end with a word that ends in a full stop or the like, or after
+``SENTENCE_WORDS`` words.
+
 Training uses a bounded sample of labelled documents (``TRAIN_EACH`` of either
 label, by a hash of the id) of any length; of one with over ``TRAIN_SENTENCES``
-sentences (of ``SENTENCE_WORDS`` words, longer ones are cut) those of least hash. Sentences of clean documents are negative and all
-their words negative instances; what makes a toxic document's sentence positive
-are its witness words, those with high log-odds between the two labels (a word
-must be in several toxic documents), which are the positive instances, also in
-disguised variants. Features are Nyström approximations over ``LANDMARKS``
-landmark words; the negatives that score highest are added in a second round. A
-document is then described by its highest margin and by the sum of its words'
-margins over a floor, plain and against its length, and a logistic map fitted on
-the sample turns that into a score.
+sentences those of least hash. The machine's instances are labelled sentences:
+all of clean documents are negative, and of a toxic document those that the
+machine itself finds positive, at least its worst one and at most
+``POSITIVE_EACH`` (in the first round, those with words of high log-odds
+between the two labels). Such words (in several toxic documents) are positive
+as sentences of one word too, also in disguised variants, and words of clean
+documents negative. Features are Nyström approximations over ``LANDMARKS``
+landmark words; later rounds choose the positive sentences anew and add the
+negatives that score highest. A document is then described by the highest margin
+of its words, each as a sentence of its own, and by the sum of its words' margins
+over a floor, plain and against its length, and a logistic map fitted on the
+sample turns that into a score. Words add up; their order has no part.
 
 Letters are those of every script. Triples of Latin letters have a place of
 their own each, all others share ``WIDE`` places by a hash. Hangul is taken apart
@@ -57,6 +65,8 @@ SENTENCE_WORDS = 40
 LANDMARKS = 240
 ROUNDS = 2
 HARD = 2_000
+PLAIN = 3_000
+POSITIVE_EACH = 5
 #: Log-odds from which a word is a witness.
 WITNESS = 1.8
 PRIOR = 7
@@ -97,6 +107,8 @@ _CODES = _Letters(
         | {chr(c): chr(ord(base) - 96) for r in ((0xC0, 0x180), (0x1E00, 0x1F00), (0xFF41, 0xFF5B)) for c in range(*r) if "a" <= (base := unicodedata.normalize("NFKD", chr(c))[0].lower()) <= "z"}
     )
 )
+#: Signs that end a sentence, at the end of a word of over two characters.
+_STOPS = tuple(".!?\u2026\u3002\uff01\uff1f\u0964\u061f")
 _SENTENCES = re.compile(r"(?<=[.!?])\s+|\n+")
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _SIGNS = "".join(chr(c) for c in range(0x300, 0x20000) if unicodedata.category(chr(c))[0] == "M" and _spelling(chr(c)))
@@ -138,6 +150,17 @@ def words_of(text: str) -> list[str]:
     return words
 
 
+def ends_sentence(word: str) -> bool:
+    return len(word) > 2 and word.rstrip("\"'\u201d\u2019)").endswith(_STOPS)
+
+
+def starts_of(ends: np.ndarray) -> np.ndarray:
+    """Where sentences start in a run of words, of which ``ends`` says whether each ends one."""
+    fresh = np.flatnonzero(np.concatenate(([True], ends[:-1])))
+    at = np.arange(len(ends)) - np.repeat(fresh, np.diff(np.append(fresh, len(ends))))
+    return np.flatnonzero(at % SENTENCE_WORDS == 0)
+
+
 def codes_of(word: str) -> str:
     """Latin letters as 1 to 26, others as they are, other inner characters as gaps, without outer punctuation."""
     return bare(word).translate(_CODES)
@@ -205,32 +228,43 @@ class Model:
     slope: np.ndarray
     shift: float
 
-    def margins(self, words: list[str]) -> list[float]:
-        """The margin of each word; only words that may exceed the floor need their exact norm."""
+    def values(self, words: list[str], over: float | None = None) -> np.ndarray:
+        """The margin of each word without the bias, 0 without features; with ``over``, words that can't have a margin over it get ``over``'s value."""
         pieces = [pieces_of(w) for w in words]
         codes = [p for x in pieces for p in x]
         owner = np.repeat(np.arange(len(words)), [len(x) for x in pieces])
         n = len(codes)
-        out = np.full(len(words), FLOOR)
+        out = np.full(len(words), -np.inf if n else 0.0)
         if not n:
-            return out.tolist()
+            return out
         who, what, weight = subsequences(codes)
         raw = np.bincount(who, weights=self.table[what] * weight, minlength=n)
-        least = np.sqrt(np.bincount(who, weights=weight.astype(np.float64) ** 2, minlength=n))
-        maybe = (raw > 0) & (raw / np.maximum(least, 1e-12) + self.bias > FLOOR)
+        maybe = np.ones(n, bool)
+        if over is not None:
+            least = np.sqrt(np.bincount(who, weights=weight.astype(np.float64) ** 2, minlength=n))
+            maybe = (raw > 0) & (raw / np.maximum(least, 1e-12) + self.bias > over)
         picked = maybe[who]
         exact = norms(who[picked], what[picked], weight[picked], n)
-        margin = np.where(maybe, raw / np.maximum(exact, 1e-12) + self.bias, FLOOR)
-        np.maximum.at(out, owner, margin)
-        return out.tolist()
+        np.maximum.at(out, owner, np.where(maybe, raw / np.maximum(exact, 1e-12), (over or 0.0) - self.bias))
+        return out
+
+    def margins(self, words: list[str]) -> list[float]:
+        """The margin of each word as a sentence of its own; only words that may exceed the floor need their exact norm."""
+        return np.maximum(self.values(words, FLOOR) + self.bias, FLOOR).tolist()
 
     def probability(self, summary: np.ndarray) -> np.ndarray:
         """Scores of rows made by ``summary``."""
         return 1 / (1 + np.exp(-np.clip(summary @ self.slope + self.shift, -40, 40)))
 
 
+def sentence_margins(values: np.ndarray, starts: np.ndarray, bias: float) -> np.ndarray:
+    """Margins of sentences by the values of their words."""
+    n = np.add.reduceat((values != 0).astype(np.int64), starts)
+    return np.add.reduceat(values, starts) / np.sqrt(np.maximum(n, 1)) + bias
+
+
 def summary(margins: np.ndarray) -> tuple[float, float, float]:
-    """What a document's word margins say: the highest, and the evidence, on a log scale and against the length."""
+    """What the margins of a document's words say: the highest, and the evidence, on a log scale and against the length."""
     if not len(margins):
         return FLOOR, 0.0, 0.0
     evidence = float(np.maximum(margins - EVIDENCE, 0).sum())
@@ -281,15 +315,56 @@ def sampled(text: str, most: int = TRAIN_SENTENCES) -> str:
     return "\n".join(own[i] for i in sorted(kept))
 
 
+def _best_of_each(margins: np.ndarray, owner: np.ndarray, least: float) -> np.ndarray:
+    """Of each document's sentences those over ``least``, at most ``POSITIVE_EACH``, and the best one in any case."""
+    order = np.lexsort((np.arange(len(owner)), -margins, owner))
+    fresh = np.flatnonzero(np.concatenate(([True], owner[order][1:] != owner[order][:-1])))
+    rank = np.arange(len(order)) - np.repeat(fresh, np.diff(np.append(fresh, len(order))))
+    return np.sort(order[(rank == 0) | ((rank < POSITIVE_EACH) & (margins[order] > least))])
+
+
+class _Part:
+    """The sentences of the documents of one label, as numbers of words."""
+
+    def __init__(self, docs: list[np.ndarray], ends: np.ndarray):
+        self.docs = docs
+        own = [starts_of(ends[d]) if len(d) else np.zeros(0, np.int64) for d in docs]
+        self.words = np.concatenate([np.zeros(0, np.int32), *docs])
+        offset = np.cumsum([0, *(len(d) for d in docs)])
+        self.starts = np.concatenate([np.zeros(0, np.int64), *(s + o for s, o in zip(own, offset, strict=False))])
+        self.owner = np.repeat(np.arange(len(own)), [len(s) for s in own])
+        self.stops = np.append(self.starts[1:], len(self.words))
+
+    def margins(self, values: np.ndarray, bias: float) -> np.ndarray:
+        return sentence_margins(values[self.words], self.starts, bias)
+
+    def features(self, chosen: np.ndarray, project) -> np.ndarray:
+        """Features of the chosen sentences; ``project`` gives those of word numbers."""
+        size = self.stops[chosen] - self.starts[chosen]
+        first = np.cumsum(size) - size
+        words = self.words[np.repeat(self.starts[chosen] - first, size) + np.arange(size.sum())]
+        own, at = np.unique(words, return_inverse=True)
+        x = project(own)
+        n = np.add.reduceat(x.any(axis=1)[at].astype(np.int64), first)
+        out = np.stack([np.add.reduceat(x[at, j], first) for j in range(x.shape[1])], axis=1)
+        return out / np.sqrt(np.maximum(n, 1))[:, None]
+
+
 def train(texts: list[str], labels: list[int]) -> Model:
-    toxic = [t for t, y in zip(texts, labels, strict=True) if y]
-    clean = [t for t, y in zip(texts, labels, strict=True) if not y]
-    if not toxic or not clean:
+    number: dict[str, int] = {}
+    docs: tuple[list, list] = [], []
+    for t, y in zip(texts, labels, strict=True):
+        docs[not y].append(np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int32))
+    vocabulary = list(number)
+    ends = np.fromiter(map(ends_sentence, vocabulary), bool, len(vocabulary))
+    toxic, clean = (_Part(d, ends) for d in docs)
+    if not len(toxic.words) or not len(clean.words):
         return EMPTY
     rng = np.random.default_rng(7)
-    in_toxic, in_clean = (Counter(w for t in part for w in {bare(w) for s in sentences_of(t) for w in words_of(s)}) for part in (toxic, clean))
+    plain_form = [bare(w) for w in vocabulary]
+    in_toxic, in_clean = (Counter(w for d in part.docs for w in {plain_form[i] for i in np.unique(d)}) for part in (toxic, clean))
     negatives = sorted(w for w in in_clean if len(codes_of(w)) >= 3)
-    share = len(toxic) / len(texts)
+    share = len(toxic.docs) / len(texts)
 
     def odds(w: str) -> float:
         """Log-odds of a word between toxic and clean documents, shrunk as by ``PRIOR`` documents without a preference."""
@@ -298,32 +373,45 @@ def train(texts: list[str], labels: list[int]) -> Model:
     ranked = sorted(((odds(w), n, w) for w, n in in_toxic.items() if n > 1 and len(codes_of(w)) >= 3), reverse=True)
     found = {w: n for o, n, w in ranked if o >= WITNESS} or {w: n for o, n, w in ranked[:5] if o > 0}
     positives = sorted(found, key=lambda w: (-found[w], w))[:1_000]
-    if not positives:
-        return EMPTY
     disguised = positives[:40]
     bad = [*positives, *(_disguised(w, k) for w in disguised for k in range(6))]
     count = np.array([found[w] for w in positives] + [found[w] / 12 for w in disguised for _ in range(6)], dtype=float)
-    model: Model | None = None
+    first = {w: o for o, _, w in ranked if w in found}
+    values, bias = np.array([first.get(w, 0.0) for w in plain_form]), 0.0
     hard: list[str] = []
+    harder = np.zeros(0, np.int64)
+    model: Model | None = None
     for _ in range(ROUNDS):
         if model is not None:
-            scored = np.array(_margins(model, negatives))
+            scored = _values(model, negatives)
             hard = [negatives[i] for i in np.argsort(-scored, kind="stable")[:HARD]]
-        plain = [negatives[i] for i in rng.choice(len(negatives), min(len(negatives), 3_000), replace=False)]
-        good = [w for w in dict.fromkeys([*hard, *plain]) if w not in found]
-        half = LANDMARKS // 2
-        marks = dense([codes_of(w) for w in [*positives[:half], *good[: LANDMARKS - min(half, len(positives))]]])
+            values, bias = _values(model, vocabulary), model.bias
+            harder = np.argsort(-clean.margins(values, bias), kind="stable")[:HARD]
+        chosen = _best_of_each(toxic.margins(values, bias), toxic.owner, 0.0)
+        others = np.union1d(harder, rng.choice(len(clean.starts), min(len(clean.starts), PLAIN), replace=False))
+        some = [negatives[i] for i in rng.choice(len(negatives), min(len(negatives), PLAIN), replace=False)]
+        good = [w for w in dict.fromkeys([*hard, *some]) if w not in found]
+        half = [*positives, *(w for _, _, w in ranked if w not in found)][: LANDMARKS // 2]
+        landmarks = list(dict.fromkeys([*half, *good]))[:LANDMARKS]
+        if not landmarks:
+            return EMPTY
+        marks = dense([codes_of(w) for w in landmarks])
         value, vector = np.linalg.eigh((marks @ marks.T).astype(np.float64))
         kept = value > 1e-6
         white = vector[:, kept] / np.sqrt(value[kept])
-        kernel = against(marks, [codes_of(w) for w in [*bad, *good]])
-        y = np.concatenate([np.ones(len(bad)), -np.ones(len(good))])
-        often = np.array([1 + in_clean[w] for w in good], dtype=float)
-        weight = np.concatenate([0.5 * count / count.sum(), 0.5 * np.sqrt(often) / np.sqrt(often).sum()])
-        v = _svm(kernel @ white, y, weight)
+        project = lambda words: against(marks, [codes_of(w) for w in words]) @ white  # noqa: B023, E731
+        by_number = lambda numbers: project([vocabulary[i] for i in numbers])  # noqa: B023, E731
+        instances = [project(bad), toxic.features(chosen, by_number), project(good), clean.features(others, by_number)]
+        often = np.sqrt([1.0 + in_clean[w] for w in good])
+        # Every toxic document weighs the same, whatever the number of its positive sentences.
+        each = 1 / np.bincount(toxic.owner[chosen], minlength=len(toxic.docs))[toxic.owner[chosen]]
+        weight = np.concatenate([0.25 * w / max(w.sum(), 1e-12) for w in (count, each, often, np.ones(len(others)))])
+        y = np.repeat([1.0, 1.0, -1.0, -1.0], [len(x) for x in instances])
+        v = _svm(np.vstack(instances), y, weight)
         model = Model((white @ v[:-1] @ marks).astype(np.float32), float(v[-1]), np.zeros(3), 0.0)
-    told = np.array([summary(np.array(_margins(model, words_of(t)))) for t in [*toxic, *clean]])
-    model.slope, model.shift = _logistic(told, np.concatenate([np.ones(len(toxic)), np.zeros(len(clean))]))
+    margins = np.maximum(_values(model, vocabulary, FLOOR) + model.bias, FLOOR)
+    told = np.array([summary(margins[d]) for part in (toxic, clean) for d in part.docs])
+    model.slope, model.shift = _logistic(told, np.repeat([1.0, 0.0], [len(toxic.docs), len(clean.docs)]))
     return model
 
 
@@ -342,8 +430,8 @@ def against(marks: np.ndarray, codes: list[str], step: int = 500) -> np.ndarray:
     return out
 
 
-def _margins(model: Model, words: list[str]) -> list[float]:
-    return [m for i in range(0, len(words), 10_000) for m in model.margins(words[i : i + 10_000])]
+def _values(model: Model, words: list[str], over: float | None = None) -> np.ndarray:
+    return np.concatenate([np.zeros(0), *(model.values(words[i : i + 10_000], over) for i in range(0, len(words), 10_000))])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:

@@ -719,6 +719,42 @@ def test_string_kernel_by_brute_force():
     assert len(sure) > 10 and np.allclose([margins[i] for i in sure], raw[sure], atol=1e-4)
 
 
+def test_sentence_kernel_by_brute_force():
+    """A sentence's margin is the sum of its words' kernels over the root of the number of words that have features."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 8))) + rng.choice(["", "", "."]) for _ in range(200)]
+    marks = toxicity.dense([toxicity.codes_of(w) for w in words[:5]])
+    beta = np.array([rng.uniform(-1, 2) for _ in range(5)])
+    model = toxicity.Model((beta @ marks).astype(np.float32), -0.2, np.zeros(3), 0.0)
+    ends = np.array([toxicity.ends_sentence(w) for w in words])
+    starts = toxicity.starts_of(ends)
+    got = toxicity.sentence_margins(model.values(words), starts, model.bias)
+    sentences, own = [], []
+    for w in words:
+        own.append(w)
+        if (len(w) > 2 and w.endswith(".")) or len(own) == toxicity.SENTENCE_WORDS:
+            sentences, own = [*sentences, own], []
+    sentences += [own] if own else []
+    assert [len(x) for x in sentences] == np.diff(np.append(starts, len(words))).tolist()
+    for margin, own in zip(got, sentences, strict=True):
+        raw = [sum(b * naive_kernel(toxicity.codes_of(w), toxicity.codes_of(m)) for b, m in zip(beta, words[:5], strict=True)) for w in own]
+        assert abs(margin - (sum(raw) / max(1, sum(x != 0 for x in raw)) ** 0.5 - 0.2)) < 1e-4
+    many = ["aab"] * (2 * toxicity.SENTENCE_WORDS + 1)
+    assert toxicity.starts_of(np.zeros(len(many), bool)).tolist() == [0, toxicity.SENTENCE_WORDS, 2 * toxicity.SENTENCE_WORDS]
+
+
+def test_toxicity_learns_without_words_of_one_label():
+    """Sentences of words that each occur in clean documents too are still instances; texts without features give the empty model."""
+    rng = random.Random(8)
+    harsh, mild = "lazy rotten useless".split(), "river morning kitchen garden window train paper letter".split()
+    clean = [" ".join([*rng.choices(mild, k=8), *rng.sample(harsh, 1)]) + "." for _ in range(120)]
+    bad = [" ".join([*rng.choices(mild, k=6), *harsh]) + "." for _ in range(60)]
+    model = toxicity.train(clean + bad, [0] * 120 + [1] * 60)
+    p = [model.probability(np.array([toxicity.summary(np.array(model.margins(toxicity.words_of(t))))]))[0] for t in [*bad, *clean]]
+    assert np.mean([a > b for a in p[:60] for b in p[60:]]) > 0.95
+    assert toxicity.train(["a b.", "", "c"], [1, 0, 0]) is toxicity.EMPTY and toxicity.train([], []) is toxicity.EMPTY
+
+
 def test_toxicity_learns_from_long_texts_and_repeated_ids(spark):
     rng = random.Random(0)
     word = lambda: "".join(rng.choice(["th", "er", "on", "an", "re", "sh", "ti"]) for _ in range(rng.randint(1, 4)))
