@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html_text, langid, neardup, pii, quality, secrets, substrings, toxicity
+from . import bpe, decontaminate, html_text, langid, neardup, packing, pii, quality, secrets, substrings, toxicity, whitening
 from .common import crc_mod, read_table
 
 
@@ -64,6 +64,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digests(packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.digests(whitening.whiten(read_table(spark, sf_dir, "embeddings")))
+
+
 def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base columns of ``op5_secrets``, which SQL can express."""
     return op5_secrets(spark, sf_dir).drop("spans")
@@ -79,6 +87,11 @@ def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_pii(spark, sf_dir).drop("spans")
 
 
+def whitening_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``op12_whitening`` that SQL can express."""
+    return op12_whitening(spark, sf_dir).where("component = 1").select("vec_id", "n", "deviation")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_langid": op2_langid,
@@ -90,9 +103,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_neardup": op8_neardup,
     "op9_pii": op9_pii,
     "op10_toxicity": op10_toxicity,
+    "op11_packing": op11_packing,
+    "op12_whitening": op12_whitening,
     "secrets_base": secrets_base,
     "quality_base": quality_base,
     "pii_base": pii_base,
+    "whitening_base": whitening_base,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -102,4 +118,5 @@ ORACLE_SQL: dict[str, str] = {
     "secrets_base": secrets.BASE_ORACLE,
     "quality_base": quality.BASE_ORACLE,
     "pii_base": pii.BASE_ORACLE,
+    "whitening_base": whitening.BASE_ORACLE,
 }

@@ -40,7 +40,7 @@ def benchmark(spark):
 
 def test_oracles(spark):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "labels"):
+    for t in ("documents", "benchmark", "labels", "embeddings"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     for name, sql in ORACLE_SQL.items():
         mine = QUERIES[name](spark, SF)
