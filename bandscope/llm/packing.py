@@ -24,7 +24,9 @@ empty table gives no pieces; other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bpe import byte_alphabet
 from .common import BROADCAST_BYTES, slices, texts_of
 
 #: Longest sequence, a power of two.
@@ -41,10 +44,12 @@ END = 2
 #: A text is split in stretches of about this many characters, so a long one never stands in memory as words.
 STRETCH = 1 << 20
 #: Parts that the library encodes in one call.
-CALL = 20_000
+CALL = 500
 #: Parts in one generation of a Python worker's memory, and the longest that is remembered.
 MEMO_PARTS = 300_000
 MEMO_PART_CHARS = 64
+#: A word of Latin-1 letters before closing marks. The vocabulary lower-cases letters and always cuts between a letter and such a mark.
+CLOSED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
 
 def piece_lengths(n: int, limit: int = LIMIT) -> list[int]:
@@ -75,23 +80,54 @@ class PartIds:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.merge = self.tokenizer.model.tokenize
+        stand_in = {b: c for c, b in byte_alphabet().items()}
+        #: What the model reads for each letter of ``CLOSED``: the stand-ins of its bytes.
+        self.letters = {c: "".join(stand_in[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
         self.memo: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
 
+    def known(self, part: str) -> bool:
+        """Is the part in the memory? If it is in the older generation, it moves on."""
+        if part in self.memo:
+            return True
+        ids = self.older.get(part)
+        if ids is None:
+            return False
+        self.memo[part] = ids
+        return True
+
     def learn(self, parts: set[str]) -> None:
-        """Put the ids of distinct parts in the memory."""
-        memo, older = self.memo, self.older
-        new = []
+        """Put the ids of distinct parts in the memory.
+
+        Words that differ in case or closing marks alone are encoded once. A word of lower-case letters needs none of the library's
+        rules for splitting and goes to its model at once.
+        """
+        memo, known = self.memo, self.known
+        whole, words, closed = set(), set(), []
         for part in parts:
-            ids = older.get(part)
-            if ids is None:
-                new.append(part)
-            else:
-                memo[part] = ids
+            if known(part):
+                continue
+            shape = CLOSED.fullmatch(part) if len(part) <= MEMO_PART_CHARS else None
+            if shape is None:
+                whole.add(part)
+                continue
+            word, marks = shape[1].lower(), shape[2]
+            if not known(word):
+                words.add(word)
+            if not known(marks):
+                whole.add(marks)
+            if word != part:
+                closed.append((part, word, marks))
+        new = list(whole)
         for i in range(0, len(new), CALL):
             some = new[i : i + CALL]
             for part, found in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                memo[part] = b"".join(x.to_bytes(4, "little") for x in found.ids)
+                memo[part] = array("I", found.ids).tobytes()
+        for word in words:
+            memo[word] = array("I", [t.id for t in self.merge(word.translate(self.letters))]).tobytes()
+        for part, word, marks in closed:
+            memo[part] = memo[word] + memo[marks]
 
     def encode(self, text: str) -> bytes:
         """Ids of the whole text as little-endian unsigned 32-bit integers."""
