@@ -14,6 +14,10 @@ from .expr import classify, emitter_label, fixed, iso_time, place_name, tag
 # Event types, ways of derivation and ring colours (signed ARGB) of the published format.
 TYPE_FRIEND, TYPE_UNKNOWN, TYPE_RING = "a-f-G", "a-u-G", "u-d-r"
 HOW_TRACK, HOW_RING = "m-c", "m-g"
+# Event type and derivation of a message that a person entered.
+TYPE_NOTE, HOW_NOTE = "b-t-f", "h-g-i-g-o"
+#: Characters that XML 1.0 cannot hold, not even escaped.
+NO_XML = r"[\x00-\x08\x0B\x0C\x0E-\x1F\uFFFE\uFFFF]"
 RING_COLOURS = {5: 0x8000FF00, 50: 0x80FFFF00, 68: 0x80FFA500, 90: 0x80FF4500, 95: 0x80FF0000}
 OTHER_COLOUR = 0x80FFFFFF
 HEADER = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
@@ -126,6 +130,12 @@ def ring(site: Site, percentile: Column, radius: Column, stale_s: float = S.STAL
     return _event(site, name, F.lit(TYPE_RING), HOW_RING, stale_s, [_point(site, fixed(radius, 1)), detail])
 
 
+def note(site: Site, name: Column, sender: Column, text: Column, stale_s: float = S.STALE_S) -> Column:
+    """The event of a message: at the receiver, its text as remarks without the characters that XML cannot hold."""
+    detail = tag("detail", children=[tag("contact", {"callsign": sender}), tag("remarks", text=F.regexp_replace(text, NO_XML, ""))])
+    return _event(site, name, F.lit(TYPE_NOTE), HOW_NOTE, stale_s, [_point(site, F.lit(f"{S.UNKNOWN_ERROR_M:.1f}")), detail])
+
+
 def events(emissions: DataFrame, site: Site | None = None, stale_s: float = S.STALE_S) -> DataFrame:
     """Add ``events``: the track, then a ring for each percentile in order. Needs ``range_m`` (a map, or null)."""
     site = site or Site()
@@ -158,4 +168,4 @@ def dashboard(grid_rows: list, profile_rows: list, title: str = "Band occupancy"
     )
 
 
-__all__ = ["Site", "classify", "dashboard", "describe", "events", "place_name", "remarks", "ring", "track", "uid"]
+__all__ = ["Site", "classify", "dashboard", "describe", "events", "note", "place_name", "remarks", "ring", "track", "uid"]

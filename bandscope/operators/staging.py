@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,6 +54,17 @@ def clear(spark: SparkSession) -> int:
     return len(own)
 
 
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Delete the intermediate tables that are written inside, at its end: for work that has written its result by then."""
+    before = set(_written)
+    try:
+        yield
+    finally:
+        for path in set(_written) - before:
+            delete(spark, path)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write the rows once to the session's checkpoint folder and read them back; lost executors lose nothing."""
     path = new_path(df.sparkSession)

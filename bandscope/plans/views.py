@@ -14,7 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def emissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One emission for each event. Queries that read it several times, or join it on inequalities, stage it first."""
-    e = table(spark, sf_dir, "events")
+    return as_emissions(table(spark, sf_dir, "events"))
+
+
+def as_emissions(e: DataFrame) -> DataFrame:
+    """The emission that each row of ``events`` stands for; rows alone decide, so a stream of them will do."""
     k = F.coalesce(F.regexp_extract("props", r"(\d+)", 1).cast("bigint"), F.lit(0))
     f = F.lit(446_006_250.0) + F.pmod(k, F.lit(20)) * 12_500.0 + (F.pmod(F.col("event_id"), F.lit(7)) - 3) * 900.0
     u = F.pmod(F.col("user_id"), F.lit(6))
