@@ -10,7 +10,8 @@ selector takes back, closed details and dialogs. What is made visible again with
 an invisible element is shown, as nothing within an element without display is. The renderer emits all other
 text: blocks on lines of their own with a blank line around those that have
 margins, list items with markers and indentation, preformatted text as it is,
-and table cells in aligned columns, spans included.
+and table cells in aligned columns, spans included. Columns are padded to their widest line of at most ``PAD`` characters; a longer
+line stands as it is. All padding and indentation of a page may take ``ROOM`` times its length; what doesn't fit into that is left out.
 
 One narrow map; no shuffle and no state between rows.
 
@@ -18,7 +19,8 @@ Defined edge cases: a null or empty page has empty text and no title; elements
 nested deeper than ``MAX_DEPTH`` are read as children of the last level, as widespread
 browsers do at the same depth; cells span at most as many columns and rows as the
 HTML standard allows (1,000 and 65,534); broken
-markup never fails: what isn't a tag is text; repeated rows give repeated results.
+markup never fails: what isn't a tag is text; text grows in proportion to the page, whatever is in it, and time to the page and the depth
+of its tables; repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -35,6 +37,10 @@ from pyspark.sql import types as T
 from .common import slices
 
 MAX_DEPTH = 512
+#: Widest line that a column is padded to.
+PAD = 120
+#: Padding and indentation of a page, as a multiple of its length, and what any page may have.
+ROOM, LEAST_ROOM = 8, 4_096
 #: Python frames for elements of that depth, nested tables too.
 FRAMES = 20 * MAX_DEPTH
 # Limits of the HTML standard.
@@ -74,12 +80,15 @@ CELLS = frozenset({"td", "th"})
 ROWS = CELLS | {"tr"}
 SCOPE = frozenset({"table", "td", "th", "caption", "button", "template"})
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+_COMMENTED = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)", re.S)
+_NAME_END = re.compile(r"[\s/>]|\Z")
+_MARK = re.compile(r"[>\"']|\Z")
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 _VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 _COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->", re.S)
-_CSS_MARK = re.compile(r"\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|[{};]", re.S)
+# A string that isn't closed ends with its line.
+_CSS_MARK = re.compile(r"\"(?:[^\"\\\n]|\\.)*+\"?|'(?:[^'\\\n]|\\.)*+'?|[{};]", re.S)
 _FEATURE = re.compile(r"\(\s*(min|max)-width\s*:\s*([\d.]+)(px|em|rem)\s*\)")
 #: Width in pixels of the screen that media rules are judged for.
 SCREEN = 1280
@@ -88,10 +97,10 @@ _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children")
+    __slots__ = ("tag", "attributes", "children", "inside")
 
     def __init__(self, tag: str, attributes: dict[str, str]):
-        self.tag, self.attributes, self.children = tag, attributes, []
+        self.tag, self.attributes, self.children, self.inside = tag, attributes, [], None
 
 
 def attributes_of(source: str) -> dict[str, str]:
@@ -101,6 +110,64 @@ def attributes_of(source: str) -> dict[str, str]:
     return out
 
 
+class Tags:
+    """The tags of a page in order, as (start, end, whether it closes, name, attributes); comments have no name.
+
+    A tag ends at the first ``>`` outside quotes. Where there is none, the ``<`` is text and reading goes on behind it. What was
+    learnt from a start that failed is kept: from a mark outside quotes the way on is always the same, so a mark that once led
+    nowhere is never followed again, and every stretch of the page is read a bounded number of times.
+    """
+
+    def __init__(self, source: str):
+        self.source = source
+        self.lost: set[int] = set()
+        self.name_from = self.name_end = self.mark_from = self.mark_at = -1
+
+    def end_of_name(self, at: int) -> int:
+        if not self.name_from <= at <= self.name_end:
+            self.name_from, self.name_end = at, _NAME_END.search(self.source, at).start()
+        return self.name_end
+
+    def first_mark(self, at: int) -> int:
+        if not self.mark_from <= at <= self.mark_at:
+            self.mark_from, self.mark_at = at, _MARK.search(self.source, at).start()
+        return self.mark_at
+
+    def close(self, at: int) -> int:
+        """Where the ``>`` is that ends a tag whose name ends at ``at``; -1 if there is none."""
+        source, size = self.source, len(self.source)
+        passed = []
+        mark = self.first_mark(at)
+        while mark < size and mark not in self.lost:
+            if source[mark] == ">":
+                return mark
+            passed.append(mark)
+            shut = source.find(source[mark], mark + 1)
+            if shut < 0:
+                break
+            mark = _MARK.search(source, shut + 1).start()
+        self.lost.update(passed)
+        return -1
+
+    def after(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """The next tag or comment from ``at`` on."""
+        source = self.source
+        at = source.find("<", at)
+        while at >= 0:
+            if source.startswith(("<!", "<?"), at):
+                return at, _COMMENTED.match(source, at).end(), False, "", ""
+            closes = source.startswith("/", at + 1)
+            start = at + 1 + closes
+            first = source[start : start + 1]
+            if first.isascii() and first.isalpha():
+                name_end = self.end_of_name(start)
+                end = self.close(name_end)
+                if end >= 0:
+                    return at, end + 1, closes, source[start:name_end].lower(), source[name_end:end]
+            at = source.find("<", at + 1)
+        return None
+
+
 def parse(source: str) -> Node:
     """The element tree of a page."""
     root = Node("#root", {})
@@ -122,17 +189,18 @@ def parse(source: str) -> Node:
             stack[-1].children.append(html.unescape(s))
 
     at, size = 0, len(source)
+    tags = Tags(source)
     while at < size:
-        m = _TAG.search(source, at)
-        if m is None:
+        found = tags.after(at)
+        if found is None:
             text(source[at:])
             break
-        text(source[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
+        start, end, closes, tag, own = found
+        text(source[at:start])
+        at = end
         if not tag:
             continue
-        if m[1]:
+        if closes:
             if tag == "br":
                 stack[-1].children.append(Node("br", {}))
             elif tag == "p" and not any(n.tag == "p" for n in stack):
@@ -152,12 +220,12 @@ def parse(source: str) -> Node:
             close({"p"}, SCOPE)
         if tag == "body":
             close({"head"}, ())
-        node = Node(tag, attributes_of(m[3]) if m[3] else {})
+        node = Node(tag, attributes_of(own) if own else {})
         stack[-1].children.append(node)
-        drawn = (tag in FOREIGN_UNSEEN or m[3].endswith("/")) and (tag in FOREIGN or any(n.tag in FOREIGN for n in stack))
+        drawn = (tag in FOREIGN_UNSEEN or own.endswith("/")) and (tag in FOREIGN or any(n.tag in FOREIGN for n in stack))
         if drawn and tag in FOREIGN_UNSEEN:
             node.attributes["hidden"] = ""
-        if drawn and m[3].endswith("/"):
+        if drawn and own.endswith("/"):
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(source, at)
@@ -166,7 +234,7 @@ def parse(source: str) -> Node:
             node.children.append(html.unescape(body) if tag in ("title", "textarea") else body)
             gt = source.find(">", stop)
             at = size if end is None or gt < 0 else gt + 1
-        elif tag not in VOID and not (m[3].endswith("/") and tag == "path") and len(stack) < MAX_DEPTH:
+        elif tag not in VOID and not (own.endswith("/") and tag == "path") and len(stack) < MAX_DEPTH:
             stack.append(node)
     return root
 
@@ -207,12 +275,12 @@ def rules_of(css: str):
             name, _, rest = head.partition(" ") if " " in head else head.partition("(")
             name = name.lower().partition("(")[0]
             holds = not head.startswith("@") or (name == "@media" and on_screen(head[6:])) or name == "@layer" or (name == "@supports" and "not" not in rest.lower().split())
-            blocks.append((holds, "" if head.startswith("@") else head))
+            blocks.append((holds and (not blocks or blocks[-1][0]), "" if head.startswith("@") else head))
             start = m.end()
         elif m[0] == "}":
             if blocks:
-                head = blocks[-1][1]
-                if head and all(holds for holds, _ in blocks):
+                holds, head = blocks[-1]
+                if head and holds:
                     yield head, css[start : m.start()]
                 blocks.pop()
             start = m.end()
@@ -253,8 +321,9 @@ class Rules:
 class Renderer:
     """Lines of visible text."""
 
-    def __init__(self, rules: Rules, muted: bool = False):
+    def __init__(self, rules: Rules, room: list[int], muted: bool = False):
         self.rules = rules
+        self.room = room  # characters of padding that the page may still have, shared by all its renderers
         self.muted = muted
         self.lines: list[str] = []
         self.inline: list[str] = []
@@ -284,6 +353,13 @@ class Renderer:
                 return False
         return before
 
+    def padding(self, n: int) -> bool:
+        """Take ``n`` characters from the room for padding, if there are so many."""
+        if n > self.room[0]:
+            return False
+        self.room[0] -= n
+        return True
+
     def flush(self) -> None:
         s = _SPACE.sub(" ", "".join(self.inline)).strip(" ")
         self.inline.clear()
@@ -297,7 +373,7 @@ class Renderer:
         lead = self.indent
         if self.marker is not None:
             lead, self.marker = self.indent[: -len(self.marker)] + self.marker if self.marker else self.indent, None
-        self.lines.append((lead + s).rstrip())
+        self.lines.append((self.padding(len(self.indent)) and lead + s or s).rstrip())
 
     def render(self, n: Node | str) -> None:
         if isinstance(n, str):
@@ -408,6 +484,7 @@ class Renderer:
         grid: list[dict[int, list[str]]] = []
         width: dict[int, int] = {}
         busy: dict[int, int] = {}  # by column: the first row that no cell from above reaches into
+        skip: dict[int, tuple[int, int]] = {}  # by column: the next one that isn't busy, until this row
         out: list[str] = []
         for row in rows_of(n, self.visible):
             if not self.visible(row):
@@ -422,26 +499,53 @@ class Renderer:
                 if c.tag == "caption":
                     out += self.cell(c)
                     continue
+                first, until = at, MOST_ROWS + r + 1
                 while busy.get(at, 0) > r:
-                    at += 1
+                    far, row_end = skip.get(at, (0, 0))
+                    until = min(until, row_end if row_end > r else busy[at])
+                    at = far if row_end > r else at + 1
+                if at > first:
+                    skip[first] = at, until
                 across, down = span(c, "colspan", MOST_COLUMNS), span(c, "rowspan", MOST_ROWS)
                 if down > 1:
                     busy.update(dict.fromkeys(range(at, at + across), r + down))
                 cells[at] = self.cell(c)
                 if across == 1:
-                    width[at] = max(width.get(at, 0), *(len(x) for x in cells[at] or [""]))
+                    width[at] = max(width.get(at, 0), *(len(x) for x in cells[at] or [""] if len(x) <= PAD), 0)
                 at += across
             self.muted = before
             grid.append(cells)
         columns = sorted(width.keys() | {k for row in grid for k in row})
+        place = {k: i for i, k in enumerate(columns)}
+        widths = [width.get(k, 0) for k in columns]
+        starts = [0]
+        for w in widths:
+            starts.append(starts[-1] + w + 3)
         for row in grid:
-            for i in range(max((len(x) for x in row.values()), default=0)):
-                parts = [(row.get(k) or [""])[i] if i < len(row.get(k) or [""]) else "" for k in columns]
-                out.append(" | ".join(p.ljust(width.get(k, 0)) for p, k in zip(parts, columns, strict=True)).rstrip(" |"))
+            lines: list[list[tuple[int, str]]] = [[] for _ in range(max((len(x) for x in row.values()), default=0))]
+            for k in sorted(row):
+                for line, s in zip(lines, row[k]):
+                    line.append((place[k], s))
+            out += [self.aligned(line, widths, starts) for line in lines]
         return [x for x in out if x]
 
+    def aligned(self, cells: list[tuple[int, str]], widths: list[int], starts: list[int]) -> str:
+        """One line of a row from its own cells, as (column, text) in order; ``starts`` sums the widths and the marks between columns."""
+        parts: list[str] = []
+        at, last = 0, None  # the column after the cell before, and that cell's text
+        for k, s in cells:
+            if last is not None:
+                short = widths[at - 1] - len(last)
+                parts += [last, " " * short if short > 0 and self.padding(short) else "", " | "]
+            if self.padding(starts[k] - starts[at]):
+                parts += [" " * widths[i] + " | " for i in range(at, k)]
+            elif last is not None:
+                parts.append(" | ")
+            at, last = k + 1, s
+        return "".join([*parts, last or ""]).rstrip(" |")
+
     def cell(self, n: Node) -> list[str]:
-        inner = Renderer(self.rules, self.mutes(n, self.muted))
+        inner = Renderer(self.rules, self.room, self.mutes(n, self.muted))
         for c in n.children:
             inner.render(c)
         inner.flush()
@@ -465,16 +569,15 @@ def walk(n: Node, tag: str) -> list[Node]:
     return out
 
 
-def holds(n: Node, tags: frozenset[str]) -> bool:
-    """Whether elements of these tags are inside, nested tables aside."""
-    waiting = [n]
-    while waiting:
-        for c in waiting.pop().children:
+def inside(n: Node) -> frozenset[str]:
+    """Which of ``ROWS`` are inside, nested tables aside; found once for each element."""
+    if n.inside is None:
+        found: set[str] = set()
+        for c in n.children:
             if isinstance(c, Node) and c.tag != "table":
-                if c.tag in tags:
-                    return True
-                waiting.append(c)
-    return False
+                found |= inside(c) | ({c.tag} & ROWS)
+        n.inside = frozenset(found)
+    return n.inside
 
 
 def stray(c: Node | str) -> Node:
@@ -494,7 +597,7 @@ def cells_of(row: Node, visible) -> list[Node]:
             continue
         elif c.tag in ("td", "th"):
             out.append(c)
-        elif c.tag != "table" and holds(c, CELLS):
+        elif c.tag != "table" and inside(c) & CELLS:
             out += cells_of(c, visible)
         else:
             out.append(stray(c))
@@ -516,7 +619,7 @@ def rows_of(table: Node, visible) -> list[Node]:
             if not out or out[-1].tag != "tr" or not out[-1].attributes.get("#own"):
                 out.append(Node("tr", {"#own": "1"}))
             out[-1].children.append(c)
-        elif c.tag != "table" and holds(c, ROWS):
+        elif c.tag != "table" and inside(c):
             out += rows_of(c, visible) if visible(c) else []
         elif c.tag not in ("colgroup", "col"):
             out.append(stray(c))
@@ -531,7 +634,7 @@ def text_of(source: str | None) -> tuple[str, str | None]:
     title = find(root, "title")
     if sys.getrecursionlimit() < FRAMES:
         sys.setrecursionlimit(FRAMES)
-    r = Renderer(Rules(root))
+    r = Renderer(Rules(root), [ROOM * len(source) + LEAST_ROOM])
     for c in root.children:
         r.render(c)
     r.flush()
