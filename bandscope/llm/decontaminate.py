@@ -15,10 +15,12 @@ prefix: only its occurrences are candidates. The parts:
    (the window must start at or after the first word) and the length bound
    (it must end at or before the last), then verify all its words exactly.
 
-The benchmark is split into blocks of ``BLOCK_BYTES`` of text. A block's words are
+The benchmark is split into blocks of about ``BLOCK_BYTES`` of text, and an item of over
+``PART_BYTES`` into parts that overlap by a window less a word, so a long item lies in
+many blocks and no window is lost. A block's words are
 numbered, its windows are places in one array of numbers, and the documents pass
 by it in a map without a shuffle; its pickled size is checked before it is
-broadcast. With several blocks, each scan writes the hits alone (a key, runs of
+broadcast. With several blocks, ``scan_blocks`` of them share a scan, which writes the hits alone (a key, runs of
 words and item numbers, for documents that have any); they are grouped by the
 key, a 128-bit hash of id and text, and joined to the documents once. The
 documents themselves are never rewritten, and copies share one row of hits, so
@@ -27,13 +29,15 @@ hot keys do not matter.
 Defined edge cases: null or empty texts and texts without words have no words
 and no hits; items without words have no windows; an item without an id makes
 hits but is not listed; repeated items count once by id; repeated documents
-give repeated rows.
+give repeated rows; items of any length are searched whole. What can't be split is a word: one of
+about 50 MB in the benchmark makes a block too large to broadcast, which raises.
 """
 
 from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -42,12 +46,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_BYTES, fresh, slices, stored
+from .common import BROADCAST_BYTES, delete, fresh, new_path, slices, stored
 
 WIDTH = 10
 SHINGLE = 3
 #: Benchmark text in one block, in bytes.
 BLOCK_BYTES = 4 << 20
+#: Longer items are dealt to blocks in parts of about so many bytes, so that blocks differ little in size.
+PART_BYTES = 64 << 10
+#: Blocks that documents pass by in one scan. Every worker holds them all, each of at most ``BROADCAST_BYTES``.
+SCAN_BLOCKS = 1
 RARITY_BITS = 22
 #: Candidates verified at once.
 VERIFY = 1 << 18
@@ -218,14 +226,40 @@ def _cuts(total: np.ndarray) -> Iterator[tuple[int, int]]:
         first = last
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[DataFrame]:
-    """The benchmark as frames of about ``block_bytes`` of text each."""
+def parts_of(text: str | None, width: int, part_bytes: int) -> list[str | None]:
+    """A long item's text in parts that together have its windows and no others: each begins with a window that no other part begins with."""
+    if text is None or len(text.encode()) <= part_bytes:
+        return [text]
+    words = words_of(text)
+    ends = np.cumsum([len(x) + 1 for x in words])
+    out, start = [], 0
+    while start <= len(words) - width:
+        base = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, base + part_bytes)))  # windows that start before it are this part's
+        out.append(b" ".join(words[start : stop + width - 1]).decode())
+        start = stop
+    return out or [b" ".join(words).decode()]
+
+
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int, width: int, part_bytes: int) -> tuple[list[DataFrame], str | None]:
+    """The benchmark as frames of about ``block_bytes`` of text each, and the folder they are in if there are several."""
     size = benchmark.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     n = -(-size // block_bytes) or 1
     items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text"))
     if n == 1:
-        return [items]
-    return [items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b) for b in range(n)]
+        return [items], None
+
+    def run(batches):
+        for batch in slices(batches, 1):
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                parts = parts_of(text, width, part_bytes)
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(parts), pa.string()), pa.array(parts, pa.string())], names=["item", "text"])
+
+    path = new_path(benchmark.sparkSession)
+    dealt = items.mapInArrow(run, "item string, text string").withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
+    dealt.write.mode("overwrite").partitionBy("block").parquet(path)
+    every = benchmark.sparkSession.read.schema("item string, text string, block long").parquet(path)
+    return [every.where(F.col("block") == b).select("item", "text") for b in range(n)], path
 
 
 def _rarity(docs: DataFrame, text_col: str, places: np.ndarray, sizes: list[int]) -> np.ndarray:
@@ -255,10 +289,9 @@ def _rarity(docs: DataFrame, text_col: str, places: np.ndarray, sizes: list[int]
     return out
 
 
-def _indexes(benchmark: DataFrame, docs: DataFrame, text_col: str, id_col: str, item_text: str, width: int, block_bytes: int) -> Iterator[PrefixIndex]:
+def _indexes(docs: DataFrame, text_col: str, frames: list[DataFrame], width: int) -> Iterator[PrefixIndex]:
     """The index of each block. The rarity of all blocks' shingles is counted in one scan of the documents."""
     hashes = Hashes()
-    frames = _blocks(benchmark, id_col, item_text, block_bytes)
     load = lambda frame: Block([(r.item, r.text) for r in frame.collect()], width)
     only = load(frames[0]) if len(frames) == 1 else None
     places, sizes = np.zeros(0, np.int64), set()
@@ -282,6 +315,7 @@ def find_overlaps(
     block_bytes: int = BLOCK_BYTES,
     keep: list[str] | None = None,
     only_clean: bool = False,
+    scan_blocks: int = SCAN_BLOCKS,
 ) -> DataFrame:
     """Benchmark windows in every document.
 
@@ -289,7 +323,8 @@ def find_overlaps(
     ``n_hit`` (long, words inside any occurrence), ``items`` (sorted array of
     item ids as strings) and ``spans`` (maximal runs of hit words: start and
     exclusive end, counted in words). With ``only_clean`` the columns ``keep`` of
-    the rows without a hit are returned and nothing else. The rarity scan and, with
+    the rows without a hit are returned and nothing else. ``scan_blocks`` saves scans
+    of the documents where workers have the memory for so many blocks. The rarity scan and, with
     several blocks, all others run at once; the rest when the result is read.
     """
     keep = [id_col] if keep is None else keep
@@ -300,16 +335,20 @@ def find_overlaps(
             raise ValueError("a block is too large to broadcast; lower block_bytes")
         return context.broadcast(index)
 
-    indexes = _indexes(benchmark, docs, text_col, item_id_col, item_text_col, width, block_bytes)
-    first = next(indexes)
-    second = next(indexes, None)
-    if second is None:
-        return _pass(docs, shared(first), text_col, keep, only_clean)
+    frames, path = _blocks(benchmark, item_id_col, item_text_col, block_bytes, width, min(PART_BYTES, block_bytes))
+    indexes = map(shared, _indexes(docs, text_col, frames, width))
+    if path is None:
+        return _pass(docs, next(indexes), text_col, keep, only_clean)
     names = fresh(docs, "k1__", "k2__", "runs__", "items__", "n__")
     k1, k2, runs, items, n = names
     key = [F.xxhash64(id_col, text_col).alias(k1), F.xxhash64(F.lit(7), text_col, id_col).alias(k2)]
     keyed = docs.select(*key, F.col(text_col).alias("text"))
-    parts = [stored(_hits(keyed, shared(index), k1, k2)) for index in (first, second, *indexes)]
+    parts = []
+    while some := list(islice(indexes, scan_blocks)):
+        parts.append(stored(_hits(keyed, some, k1, k2)))
+        for index in some:
+            index.unpersist()
+    delete(docs.sparkSession, path)
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
@@ -349,22 +388,24 @@ def _runs(hit: np.ndarray) -> list[dict[str, int]]:
     return [{"start": a, "end": b} for a, b in turns.tolist()]
 
 
-def _told(index: PrefixIndex, texts: list[str | None]) -> list[tuple[int, np.ndarray, list[str]]]:
-    """Words, marks and item ids of each text."""
-    words = [words_of(t) for t in texts]
+def _told(index: PrefixIndex, words: list[list[bytes]]) -> list[tuple[int, np.ndarray, list[str]]]:
+    """Number of words, marks and item ids of each text."""
     return [(len(w), hit, sorted({index.items[i] for i in found} - {None})) for w, (hit, found) in zip(words, index.scan(words), strict=True)]
 
 
-def _hits(keyed: DataFrame, index, k1: str, k2: str) -> DataFrame:
-    """Key, runs and items of the documents that one block hits."""
+def _hits(keyed: DataFrame, indexes: list, k1: str, k2: str) -> DataFrame:
+    """Key, runs and items of the documents that some blocks hit, a row for each block."""
 
     def run(batches):
         for part in slices(batches, 2):
-            rows = _told(index.value, part.column(2).to_pylist())
-            some = [i for i, r in enumerate(rows) if r[1].any()]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(pa.array(some, pa.int32())), part.column(1).take(pa.array(some, pa.int32())), pa.array([_runs(rows[i][1]) for i in some], _SPANS), pa.array([rows[i][2] for i in some], pa.list_(pa.string()))], names=[k1, k2, "runs", "items"]
-            )
+            words = [words_of(t) for t in part.column(2).to_pylist()]
+            for index in indexes:
+                rows = _told(index.value, words)
+                some = [i for i, r in enumerate(rows) if r[1].any()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(some, pa.int32())), part.column(1).take(pa.array(some, pa.int32())), pa.array([_runs(rows[i][1]) for i in some], _SPANS), pa.array([rows[i][2] for i in some], pa.list_(pa.string()))],
+                    names=[k1, k2, "runs", "items"],
+                )
 
     return keyed.mapInArrow(run, f"`{k1}` long, `{k2}` long, runs array<struct<start: long, end: long>>, items array<string>")
 
@@ -377,7 +418,7 @@ def _pass(docs: DataFrame, index, text_col: str, keep: list[str], only_clean: bo
 
     def run(batches):
         for part in slices(batches, where):
-            rows = _told(index.value, part.column(where).to_pylist())
+            rows = _told(index.value, [words_of(t) for t in part.column(where).to_pylist()])
             columns = [part.column(i) for i in kept]
             if not only_clean:
                 columns += [pa.array([r[0] for r in rows], pa.int64()), pa.array([int(r[1].sum()) for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.string())), pa.array([_runs(r[1]) for r in rows], _SPANS)]
