@@ -434,17 +434,39 @@ def _values(model: Model, words: list[str], over: float | None = None) -> np.nda
     return np.concatenate([np.zeros(0), *(model.values(words[i : i + 10_000], over) for i in range(0, len(words), 10_000))])
 
 
+#: Weight of the squared coefficients in the loss of the logistic map.
+MAP_RIDGE = 0.05
+
+
+def map_loss(v: np.ndarray, a: np.ndarray, y: np.ndarray) -> float:
+    """The penalised loss of the logistic map, convex in ``v``."""
+    z = a @ v
+    return float((np.logaddexp(0, z) - y * z).sum() + MAP_RIDGE / 2 * v @ v)
+
+
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Slopes and shift of the map from a document's summary to its probability, lightly regularised."""
+    """Slopes and shift of the map from a document's summary to its probability, lightly regularised.
+
+    Newton steps, halved while they don't lower the loss: it is convex and its penalty makes it strictly so, so they end at its one
+    minimum whatever the labels are, inseparable ones included. Raises if they don't.
+    """
     a = np.hstack([x, np.ones((len(x), 1))])
     v = np.zeros(a.shape[1])
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(a @ v, -30, 30)))
-        step = np.linalg.solve(a.T @ (a * (p * (1 - p) + 1e-9)[:, None]) + 0.05 * np.eye(len(v)), a.T @ (y - p) - 0.05 * v)
-        v = v + np.clip(step, -4, 4)
-        if np.abs(step).max() < 1e-8:
-            break
-    return v[:-1], float(v[-1])
+    loss = map_loss(v, a, y)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(a @ v, -500, 500)))
+        slope = a.T @ (p - y) + MAP_RIDGE * v
+        step = np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + MAP_RIDGE * np.eye(len(v)), -slope)
+        falls = float(slope @ step)
+        if -falls <= 1e-12 * (1 + loss):
+            return v[:-1], float(v[-1])
+        size = 1.0
+        while (now := map_loss(v + size * step, a, y)) > loss + 1e-4 * size * falls and size > 1e-10:
+            size /= 2
+        if now >= loss:
+            return v[:-1], float(v[-1])  # no step lowers it: the minimum, to the last digit
+        v, loss = v + size * step, now
+    raise ArithmeticError("the logistic map didn't converge")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", each: int = TRAIN_EACH) -> Model:
