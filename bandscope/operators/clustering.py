@@ -6,39 +6,61 @@ split exactly. Groups never mix tones, and tones that differ by more than the to
 from all tones between them can never meet; neither can frequencies across a
 gap wider than the tolerance, as a median lies within its members. So tones
 and then frequencies are cut into islands, and each island is folded on its own.
-Islands are bounded by the band plan: their count grows with distinct tones
-and frequencies and their size with traffic, so time is partitioned as well
-where ``partition`` names columns (a capture, a day).
+
+An island's rows are sorted by Spark and pass by the fold one after the other; the task holds
+none of them. What it keeps is a running median for each group: the values while
+they are few, then counts of values by cell (``RunningMedian``), which the band plan bounds and
+traffic doesn't. A median that is known to a cell decides nearly every emission. Where the decision
+hangs on where in its cell the median is, that cell is split and the island is folded again from the
+stored rows, until nothing hangs: every pass is right up to the first such emission, so the passes end,
+and the result is that of exact medians. The fold of one island remains sequential; ``partition`` (a capture, a
+day) splits it further where groups may not span its values.
 """
 
 from __future__ import annotations
 
 import bisect
+import math
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schema as S
 from .joins import band_join
+from .staging import staged
 
 NO_TONE = -1.0
+#: Values of a group that are kept as they are; from then on they are counted by cell.
+FEW = 1_024
+#: Width in Hz of a cell, a power of two, and how many parts a cell is split into (so many powers of two).
+CELL_HZ, SPLIT_BITS = 1.0, 12
 
 
-def islands(emissions: DataFrame, partition: list[str], tolerance_hz: float, tone_tolerance: float) -> DataFrame:
-    """Add ``tone_island`` and ``island``. Distinct values are sorted, never all rows."""
-    e = emissions.withColumn("tone__", F.coalesce("ctcss_tone_hz", F.lit(NO_TONE)))
+def cut_at_gaps(df: DataFrame, keys: list[str], value: str, gap: float, name: str) -> DataFrame:
+    """Number the runs of ``value`` (within ``keys``) that no gap wider than ``gap`` cuts.
 
-    def cut(df: DataFrame, keys: list[str], value: str, gap: float, name: str) -> DataFrame:
-        w = Window.partitionBy(*keys).orderBy(value)
-        values = df.select(*keys, value).distinct()
-        jump = F.when(F.coalesce(F.col(value) - F.lag(value).over(w) > gap, F.lit(True)), 1).otherwise(0)
-        numbered = values.withColumn("jump__", jump).withColumn(name, F.sum("jump__").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("jump__")
-        return df.join(numbered, [*keys, value])
+    Values are first put into cells as wide as the gap, which no run's end can lie inside; only the least and greatest value of each
+    cell are compared with those of the next, so what is sorted is as small as the band, whatever the number of values.
+    """
+    cell = F.floor(F.col(value) / gap)
+    cells = df.where(F.col(value).isNotNull()).groupBy(*keys, cell.alias("cell__")).agg(F.min(value).alias("low__"), F.max(value).alias("high__"))
+    w = Window.partitionBy(*keys).orderBy("cell__")
+    jump = F.when(F.coalesce(F.col("low__") - F.lag("high__").over(w) > gap, F.lit(True)), 1).otherwise(0)
+    numbered = cells.withColumn("jump__", jump).withColumn(name, F.sum("jump__").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    on = [F.col(k).eqNullSafe(F.col(f"{k}__of")) for k in keys] + [cell == F.col("cell__")]
+    found = numbered.select(*(F.col(k).alias(f"{k}__of") for k in keys), "cell__", name)
+    return df.join(found, on).drop("cell__", *(f"{k}__of" for k in keys))
 
-    e = e.withColumn("silent__", F.col("ctcss_tone_hz").isNull())
-    e = cut(e, [*partition, "silent__"], "tone__", tone_tolerance, "tone_island")
-    return cut(e, [*partition, "silent__", "tone_island"], "frequency_hz", tolerance_hz, "island")
+
+def islands(emissions: DataFrame, partition: list[str], tolerance_hz: float, tone_tolerance: float) -> DataFrame:
+    """Add ``tone_island`` and ``island``; emissions without a frequency belong to none and go."""
+    e = emissions.withColumn("tone__", F.coalesce("ctcss_tone_hz", F.lit(NO_TONE))).withColumn("silent__", F.col("ctcss_tone_hz").isNull())
+    e = cut_at_gaps(e, [*partition, "silent__"], "tone__", tone_tolerance, "tone_island")
+    return cut_at_gaps(e, [*partition, "silent__", "tone_island"], "frequency_hz", tolerance_hz, "island")
 
 
 def _median(ordered: list[float]) -> float:
@@ -64,21 +86,162 @@ def fold(rows: list[tuple], tolerance_hz: float, tone_tolerance: float) -> list[
     return out
 
 
-def cluster(emissions: DataFrame, partition: list[str] | None = None, tolerance_hz: float = S.EMITTER_TOLERANCE_HZ, tone_tolerance: float = S.TONE_TOLERANCE_HZ) -> DataFrame:
-    """The emissions (by-products left out) with ``profile_id``, the row id of the group's first member."""
-    partition = partition or []
-    own = emissions.where(F.col("attribution").isNull()) if "attribution" in emissions.columns else emissions
-    cut = islands(own, partition, tolerance_hz, tone_tolerance)
+class RunningMedian:
+    """The median of values that arrive one by one, as bounds that are equal where it is known exactly.
+
+    Up to ``few`` values are kept. Then there are only counts: of cells of ``cell`` Hz, of the parts of cells in ``split``, of parts of
+    those, down to single numbers. ``split`` holds (level, lower edge) of cells to be split.
+    """
+
+    def __init__(self, split: set[tuple[int, float]], few: int, cell: float):
+        self.split, self.few, self.cell = split, few, cell
+        self.values: list[float] = []
+        self.counts: dict[float, int] = {}  # by the cell's lower edge
+        self.level: dict[float, int] = {}
+        self.edges: list[float] = []
+        self.n = 0
+        self.at = self.below = 0  # the cell of the lower middle value, as a place in ``edges``, and how many values lie below it
+        self.low = self.high = 0.0
+
+    def place(self, v: float) -> tuple[int, float]:
+        """The cell of a value: its level and lower edge. Scales are powers of two, so nothing is rounded."""
+        level, scale = 0, 1 / self.cell
+        while (found := (level, math.floor(v * scale) / scale)) in self.split:
+            level, scale = level + 1, scale * (1 << SPLIT_BITS)
+        return found
+
+    def count(self, v: float) -> None:
+        level, edge = self.place(v)
+        if edge in self.counts:
+            self.counts[edge] += 1
+        else:
+            i = bisect.bisect_left(self.edges, edge)
+            self.edges.insert(i, edge)
+            self.counts[edge], self.level[edge] = 1, level
+            self.at += i <= self.at and self.n > 0
+        self.n += 1
+        if self.n > 1 and edge < self.edges[self.at]:
+            self.below += 1
+        rank = (self.n - 1) // 2
+        while rank < self.below:
+            self.at -= 1
+            self.below -= self.counts[self.edges[self.at]]
+        while rank >= self.below + self.counts[self.edges[self.at]]:
+            self.below += self.counts[self.edges[self.at]]
+            self.at += 1
+
+    def middle(self) -> list[float]:
+        """Edges of the cells of the two middle values."""
+        first = self.edges[self.at]
+        return [first, first if self.n // 2 < self.below + self.counts[first] else self.edges[self.at + 1]]
+
+    def greatest(self, edge: float) -> float:
+        """The greatest number in a cell."""
+        return max(edge, math.nextafter(edge + self.cell / (1 << SPLIT_BITS * self.level[edge]), -math.inf))
+
+    def add(self, v: float) -> None:
+        if not self.counts:
+            bisect.insort(self.values, v)
+            self.low = self.high = _median(self.values)
+            if len(self.values) > self.few:
+                for x in self.values:
+                    self.count(x)
+                self.values.clear()
+            return
+        self.count(v)
+        a, b = self.middle()
+        if self.n % 2:
+            self.low, self.high = a, self.greatest(a)
+        else:
+            self.low, self.high = (a + b) / 2, (self.greatest(a) + self.greatest(b)) / 2
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["timestamp", "row_id"])
-        tones = [None if pd.isna(t) else float(t) for t in pdf["ctcss_tone_hz"]]
-        found = fold(list(zip(pdf["row_id"].tolist(), pdf["timestamp"].tolist(), pdf["frequency_hz"].tolist(), tones, strict=True)), tolerance_hz, tone_tolerance)
-        return pd.DataFrame(found, columns=["row_id", "profile_id"])
+    def unknown(self) -> list[tuple[int, float]]:
+        """The cells that must be split to know the median better."""
+        return [(self.level[e], e) for e in dict.fromkeys(self.middle()) if self.greatest(e) > e] if self.counts else []
 
-    kind = dict(emissions.dtypes)["row_id"]
-    found = cut.select(*partition, "silent__", "tone_island", "island", "row_id", "timestamp", "frequency_hz", "ctcss_tone_hz").groupBy(*partition, "silent__", "tone_island", "island").applyInPandas(run, f"row_id {kind}, profile_id {kind}")
-    return own.join(found, "row_id")
+
+class Fold:
+    """The groups of one island, in the order of their founding."""
+
+    def __init__(self, tolerance_hz: float, tone_tolerance: float, few: int = FEW, cell: float = CELL_HZ):
+        self.tolerance, self.tone_tolerance, self.few, self.cell = tolerance_hz, tone_tolerance, few, cell
+        self.split: dict[object, set[tuple[int, float]]] = {}  # by founder
+        self.groups: list[tuple[object, float | None, RunningMedian]] = []
+
+    def take(self, row, f: float, tone: float | None) -> tuple[object, list[tuple[object, int, float]]]:
+        """The founder of the emission's group, and the cells (founder, level, edge) on which the decision hung."""
+        hung: list[tuple[object, int, float]] = []
+        for founder, own, median in self.groups:
+            same = (tone is None and own is None) or (tone is not None and own is not None and abs(tone - own) <= self.tone_tolerance)
+            if not same:
+                continue
+            inside, also = abs(f - median.low) <= self.tolerance, abs(f - median.high) <= self.tolerance
+            # Outside either bound may still be inside between them if they lie on both sides of the emission.
+            if inside != also or (not inside and median.low < f < median.high):
+                hung += [(founder, *c) for c in median.unknown()]
+                inside = abs(f - (median.low + median.high) / 2) <= self.tolerance
+            if inside:
+                median.add(f)
+                return founder, hung
+        median = RunningMedian(self.split.get(row, set()), self.few, self.cell)
+        median.add(f)
+        self.groups.append((row, tone, median))
+        return row, hung
+
+
+def _folded(rows: DataFrame, splits: DataFrame | None, tolerance_hz: float, tone_tolerance: float, few: int, cell: float) -> DataFrame:
+    """(island__, row_id, profile_id, level, edge) for each emission, and again with a cell for each cell that a decision hung on.
+
+    Cells to split come before the emissions of their island in its stream of rows.
+    """
+    kind = rows.schema["row_id"].dataType
+    every = rows.select("island__", F.lit(1).alias("after"), "timestamp", "row_id", "frequency_hz", "ctcss_tone_hz", F.lit(None).cast("int").alias("level"))
+    if splits is not None:
+        first = splits.select("island__", F.lit(0).alias("after"), F.lit(None).cast("double").alias("timestamp"), F.col("profile_id").alias("row_id"), F.col("edge").alias("frequency_hz"), F.lit(None).cast("double").alias("ctcss_tone_hz"), "level")
+        every = every.unionByName(first)
+    dealt = every.repartition("island__").sortWithinPartitions("island__", "after", F.asc_nulls_last("timestamp"), "row_id")
+    schema = T.StructType([T.StructField("island__", T.StringType()), T.StructField("row_id", kind), T.StructField("profile_id", kind), T.StructField("level", T.IntegerType()), T.StructField("edge", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        island, fold = None, None
+        for batch in batches:
+            out: list[tuple] = []
+            for name, after, row, f, tone, level in zip(*(batch.column(c).to_pylist() for c in ("island__", "after", "row_id", "frequency_hz", "ctcss_tone_hz", "level")), strict=True):
+                if name != island:
+                    island, fold = name, Fold(tolerance_hz, tone_tolerance, few, cell)
+                if not after:
+                    fold.split.setdefault(row, set()).add((level, f))
+                    continue
+                profile, hung = fold.take(row, f, tone)
+                out.append((name, row, profile, None, None))
+                out += [(name, None, *c) for c in hung]
+            columns = list(zip(*out, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), batch.schema.field("row_id").type, batch.schema.field("row_id").type, pa.int32(), pa.float64()), strict=True)], names=schema.names)
+
+    return dealt.mapInArrow(run, schema)
+
+
+def cluster(
+    emissions: DataFrame, partition: list[str] | None = None, tolerance_hz: float = S.EMITTER_TOLERANCE_HZ, tone_tolerance: float = S.TONE_TOLERANCE_HZ, few: int = FEW, cell: float = CELL_HZ
+) -> DataFrame:
+    """The emissions (by-products left out) with ``profile_id``, the row id of the group's first member.
+
+    ``row_id`` must be unique and not null. The cut rows and each pass are written to the shared folder.
+    """
+    partition = partition or []
+    own = emissions.where(F.col("attribution").isNull()) if "attribution" in emissions.columns else emissions
+    name = F.to_json(F.struct(*partition, "silent__", "tone_island", "island"))
+    rows = staged(islands(own, partition, tolerance_hz, tone_tolerance).select(name.alias("island__"), "timestamp", "row_id", F.col("frequency_hz").cast("double").alias("frequency_hz"), F.col("ctcss_tone_hz").cast("double").alias("ctcss_tone_hz")))
+    found = staged(_folded(rows, None, tolerance_hz, tone_tolerance, few, cell))
+    splits: DataFrame | None = None
+    while not (more := found.where("edge is not null")).isEmpty():
+        more = more.select("island__", "profile_id", "level", "edge").distinct()
+        splits = staged(more if splits is None else splits.unionByName(more).distinct())
+        again = staged(more.select("island__").distinct())
+        whole = rows.join(again, "island__", "left_semi")
+        told = _folded(whole, splits.join(again, "island__", "left_semi"), tolerance_hz, tone_tolerance, few, cell)
+        found = staged(found.join(again, "island__", "left_anti").unionByName(told))
+    return own.join(found.select("row_id", "profile_id"), "row_id")
 
 
 def attach_products(products: DataFrame, profiles: DataFrame, tolerance_hz: float = S.EMITTER_TOLERANCE_HZ) -> DataFrame:
@@ -111,8 +274,6 @@ def bin_groups(emissions: DataFrame, bins: int, keys: list[str]) -> DataFrame:
         pdf["group_id"] = numbers
         return pdf
 
-    from pyspark.sql import types as T
-
     schema = T.StructType([*emissions.schema.fields, T.StructField("group_id", T.LongType())])
     return emissions.groupBy(*keys).applyInPandas(run, schema)
 
@@ -132,4 +293,4 @@ def group_summary(grouped: DataFrame, bins: int, keys: list[str]) -> DataFrame:
     )
 
 
-__all__ = ["attach_products", "bin_groups", "cluster", "fold", "group_summary", "islands"]
+__all__ = ["attach_products", "bin_groups", "cluster", "cut_at_gaps", "fold", "group_summary", "islands"]

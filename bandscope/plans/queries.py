@@ -197,9 +197,21 @@ def profile_stats(spark, sf):
     return rounded(rounded(out, 4, "median_duration_s", "median_power_dbfs", "power_spread_db"), 6, "duty_cycle")
 
 
-@query()
+# One step of the recursion takes the next emission of every island; a group is its founder, its tone and its frequencies.
+_CLUSTERS = f"""WITH RECURSIVE {EM}, t AS (SELECT DISTINCT ctcss_tone_hz IS NULL AS silent, coalesce(ctcss_tone_hz, -1) AS tone FROM em),
+ti AS (SELECT silent, tone, sum(jump) OVER (PARTITION BY silent ORDER BY tone) AS tone_island FROM (SELECT *, CASE WHEN tone - lag(tone) OVER (PARTITION BY silent ORDER BY tone) <= 1 THEN 0 ELSE 1 END AS jump FROM t)),
+e AS (SELECT em.*, silent, tone_island FROM em JOIN ti ON (ctcss_tone_hz IS NULL) = silent AND coalesce(ctcss_tone_hz, -1) = tone),
+fi AS (SELECT silent, tone_island, f, sum(jump) OVER (PARTITION BY silent, tone_island ORDER BY f) AS island FROM (SELECT *, CASE WHEN f - lag(f) OVER (PARTITION BY silent, tone_island ORDER BY f) <= 3000 THEN 0 ELSE 1 END AS jump FROM (SELECT DISTINCT silent, tone_island, frequency_hz AS f FROM e))),
+s AS MATERIALIZED (SELECT silent::VARCHAR || '/' || tone_island || '/' || island AS isle, row_id, frequency_hz AS f, ctcss_tone_hz AS tone, row_number() OVER (PARTITION BY silent, tone_island, island ORDER BY timestamp, row_id) AS k FROM e JOIN fi USING (silent, tone_island) WHERE f = frequency_hz),
+r AS (SELECT isle, 0::BIGINT AS k, []::STRUCT(id BIGINT, tone DOUBLE, fs DOUBLE[])[] AS gs, NULL::BIGINT AS row_id, NULL::BIGINT AS profile_id FROM (SELECT DISTINCT isle FROM s)
+  UNION ALL SELECT isle, k, CASE WHEN pos > 0 THEN list_transform(gs, lambda g, i: CASE WHEN i = pos THEN {{'id': g.id, 'tone': g.tone, 'fs': list_append(g.fs, f)}} ELSE g END) ELSE list_append(gs, {{'id': row_id, 'tone': tone, 'fs': [f]}}) END, row_id, CASE WHEN pos > 0 THEN gs[pos].id ELSE row_id END
+  FROM (SELECT s.isle, s.k, r.gs, s.row_id, s.f, s.tone, coalesce(list_position(list_transform(r.gs, lambda g: coalesce(abs(g.tone - s.tone) <= 1, g.tone IS NULL AND s.tone IS NULL) AND abs(s.f - list_median(g.fs)) <= 3000), true), 0) AS pos FROM r JOIN s ON s.isle = r.isle AND s.k = r.k + 1)),
+m AS (SELECT em.*, profile_id, timestamp < max(timestamp + duration_s) OVER (PARTITION BY profile_id ORDER BY timestamp, em.row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS together FROM em JOIN r ON r.row_id = em.row_id)
+SELECT profile_id, count(*) AS transmissions, round(sum(duration_s), 3) AS airtime_s, round(median(frequency_hz), 3) AS median_frequency_hz, max(coalesce(together, false)) AS proven_multiple FROM m GROUP BY 1"""
+
+
+@query(_CLUSTERS)
 def emitter_clusters(spark, sf):
-    """Greedy and dependent on order, so beyond SQL; tests hold it against one fold over all rows."""
     members = staged(G.cluster(staged(emissions(spark, sf))))
     out = O.profile_stats(members, ["profile_id"])
     return rounded(out.select("profile_id", "transmissions", "airtime_s", "median_frequency_hz", "proven_multiple"), 3, "airtime_s", "median_frequency_hz")

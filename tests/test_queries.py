@@ -1,5 +1,6 @@
 """Every query with SQL against DuckDB, and the queries that SQL can't express against plain Python."""
 
+import bisect
 import random
 
 import duckdb
@@ -100,6 +101,75 @@ def test_clusters_equal_one_fold(spark):
         assert {r.row_id: r.profile_id for r in clustering.cluster(emissions(spark, rows)).collect()} == want
 
 
+def test_running_medians_bound_the_exact_ones():
+    rng = random.Random(11)
+    for cell in (0.25, 1.0, 1_024.0):
+        for few in (0, 5):
+            m, seen, split = clustering.RunningMedian(set(), few, cell), [], set()
+            for _ in range(400):
+                v = 446e6 + rng.choice([rng.uniform(0, 4 * cell), rng.randrange(4) * cell, 7.25])
+                m.add(v)
+                bisect.insort(seen, v)
+                exact = clustering._median(seen)
+                assert m.low <= exact <= m.high and m.high - m.low <= cell
+                split.update(m.unknown())
+            # With all those cells split, and theirs, and theirs, the median is exact.
+            for _ in range(3):
+                m = clustering.RunningMedian(split, few, cell)
+                for v in seen:
+                    m.add(v)
+                split = split | set(m.unknown())
+            m = clustering.RunningMedian(split, few, cell)
+            for v in seen:
+                m.add(v)
+            assert m.low == m.high == clustering._median(seen)
+
+
+@pytest.mark.parametrize(("few", "cell"), [(1, 1_024.0), (0, 4_096.0), (8, 1.0), (3, 16_384.0)])
+def test_clusters_by_counted_medians_equal_one_fold(spark, few, cell):
+    """Few kept values and wide cells: decisions hang on the place within a cell, and islands are folded again."""
+    rng = random.Random(3)
+    rows = [(i, rng.choice([rng.uniform(0, 1_000), 5.0]), 1.0, 446e6 + rng.choice([0, 2_500, 5_000, 12_500, 40_000]) + rng.uniform(-1_500, 1_500), -10.0, rng.choice([None, 67.0, 67.9, 68.8, 100.0])) for i in range(600)]
+    want = dict(clustering.fold([(r[0], r[1], r[3], r[5]) for r in sorted(rows, key=lambda r: (r[1], r[0]))], 3_000.0, 1.0))
+    got = clustering.cluster(emissions(spark, rows), few=few, cell=cell)
+    assert {r.row_id: r.profile_id for r in got.collect()} == want
+
+
+def test_clusters_within_a_partition_and_without_rows(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.uniform(0, 100), 1.0, 446e6 + rng.uniform(0, 9_000), -10.0, None) for i in range(60)]
+    e = emissions(spark, rows).withColumn("day", F.when(F.col("row_id") % 3 > 0, F.col("row_id") % 3))
+    got = {r.row_id: r.profile_id for r in clustering.cluster(e, ["day"]).collect()}
+    want = {}
+    for d in range(3):
+        order = sorted((r for r in rows if r[0] % 3 == d), key=lambda r: (r[1], r[0]))
+        want |= dict(clustering.fold([(r[0], r[1], r[3], r[5]) for r in order], 3_000.0, 1.0))
+    assert got == want
+    assert clustering.cluster(e.limit(0), ["day"]).count() == 0
+
+
+def test_runs_cut_at_gaps_equal_sorted_values(spark):
+    rng = random.Random(6)
+    values = [rng.choice([rng.uniform(0, 60), float(rng.randrange(0, 60, 2))]) for _ in range(40)] + [-7.0, -5.0, None]
+    df = spark.createDataFrame([(i, "k" if i % 2 else None, v) for i, v in enumerate(values)], "i int, k string, v double")
+    got = {r.i: (r.k, r.run) for r in clustering.cut_at_gaps(df, ["k"], "v", 2.0, "run").collect()}
+    for k in ("k", None):
+        own = sorted((v, i) for i, v in enumerate(values) if v is not None and (i % 2 == 1) == (k == "k"))
+        run = 0
+        for n, (v, i) in enumerate(own):
+            run += n == 0 or v - own[n - 1][0] > 2.0
+            assert got[i] == (k, run)
+    assert len(got) == len(values) - 1
+
+
+def test_clustering_plan_has_no_python_group(spark):
+    plan = clustering.cluster(staged(views.emissions(spark, SF)))
+    rows = clustering._folded(spark.createDataFrame([], "island__ string, timestamp double, row_id long, frequency_hz double, ctcss_tone_hz double"), None, 3_000.0, 1.0, 4, 1.0)
+    text = rows._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in text and "MapInArrow" in text and "Sort" in text
+    assert plan.count() == 1_000
+
+
 def test_profile_figures(spark):
     rows = [(1, 0.0, 2.0, 446e6, -10.0, None), (2, 5.0, 2.0, 446e6, -12.0, None), (3, 6.0, 2.0, 446e6, -20.0, None)]
     p = occupancy.profile_stats(emissions(spark, rows), ["ctcss_tone_hz"]).first()
