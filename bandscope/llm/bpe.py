@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_BYTES, slices, texts_of
+from .common import BROADCAST_BYTES, held, slices, texts_of
 
 # Code points that Unicode assigned letters or numbers after version 16, the one the public
 # tokenizer library knows. The regex module is newer; here they are neither.
@@ -224,15 +224,8 @@ class TrieBpe:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())).decode("utf-8", "replace")
 
 
-_loaded: dict[int, TrieBpe] = {}
-
-
 def _tokenizer(spec: str) -> TrieBpe:
-    key = hash(spec)
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = TrieBpe(spec)
-    return _loaded[key]
+    return held("bpe", hash(spec), lambda: TrieBpe(spec))
 
 
 def encode_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -41,6 +41,23 @@ def slices(batches: Iterator[pa.RecordBatch], column: int | str = "text", limit:
         yield batch.slice(start)
 
 
+_held: dict[tuple, object] = {}
+
+
+def held(owner: str, key: object = None, make=None):
+    """What a kernel keeps in its Python worker between tasks, made once for each key.
+
+    Workers serve one operator after the other, so what another ``owner`` has left is let go first; without ``make`` that is all.
+    """
+    for other in [k for k in _held if k[0] != owner]:
+        del _held[other]
+    if make is None:
+        return None
+    if (owner, key) not in _held:
+        _held[owner, key] = make()
+    return _held[owner, key]
+
+
 def texts_of(batch: pa.RecordBatch, column: int | str = "text") -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_BYTES, delete, fresh, new_path, slices, stored
+from .common import BROADCAST_BYTES, delete, fresh, held, new_path, slices, stored
 
 WIDTH = 10
 SHINGLE = 3
@@ -250,6 +250,7 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int,
         return [items], None
 
     def run(batches):
+        held("decontaminate")
         for batch in slices(batches, 1):
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 parts = parts_of(text, width, part_bytes)
@@ -269,6 +270,7 @@ def _rarity(docs: DataFrame, text_col: str, places: np.ndarray, sizes: list[int]
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted))
 
     def run(batches):
+        held("decontaminate")
         mine = np.unpackbits(shared.value).astype(bool)
         counts, hashes = np.zeros(1 << RARITY_BITS, np.int64), Hashes()
         for part in slices(batches, 0):
@@ -397,6 +399,7 @@ def _hits(keyed: DataFrame, indexes: list, k1: str, k2: str) -> DataFrame:
     """Key, runs and items of the documents that some blocks hit, a row for each block."""
 
     def run(batches):
+        held("decontaminate")
         for part in slices(batches, 2):
             words = [words_of(t) for t in part.column(2).to_pylist()]
             for index in indexes:
@@ -417,6 +420,7 @@ def _pass(docs: DataFrame, index, text_col: str, keep: list[str], only_clean: bo
     where, kept = wanted.index(text_col), [wanted.index(c) for c in keep]
 
     def run(batches):
+        held("decontaminate")
         for part in slices(batches, where):
             rows = _told(index.value, [words_of(t) for t in part.column(where).to_pylist()])
             columns = [part.column(i) for i in kept]

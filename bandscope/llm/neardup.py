@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, slices, stored
+from .common import fresh, held, slices, stored
 
 SIZE = 5
 PERCENT = 80
@@ -139,6 +139,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFr
     """For each row: id, n (set size), h1 and h2 (hashes of the set), regs."""
 
     def run(batches):
+        held("neardup")
         hasher = Hasher(size)
         for part in slices(batches, 1):
             n, h1, h2, regs = [], [], [], []
@@ -159,6 +160,7 @@ def band_rows(classes: DataFrame) -> DataFrame:
     kind = classes.schema["id"].dataType
 
     def run(batches):
+        held("neardup")
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -179,6 +181,7 @@ def _similar(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(sig.toDF("a", "na", "ra"), "a").join(sig.toDF("b", "nb", "rb"), "b")
 
     def run(batches):
+        held("neardup")
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -197,6 +200,7 @@ def _confirm(pairs: DataFrame, needed: DataFrame, size: int, percent: int) -> Da
     both = pairs.join(needed.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(needed.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches):
+        held("neardup")
         name, own = None, None
         for batch in batches:
             good = []
@@ -248,6 +252,7 @@ def _across(grouped: DataFrame, comps: DataFrame, needed: DataFrame, size: int,
     rows = stored(placed.join(several, "key").groupBy("id", "comp").agg(F.max(F.col("comp") != F.col("top")).alias("minor"), F.max("n").alias("n")))
 
     def run(batches):
+        held("neardup")
         hasher = Hasher(size)
         for part in slices(batches, 4):
             sets = [hasher(t).view(np.int64) for t in part.column(4).to_pylist()]

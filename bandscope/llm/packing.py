@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import os
 import re
-import zlib
 from array import array
 from collections.abc import Iterator
 
@@ -35,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import byte_alphabet
-from .common import BROADCAST_BYTES, slices, texts_of
+from .common import BROADCAST_BYTES, held, slices, texts_of
 
 #: Longest sequence, a power of two.
 LIMIT = 4096
@@ -146,15 +145,8 @@ class PartIds:
         return b"".join(out)
 
 
-_loaded: dict[int, PartIds] = {}
-
-
 def _encoder(spec: str) -> PartIds:
-    key = zlib.crc32(spec.encode())
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = PartIds(spec)
-    return _loaded[key]
+    return held("packing", hash(spec), lambda: PartIds(spec))
 
 
 def pack(docs: DataFrame, vocab_path: str, limit: int = LIMIT, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

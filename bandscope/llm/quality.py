@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_BYTES, slices, texts_of
+from .common import BROADCAST_BYTES, held, slices, texts_of
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -181,14 +181,8 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
     return n, chars, symbols, len(lines) - len(set(lines)), repeated
 
 
-_loaded: dict[int, Vocabulary] = {}
-
-
 def _vocabularies(files: Sequence[bytes]) -> list[Vocabulary]:
-    for x in files:
-        if hash(x) not in _loaded:
-            _loaded[hash(x)] = Vocabulary(x)
-    return [_loaded[hash(x)] for x in files]
+    return [held("quality", hash(x), lambda: Vocabulary(x)) for x in files]  # noqa: B023
 
 
 FIGURES = "array<struct<n_tokens: long, fertility: double, fallback: double, entropy: double>>"
