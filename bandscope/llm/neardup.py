@@ -269,17 +269,28 @@ def _across(grouped: DataFrame, comps: DataFrame, needed: DataFrame, size: int,
     free = F.col("n") - least + 1 - (F.col("n") - F.size("ts"))
     front = ordered.where(free > 0).select("id", "comp", "minor", "n", (F.col("n") - F.size("ts")).alias("alone"), F.posexplode(F.slice("ts", F.lit(1), free.cast("int"))).alias("i", "x"))
     prefix = stored(front.select("id", "comp", "minor", "n", (F.col("alone") + F.col("i") + 1).alias("p"), F.col("x.t").alias("t")), sets)
-    minor = prefix.where("minor").select("t", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("p").alias("px"))
-    # Length bound, and positional bound: at the first shared shingle, what follows in both must suffice for the overlap.
-    bounds = f"100 * least(n, nx) >= {percent} * greatest(n, nx) and (1 + least(n - p, nx - px)) * {100 + percent} >= {percent} * (n + nx)"
     return (
-        minor.join(prefix, "t")
-        .where(f"comp <> cx and {bounds} and (not minor or x < id)")
+        _meetings(prefix, percent)
+        .where("comp <> cx and (not minor or x < id)")
         .select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b"))
         .distinct()
     )
 
 
+def _meetings(prefix: DataFrame, percent: int) -> DataFrame:
+    """Rows of ``prefix`` (id, comp, minor, n, p, t) with the minor ones (x, cx, nx, px) that share a shingle and may be similar.
+
+    Whether two rows may be is told by their lengths and by where the shingle stands in both: the length bound, and the positional bound,
+    by which what follows in both must suffice for the overlap. So that is decided for the pairs of (length, place) under each shingle, of
+    which there are few however many rows share it, and only pairs that pass are expanded to rows. The pages of one template, alike
+    but not alike enough, share shingles without ever being paired.
+    """
+    minor = prefix.where("minor").select("t", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("p").alias("px"))
+    bounds = f"100 * least(n, nx) >= {percent} * greatest(n, nx) and (1 + least(n - p, nx - px)) * {100 + percent} >= {percent} * (n + nx)"
+    cells = minor.select("t", "nx", "px").distinct().join(prefix.select("t", "n", "p").distinct(), "t").where(bounds)
+    return minor.join(cells, ["t", "nx", "px"]).join(prefix, ["t", "n", "p"])
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """Group all rows: (id, n_shingles, component_id, kept), one row for each row of ``docs``."""
     signed = stored(signatures(docs, id_col, text_col, size))
