@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import sqlite3
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.dsp import Scenario
+from .sqlite import SqliteStore
 
 GAIN_FIELDS = ("lna_db", "vga_db", "amp_enabled")
 
@@ -53,18 +53,12 @@ def read_jsonl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return nested(flat), parsed.where(bad).select("row_id", F.col("value").alias("line"))
 
 
-def read_sqlite(spark: SparkSession, path: str, table: str = "emissions") -> DataFrame:
-    """Reports of a single-file store. It is read on the driver, in the order of its key, which becomes ``row_id``."""
+def read_sqlite(spark: SparkSession, path: str) -> DataFrame:
+    """Reports of a single-file store, by ranges of its key, which becomes ``row_id``."""
     if not os.path.exists(path):
         raise FileNotFoundError(path)
-    with sqlite3.connect(path) as db:
-        have = [r[1] for r in db.execute(f"PRAGMA table_info({table})")]
-        wanted = [c for c in S.STORE_COLUMNS if c in have]
-        rows = db.execute(f"SELECT id, {', '.join(wanted)} FROM {table} ORDER BY id").fetchall()
-    types = {"pmr_channel": "bigint", "bin_index": "bigint", "calibrated": "bigint", "amp_enabled": "bigint", "classification": "string", "attribution": "string"}
-    ddl = "row_id bigint, " + ", ".join(f"{c} {types.get(c, 'double')}" for c in wanted)
-    cast = lambda c, v: v if v is None or types.get(c, "double") != "double" else float(v)
-    return nested(spark.createDataFrame([(r[0], *(cast(c, v) for c, v in zip(wanted, r[1:], strict=True))) for r in rows], ddl))
+    spark.dataSource.register(SqliteStore)
+    return nested(spark.read.format("sqlite_store").load(path).withColumnRenamed("id", "row_id"))
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
@@ -86,8 +80,16 @@ def read_reports(spark: SparkSession, path: str) -> DataFrame:
 def write_reports(reports: DataFrame, path: str) -> int:
     """Append reports to a store, by its extension; returns how many."""
     extension = os.path.splitext(path)[1].lower()
-    if extension not in (".jsonl", ".parquet"):
+    if extension not in (".jsonl", ".parquet", ".db", ".sqlite"):
         raise ValueError(f"unknown store type {extension or path}")
+    if extension in (".db", ".sqlite"):
+        rows = flattened(reports)
+        rows = rows.withColumns({c: F.col(c).cast("string" if c in ("classification", "attribution") else "bigint" if c in ("pmr_channel", "bin_index", "calibrated", "amp_enabled") else "double") for c in rows.columns})
+        spark = reports.sparkSession
+        spark.dataSource.register(SqliteStore)
+        before = read_sqlite(spark, path).count() if os.path.exists(path) else 0
+        rows.write.format("sqlite_store").mode("append").save(path)
+        return read_sqlite(spark, path).count() - before
     if extension == ".jsonl":
         out = reports.select(*(c for c in reports.columns if c in S.STORE_COLUMNS or c == "gains"))
         before = out.count()

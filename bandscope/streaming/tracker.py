@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import schema as S
+from ..operators.signal import NO_BIN, detect
 
 log = logging.getLogger(__name__)
 
@@ -25,6 +26,7 @@ def track_stream(hits: DataFrame, settings: S.Settings, frame_time: str = "frame
 
     The event time is the frame's; a key's open emission closes when a hit lies more than the hangover later, when it reaches the
     longest extent, or when the watermark passes its last hit by the hangover. Later rows than the watermark are dropped by Spark.
+    A row of ``NO_BIN`` is no hit: it only moves the watermark, so a mark two hangovers after the end closes what is open.
     """
     hang, least, most, share = settings.hangover_frames, settings.min_frames, settings.max_frames, settings.min_occupancy
     hang_ms = max(1, int(hang / settings.frame_rate * 1000) + 1)
@@ -37,6 +39,11 @@ def track_stream(hits: DataFrame, settings: S.Settings, frame_time: str = "frame
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         out: list[tuple] = []
+        if key[1] == NO_BIN:
+            for _ in batches:
+                pass
+            yield pd.DataFrame(out, columns=_COLUMNS)
+            return
         s = state.get if state.exists else None
         if state.hasTimedOut:
             out += close(key, s)
@@ -59,13 +66,15 @@ def track_stream(hits: DataFrame, settings: S.Settings, frame_time: str = "frame
 
 
 def capture_stream(blocks: DataFrame, settings: S.Settings) -> DataFrame:
-    """Emissions of a stream of sample blocks that carry their halo: the batch kernel, then the keyed tracker."""
-    from ..operators.signal import detect
+    """Emissions of a stream of sample blocks that carry their halo: the batch kernel, then the keyed tracker.
 
+    Where blocks say which is the ``last`` of its capture, the emissions that are still on air at its end come out as well. The watermark is
+    the stream's, so captures of one stream should be of the same time; others get streams of their own.
+    """
     if "halo" not in blocks.columns:
         raise ValueError("streamed blocks need their halo")
     at = F.timestamp_micros(((F.col("start_time") + F.col("frame") / settings.frame_rate) * 1e6).cast("long"))
-    return track_stream(detect(blocks, settings).withColumn("frame_ts", at), settings)
+    return track_stream(detect(blocks, settings, "last" in blocks.columns).withColumn("frame_ts", at), settings)
 
 
 def session_stream(hits: DataFrame, gap: str, delay: str, frame_time: str = "frame_ts") -> DataFrame:

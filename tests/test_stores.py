@@ -55,6 +55,42 @@ def test_old_single_file_store(spark, tmp_path):
     assert len(got) == 1 and got[0].attribution is None and got[0].gains.amp_enabled is True and got[0].pmr_channel is None
 
 
+def test_single_file_store_is_written_and_read_by_ranges(spark, made, tmp_path):
+    path = str(tmp_path / "new.db")
+    many = spark.createDataFrame([report(i, pmr_channel=i % 5 or None) for i in range(1_000)], S.EMISSION_DDL).repartition(4)
+    assert store.write_reports(many, path) == 1_000 and store.write_reports(made, path) == 3 and store.write_reports(made.limit(0), path) == 0
+    back = store.read_reports(spark, path)
+    key = lambda r: str(r[1:])
+    assert back.columns == ["row_id", *many.columns]
+    assert sorted(map(key, back.collect())) == sorted(map(key, many.unionByName(made).select(F.lit(0), "*").collect()))
+    assert sorted(r.row_id for r in back.collect()) == list(range(1, 1_004))
+    assert store.read_sqlite(spark, path).rdd.getNumPartitions() == 16
+    assert [p.name for p in tmp_path.iterdir()] == ["new.db"]  # no parts are left
+    with sqlite3.connect(path) as db:
+        assert {r[1] for r in db.execute("pragma index_list(emissions)")} >= {"emissions_timestamp", "emissions_pmr_channel"}
+
+
+def test_single_file_store_grows_columns_and_keeps_whole_writes(spark, made, tmp_path):
+    path = str(tmp_path / "old.sqlite")
+    with sqlite3.connect(path) as db:
+        db.execute("create table emissions (id integer primary key autoincrement, timestamp real, frequency_hz real)")
+        db.execute("insert into emissions values (7, 5, 446e6)")
+    assert store.write_reports(made, path) == 3
+    rows = store.read_reports(spark, path).collect()
+    assert [r.row_id for r in rows if r.timestamp == 5.0] == [7] and {r.classification for r in rows} == {None, "FRIEND", "UNKNOWN"}
+    # A task that fails takes the whole write with it.
+    bad = F.when(F.col("timestamp") == 1_786_950_002.0, F.raise_error(F.lit("no"))).otherwise(F.col("duration_s"))
+    with pytest.raises(Exception, match="no"):
+        store.write_reports(made.repartition(3).withColumn("duration_s", bad), path)
+    assert store.read_reports(spark, path).count() == 4 and [p.name for p in tmp_path.iterdir()] == ["old.sqlite"]
+    for bad_write in (lambda: made.select("timestamp").write.format("sqlite_store").mode("overwrite").save(path), lambda: made.select(F.lit(1).alias("x")).write.format("sqlite_store").mode("append").save(path)):
+        with pytest.raises(Exception, match="only appended|no columns"):
+            bad_write()
+    with sqlite3.connect(tmp_path / "none.db") as db:
+        db.execute("create table emissions (id integer primary key, timestamp real)")
+    assert store.read_reports(spark, str(tmp_path / "none.db")).count() == 0
+
+
 def test_schema_evolution_and_sql(spark, made, tmp_path):
     path = str(tmp_path / "e.parquet")
     store.flattened(made).drop("attribution", "attributed_to_hz").write.parquet(path)
