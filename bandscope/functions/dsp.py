@@ -96,6 +96,45 @@ class Channelizer:
         return first, out
 
 
+    def bins(self, x: np.ndarray, start: int, until: int, wanted: list[tuple[int, int, int]]) -> list[tuple[int, np.ndarray]]:
+        """For each wanted (first frame, last frame, bin) its first frame here and its samples, by the frames that ``frames`` would give.
+
+        Only the wanted stretches are folded, each once for all its bins, and only the wanted bins are turned.
+        """
+        s, m = self.s, self.s.num_channels
+        least = -(-start // s.decimation)
+        most = min((until - 1) // s.decimation, (start + len(x) - s.num_taps) // s.decimation)
+        cut = [(max(lo, least), min(hi, most), k) for lo, hi, k in wanted]
+        stretches: list[list[int]] = []
+        for lo, hi, _ in sorted(cut):
+            if hi < lo:
+                continue
+            if stretches and lo <= stretches[-1][1] + 1:
+                stretches[-1][1] = max(stretches[-1][1], hi)
+            else:
+                stretches.append([lo, hi])
+        out: list[tuple[int, np.ndarray]] = [(lo, np.zeros(max(0, hi - lo + 1), np.complex64)) for lo, hi, _ in cut]
+        rows = np.lib.stride_tricks.sliding_window_view(x, m) if len(x) >= m else None
+        for a, b in stretches:
+            own = [i for i, (lo, hi, _) in enumerate(cut) if lo <= hi and a <= lo and hi <= b]
+            ks = np.unique([cut[i][2] for i in own])
+            column = {int(k): j for j, k in enumerate(ks)}
+            turn = np.exp(-2j * np.pi * (np.arange(m)[:, None] * ks % m) / m).astype(np.complex64)
+            for lo in range(a, b + 1, CHUNK):
+                n = min(CHUNK, b - lo + 1)
+                part = np.zeros((n, m), np.complex64)
+                for j in range(s.taps_per_phase):
+                    at = lo * s.decimation - start + j * m
+                    part += rows[at : at + (n - 1) * s.decimation + 1 : s.decimation] * self.segments[j]
+                y = (part @ turn) * self.turns[(lo + np.arange(n)) % len(self.turns)][:, ks]
+                for i in own:
+                    first, last, k = cut[i]
+                    f, g = max(first, lo), min(last, lo + n - 1)
+                    if f <= g:
+                        out[i][1][f - first : g - first + 1] = y[f - lo : g - lo + 1, column[k]]
+        return out
+
+
 def cfar(power: np.ndarray, first: int, s: S.Settings, factor: float) -> tuple[np.ndarray, np.ndarray]:
     """Mask and noise of frames. The noise shape is estimated on each hold's first frame (holds are counted from frame zero,
     or from the block's start within its first hold) and follows each frame's level over quiet bins."""

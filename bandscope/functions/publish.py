@@ -20,6 +20,10 @@ TYPE_NOTE, HOW_NOTE = "b-t-f", "h-g-i-g-o"
 NO_XML = r"[\x00-\x08\x0B\x0C\x0E-\x1F\uFFFE\uFFFF]"
 RING_COLOURS = {5: 0x8000FF00, 50: 0x80FFFF00, 68: 0x80FFA500, 90: 0x80FF4500, 95: 0x80FF0000}
 OTHER_COLOUR = 0x80FFFFFF
+# Remarks of the published interface, word for word as receivers look for them.
+NO_RANGE = "RANGE UNKNOWN: power is uncalibrated"
+ASSUMED_RANGE = ("RANGE UNCALIBRATED: ", " m from an assumed model, not a measurement")
+NO_BEARING = "bearing not measured: single omnidirectional sensor"
 HEADER = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
 
 
@@ -66,10 +70,10 @@ def remarks() -> Column:
         F.concat(F.lit("dev "), fixed("peak_deviation_hz", 0), F.lit(" Hz")),
         F.when(_heard(c("ctcss_tone_hz")), F.concat(F.lit("CTCSS "), fixed("ctcss_tone_hz", 1), F.lit(" Hz"))).otherwise(F.lit("no CTCSS")),
         F.when(c("attribution").isNotNull(), F.concat(c("attribution"), F.lit(" of an emission at "), fixed(F.coalesce(c("attributed_to_hz"), F.lit(0.0)) / 1e6, 5), F.lit(" MHz"))),
-        F.when(~known, "RANGE UNKNOWN: power is uncalibrated")
-        .when(~c("calibrated"), F.concat(F.lit("RANGE UNCALIBRATED: "), fixed(middle, 0), F.lit(" m from an assumed model, not a measurement")))
+        F.when(~known, NO_RANGE)
+        .when(~c("calibrated"), F.concat(F.lit(ASSUMED_RANGE[0]), fixed(middle, 0), F.lit(ASSUMED_RANGE[1])))
         .otherwise(F.concat(F.lit("range "), fixed(middle, 0), F.lit(" m (median)"))),
-        F.lit("bearing not measured: single omnidirectional sensor"),
+        F.lit(NO_BEARING),
     )
 
 
@@ -111,9 +115,9 @@ def track(site: Site, stale_s: float = S.STALE_S) -> Column:
 
 def ring(site: Site, percentile: Column, radius: Column, stale_s: float = S.STALE_S) -> Column:
     """The event of one credible range, linked to its track."""
-    caveat = F.when(F.col("calibrated"), "").otherwise(" UNCALIBRATED: model output, not a measurement.")
     label = emitter_label("frequency_hz", "pmr_channel", "ctcss_tone_hz")
-    told = F.concat(percentile.cast("string"), F.lit("% credible range for "), label, F.lit(": "), F.format_number(radius, 0), F.lit(" m."), caveat, F.lit(" Range only; bearing not measured."))
+    basis = F.when(F.col("calibrated"), "from a calibrated level").otherwise("from the model's assumed level, which nobody has calibrated")
+    told = F.concat(label, F.lit(" is within "), fixed(radius, 0), F.lit(" m with "), percentile.cast("string"), F.lit(" % credibility, "), basis, F.lit("; its direction is unknown"))
     colours = F.create_map(*(x for p, v in RING_COLOURS.items() for x in (F.lit(p), F.lit(_signed(v)))))
     colour = F.coalesce(F.try_element_at(colours, percentile), F.lit(_signed(OTHER_COLOUR))).cast("string")
     end = F.col("timestamp") + F.col("duration_s")

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.expr import free_space_loss_db, plausible_gain_dbi, required_dimension_m
+from .staging import staged
 
 CALIBRATION_DDL = "gain_key string, offset_db double, slope double, r_squared double, residual_rms_db double, valid_lo double, valid_hi double, num_points int"
 
@@ -33,24 +33,45 @@ def fit_once(points: DataFrame, key: str = "gain_key", x: str = "measured_dbfs",
 
 
 def fit_trimmed(points: DataFrame, key: str = "gain_key", x: str = "measured_dbfs", y: str = "input_dbm", limit_db: float = 1.0, least: int = 3) -> DataFrame:
-    """Least squares that drops the worst point while it is over ``limit_db`` off and more than ``least`` remain. A sweep fits a task."""
-
-    def run(name: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[x].to_numpy(float), pdf[y].to_numpy(float)
-        while True:
-            if len(a) < 2 or np.ptp(a) == 0:
-                return pd.DataFrame(columns=["gain_key", "offset_db", "slope", "r_squared", "residual_rms_db", "valid_lo", "valid_hi", "num_points"])
-            slope, offset = np.polyfit(a, b, 1)
-            off = b - (slope * a + offset)
-            worst = int(np.abs(off).argmax())
-            if len(a) <= least or abs(off[worst]) <= limit_db:
-                break
-            a, b = np.delete(a, worst), np.delete(b, worst)
-        total = ((b - b.mean()) ** 2).sum()
-        r2 = 1 - (off**2).sum() / total if total else 1.0
-        return pd.DataFrame([(name[0], offset, slope, r2, float(np.sqrt((off**2).mean())), a.min(), a.max(), len(a))], columns=["gain_key", "offset_db", "slope", "r_squared", "residual_rms_db", "valid_lo", "valid_hi", "num_points"])
-
-    return points.select(F.col(key).alias("gain_key"), x, y).groupBy("gain_key").applyInPandas(run, CALIBRATION_DDL)
+    """Least squares by key that drops the worst point while it is over ``limit_db`` off and more than ``least`` remain; the first of equals goes.
+
+    Each round is two aggregations over the stored points for all keys at once: the fits, and the worst point of each. So no task holds a
+    sweep, whatever its length; rounds number as many as the most points dropped from one key. Keys with fewer than two different levels
+    have no fit. Points without a level go first.
+    """
+    rows = points.select(F.col(key).alias("gain_key"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null")
+    rows = left = staged(rows.withColumn("place", F.monotonically_increasing_id()))
+    dropped: list[int] = []
+    while True:
+        fits = left.groupBy("gain_key").agg(
+            F.regr_slope("y", "x").alias("slope"),
+            F.regr_intercept("y", "x").alias("offset_db"),
+            F.min("x").alias("valid_lo"),
+            F.max("x").alias("valid_hi"),
+            F.count("*").alias("num_points"),
+            F.avg("y").alias("mean"),
+        )
+        fits = staged(fits.where("slope is not null and valid_lo < valid_hi"))
+        names = [F.col(c).alias(f"{c}__of") for c in ("gain_key", "slope", "offset_db", "num_points", "mean")]
+        told = left.join(fits.select(names), F.col("gain_key").eqNullSafe(F.col("gain_key__of")))
+        off = F.col("y") - (F.col("slope__of") * F.col("x") + F.col("offset_db__of"))
+        told = told.withColumn("off", off).groupBy("gain_key").agg(
+            F.max(F.struct(F.abs("off").alias("off"), (-F.col("place")).alias("place"))).alias("worst"),
+            F.sum(F.col("off") * F.col("off")).alias("squares"),
+            F.sum(F.pow(F.col("y") - F.col("mean__of"), F.lit(2.0))).alias("total"),
+        )
+        told = staged(told)
+        n = fits.select(F.col("gain_key").alias("k"), "num_points")
+        bad = told.join(n, F.col("gain_key").eqNullSafe(F.col("k"))).where((F.col("num_points") > least) & (F.col("worst.off") > limit_db))
+        more = [-r.place for r in bad.select("worst.place").collect()]  # one number for each key that isn't done
+        if not more:
+            break
+        dropped += more
+        gone = points.sparkSession.createDataFrame([(i,) for i in dropped], "place long")
+        left = rows.join(gone, "place", "left_anti")
+    out = fits.join(told.withColumnRenamed("gain_key", "k"), F.col("gain_key").eqNullSafe(F.col("k")))
+    r2 = F.when(F.col("total") > 0, 1 - F.col("squares") / F.col("total")).otherwise(F.lit(1.0))
+    return out.select("gain_key", "offset_db", "slope", r2.alias("r_squared"), F.sqrt(F.col("squares") / F.col("num_points")).alias("residual_rms_db"), "valid_lo", "valid_hi", F.col("num_points").cast("int").alias("num_points"))
 
 
 def dynamic_range(points: DataFrame, key: str = "gain_key", x: str = "measured_dbfs", y: str = "input_dbm", linearity_db: float = 1.0) -> DataFrame:
@@ -128,6 +149,7 @@ def estimate_range(
     places = np.array(wanted) / 100 * (draws - 1)
     low = places.astype(int)
     high, part = np.minimum(low + 1, draws - 1), places - low
+    ranks = np.unique(np.concatenate([low, high]))  # only these places are put in order
     sigma_db = float(np.sqrt(shadowing_sigma_db**2 + eirp_sigma_db**2 + calibration_sigma_db**2))
 
     def draw(keys: pa.Array, losses: pa.Array) -> pa.Array:
@@ -139,7 +161,7 @@ def estimate_range(
                 continue
             z = np.random.default_rng(key).standard_normal((2, draws))
             n = np.maximum(exponent + exponent_sigma * z[0], 2.0)
-            decades = np.sort((loss + sigma_db * z[1]) / (10 * n))
+            decades = np.partition((loss + sigma_db * z[1]) / (10 * n), ranks)
             a, b = 10.0 ** decades[low], 10.0 ** decades[high]
             out.append((a + (b - a) * part).tolist())
         return pa.array(out, pa.list_(pa.float64()))

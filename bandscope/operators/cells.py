@@ -44,6 +44,28 @@ def ca_pair_rate(cells: int = 24):
     return lambda a: (1 + a / cells) ** -cells * (1 + cells * (a / cells) / (1 + a / cells))
 
 
+def os_pair_rate(cells: int = 24, rank: int = 18):
+    """P(sum of two cells > alpha * x) for the ``rank``-th smallest of ``cells`` exponential cells as x.
+
+    x is a sum of ``rank`` independent exponentials with rates ``cells`` downwards, one for each step from a smallest cell to the next. So
+    exp(-alpha x) has the mean L, a product of rate / (rate + alpha), and exp(-alpha x)(1 + alpha x), the tail of two cells, L - alpha L'.
+    """
+    rates = [float(cells - i) for i in range(rank)]
+
+    def rate(alpha: float) -> float:
+        laplace = math.exp(-sum(math.log1p(alpha / r) for r in rates))
+        return laplace * (1 + sum(alpha / (r + alpha) for r in rates))
+
+    return rate
+
+
+def pair_threshold(pfa: float, method: str = "os", cells: int = 24, rank: int = 18) -> float:
+    """Threshold factor on one cell's noise estimate for the sum of two adjacent cells."""
+    if method not in ("os", "ca"):
+        raise ValueError("the method is os or ca")
+    return pair_factor(os_pair_rate(cells, rank) if method == "os" else ca_pair_rate(cells), pfa)
+
+
 def reference_offsets(cells: int, guard: int) -> list[int]:
     half = cells // 2
     return [*range(-half - guard, -guard), *range(guard + 1, guard + half + 1)]

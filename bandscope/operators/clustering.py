@@ -23,7 +23,6 @@ import bisect
 import math
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -255,27 +254,32 @@ def attach_products(products: DataFrame, profiles: DataFrame, tolerance_hz: floa
 def bin_groups(emissions: DataFrame, bins: int, keys: list[str]) -> DataFrame:
     """Merge emissions of one transmitter that fell in adjacent bins: greedy by start, then bin; joins the first group that touches.
 
-    Adds ``group_id``, the place of the group in its key.
+    Adds ``group_id``, the place of the group in its key. Rows are sorted by Spark and pass by one after the other: what ended before an
+    emission starts can't touch it or any later one, so a task holds only what is on air, which the number of bins bounds.
     """
+    schema = T.StructType([*emissions.schema.fields, T.StructField("group_id", T.LongType())])
+    dealt = emissions.repartition(*keys).sortWithinPartitions(*keys, "start_frame", "bin")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start_frame", "bin"]).reset_index(drop=True)
-        groups: list[list[tuple]] = []
-        numbers = []
-        for b, s, e in zip(pdf["bin"], pdf["start_frame"], pdf["end_frame"], strict=True):
-            for i, g in enumerate(groups):
-                if any(min((b - x) % bins, (x - b) % bins) == 1 and s <= y1 and y0 <= e for x, y0, y1 in g):
-                    g.append((b, s, e))
-                    numbers.append(i)
-                    break
-            else:
-                numbers.append(len(groups))
-                groups.append([(b, s, e)])
-        pdf["group_id"] = numbers
-        return pdf
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, count, live = None, 0, {}
+        for batch in batches:
+            numbers = []
+            of = lambda c: batch.column(c).to_pylist()  # noqa: B023, E731
+            for now, b, start, end in zip(zip(*map(of, keys), strict=True), of("bin"), of("start_frame"), of("end_frame"), strict=True):
+                if now != key:
+                    key, count, live = now, 0, {}
+                beside = {(b - 1) % bins, (b + 1) % bins} - {b}
+                for x in beside & live.keys():
+                    live[x] = [(g, stop) for g, stop in live[x] if stop >= start]
+                group = min((g for x in beside for g, _ in live.get(x, ())), default=count)
+                count += group == count
+                live.setdefault(b, []).append((group, end))
+                if len(live[b]) > 1:
+                    live[b] = [(g, stop) for g, stop in live[b] if stop >= start]
+                numbers.append(group)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], names=schema.names)
 
-    schema = T.StructType([*emissions.schema.fields, T.StructField("group_id", T.LongType())])
-    return emissions.groupBy(*keys).applyInPandas(run, schema)
+    return dealt.mapInArrow(run, schema)
 
 
 def group_summary(grouped: DataFrame, bins: int, keys: list[str]) -> DataFrame:

@@ -115,6 +115,42 @@ def order_statistics(members: DataFrame, keys: list[str], cells: dict = _CELLS)
     return told.groupBy(*keys).agg(*(pick(c, what) for c in cells for what in ("median", "spread")))
 
 
+def percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], cell_width: float) -> DataFrame:
+    """Exact percentiles by key, by linear interpolation between ranks; ``shares`` names them (0 to 1). Nulls and NaN don't count.
+
+    Cells of ``cell_width`` are counted first, which merges on the map side; only values in cells that hold a wanted rank are put in
+    order, and equal values are one row. So no task holds a key's values.
+    """
+    v = df.select(*keys, F.col(value).cast("double").alias("v__")).where("v__ is not null and not isnan(v__)").withColumn("cell__", F.floor(F.col("v__") / cell_width))
+    counted = v.groupBy(*keys, "cell__", "v__").agg(F.count("*").alias("n__"))
+    along = Window.partitionBy(*keys).orderBy("cell__").rowsBetween(Window.unboundedPreceding, 0)
+    cells = counted.groupBy(*keys, "cell__").agg(F.sum("n__").alias("inside__"))
+    cells = cells.withColumns({"below__": F.sum("inside__").over(along) - F.col("inside__"), "total__": F.sum("inside__").over(Window.partitionBy(*keys))})
+    place = {name: (F.col("total__") - 1) * F.lit(float(share)) for name, share in shares.items()}
+    low = {name: F.floor(p) for name, p in place.items()}
+    high = {name: F.ceil(p) for name, p in place.items()}
+
+    def holds(rank, first, size):
+        return (rank >= first) & (rank < first + size)
+
+    wanted = F.lit(False)
+    for rank in (*low.values(), *high.values()):
+        wanted = wanted | holds(rank, F.col("below__"), F.col("inside__"))
+    found = _met(counted, cells.where(wanted), [*keys, "cell__"])
+    inner = Window.partitionBy(*keys, "cell__").orderBy("v__").rowsBetween(Window.unboundedPreceding, 0)
+    found = found.withColumn("from__", F.col("below__") + F.sum("n__").over(inner) - F.col("n__"))
+    at = {f"{side}__{name}": F.max(F.when(holds(rank, F.col("from__"), F.col("n__")), F.col("v__"))) for side, ranks in (("low", low), ("high", high)) for name, rank in ranks.items()}
+    out = found.groupBy(*keys).agg(F.max("total__").alias("total__"), *(x.alias(n) for n, x in at.items()))
+    return out.select(*keys, *((F.col(f"low__{n}") + (F.col(f"high__{n}") - F.col(f"low__{n}")) * (place[n] - low[n])).alias(n) for n in shares))
+
+
+def shares(emissions: DataFrame, key: str) -> DataFrame:
+    """Each emission with the number of its key's emissions and its share of their air time. Totals are joined, so a busy key is no one's window."""
+    e = own_emissions(emissions)
+    totals = e.groupBy(F.col(key).alias("key__")).agg(F.count("*").alias("n"), F.sum("duration_s").alias("sum__"))
+    return e.join(totals, F.col(key).eqNullSafe(F.col("key__"))).withColumn("share", F.col("duration_s") / F.col("sum__")).drop("key__", "sum__")
+
+
 def profile_stats(members: DataFrame, keys: list[str]) -> DataFrame:
     """Figures of groups of emissions: counts, span, duty, medians and spreads. No task holds a group's values or its history;
     the rows with their gaps are written to the shared folder, as totals and ranks both read them."""

@@ -20,6 +20,34 @@ def by_lag(df: DataFrame, keys: list[str], at: str, gap: float, longest: float |
     return out.withColumn("piece", F.floor((F.col(at) - start) / longest))
 
 
+def cut_at_silence(df: DataFrame, keys: list[str], start: str, end: str, slice_size: int, name: str = "island") -> DataFrame:
+    """Number the islands of intervals that silence divides: one begins where all earlier ones of its key have ended before.
+
+    The running maximum has two levels. Intervals are put into slices by their start; each slice is told the latest end of the slices
+    before it and how many islands began in them, from one row for each slice. So a long key is spread over its slices, and no window
+    runs over its intervals.
+    """
+    e = df.withColumn("slice__", F.floor(F.col(start) / slice_size))
+    along = Window.partitionBy(*keys).orderBy("slice__")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    of = [*keys, "slice__"]
+    on = lambda right: [F.col(k).eqNullSafe(F.col(f"{k}__of")) for k in of] if right else None
+
+    def told(of_slices: DataFrame, what, as_name: str) -> DataFrame:
+        return of_slices.select(*(F.col(k).alias(f"{k}__of") for k in of), what.over(before).alias(as_name))
+
+    tops = e.groupBy(*of).agg(F.max(end).alias("top__"))
+    e = e.join(told(tops, F.max("top__"), "reach__"), on(True)).drop(*(f"{k}__of" for k in of))
+    w = Window.partitionBy(*of).orderBy(start, end)
+    latest = F.greatest(F.col("reach__"), F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    e = e.withColumn("fresh__", F.when(F.coalesce(F.col(start) > latest, F.lit(True)), 1).otherwise(0))
+    begun = e.groupBy(*of).agg(F.sum("fresh__").alias("begun__"))
+    e = e.join(told(begun, F.sum("begun__"), "earlier__"), on(True)).drop(*(f"{k}__of" for k in of))
+    counted = Window.partitionBy(*of).orderBy(start, end, F.desc("fresh__")).rowsBetween(Window.unboundedPreceding, 0)  # of equals the fresh one first
+    number = F.coalesce("earlier__", F.lit(0)) + F.sum("fresh__").over(counted)
+    return e.withColumn(name, number).drop("slice__", "reach__", "fresh__", "earlier__")
+
+
 def by_window(df: DataFrame, keys: list[str], ts: str, gap: str) -> DataFrame:
     """Sessions by the built-in session window: key, start, end of the last event, count."""
     grouped = df.groupBy(*keys, F.session_window(ts, gap).alias("w"))

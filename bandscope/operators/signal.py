@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import dsp
-from ..functions.expr import bin_frequency, channel_at, classify, decibels
+from ..functions.expr import bin_frequency, channel_at, classify, decibels, place_name
 from .cells import ca_factor, os_factor
 from .clustering import bin_groups
-from .sessions import tracked
+from .occupancy import percentiles
+from .sessions import cut_at_silence, tracked
+from .staging import staged
+
+#: Frames in a slice of a capture, about 42 s at the default rate, over which its emissions are spread to find islands.
+SLICE_FRAMES = 1 << 20
 
 
 def synthesise(spark: SparkSession, scene: dsp.Scenario, settings: S.Settings, start_time: float = 0.0, capture_id: str = "scene") -> tuple[DataFrame, DataFrame]:
@@ -52,8 +57,15 @@ def _complex(column, i: int) -> np.ndarray:
     return np.asarray(value.values, dtype=np.float32).view(np.complex64) if value.is_valid else np.zeros(0, np.complex64)
 
 
-def detect(blocks: DataFrame, settings: S.Settings) -> DataFrame:
-    """Hit cells (capture_id, start_time, frame, bin, power, noise, left_power, right_power); the spectra stay in the kernel."""
+#: The bin of a mark that isn't a hit.
+NO_BIN = -1
+
+
+def detect(blocks: DataFrame, settings: S.Settings, ends: bool = False) -> DataFrame:
+    """Hit cells (capture_id, start_time, frame, bin, power, noise, left_power, right_power); the spectra stay in the kernel.
+
+    With ``ends`` each block that is the ``last`` of its capture adds a mark: a row of ``NO_BIN`` two hangovers after the capture's end.
+    """
     bank = dsp.Channelizer(settings)
     factor = os_factor(settings.pfa, settings.reference_cells, settings.order_statistic) if settings.method == "os" else ca_factor(settings.pfa, settings.reference_cells)
     names = ["capture_id", "start_time", "frame", "bin", "power", "noise", "left_power", "right_power"]
@@ -64,6 +76,11 @@ def detect(blocks: DataFrame, settings: S.Settings) -> DataFrame:
                 x = np.concatenate((_complex(batch.column(4), i), _complex(batch.column(5), i)))
                 start, n = batch.column(2)[i].as_py(), batch.column(3)[i].as_py()
                 first, spectra = bank.frames(x, start, start + n)
+                if ends and batch.column(6)[i].as_py():
+                    after = (start + n) // settings.decimation + 2 * settings.hangover_frames + int(settings.frame_rate / 100) + 1
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([batch.column(0)[i].as_py()], pa.string()), pa.array([batch.column(1)[i].as_py()], pa.float64()), pa.array([after], pa.int64()), pa.array([NO_BIN], pa.int32()), *(pa.array([0.0]) for _ in range(4))], names=names
+                    )
                 if not len(spectra):
                     continue
                 power = (spectra.real**2 + spectra.imag**2).astype(np.float64)
@@ -76,17 +93,15 @@ def detect(blocks: DataFrame, settings: S.Settings) -> DataFrame:
                     names=names,
                 )
 
-    ready = with_halo(blocks, bank.halo).select("capture_id", "start_time", "start_sample", "n", "iq", "halo")
+    ready = with_halo(blocks, bank.halo).select("capture_id", "start_time", "start_sample", "n", "iq", "halo", *(["last"] if ends else []))
     return ready.mapInArrow(run, "capture_id string, start_time double, frame long, bin int, power double, noise double, left_power double, right_power double")
 
 
 def emissions_of(hits: DataFrame, settings: S.Settings) -> DataFrame:
-    """Tracked emissions with their groups of adjacent bins: one row for each group."""
-    t = tracked(hits, settings.hangover_frames, settings.min_frames, settings.max_frames, settings.min_occupancy, ["capture_id", "start_time"])
+    """Tracked emissions with their groups of adjacent bins: one row for each group. The tracked ones are written to the shared folder first."""
+    t = staged(tracked(hits, settings.hangover_frames, settings.min_frames, settings.max_frames, settings.min_occupancy, ["capture_id", "start_time"]))
     # Groups can't span a time in which nothing is on air, so such islands are merged apart.
-    w = Window.partitionBy("capture_id").orderBy("start_frame", "end_frame", "bin")
-    reach = F.max("end_frame").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    t = t.withColumn("fresh", F.when(F.coalesce(F.col("start_frame") > reach, F.lit(True)), 1).otherwise(0)).withColumn("island", F.sum("fresh").over(w)).drop("fresh")
+    t = cut_at_silence(t, ["capture_id"], "start_frame", "end_frame", SLICE_FRAMES)
     keys = ["capture_id", "start_time", "island"]
     grouped = bin_groups(t, settings.num_channels, keys)
     m = settings.num_channels
@@ -121,44 +136,46 @@ def emissions_of(hits: DataFrame, settings: S.Settings) -> DataFrame:
 def identify(emissions: DataFrame, blocks: DataFrame, settings: S.Settings, friend_hz: float | None = None) -> DataFrame:
     """Add tone, classification and peak deviation. The channel's samples exist only between the two kernels; they aren't columns of the result.
 
-    Emissions meet the blocks they touch by block number; ``max_frames`` bounds what one emission gathers.
+    Emissions meet the blocks they touch by block number; the filter bank runs over their frames alone, once for the bins wanted there.
+    What an emission gathers is named by capture, bin and first frame; ``max_frames`` bounds it.
     """
     from ..sources.iq import block_samples
 
     bank, size, d = dsp.Channelizer(settings), block_samples(settings), settings.decimation
     touched = F.sequence(F.floor(F.col("start_frame") * d / size), F.floor(F.col("end_frame") * d / size))
-    wanted = emissions.select("capture_id", "row_id", "bin_index", "start_frame", "end_frame", F.explode(touched).alias("block_idx"))
-    per_block = wanted.groupBy("capture_id", "block_idx").agg(F.collect_list(F.struct("row_id", "bin_index", "start_frame", "end_frame")).alias("wanted"))
+    wanted = emissions.select("capture_id", "bin_index", "start_frame", "end_frame", F.explode(touched).alias("block_idx"))
+    per_block = wanted.groupBy("capture_id", "block_idx").agg(F.collect_list(F.struct("start_frame", "end_frame", "bin_index")).alias("wanted"))
+    names = ["capture_id", "bin_index", "start_frame", "frame", "part"]
+    types = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
 
     def cut(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 x = np.concatenate((_complex(batch.column(2), i), _complex(batch.column(3), i)))
                 start = batch.column(0)[i].as_py()
-                first, spectra = bank.frames(x, start, start + batch.column(1)[i].as_py())
-                rows = []
-                for w in batch.column(4)[i].as_py():
-                    part = spectra[max(0, w["start_frame"] - first) : max(0, w["end_frame"] + 1 - first), w["bin_index"]]
-                    if len(part):
-                        rows.append((w["row_id"], max(first, w["start_frame"]), np.ascontiguousarray(part).tobytes()))
+                own = [(w["start_frame"], w["end_frame"], w["bin_index"]) for w in batch.column(4)[i].as_py()]
+                capture = batch.column(5)[i].as_py()
+                found = bank.bins(x, start, start + batch.column(1)[i].as_py(), own)
+                rows = [(capture, k, lo, first, part.tobytes()) for (lo, _, k), (first, part) in zip(own, found, strict=True) if len(part)]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["row_id", "frame", "part"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     def tell(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         iq = np.frombuffer(b"".join(pdf.sort_values("frame")["part"]), dtype=np.complex64)
         peak, _ = dsp.deviation(iq, settings.frame_rate)
         tone, *_ = dsp.find_tone(dsp.discriminate(iq, settings.frame_rate) / dsp.MAX_DEVIATION_HZ, settings.frame_rate)
-        return pd.DataFrame({"row_id": [key[0]], "ctcss_tone_hz": [tone], "peak_deviation_hz": [peak]})
+        return pd.DataFrame({"capture_id": [key[0]], "bin_index": [key[1]], "start_frame": [key[2]], "ctcss_tone_hz": [tone], "peak_deviation_hz": [peak]})
 
-    ready = with_halo(blocks, bank.halo).join(per_block, ["capture_id", "block_idx"]).select("start_sample", "n", "iq", "halo", "wanted")
-    told = ready.mapInArrow(cut, "row_id long, frame long, part binary").groupBy("row_id").applyInPandas(tell, "row_id long, ctcss_tone_hz double, peak_deviation_hz double")
-    return emissions.join(told, "row_id", "left").withColumn("classification", classify("ctcss_tone_hz", friend_hz))
+    ready = with_halo(blocks, bank.halo).join(per_block, ["capture_id", "block_idx"]).select("start_sample", "n", "iq", "halo", "wanted", "capture_id")
+    of = ["capture_id", "bin_index", "start_frame"]
+    parts = ready.mapInArrow(cut, "capture_id string, bin_index int, start_frame long, frame long, part binary")
+    told = parts.groupBy(*of).applyInPandas(tell, "capture_id string, bin_index int, start_frame long, ctcss_tone_hz double, peak_deviation_hz double")
+    return emissions.join(told, of, "left").withColumn("classification", classify("ctcss_tone_hz", friend_hz))
 
 
 def run_capture(blocks: DataFrame, settings: S.Settings, friend_hz: float | None = None, calibrations: DataFrame | None = None, gain_key: str | None = None) -> DataFrame:
     """The whole chain for captures: emission rows with the columns of the store."""
     from .calibration import to_dbm
-    from .staging import staged
 
     found = staged(emissions_of(detect(blocks, settings), settings))
     e = identify(found, blocks, settings, friend_hz).withColumn("gain_key", F.lit(gain_key).cast("string"))
@@ -180,8 +197,15 @@ def survey(blocks: DataFrame, rate: float, centre_hz: float, size: int = 1_024,
 
     ready = with_halo(blocks, size - hop).select("capture_id", "n", "iq", "halo")
     sums = ready.mapInArrow(run, "capture_id string, bin int, power double, frames long").groupBy("capture_id", "bin").agg((F.sum("power") / F.sum("frames")).alias("p"))
-    power = sums.select("capture_id", bin_frequency("bin", size, rate, centre_hz).alias("frequency_hz"), decibels("p", 1e-300).alias("power_db"))
-    return power.join(power.groupBy("capture_id").agg(F.median("power_db").alias("floor_db")), "capture_id")
+    return over_floor(sums.select("capture_id", bin_frequency("bin", size, rate, centre_hz).alias("frequency_hz"), "p"), 1e-300)
+
+
+def over_floor(spectrum: DataFrame, least: float = 1e-20, margin_db: float = 1.0) -> DataFrame:
+    """Mean powers ``p`` by ``capture_id`` in dB, with the capture's median as its floor and whether they stand out. A spectrum has a fixed number of bins."""
+    power = spectrum.withColumn("power_db", decibels("p", least)).drop("p")
+    floors = power.groupBy(F.col("capture_id").alias("c__")).agg(F.median("power_db").alias("floor_db"))
+    out = power.join(floors, F.col("capture_id").eqNullSafe(F.col("c__"))).drop("c__")
+    return out.withColumn("occupied", F.col("power_db") > F.col("floor_db") + margin_db)
 
 
 def reference_errors(spectra: DataFrame, nominal_hz: float, tuned_hz: float, kind: str = "notch", expected_hz: float = 7_610_000.0) -> DataFrame:
@@ -202,10 +226,10 @@ def reference_errors(spectra: DataFrame, nominal_hz: float, tuned_hz: float, kin
     return spectra.groupBy("capture_id").applyInPandas(run, "capture_id string, error_hz double, error_ppm double, status string")
 
 
-def mean_error(errors: DataFrame) -> DataFrame:
-    """Mean error over the captures that measured, with its standard error (zero for one)."""
+def mean_error(errors: DataFrame, *keys: str) -> DataFrame:
+    """Mean error over the captures that measured (by ``keys``), with its standard error (zero for one)."""
     good = errors.where("status = 'ok'")
-    return good.agg(F.avg("error_hz").alias("error_hz"), F.coalesce(F.stddev_samp("error_hz") / F.sqrt(F.count("*")), F.lit(0.0)).alias("standard_error_hz"), F.count("*").alias("captures"))
+    return good.groupBy(*keys).agg(F.avg("error_hz").alias("error_hz"), F.coalesce(F.stddev_samp("error_hz") / F.sqrt(F.count("*")), F.lit(0.0)).alias("standard_error_hz"), F.count("*").alias("captures"))
 
 
 def spectrogram(blocks: DataFrame, rate: float, centre_hz: float, total_samples: int, size: int = 1_024, hop: int = 512, max_frames: int = 8_192) -> DataFrame:
@@ -237,8 +261,29 @@ def spectrogram(blocks: DataFrame, rate: float, centre_hz: float, total_samples:
 
 
 def picture_limits(table: DataFrame) -> DataFrame:
-    """Display range of a spectrogram: the 5th and 99.99th percentile, 3 dB wider."""
-    return table.agg((F.percentile("power_db", 0.05) - 3).alias("low_db"), (F.percentile("power_db", 0.9999) + 3).alias("high_db"))
+    """Display range of a spectrogram: the 5th and 99.99th percentile, 3 dB wider; no task holds the cells."""
+    found = percentiles(table, [], "power_db", {"low": 0.05, "high": 0.9999}, 0.25)
+    return found.select((F.col("low") - 3).alias("low_db"), (F.col("high") + 3).alias("high_db"))
+
+
+def overlay(emissions: DataFrame, rate: float, hop: int = 512, width_hz: float = S.CHANNEL_SPACING_HZ) -> DataFrame:
+    """Rectangles of emissions over a spectrogram: first and last frame, the band about the measured frequency, and a label."""
+    f = F.col("frequency_hz")
+    return emissions.select(
+        "capture_id",
+        F.floor(F.col("offset_s") * rate / hop).alias("first_frame"),
+        F.floor((F.col("offset_s") + F.col("duration_s")) * rate / hop).alias("last_frame"),
+        (f - width_hz / 2).alias("low_hz"),
+        (f + width_hz / 2).alias("high_hz"),
+        place_name("frequency_hz", "pmr_channel").alias("label"),
+        "snr_db",
+    )
+
+
+def by_snr(hits: DataFrame) -> DataFrame:
+    """Hits by their signal-to-noise ratio, the highest first; of equals the lowest bin, then the earliest frame."""
+    told = hits if "snr_db" in hits.columns else hits.withColumn("snr_db", 10 * F.log10(F.col("power") / F.greatest(F.col("noise"), F.lit(1e-300))))
+    return told.orderBy(F.desc("snr_db"), "bin", "frame")
 
 
 def channel_peaks(spectrum: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import expr as X
+from ..functions import publish as P
 from ..operators import attribution as A
 from ..operators import calibration as C
 from ..operators import cells as D
@@ -19,9 +20,11 @@ from ..operators import clustering as G
 from ..operators import occupancy as O
 from ..operators import scoring as R
 from ..operators import sessions as W
-from ..operators.staging import staged
+from ..operators import signal as D2
+from ..operators.staging import new_path, staged
 from ..operators.joins import interval_join
 from ..sources import iq as I
+from ..sources import store
 from .views import CELLS, EM, emissions, frames, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -446,9 +449,8 @@ def smooth9(spark, sf):
 
 @query(f"WITH {CELLS}, s AS (SELECT bin, 10 * log10(greatest(avg(power), 1e-20)) AS power_db FROM cells GROUP BY 1), f AS (SELECT median(power_db) AS floor_db FROM s) SELECT bin, round(power_db, 6) AS power_db, round(floor_db, 6) AS floor_db, power_db > floor_db + 1 AS occupied FROM s, f")
 def survey_floor(spark, sf):
-    s = frames(spark, sf).select(F.posexplode("power").alias("bin", "p")).groupBy("bin").agg(X.decibels(F.avg("p")).alias("power_db"))
-    floor = s.agg(F.median("power_db")).first()[0]  # one row a bin
-    return s.select(F.col("bin").cast("bigint").alias("bin"), F.round("power_db", 6).alias("power_db"), F.lit(round(floor, 6)).alias("floor_db"), (F.col("power_db") > floor + 1).alias("occupied"))
+    s = frames(spark, sf).select(F.posexplode("power").alias("bin", "p")).groupBy(F.lit("c").alias("capture_id"), "bin").agg(F.avg("p").alias("p"))
+    return rounded(D2.over_floor(s).select(F.col("bin").cast("bigint").alias("bin"), "power_db", "floor_db", "occupied"), 6, "power_db", "floor_db")
 
 
 @query(f"WITH {CELLS}, k AS (SELECT frame, max(CASE WHEN bin = 9 THEN power END) AS a, max(CASE WHEN bin = 10 THEN power END) AS b, max(CASE WHEN bin = 11 THEN power END) AS c FROM cells GROUP BY 1), l AS (SELECT *, 10 * log10(greatest(a, 1e-30)) AS x, 10 * log10(greatest(b, 1e-30)) AS y, 10 * log10(greatest(c, 1e-30)) AS z FROM k) SELECT frame, round(CASE WHEN b >= a AND b >= c AND a > 0 AND c > 0 AND x - 2 * y + z <> 0 THEN greatest(-0.5e0, least(0.5e0, 0.5e0 * (x - z) / (x - 2 * y + z))) ELSE 0 END, 6) AS offset_bins FROM l")
@@ -562,20 +564,16 @@ def adjacent_hits(spark, sf):
     f"WITH {EM}, d AS (SELECT source_id, count(*) AS n, sum(duration_s) AS s, min(kind) AS k FROM em GROUP BY 1) SELECT em.row_id, em.kind, d.n, round(em.duration_s / d.s, 8) AS share FROM em JOIN d USING (source_id)"
 )
 def emitter_share(spark, sf):
-    e = emissions(spark, sf)
-    d = e.groupBy("source_id").agg(F.count("*").alias("n"), F.sum("duration_s").alias("s"))
-    return e.join(d, "source_id").select("row_id", "kind", "n", F.round(F.col("duration_s") / F.col("s"), 8).alias("share"))
+    return O.shares(emissions(spark, sf), "source_id").select("row_id", "kind", "n", F.round("share", 8).alias("share"))
 
 
 @query(
     f"WITH {EM}, s AS (SELECT 446006250e0 + 12500e0 * (row_id % 40) AS f, peak_power_dbfs AS p FROM em), m AS (SELECT f, max(p) AS p FROM s GROUP BY 1), fl AS (SELECT median(p) AS fl FROM m) SELECT CAST(round_even((f - 446006250e0) / 12500e0, 0) AS INTEGER) + 1 AS channel, round(max(p - fl), 6) AS peak_over_floor_db FROM m, fl WHERE round_even((f - 446006250e0) / 12500e0, 0) BETWEEN 0 AND 15 GROUP BY 1"
 )
 def channel_peaks(spark, sf):
-    from ..operators.signal import channel_peaks as peaks
-
     s = emissions(spark, sf).groupBy((446_006_250.0 + 12_500.0 * (F.col("row_id") % 40)).alias("frequency_hz")).agg(F.max("peak_power_dbfs").alias("power_db"))
     floor = s.agg(F.median("power_db")).first()[0]  # one row a bin
-    out = peaks(s.withColumns({"capture_id": F.lit("c"), "floor_db": F.lit(floor)}))
+    out = D2.channel_peaks(s.withColumns({"capture_id": F.lit("c"), "floor_db": F.lit(floor)}))
     return rounded(out.select("channel", "peak_over_floor_db"), 6, "peak_over_floor_db")
 
 
@@ -583,10 +581,166 @@ def channel_peaks(spark, sf):
     "WITH e AS (SELECT user_id, event_id, value AS w, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) SELECT user_id, count(*) AS n, round(avg(w), 6) AS mean_hz, round(coalesce(stddev_samp(w) / sqrt(count(*)), 0), 6) AS error_hz, max_by(event_id, w) AS peak_id FROM (SELECT user_id, event_id, value AS w FROM events) GROUP BY 1"
 )
 def mean_errors(spark, sf):
-    e = table(spark, sf, "events")
-    return rounded(
-        e.groupBy("user_id").agg(F.count("*").alias("n"), F.avg("value").alias("mean_hz"), F.coalesce(F.stddev_samp("value") / F.sqrt(F.count("*")), F.lit(0.0)).alias("error_hz"), F.max_by("event_id", "value").alias("peak_id")),
-        6,
-        "mean_hz",
-        "error_hz",
+    e = table(spark, sf, "events").select("user_id", "event_id", F.col("value").alias("error_hz"), F.lit("ok").alias("status"))
+    found = D2.mean_error(e, "user_id").select("user_id", F.col("captures").alias("n"), F.col("error_hz").alias("mean_hz"), F.col("standard_error_hz").alias("error_hz"))
+    peaks = e.groupBy("user_id").agg(F.max_by("event_id", "error_hz").alias("peak_id"))
+    return rounded(found.join(peaks, "user_id"), 6, "mean_hz", "error_hz")
+
+
+# Sweeps of which some points are compressed: each user's events, every ninth one far off the line.
+
+_POINTS = "SELECT user_id, event_id, CAST(event_id % 37 AS DOUBLE) * 2 - 80 + value / 100 AS x, value FROM events"
+
+
+@query(
+    f"""WITH RECURSIVE p AS (SELECT user_id, event_id, x, 0.9e0 * x - 50e0 + (event_id % 11) / 20e0 + CASE WHEN event_id % 9 = 0 THEN -4e0 - value / 50e0 ELSE 0e0 END AS y FROM ({_POINTS})),
+g AS (SELECT user_id, list({{'x': x, 'y': y}} ORDER BY event_id) AS ps FROM p GROUP BY 1),
+r AS (SELECT user_id, 0 AS round, ps, false AS done FROM g
+  UNION ALL SELECT user_id, round + 1, CASE WHEN drops THEN list_filter(ps, lambda q, i: i <> worst) ELSE ps END, NOT drops FROM (
+    SELECT *, list_position(off, list_max(off)) AS worst, len(ps) > 3 AND list_max(off) > 1 AS drops FROM (
+      SELECT *, list_transform(ps, lambda q: abs(q.y - my - b * (q.x - mx))) AS off FROM (
+        SELECT *, list_sum(list_transform(ps, lambda q: (q.x - mx) * (q.y - my))) / list_sum(list_transform(ps, lambda q: (q.x - mx) * (q.x - mx))) AS b FROM (
+          SELECT *, list_avg(list_transform(ps, lambda q: q.x)) AS mx, list_avg(list_transform(ps, lambda q: q.y)) AS my FROM r
+          WHERE NOT done AND len(list_distinct(list_transform(ps, lambda q: q.x))) > 1))))),
+q AS (SELECT user_id, unnest(ps) AS o FROM r WHERE done)
+SELECT user_id AS gain_key, round(regr_slope(o.y, o.x), 6) AS slope, round(regr_intercept(o.y, o.x), 5) AS offset_db, round(min(o.x), 6) AS valid_lo, round(max(o.x), 6) AS valid_hi, CAST(count(*) AS INTEGER) AS num_points FROM q GROUP BY 1"""
+)
+def calibration_trimmed(spark, sf):
+    k = F.col("event_id")
+    p = table(spark, sf, "events").withColumn("x", (k % 37).cast("double") * 2 - 80 + F.col("value") / 100)
+    p = p.withColumn("y", 0.9 * F.col("x") - 50 + (k % 11) / 20 + F.when(k % 9 == 0, -4 - F.col("value") / 50).otherwise(0.0))
+    return rounded(rounded(C.fit_trimmed(p, "user_id", "x", "y").select("gain_key", "slope", "offset_db", "valid_lo", "valid_hi", "num_points"), 6, "slope", "valid_lo", "valid_hi"), 5, "offset_db")
+
+
+# Ranks
+
+
+@query(f"WITH {CELLS} SELECT bin, round(quantile_cont(10 * log10(greatest(power, 1e-30)), 0.05) - 3, 6) AS low_db, round(quantile_cont(10 * log10(greatest(power, 1e-30)), 0.9999) + 3, 6) AS high_db FROM cells GROUP BY 1")
+def bin_limits(spark, sf):
+    """Display limits of each bin, by exact ranks."""
+    c = frames(spark, sf).select(F.posexplode("power").alias("bin", "p")).select(F.col("bin").cast("bigint").alias("bin"), X.decibels("p").alias("power_db"))
+    found = O.percentiles(c, ["bin"], "power_db", {"low": 0.05, "high": 0.9999}, 0.25)
+    return found.select("bin", F.round(F.col("low") - 3, 6).alias("low_db"), F.round(F.col("high") + 3, 6).alias("high_db"))
+
+
+@query(f"WITH {CELLS} SELECT round(quantile_cont(10 * log10(greatest(power, 1e-30)), 0.05) - 3, 6) AS low_db, round(quantile_cont(10 * log10(greatest(power, 1e-30)), 0.9999) + 3, 6) AS high_db FROM cells")
+def picture_limits(spark, sf):
+    c = frames(spark, sf).select(F.explode("power").alias("p")).select(X.decibels("p").alias("power_db"))
+    return rounded(D2.picture_limits(c), 6, "low_db", "high_db")
+
+
+@query(
+    f"WITH {EM} SELECT source_id, row_id, CAST(floor((timestamp - 1704067200e0) * 2e6 / 512) AS BIGINT) AS first_frame, CAST(floor((timestamp - 1704067200e0 + duration_s) * 2e6 / 512) AS BIGINT) AS last_frame, frequency_hz - 6250e0 AS low_hz, frequency_hz + 6250e0 AS high_hz, CASE WHEN pmr_channel IS NOT NULL THEN 'PMR' || pmr_channel ELSE format('{{:.5f}}', frequency_hz / 1e6) END AS label FROM em"
+)
+def detection_overlay(spark, sf):
+    e = emissions(spark, sf).withColumns({"offset_s": F.col("timestamp") - 1_704_067_200.0, "capture_id": F.struct("source_id", "row_id")})
+    return D2.overlay(e, 2e6).select("capture_id.*", "first_frame", "last_frame", "low_hz", "high_hz", "label")
+
+
+# Whole event documents: the track of each emission and a ring for each of its percentiles.
+
+_TIME = lambda x: f"strftime(make_timestamp(CAST(floor(({x}) * 1e6 + 0.5) AS BIGINT)), '%Y-%m-%dT%H:%M:%S.') || left(strftime(make_timestamp(CAST(floor(({x}) * 1e6 + 0.5) AS BIGINT)), '%f'), 2) || 'Z'"
+_ENDS = f"""' time="' || {_TIME("timestamp + duration_s")} || '" start="' || {_TIME("timestamp")} || '" stale="' || {_TIME("timestamp + duration_s + 300")} || '">'"""
+_HEADER = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><event version="2.0" uid="'
+_POINT = "'<point lat=\"48.1000000\" lon=\"11.5000000\" hae=\"520.0\" ce=\"' || {} || '\" le=\"9999999.0\"/>'"
+
+
+@query(
+    f"""WITH {EM}, m AS (SELECT *, (row_id % 40) * 50e0 AS dev, row_id % 3 = 0 AS calibrated, CASE WHEN row_id % 7 = 0 THEN 'SPLATTER' END AS attribution, frequency_hz + 12500e0 AS attributed_to_hz, -floor(-peak_power_dbfs) AS power,
+  CASE WHEN row_id % 5 > 0 THEN 100e0 + row_id % 900 END AS r50, CASE WHEN row_id % 5 > 0 THEN 3000e0 + row_id % 700 END AS r95 FROM em),
+n AS (SELECT *, CASE WHEN pmr_channel IS NOT NULL THEN 'PMR' || pmr_channel ELSE format('{{:.5f}}', frequency_hz / 1e6) END || '/' || CASE WHEN ctcss_tone_hz IS NOT NULL THEN format('{{:.1f}}Hz', ctcss_tone_hz) ELSE 'no-tone' END AS label,
+  'BAND.' || CASE WHEN pmr_channel IS NOT NULL THEN 'PMR' || pmr_channel ELSE format('{{:.0f}}', frequency_hz) END || '.' || CASE WHEN ctcss_tone_hz IS NOT NULL THEN format('{{:.1f}}', ctcss_tone_hz) ELSE 'notone' END AS uid FROM m),
+t AS (SELECT row_id, 0 AS place, '{_HEADER}' || uid || '" type="' || CASE WHEN abs(ctcss_tone_hz - 70.5e0) < 0.5e0 THEN 'a-f-G' ELSE 'a-u-G' END || '" how="m-c"' || {_ENDS} || {_POINT.format("format('{:.1f}', coalesce(r95, 9999999e0))")} || '<detail><contact callsign="' || label || '"/><remarks>'
+  || concat_ws(' | ', format('{{:.5f}} MHz', frequency_hz / 1e6), CASE WHEN pmr_channel IS NOT NULL THEN 'PMR' || pmr_channel ELSE 'off-grid' END, format('{{:.1f}} s', duration_s), format('SNR {{:.1f}} dB', snr_db), format('peak {{:.1f}} dBFS', power), format('dev {{:.0f}} Hz', dev),
+     CASE WHEN ctcss_tone_hz IS NOT NULL THEN format('CTCSS {{:.1f}} Hz', ctcss_tone_hz) ELSE 'no CTCSS' END, CASE WHEN attribution IS NOT NULL THEN format('SPLATTER of an emission at {{:.5f}} MHz', attributed_to_hz / 1e6) END,
+     CASE WHEN r50 IS NULL THEN 'RANGE UNKNOWN: power is uncalibrated' WHEN NOT calibrated THEN format('RANGE UNCALIBRATED: {{:.0f}} m from an assumed model, not a measurement', r50) ELSE format('range {{:.0f}} m (median)', r50) END, 'bearing not measured: single omnidirectional sensor')
+  || '</remarks><measurement frequency_hz="' || format('{{:.1f}}', frequency_hz) || '" pmr_channel="' || coalesce(CAST(pmr_channel AS VARCHAR), '') || '" snr_db="' || format('{{:.2f}}', snr_db) || '" peak_power_dbfs="' || format('{{:.2f}}', power) || '" peak_deviation_hz="' || format('{{:.1f}}', dev)
+  || '" ctcss_tone_hz="' || coalesce(format('{{:.1f}}', ctcss_tone_hz), '') || '" duration_s="' || format('{{:.3f}}', duration_s) || '" calibrated="' || calibrated || '" attribution="' || coalesce(attribution, '') || '"/></detail></event>' AS event FROM n),
+g AS (SELECT *, unnest([50, 95]) AS pct, unnest([r50, r95]) AS r FROM n WHERE r50 IS NOT NULL)
+SELECT * FROM t UNION ALL
+SELECT row_id, CASE WHEN pct = 50 THEN 1 ELSE 2 END, '{_HEADER}' || uid || '.p' || pct || '" type="u-d-r" how="m-g"' || {_ENDS} || {_POINT.format("format('{:.1f}', r)")} || '<detail><remarks>' || label || ' is within ' || format('{{:.0f}}', r) || ' m with ' || pct || ' % credibility, '
+  || CASE WHEN calibrated THEN 'from a calibrated level' ELSE 'from the model&apos;s assumed level, which nobody has calibrated' END || '; its direction is unknown</remarks><link uid="' || uid || '" type="a-f-G" relation="p-p" production_time="' || {_TIME("timestamp + duration_s")}
+  || '"/><shape><ellipse major="' || format('{{:.1f}}', r) || '" minor="' || format('{{:.1f}}', r) || '" angle="0"/></shape><color argb="' || CASE WHEN pct = 50 THEN '-2130706688' ELSE '-2130771968' END || '"/></detail></event>' FROM g"""
+)
+def event_documents(spark, sf):
+    """The published format as a whole: tracks with and without a range, calibrated or not, and their rings."""
+    k = F.col("row_id")
+    ranges = F.when(k % 5 > 0, F.create_map(F.lit(50), 100.0 + k % 900, F.lit(95), 3_000.0 + k % 700))
+    e = emissions(spark, sf).withColumns(
+        {
+            "peak_deviation_hz": (k % 40) * 50.0,
+            "calibrated": k % 3 == 0,
+            "attribution": F.when(k % 7 == 0, "SPLATTER"),
+            "attributed_to_hz": F.col("frequency_hz") + 12_500.0,
+            "peak_power_dbfs": -F.floor(-F.col("peak_power_dbfs")).cast("double"),
+            "classification": X.classify("ctcss_tone_hz", 70.5),
+            "range_m": ranges,
+        }
     )
+    told = P.events(e, P.Site(48.1, 11.5, 520.0))
+    return told.select("row_id", F.posexplode("events").alias("place", "event"))
+
+
+# Stores: every event as a report, written to a new store in the shared folder and read back.
+
+_REPORTS = f"""{EM}, rep AS (SELECT row_id, timestamp, frequency_hz, pmr_channel, CAST(row_id % 160 AS INTEGER) AS bin_index, duration_s, peak_power_dbfs, snr_db, CASE WHEN row_id % 3 > 0 THEN peak_power_dbfs - 40e0 END AS estimated_dbm, row_id % 3 > 0 AS calibrated, ctcss_tone_hz,
+  CASE WHEN abs(ctcss_tone_hz - 70.5e0) < 0.5e0 THEN 'FRIEND' ELSE 'UNKNOWN' END AS classification, timestamp - 1704067200e0 AS offset_s, (row_id % 40) * 50e0 AS peak_deviation_hz, CASE WHEN row_id % 4 > 0 THEN 8e0 * (row_id % 5) END AS lna_db, CASE WHEN row_id % 4 > 0 THEN 2e0 * (row_id % 7) END AS vga_db,
+  CASE WHEN row_id % 4 > 0 THEN row_id % 2 = 1 END AS amp_enabled, CASE WHEN row_id % 7 = 0 THEN frequency_hz + 12500e0 END AS attributed_to_hz, CASE WHEN row_id % 7 = 0 THEN 'SPLATTER' END AS attribution FROM em)"""
+
+
+def _reports(spark, sf) -> DataFrame:
+    k = F.col("row_id")
+    some = k % 4 > 0
+    gains = F.when(some, F.struct((8.0 * (k % 5)).alias("lna_db"), (2.0 * (k % 7)).alias("vga_db"), (k % 2 == 1).alias("amp_enabled")))
+    return emissions(spark, sf).select(
+        "timestamp", "frequency_hz", "pmr_channel", (k % 160).cast("int").alias("bin_index"), "duration_s", "peak_power_dbfs", "snr_db",
+        F.when(k % 3 > 0, F.col("peak_power_dbfs") - 40.0).alias("estimated_dbm"), (k % 3 > 0).alias("calibrated"), "ctcss_tone_hz", X.classify("ctcss_tone_hz", 70.5).alias("classification"),
+        (F.col("timestamp") - 1_704_067_200.0).alias("offset_s"), ((k % 40) * 50.0).alias("peak_deviation_hz"), gains.alias("gains"),
+        F.when(k % 7 == 0, F.col("frequency_hz") + 12_500.0).alias("attributed_to_hz"), F.when(k % 7 == 0, "SPLATTER").alias("attribution"),
+    )
+
+
+def _stored(spark, sf, extension: str) -> DataFrame:
+    path = f"{new_path(spark)}/store.{extension}"
+    if extension == "db":
+        path = path.removeprefix("file://").removeprefix("file:")
+        if "://" in path:
+            raise ValueError("a SQLite store needs a file system")
+    store.write_reports(_reports(spark, sf), path)
+    back = store.read_reports(spark, path)
+    return back.select("*", "gains.*").drop("row_id", "gains")
+
+
+@query(f"WITH {_REPORTS} SELECT * EXCLUDE (row_id) FROM rep")
+def store_single_file(spark, sf):
+    return _stored(spark, sf, "db")
+
+
+@query(f"WITH {_REPORTS} SELECT * EXCLUDE (row_id) FROM rep")
+def store_lines(spark, sf):
+    return _stored(spark, sf, "jsonl")
+
+
+@query(f"WITH {_REPORTS} SELECT * EXCLUDE (row_id) FROM rep")
+def store_columns(spark, sf):
+    return _stored(spark, sf, "parquet")
+
+
+@query(f"WITH {_REPORTS} SELECT pmr_channel, count(*) AS n, round(sum(duration_s), 4) AS airtime_s FROM rep WHERE snr_db >= 20e0 AND classification = 'UNKNOWN' GROUP BY 1")
+def store_query(spark, sf):
+    """Parameters bound to SQL over a store."""
+    path = f"{new_path(spark)}/store.parquet"
+    store.write_reports(_reports(spark, sf), path)
+    found = store.store_sql(spark, path, "SELECT pmr_channel, count(*) AS n, sum(duration_s) AS airtime_s FROM emissions WHERE snr_db >= :least AND classification = :kind GROUP BY 1", least=20.0, kind="UNKNOWN")
+    return rounded(found, 4, "airtime_s")
+
+
+@query(f"WITH {_REPORTS} SELECT row_id % 10 <> 3 AS good, count(*) AS n, round(sum(CASE WHEN row_id % 10 <> 3 THEN duration_s END), 4) AS airtime_s FROM rep GROUP BY 1")
+def archive_recovery(spark, sf):
+    """An archive of lines of which every tenth was cut while it was written."""
+    path = new_path(spark)
+    lines = _reports(spark, sf).select("offset_s", F.to_json(F.struct("*")).alias("line"), F.round(F.col("bin_index") % 10).alias("k"))
+    lines.select(F.when(F.col("k") == 3, F.expr("left(line, length(line) - 7)")).otherwise(F.col("line")).alias("value")).write.mode("append").text(path)
+    good, bad = store.read_jsonl(spark, path)
+    told = good.agg(F.lit(True).alias("good"), F.count("*").alias("n"), F.round(F.sum("duration_s"), 4).alias("airtime_s"))
+    return told.unionByName(bad.agg(F.lit(False).alias("good"), F.count("*").alias("n"), F.lit(None).cast("double").alias("airtime_s")))

@@ -10,6 +10,7 @@ from bandscope import schema as S
 from bandscope.functions import dsp
 from bandscope.operators import cells, signal
 from bandscope.operators.clustering import bin_groups
+from bandscope.operators.sessions import cut_at_silence
 from bandscope.sources import iq
 
 SMALL = S.Settings(sample_rate=500_000.0, centre_hz=446_206_250.0, num_channels=40, decimation=20)
@@ -33,6 +34,32 @@ def test_threshold_factors():
     assert (x[:, 0] + x[:, 1] > a * x[:, 2:].mean(axis=1)).mean() == pytest.approx(1e-3, rel=0.15)
 
 
+@pytest.mark.parametrize("method", ["os", "ca"])
+def test_pair_thresholds_keep_the_false_alarm_rate(method):
+    rng = np.random.default_rng(7)
+    n, alarms = 2_000_000, {1e-2: 0, 1e-3: 0}
+    for _ in range(10):
+        x = rng.exponential(size=(n // 10, 26))
+        noise = np.partition(x[:, 2:], 17, axis=1)[:, 17] if method == "os" else x[:, 2:].mean(axis=1)
+        for pfa in alarms:
+            alarms[pfa] += int((x[:, 0] + x[:, 1] > cells.pair_threshold(pfa, method) * noise).sum())
+    for pfa, found in alarms.items():
+        assert found / n == pytest.approx(pfa, rel=0.08)
+    # The tail by numeric integration over the noise estimate's distribution.
+    t = np.linspace(0, 60, 600_001)
+    if method == "os":
+        from math import comb
+
+        density = 18 * comb(24, 18) * (1 - np.exp(-t)) ** 17 * np.exp(-7 * t)
+    else:
+        density = 24 * (24 * t) ** 23 / float(np.prod(np.arange(1.0, 24.0))) * np.exp(-24 * t)
+    a = cells.pair_threshold(1e-6, method)
+    tail = np.trapezoid(density * np.exp(-a * t) * (1 + a * t), t)
+    assert tail == pytest.approx(1e-6, rel=1e-4)
+    with pytest.raises(ValueError):
+        cells.pair_threshold(1e-3, "no")
+
+
 def test_false_alarm_rate_follows_the_design():
     rng = np.random.default_rng(1)
     s = S.Settings(hold_frames=1)
@@ -71,6 +98,21 @@ def test_channelizer_places_a_tone_and_ignores_cuts():
     assert np.allclose(np.concatenate(parts), whole, atol=1e-5)
 
 
+def test_wanted_bins_equal_the_whole_bank():
+    s = S.Settings()
+    bank, rng = dsp.Channelizer(s), np.random.default_rng(12)
+    x = (rng.normal(size=130_000) + 1j * rng.normal(size=130_000)).astype(np.complex64)
+    for start in (0, 80_000, 80_037):
+        first, whole = bank.frames(x, start, start + 120_000)
+        last = first + len(whole) - 1
+        wanted = [(first - 50, first + 3, 7), (first + 2, first + 900, 7), (first + 700, last + 99, 0), (last, last, 159), (last + 1, last + 9, 3), (first + 10, first + 12, 80)]
+        for (lo, hi, k), (f, y) in zip(wanted, bank.bins(x, start, start + 120_000, wanted), strict=True):
+            want = whole[max(0, lo - first) : max(0, hi + 1 - first), k]
+            assert len(y) == len(want) and (not len(y) or f == max(lo, first))
+            assert np.allclose(y, want, atol=1e-4)
+    assert [len(y) for _, y in bank.bins(x[:100], 0, 100, [(0, 5, 1)])] == [0]
+
+
 def test_tone_and_deviation():
     rate = 25_000.0
     t = np.arange(int(rate * 2)) / rate
@@ -141,6 +183,50 @@ def test_adjacent_bins_merge_greedily(spark):
     assert got[3, 0] == got[4, 5] and got[39, 0] == got[0, 1] and len(set(got.values())) == 4
 
 
+def groups_by_hand(rows, bins):
+    """(capture, bin, start, end) in islands of silence, each merged greedily over all its members."""
+    out = {}
+    for capture in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == capture), key=lambda r: (r[2], r[3], r[1]))
+        island, reach, of = 0, None, {}
+        for r in own:
+            island += reach is None or r[2] > reach
+            reach = r[3] if reach is None else max(reach, r[3])
+            of[r] = island
+        for i in set(of.values()):
+            groups = []
+            for r in sorted((r for r in own if of[r] == i), key=lambda r: (r[2], r[1])):
+                near = (n for n, g in enumerate(groups) if any(min((r[1] - x[1]) % bins, (x[1] - r[1]) % bins) == 1 and r[2] <= x[3] and x[2] <= r[3] for x in g))
+                n = next(near, len(groups))
+                if n == len(groups):
+                    groups.append([])
+                groups[n].append(r)
+                out[r] = (i, n)
+    return out
+
+
+@pytest.mark.parametrize("size", [1, 7, 64, 100_000])
+def test_islands_and_groups_equal_one_walk(spark, size):
+    """Whatever the slices: islands over many of them, ties, and bins that touch around the band's ends."""
+    rng = np.random.default_rng(size)
+    bins, rows = 12, set()
+    for capture in ("a", "b", None):
+        for b in range(bins):
+            at = 0
+            for _ in range(25):
+                at += int(rng.integers(1, 60))
+                stop = at + int(rng.choice([0, 3, 20, 90]))
+                rows.add((capture, b, at, stop))
+                at = stop
+        rows |= {(capture, 3, 5_000, 9_000), (capture, 4, 5_001, 5_002), (capture, 4, 8_999, 9_005), (capture, 5, 9_006, 9_007)}
+    e = spark.createDataFrame(sorted(rows, key=str), "capture_id string, bin int, start_frame long, end_frame long")
+    cut = cut_at_silence(e, ["capture_id"], "start_frame", "end_frame", size)
+    got = {(r.capture_id, r.bin, r.start_frame, r.end_frame): (r.island, r.group_id) for r in bin_groups(cut, bins, ["capture_id", "island"]).collect()}
+    assert got == groups_by_hand(rows, bins)
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in bin_groups(cut, bins, ["capture_id", "island"])._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in plan
+
+
 def test_survey_and_references(spark):
     blocks, _ = signal.synthesise(spark, SCENE, SMALL)
     top = signal.survey(blocks, 500_000.0, SMALL.centre_hz).orderBy(F.desc("power_db")).first()
@@ -211,6 +297,117 @@ def test_stream_of_blocks_equals_batch(spark, tmp_path):
         tracker.capture_stream(stream.drop("halo"), SMALL)
 
 
+def on_disk(folder, x, name="cap", form="cf32"):
+    """The raw samples of a capture without its sidecar."""
+    folder.mkdir(exist_ok=True)
+    with open(folder / f"{name}.{form}", "ab") as f:
+        f.write(iq.encode(x, form)[0])
+
+
+def options(path, **more):
+    return {"path": str(path), "samplerate": "500000", "blocksamples": str(iq.block_samples(SMALL)), "halosamples": str(SMALL.num_taps), "blockspertask": "1", **more}
+
+
+def test_reads_are_pruned_to_the_wanted_blocks(tmp_path):
+    """One second out of an hour: a few blocks are planned, of one file, whatever the filters' form."""
+    size, hour = iq.block_samples(SMALL), 3_600 * 500_000
+    for name in ("a", "b"):
+        with open(tmp_path / f"{name}.cs8", "wb") as f:
+            f.truncate(2 * hour)  # a file with holes
+    planned = lambda *filters: (r := iq.IqSource(options(tmp_path, pushdown="true")).reader(None), list(r.pushFilters(list(filters))), r.partitions())[2]
+    whole = sum(p.size for p in planned())
+    assert whole == 2 * hour
+    span = [iq.GreaterThan(("start_sample",), 1_000 * 500_000 - size), iq.LessThan(("start_sample",), 1_001 * 500_000), iq.EqualTo(("capture_id",), "b")]
+    some = planned(*span)
+    assert {p.piece.path.rsplit("/", 1)[-1] for p in some} == {"b.cs8"} and sum(p.size for p in some) <= 500_000 + 3 * size
+    covered = {s for p in some for s in range(p.offset, p.offset + p.size, size)}
+    assert covered >= {s for s in range(0, hour, size) if s < 1_001 * 500_000 and s + size > 1_000 * 500_000}
+    assert [p.offset for p in planned(iq.EqualTo(("block_idx",), 7), iq.In(("capture_id",), ("a", "x")))] == [7 * size]
+    assert sum(p.size for p in planned(iq.LessThanOrEqual(("start_sample",), 0))) == 2 * size
+    assert sum(p.size for p in planned(iq.GreaterThanOrEqual(("start_sample",), hour))) == 0
+    filters = [*span, iq.EqualTo(("n",), 3)]
+    assert list(iq.IqSource(options(tmp_path, pushdown="true")).reader(None).pushFilters(filters)) == filters  # Spark applies them all
+
+
+def test_pruned_reads_give_the_same_blocks(spark, tmp_path):
+    x = SCENE.block(0, 1_000_000)
+    on_disk(tmp_path / "in", x)
+    plain = iq.extract(iq.read_iq(spark, str(tmp_path / "in"), SMALL), 1.0, 0.3, 500_000.0).orderBy("block_idx").collect()
+    before = spark.conf.get(iq.PUSHDOWN)
+    spark.conf.set(iq.PUSHDOWN, "true")
+    try:
+        part = iq.extract(iq.read_iq(spark, str(tmp_path / "in"), SMALL), 1.0, 0.3, 500_000.0)
+        assert part.orderBy("block_idx").collect() == plain and len(plain) == 2
+    finally:
+        spark.conf.set(iq.PUSHDOWN, before)
+
+
+@pytest.mark.parametrize("form", ["cf32", "cs16", "cs8"])
+def test_blocks_are_written_as_segments_and_read_as_captures(spark, tmp_path, form):
+    blocks, _ = signal.synthesise(spark, SCENE, SMALL, start_time=1_000.0)
+    other = blocks.where("block_idx < 2").withColumn("capture_id", F.lit("other"))
+    peak = iq.write_blocks(blocks.unionByName(other).repartition(5), str(tmp_path / "out"), form, segment_samples=2 * iq.block_samples(SMALL), note="x")
+    names = sorted(p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith("."))
+    assert len([n for n in names if n.endswith(form)]) >= 4 and [n for n in names if n.endswith("json")] == ["other.json", "scene.json"] and len(names) == len(set(names))
+    assert not [n for n in names if not n.endswith((form, "json"))]
+    told = json.loads((tmp_path / "out" / "scene.json").read_text())
+    assert (told["scale_peak"], told["start_time"], told["note"]) == (peak, 1_000.0, "x")
+    back = iq.read_iq(spark, str(tmp_path / "out"), SMALL)
+    want = {(r.capture_id, r.block_idx): (r, np.array(r.iq, np.float32)) for r in blocks.unionByName(other).collect()}
+    got = {(r.capture_id, r.block_idx): r for r in back.collect()}
+    assert got.keys() == want.keys()
+    step = {"cf32": 1e-7, "cs16": 1.01 / 32_767, "cs8": 1.01 / 127}[form]
+    scale = {"cf32": 1.0, "cs16": 32_767 / 32_768 / peak, "cs8": 127 / 128 / peak}[form]
+    for key, r in got.items():
+        source, x = want[key]
+        assert (r.start_sample, r.n, r.start_time) == (source.start_sample, source.n, 1_000.0) and np.abs(np.array(r.iq) - x * scale).max() <= step
+        # The samples that follow come from the next segment where the block is a segment's last.
+        after = want.get((key[0], key[1] + 1))
+        assert r.last == (after is None) and len(r.halo) == (0 if after is None else 2 * SMALL.num_taps)
+        assert after is None or np.abs(np.array(r.halo) - after[1][: len(r.halo)] * scale).max() <= step
+
+
+def test_a_failed_write_leaves_no_segments(spark, tmp_path):
+    blocks, _ = signal.synthesise(spark, SCENE, SMALL)
+    bad = blocks.withColumn("iq", F.when(F.col("block_idx") == 3, F.raise_error(F.lit("stop")).cast("array<float>")).otherwise(F.col("iq")))
+    with pytest.raises(Exception, match="stop"):
+        iq.write_blocks(bad, str(tmp_path / "out"), "cf32")
+    assert not (tmp_path / "out").exists() or not list((tmp_path / "out").iterdir())
+
+
+def test_a_growing_capture_as_a_stream_equals_the_batch(spark, tmp_path):
+    """Samples arrive in three steps; the last emission is on air at the end and comes out once the capture is complete."""
+    from bandscope.operators.sessions import tracked
+    from bandscope.streaming import tracker
+
+    long = dsp.Scenario(**{**SCENE.__dict__, "emitters": [*SCENE.emitters, dsp.Emitter("c", channel=3, distance_m=200, transmissions=[(1.7, 9.0)])]})
+    x, folder = long.block(0, 1_200_000), tmp_path / "in"
+    folder.mkdir()
+
+    def step(y, complete):
+        on_disk(folder, y)
+        (folder / "cap.json").write_text(json.dumps({"start_time": 1_000.0, "complete": complete}))
+        blocks = iq.stream_iq(spark, str(folder), SMALL)
+        for name, df in (("blocks", blocks.select("block_idx", "n", "last")), ("emissions", tracker.capture_stream(blocks, SMALL))):
+            q = df.writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"{name}_mark")).trigger(availableNow=True).start()
+            q.awaitTermination(120)
+        return spark.read.parquet(str(tmp_path / "blocks")).count()
+
+    size = iq.block_samples(SMALL)
+    assert step(x[: size + 100], False) == 0  # the samples after the block aren't all there
+    assert step(x[size + 100 : 800_000], False) == 3
+    assert step(x[800_000:], True) == 5
+    assert step(x[:0], True) == 5
+    batch = iq.read_iq(spark, str(folder), SMALL)
+    key = lambda r: (r.block_idx, r.n, r.last)
+    assert sorted(map(key, spark.read.parquet(str(tmp_path / "blocks")).collect())) == sorted(map(key, batch.collect()))
+    want = tracked(signal.detect(batch, SMALL), SMALL.hangover_frames, SMALL.min_frames, SMALL.max_frames, SMALL.min_occupancy, ["capture_id"]).collect()
+    got = spark.read.parquet(str(tmp_path / "emissions")).collect()
+    place = lambda r: (r.capture_id, r.bin, r.start_frame, r.end_frame, r.detected_frames)
+    assert sorted(map(place, got)) == sorted(map(place, want))
+    assert max(r.end_frame for r in got) > 0.98 * 1_200_000 / SMALL.decimation
+
+
 def test_spectrogram_spans_the_capture(spark):
     blocks, _ = signal.synthesise(spark, SCENE, SMALL)
     table = signal.spectrogram(blocks, 500_000.0, SMALL.centre_hz, 1_200_000, max_frames=50).cache()
