@@ -200,15 +200,19 @@ def profile_stats(spark, sf):
     return rounded(rounded(out, 4, "median_duration_s", "median_power_dbfs", "power_spread_db"), 6, "duty_cycle")
 
 
-# One step of the recursion takes the next emission of every island; a group is its founder, its tone and its frequencies.
-_CLUSTERS = f"""WITH RECURSIVE {EM}, t AS (SELECT DISTINCT ctcss_tone_hz IS NULL AS silent, coalesce(ctcss_tone_hz, -1) AS tone FROM em),
+def _fold(source: str) -> str:
+    """Tables ``s`` (emissions of ``source`` by island and place) and ``r``: one step of the recursion takes the next emission of every island; a group is its founder, its tone and its frequencies."""
+    return f"""t AS (SELECT DISTINCT ctcss_tone_hz IS NULL AS silent, coalesce(ctcss_tone_hz, -1) AS tone FROM {source}),
 ti AS (SELECT silent, tone, sum(jump) OVER (PARTITION BY silent ORDER BY tone) AS tone_island FROM (SELECT *, CASE WHEN tone - lag(tone) OVER (PARTITION BY silent ORDER BY tone) <= 1 THEN 0 ELSE 1 END AS jump FROM t)),
-e AS (SELECT em.*, silent, tone_island FROM em JOIN ti ON (ctcss_tone_hz IS NULL) = silent AND coalesce(ctcss_tone_hz, -1) = tone),
+e AS (SELECT {source}.*, silent, tone_island FROM {source} JOIN ti ON (ctcss_tone_hz IS NULL) = silent AND coalesce(ctcss_tone_hz, -1) = tone),
 fi AS (SELECT silent, tone_island, f, sum(jump) OVER (PARTITION BY silent, tone_island ORDER BY f) AS island FROM (SELECT *, CASE WHEN f - lag(f) OVER (PARTITION BY silent, tone_island ORDER BY f) <= 3000 THEN 0 ELSE 1 END AS jump FROM (SELECT DISTINCT silent, tone_island, frequency_hz AS f FROM e))),
 s AS MATERIALIZED (SELECT silent::VARCHAR || '/' || tone_island || '/' || island AS isle, row_id, frequency_hz AS f, ctcss_tone_hz AS tone, row_number() OVER (PARTITION BY silent, tone_island, island ORDER BY timestamp, row_id) AS k FROM e JOIN fi USING (silent, tone_island) WHERE f = frequency_hz),
 r AS (SELECT isle, 0::BIGINT AS k, []::STRUCT(id BIGINT, tone DOUBLE, fs DOUBLE[])[] AS gs, NULL::BIGINT AS row_id, NULL::BIGINT AS profile_id FROM (SELECT DISTINCT isle FROM s)
   UNION ALL SELECT isle, k, CASE WHEN pos > 0 THEN list_transform(gs, lambda g, i: CASE WHEN i = pos THEN {{'id': g.id, 'tone': g.tone, 'fs': list_append(g.fs, f)}} ELSE g END) ELSE list_append(gs, {{'id': row_id, 'tone': tone, 'fs': [f]}}) END, row_id, CASE WHEN pos > 0 THEN gs[pos].id ELSE row_id END
-  FROM (SELECT s.isle, s.k, r.gs, s.row_id, s.f, s.tone, coalesce(list_position(list_transform(r.gs, lambda g: coalesce(abs(g.tone - s.tone) <= 1, g.tone IS NULL AND s.tone IS NULL) AND abs(s.f - list_median(g.fs)) <= 3000), true), 0) AS pos FROM r JOIN s ON s.isle = r.isle AND s.k = r.k + 1)),
+  FROM (SELECT s.isle, s.k, r.gs, s.row_id, s.f, s.tone, coalesce(list_position(list_transform(r.gs, lambda g: coalesce(abs(g.tone - s.tone) <= 1, g.tone IS NULL AND s.tone IS NULL) AND abs(s.f - list_median(g.fs)) <= 3000), true), 0) AS pos FROM r JOIN s ON s.isle = r.isle AND s.k = r.k + 1))"""
+
+
+_CLUSTERS = f"""WITH RECURSIVE {EM}, {_fold("em")},
 m AS (SELECT em.*, profile_id, timestamp < max(timestamp + duration_s) OVER (PARTITION BY profile_id ORDER BY timestamp, em.row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS together FROM em JOIN r ON r.row_id = em.row_id)
 SELECT profile_id, count(*) AS transmissions, round(sum(duration_s), 3) AS airtime_s, round(median(frequency_hz), 3) AS median_frequency_hz, max(coalesce(together, false)) AS proven_multiple FROM m GROUP BY 1"""
 
@@ -744,3 +748,85 @@ def archive_recovery(spark, sf):
     good, bad = store.read_jsonl(spark, path)
     told = good.agg(F.lit(True).alias("good"), F.count("*").alias("n"), F.round(F.sum("duration_s"), 4).alias("airtime_s"))
     return told.unionByName(bad.agg(F.lit(False).alias("good"), F.count("*").alias("n"), F.lit(None).cast("double").alias("airtime_s")))
+
+
+# The order of battle as a whole: by-products first, then emitters of what is left, then by-products with their emitter.
+
+_BATTLE = f"""WITH RECURSIVE {EM}, {_PAIRS}, {_SPLATTER}, {_INTERMOD},
+told AS MATERIALIZED (SELECT em.*, coalesce(spl.parent_hz, imd.parent_hz) AS attributed_to_hz, CASE WHEN spl.row_id IS NOT NULL THEN 'SPLATTER' WHEN imd.row_id IS NOT NULL THEN 'INTERMOD3' END AS attribution FROM em LEFT JOIN spl USING (row_id) LEFT JOIN imd USING (row_id)),
+own AS MATERIALIZED (SELECT * FROM told WHERE attribution IS NULL), {_fold("own")},
+m AS MATERIALIZED (SELECT own.*, profile_id, timestamp - lag(timestamp + duration_s) OVER (PARTITION BY profile_id ORDER BY timestamp, own.row_id) AS gap,
+  timestamp < max(timestamp + duration_s) OVER (PARTITION BY profile_id ORDER BY timestamp, own.row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS together FROM own JOIN r ON r.row_id = own.row_id),
+prof AS MATERIALIZED (SELECT profile_id, count(*) AS transmissions, sum(duration_s) AS airtime_s, min(timestamp) AS first_seen, max(timestamp + duration_s) AS last_seen, median(frequency_hz) AS mf, median(peak_power_dbfs) AS mp, coalesce(median(CASE WHEN gap >= 0 THEN gap END), 0) AS mg, max(coalesce(together, false)) AS proven_multiple FROM m GROUP BY 1),
+prod AS MATERIALIZED (SELECT d.row_id, d.frequency_hz, d.peak_power_dbfs, d.attribution, p.profile_id, p.mf, p.mp FROM told d JOIN prof p ON abs(p.mf - d.attributed_to_hz) <= 3000e0 WHERE d.attribution IS NOT NULL QUALIFY row_number() OVER (PARTITION BY d.row_id ORDER BY abs(p.mf - d.attributed_to_hz), p.first_seen, p.profile_id) = 1)"""
+
+
+def _battle(spark, sf) -> dict[str, DataFrame]:
+    from .reports import order_of_battle
+
+    return order_of_battle(emissions(spark, sf))
+
+
+@query(
+    f"{_BATTLE}, c AS (SELECT profile_id, count(*) AS products FROM prod GROUP BY 1) SELECT profile_id, CASE WHEN f.pmr_channel IS NOT NULL THEN 'PMR' || f.pmr_channel ELSE format('{{:.5f}}', f.frequency_hz / 1e6) END || '/' || CASE WHEN f.ctcss_tone_hz IS NOT NULL THEN format('{{:.1f}}Hz', f.ctcss_tone_hz) ELSE 'no-tone' END AS label, f.pmr_channel, f.ctcss_tone_hz, transmissions, round(airtime_s, 3) AS airtime_s, round(mf, 3) AS median_frequency_hz, round(mp, 4) AS median_power_dbfs, round(mg, 3) AS median_gap_s, round(CASE WHEN last_seen > first_seen THEN airtime_s / (last_seen - first_seen) ELSE 0 END, 6) AS duty_cycle, proven_multiple, NOT proven_multiple AS count_is_lower_bound, coalesce(products, 0) AS products FROM prof JOIN own f ON f.row_id = profile_id LEFT JOIN c USING (profile_id)"
+)
+def battle_emitters(spark, sf):
+    from .reports import emitter_rows
+
+    places = {"airtime_s": 3, "median_frequency_hz": 3, "median_power_dbfs": 4, "median_gap_s": 3, "duty_cycle": 6}
+    out = emitter_rows(_battle(spark, sf), places)
+    return out.select("profile_id", "label", "pmr_channel", "ctcss_tone_hz", "transmissions", *places, "proven_multiple", "count_is_lower_bound", "products")
+
+
+@query(f"{_BATTLE} SELECT profile_id, row_id, frequency_hz, round(frequency_hz - mf, 3) AS offset_hz, round(peak_power_dbfs - mp, 4) AS dbc, attribution FROM prod")
+def battle_products(spark, sf):
+    from .reports import product_rows
+
+    return rounded(rounded(product_rows(_battle(spark, sf)), 3, "offset_hz"), 4, "dbc")
+
+
+@query(
+    f"{_BATTLE} SELECT (SELECT count(*) FROM told) AS detections, (SELECT count(*) FROM prof) AS emitters, (SELECT CAST(sum(transmissions) AS BIGINT) FROM prof) AS emissions, (SELECT count(*) FROM prod) AS products, round(sum(duration_s), 3) AS airtime_s, round(max(timestamp + duration_s) - min(timestamp), 3) AS window_s, round(sum(duration_s) / (max(timestamp + duration_s) - min(timestamp)), 6) AS duty_cycle FROM own"
+)
+def battle_summary(spark, sf):
+    from .reports import summary
+
+    return rounded(rounded(summary(_battle(spark, sf)), 3, "airtime_s", "window_s"), 6, "duty_cycle")
+
+
+# Captures: the embeddings as samples, 32 of each vector, written as raw files by blocks and read back.
+
+
+def _capture_sql(form: str, scale: float) -> str:
+    if form == "cf32":
+        return f"SELECT '{form}' AS form, vec_id * 32 + i AS sample, CAST(embedding[2 * i + 1] AS DOUBLE) AS re, CAST(embedding[2 * i + 2] AS DOUBLE) AS im FROM embeddings, range(0, 32) AS r(i)"
+    code = f"round_even(CAST(embedding[2 * i + {{}}] AS FLOAT) / p * CAST({scale - 1} AS FLOAT), 0) / {scale}e0 + 0e0"
+    return f"SELECT '{form}' AS form, vec_id * 32 + i AS sample, CAST({code.format(1)} AS DOUBLE) AS re, CAST({code.format(2)} AS DOUBLE) AS im FROM embeddings, range(0, 32) AS r(i), (SELECT CAST(max(greatest(list_max(embedding), -list_min(embedding))) AS FLOAT) AS p FROM embeddings)"
+
+
+@query(f"SELECT form, sample, re, im FROM ({' UNION ALL '.join(_capture_sql(f, s) for f, (_, s) in I.FORMATS.items())})")
+def capture_files(spark, sf):
+    """Every on-disk format: encoding and its peak, segments, reading by byte range, decoding."""
+    settings = S.Settings(num_channels=64, decimation=32)
+    v = table(spark, sf, "embeddings")
+    blocks = v.select(F.lit("c").alias("capture_id"), (F.col("vec_id") * 32).alias("start_sample"), F.lit(0.0).alias("start_time"), F.col("embedding").alias("iq"))
+    every = None
+    for form in I.FORMATS:
+        folder = f"{new_path(spark)}/{form}".removeprefix("file://")
+        I.write_blocks(blocks, folder, form, segment_samples=8_192)
+        x = I.read_iq(spark, folder, settings).select(F.lit(form).alias("form"), "start_sample", F.posexplode("iq").alias("i", "x"))
+        x = x.groupBy("form", (F.col("start_sample") + F.floor(F.col("i") / 2)).alias("sample")).agg(*(F.max(F.when(F.col("i") % 2 == k, F.col("x").cast("double"))).alias(c) for k, c in enumerate(("re", "im"))))
+        every = x if every is None else every.unionByName(x)
+    return every
+
+
+@query("SELECT vec_id // 256 AS block_idx, vec_id * 32 + i AS sample, CAST(embedding[2 * i + 1] AS DOUBLE) AS re FROM embeddings, range(0, 32) AS r(i) WHERE vec_id * 32 + i < 5000")
+def capture_leading(spark, sf):
+    """The first samples of a capture, over the ends of segments and of blocks."""
+    settings = S.Settings(num_channels=64, decimation=32, hold_frames=256)
+    v = table(spark, sf, "embeddings")
+    folder = f"{new_path(spark)}/lead".removeprefix("file://")
+    I.write_blocks(v.select(F.lit("c").alias("capture_id"), (F.col("vec_id") * 32).alias("start_sample"), F.lit(0.0).alias("start_time"), F.col("embedding").alias("iq")), folder, "cf32", segment_samples=2_048)
+    x = I.leading(I.read_iq(spark, folder, settings), 5_000).select("start_sample", F.posexplode("iq").alias("i", "x")).where("i % 2 = 0")
+    sample = F.col("start_sample") + F.floor(F.col("i") / 2)
+    return x.select(F.floor(sample / 8_192).alias("block_idx"), sample.alias("sample"), F.col("x").cast("double").alias("re"))

@@ -395,6 +395,13 @@ def extract(blocks: DataFrame, start_s: float, duration_s: float, rate: float) -
     return blocks.where(touched & (blocks.start_sample > a - size) if size else touched)
 
 
+def leading(blocks: DataFrame, samples: int) -> DataFrame:
+    """The first ``samples`` samples of each capture; the block they end in is cut, and later blocks aren't read where filters reach the source."""
+    part = blocks.where(blocks.start_sample < samples)
+    n = F.least(F.col("n"), F.lit(samples) - F.col("start_sample")).cast("int")
+    return part.withColumn("iq", F.slice("iq", F.lit(1), 2 * n)).withColumn("n", n).drop("halo", "last")
+
+
 #: Half the length of the decimation filter, in output samples, and the shape of its Kaiser window.
 HALF_TAPS, KAISER_BETA = 10, 9.0
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
+from dataclasses import asdict
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -101,6 +103,16 @@ def write_reports(reports: DataFrame, path: str) -> int:
     return n
 
 
+def open_sink(path: str | None) -> Callable[[DataFrame, int], int] | None:
+    """A sink for ``foreachBatch`` or a single write, by the store's extension; None where no store is wanted. It appends: a batch that is
+    repeated is appended again, which ``table_sink`` avoids."""
+    if path is None:
+        return None
+    if os.path.splitext(path)[1].lower() not in (".jsonl", ".parquet", ".db", ".sqlite"):
+        raise ValueError(f"unknown store type {path}")
+    return lambda reports, batch=0: write_reports(reports, path)
+
+
 def store_sql(spark: SparkSession, path: str, sql: str, **parameters) -> DataFrame:
     """Run SQL with named parameters over the store, as the view ``emissions``."""
     spark.read.option("mergeSchema", True).parquet(path).createOrReplaceTempView("emissions")
@@ -114,6 +126,18 @@ def read_scenario(path: str) -> Scenario:
         return Scenario.from_dict(yaml.safe_load(f))
 
 
+def write_scenario(scene: Scenario, path: str) -> None:
+    """The scene's settings as a file that ``read_scenario`` reads back."""
+    import yaml
+
+    told = asdict(scene)
+    told["propagation"] = {"path_loss_exponent": told.pop("exponent"), "shadowing_sigma_db": told.pop("shadowing_sigma_db")}
+    for e in told["emitters"]:
+        e["transmissions"] = [{"start_s": a, "stop_s": b} for a, b in e["transmissions"]]
+    with open(path, "w", encoding="utf-8") as f:
+        yaml.safe_dump(told, f, sort_keys=False)
+
+
 def read_calibrations(spark: SparkSession, path: str) -> DataFrame:
     """Calibrations by gain setting; a missing file means none, which is no error."""
     from ..operators.calibration import CALIBRATION_DDL

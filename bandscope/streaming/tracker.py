@@ -102,6 +102,11 @@ def fan_out(*sinks: Callable[[DataFrame, int], int]) -> Callable[[DataFrame, int
     return write
 
 
+def null_sink(batch: DataFrame, batch_id: int) -> int:
+    """Takes everything and keeps nothing, not even a count; nothing is computed for it."""
+    return 0
+
+
 def table_sink(path: str) -> Callable[[DataFrame, int], int]:
     """A Parquet store with one folder for each batch, so a batch that is repeated replaces itself."""
 

@@ -367,6 +367,19 @@ def test_blocks_are_written_as_segments_and_read_as_captures(spark, tmp_path, fo
         assert after is None or np.abs(np.array(r.halo) - after[1][: len(r.halo)] * scale).max() <= step
 
 
+def test_leading_samples(spark, tmp_path):
+    on_disk(tmp_path / "in", SCENE.block(0, 600_000))
+    got = iq.leading(iq.read_iq(spark, str(tmp_path / "in"), SMALL), 300_000).orderBy("start_sample").collect()
+    assert [(r.start_sample, r.n, len(r.iq)) for r in got] == [(0, 261_120, 522_240), (261_120, 38_880, 77_760)]
+
+
+def test_hits_by_their_ratio_and_overlay(spark):
+    hits = spark.createDataFrame([("c", 1, 5, 10.0, 1.0), ("c", 2, 3, 100.0, 1.0), ("c", 3, 3, 100.0, 1.0), ("c", 9, 2, 100.0, 1.0)], "capture_id string, frame long, bin int, power double, noise double")
+    assert [(r.bin, r.frame) for r in signal.by_snr(hits).collect()] == [(2, 9), (3, 2), (3, 3), (5, 1)]
+    e = spark.createDataFrame([("c", 446_006_250.0, 1, 0.5, 0.25, 12.0)], "capture_id string, frequency_hz double, pmr_channel int, offset_s double, duration_s double, snr_db double")
+    assert tuple(signal.overlay(e, 512_000.0).first()) == ("c", 500, 750, 446_000_000.0, 446_012_500.0, "PMR1", 12.0)
+
+
 def test_a_failed_write_leaves_no_segments(spark, tmp_path):
     blocks, _ = signal.synthesise(spark, SCENE, SMALL)
     bad = blocks.withColumn("iq", F.when(F.col("block_idx") == 3, F.raise_error(F.lit("stop")).cast("array<float>")).otherwise(F.col("iq")))

@@ -99,6 +99,34 @@ def test_schema_evolution_and_sql(spark, made, tmp_path):
     assert store.store_sql(spark, path, "select count(*) as n from emissions where pmr_channel = :c", c=8).first().n == 4
 
 
+def test_sinks_by_extension(spark, made, tmp_path):
+    assert store.open_sink(None) is None
+    with pytest.raises(ValueError):
+        store.open_sink("x.txt")
+    paths = [str(tmp_path / f"s.{e}") for e in ("jsonl", "db", "parquet")]
+    out = tracker.fan_out(tracker.null_sink, *(store.open_sink(p) for p in paths))
+    assert out(made, 0) == 3 and tracker.fan_out(tracker.null_sink)(made, 0) == 0
+    for p in paths:
+        assert sorted(r.timestamp for r in store.read_reports(spark, p).collect()) == [1_786_950_001.0, 1_786_950_002.0, 1_786_950_003.0]
+
+
+def test_scenes_are_written_and_read(tmp_path):
+    pytest.importorskip("yaml")
+    scene = dsp.Scenario(name="x", exponent=2.5, shadowing_sigma_db=1.0, emitters=[dsp.Emitter("a", channel=3, ctcss_hz=67.0, transmissions=[(0.1, 0.5), (1.0, 2.0)]), dsp.Emitter("b", frequency_hz=446.1e6)])
+    store.write_scenario(scene, str(tmp_path / "s.yaml"))
+    assert store.read_scenario(str(tmp_path / "s.yaml")) == scene
+
+
+def test_whole_report(spark):
+    e = spark.createDataFrame([report(i, duration_s=2.0, peak_power_dbfs=-20.0) for i in range(0, 30, 3)], S.EMISSION_DDL).withColumn("row_id", F.monotonically_increasing_id())
+    found = reports.order_of_battle(e)
+    rows = reports.emitter_rows(found).collect()
+    assert [(r.label, r.transmissions, r.airtime_s, r.median_gap_s, r.products) for r in rows] == [("PMR8/114.8Hz", 10, 20.0, 1.0, 0)]
+    assert tuple(reports.summary(found).first()) == (10, 1, 10, 0, 20.0, 29.0, 20.0 / 29.0)
+    assert tuple(reports.summary(reports.order_of_battle(e.limit(0))).first()) == (0, 0, 0, 0, 0.0, 0.0, 0.0)
+    assert reports.product_rows(found).count() == 0
+
+
 def test_scenario_and_calibration_files(spark, tmp_path):
     pytest.importorskip("yaml")
     (tmp_path / "s.yaml").write_text("name: x\nduration_s: 1.0\nemitters:\n- {name: a, channel: 3, transmissions: [{start_s: 0.1, stop_s: 0.5}]}\n")
