@@ -19,6 +19,10 @@ SLICE_BYTES = 4 << 20
 BROADCAST_BYTES = 64 << 20
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: What kernels get at a time while a table is written. Rows hold whole texts; Spark's own bound is eight times this, beside the heap, once in
+#: the executor and once in its worker, where it becomes strings.
+BATCH_BYTES = 8 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,12 +99,15 @@ def stored(df: DataFrame, *after: DataFrame) -> DataFrame:
     """Cut lineage: write the rows once to the shared folder and read them back. Then drop the tables ``after``."""
     spark = df.sparkSession
     path = new_path(spark)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")  # the plan's shuffle files go as soon as it has been written
+    during = {CLEANUP: "true", BATCH: f"{BATCH_BYTES}b"}  # the plan's shuffle files go as soon as it has been written
+    before = {k: spark.conf.get(k, None) for k in during}
+    for k, v in during.items():
+        spark.conf.set(k, v)
     try:
         df.write.mode("overwrite").parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     drop_stored(*after)
