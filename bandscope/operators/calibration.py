@@ -86,42 +86,48 @@ def chain_table(spark: SparkSession, stages=S.CHAIN) -> DataFrame:
     return spark.createDataFrame(list(stages), "stage_idx int, name string, gain_db double, noise_figure_db double, max_input_dbm double")
 
 
-def _before() -> Column:
-    """Gain ahead of each stage. A chain is a handful of rows of one device, so one ordered window is right."""
-    w = Window.partitionBy(F.lit(1)).orderBy("stage_idx").rowsBetween(Window.unboundedPreceding, -1)
+def _before(keys: tuple[str, ...]) -> Column:
+    """Gain ahead of each stage of a device's chain, which is a handful of rows; ``keys`` name the device."""
+    w = Window.partitionBy(*(keys or [F.lit(1)])).orderBy("stage_idx").rowsBetween(Window.unboundedPreceding, -1)
     return F.coalesce(F.sum("gain_db").over(w), F.lit(0.0))
 
 
-def cascade(stages: DataFrame, bandwidth_hz: float = S.CHANNEL_SPACING_HZ, required_snr_db: float = 13.0) -> DataFrame:
-    """Total gain, cascaded noise figure, noise floor and least detectable signal."""
+def _level(source_dbm: float | str) -> Column:
+    return F.col(source_dbm) if isinstance(source_dbm, str) else F.lit(float(source_dbm))
+
+
+def cascade(stages: DataFrame, bandwidth_hz: float = S.CHANNEL_SPACING_HZ, required_snr_db: float = 13.0, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Total gain, cascaded noise figure, noise floor and least detectable signal of each device."""
     ten = F.lit(10.0)
     part = (F.pow(ten, F.col("noise_figure_db") / 10) - 1) / F.pow(ten, F.col("before") / 10)
-    out = stages.withColumn("before", _before()).agg(F.sum("gain_db").alias("total_gain_db"), (10 * F.log10(1 + F.sum(part))).alias("noise_figure_db"))
+    out = stages.withColumn("before", _before(keys)).groupBy(*keys).agg(F.sum("gain_db").alias("total_gain_db"), (10 * F.log10(1 + F.sum(part))).alias("noise_figure_db"))
     out = out.withColumn("noise_floor_dbm", S.THERMAL_NOISE_DBM_PER_HZ + 10 * F.log10(F.lit(float(bandwidth_hz))) + F.col("noise_figure_db"))
     return out.withColumn("detectable_dbm", F.col("noise_floor_dbm") + required_snr_db)
 
 
-def input_violations(stages: DataFrame, source_dbm: float) -> DataFrame:
-    level = source_dbm + F.col("before")
-    return stages.withColumn("before", _before()).where(level > F.col("max_input_dbm")).select("stage_idx", "name", level.alias("input_dbm"), "max_input_dbm")
+def input_violations(stages: DataFrame, source_dbm: float | str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Stages that get more than they stand; the source's level is a number or a column."""
+    level = _level(source_dbm) + F.col("before")
+    return stages.withColumn("before", _before(keys)).where(level > F.col("max_input_dbm")).select(*keys, "stage_idx", "name", level.alias("input_dbm"), "max_input_dbm")
 
 
-def required_attenuation(stages: DataFrame, source_dbm: float, margin_db: float = 10.0) -> DataFrame:
-    excess = source_dbm + F.col("before") - (F.col("max_input_dbm") - margin_db)
-    return stages.withColumn("before", _before()).agg(F.greatest(F.lit(0.0), F.ceil(F.greatest(F.max(excess), F.lit(0.0)) / 10) * 10.0).alias("attenuation_db"))
+def required_attenuation(stages: DataFrame, source_dbm: float | str, margin_db: float = 10.0, keys: tuple[str, ...] = ()) -> DataFrame:
+    """What must be put before each chain, in steps of 10 dB, so that every stage keeps the margin."""
+    excess = _level(source_dbm) + F.col("before") - (F.col("max_input_dbm") - margin_db)
+    return stages.withColumn("before", _before(keys)).groupBy(*keys).agg(F.greatest(F.lit(0.0), F.ceil(F.greatest(F.max(excess), F.lit(0.0)) / 10) * 10.0).alias("attenuation_db"))
 
 
 def antenna_table(spark: SparkSession, antennas=S.ANTENNAS) -> DataFrame:
     return spark.createDataFrame(list(antennas), "name string, min_frequency_hz double, max_frequency_hz double, claimed_gain_dbi double, largest_dimension_m double, measured_gain_dbi double")
 
 
-def audit(antennas: DataFrame, frequency_hz: float) -> DataFrame:
-    """Antennas that don't cover the frequency, and claims of gain that their size can't give."""
-    f = F.lit(frequency_hz)
+def audit(antennas: DataFrame, frequency_hz: float | str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Antennas that don't cover the frequency (a number or a column), and claims of gain that their size can't give."""
+    f = _level(frequency_hz)
     bound = plausible_gain_dbi(f, "largest_dimension_m")
     covers = f.between(F.col("min_frequency_hz"), F.col("max_frequency_hz"))
     finding = F.when(~covers, "out of band").when(F.col("claimed_gain_dbi") > bound + 1.0, "implausible gain")
-    out = antennas.select("name", finding.alias("finding"), bound.alias("bound_dbi"), required_dimension_m(f, "claimed_gain_dbi").alias("needed_m"), F.coalesce("measured_gain_dbi", F.lit(0.0)).alias("effective_gain_dbi"))
+    out = antennas.select(*keys, "name", finding.alias("finding"), bound.alias("bound_dbi"), required_dimension_m(f, "claimed_gain_dbi").alias("needed_m"), F.coalesce("measured_gain_dbi", F.lit(0.0)).alias("effective_gain_dbi"))
     return out.where(F.col("finding").isNotNull())
 
 

@@ -322,34 +322,61 @@ def dynamic_range(spark, sf):
     return rounded(C.dynamic_range(g), 6, "dynamic_range_db")
 
 
-_STAGES = "st(stage_idx, name, gain_db, nf, lim) AS (VALUES " + ", ".join(f"({i}, '{n}', {g}::DOUBLE, {f}::DOUBLE, {m}::DOUBLE)" for i, n, g, f, m in S.CHAIN) + "), ch AS (SELECT *, coalesce(sum(gain_db) OVER (ORDER BY stage_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM st)"
+# Sites: each supplier as a receiver with the deployed chain, its own gains and noise, and its own strongest source.
+
+_CHAIN_ROWS = ", ".join(f"({i}, '{n}', {g}::DOUBLE, {f}::DOUBLE, {m}::DOUBLE)" for i, n, g, f, m in S.CHAIN)
+_STAGES = f"""st(stage_idx, name, gain, noise, lim) AS (VALUES {_CHAIN_ROWS}), site AS (SELECT s_suppkey AS site, s_acctbal / 250e0 - 40e0 AS source_dbm FROM supplier),
+ch AS (SELECT *, coalesce(sum(gain_db) OVER (PARTITION BY site ORDER BY stage_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (
+  SELECT site, source_dbm, stage_idx, name, gain + CASE WHEN stage_idx = 2 THEN site % 5 - 2 WHEN stage_idx = 3 THEN (site % 4) * -0.3e0 ELSE 0 END AS gain_db, noise + CASE WHEN stage_idx = 2 THEN (site % 3) * 0.2e0 ELSE 0 END AS nf, lim FROM site, st))"""
+
+
+def _sites(spark, sf) -> DataFrame:
+    return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("site"), (F.col("s_acctbal").cast("double") / 250 - 40).alias("source_dbm"))
+
+
+def _per_site(sites: DataFrame, rows, names: str) -> DataFrame:
+    """Every site with a few fixed rows."""
+    columns = names.split()
+    each = F.array(*(F.struct(*(F.lit(v).alias(c) if v is not None else F.lit(None).cast("double").alias(c) for v, c in zip(r, columns, strict=True))) for r in rows))
+    return sites.select("*", F.explode(each).alias("r")).select(*sites.columns, "r.*")
+
+
+def _chains(spark, sf) -> DataFrame:
+    k, stage = F.col("site"), F.col("stage_idx")
+    c = _per_site(_sites(spark, sf), S.CHAIN, "stage_idx name gain_db noise_figure_db max_input_dbm")
+    gain = F.when(stage == 2, (k % 5 - 2).cast("double")).when(stage == 3, -0.3 * (k % 4)).otherwise(0.0)
+    return c.withColumns({"gain_db": F.col("gain_db") + gain, "noise_figure_db": F.col("noise_figure_db") + F.when(stage == 2, 0.2 * (k % 3)).otherwise(0.0)})
 
 
 @query(
-    f"WITH {_STAGES}, f AS (SELECT sum(gain_db) AS g, 10 * log10(1 + sum((pow(10e0, nf / 10) - 1) / pow(10e0, before / 10))) AS nf FROM ch) SELECT round(g, 6) AS total_gain_db, round(nf, 6) AS noise_figure_db, round(-174e0 + 10 * log10(12500e0) + nf, 6) AS noise_floor_dbm, round(-174e0 + 10 * log10(12500e0) + nf + 13, 6) AS detectable_dbm FROM f"
+    f"WITH {_STAGES}, f AS (SELECT site, sum(gain_db) AS g, 10 * log10(1 + sum((pow(10e0, nf / 10) - 1) / pow(10e0, before / 10))) AS nf FROM ch GROUP BY 1) SELECT site, round(g, 6) AS total_gain_db, round(nf, 6) AS noise_figure_db, round(-174e0 + 10 * log10(12500e0) + nf, 6) AS noise_floor_dbm, round(-174e0 + 10 * log10(12500e0) + nf + 13, 6) AS detectable_dbm FROM f"
 )
 def friis_chain(spark, sf):
-    return rounded(C.cascade(C.chain_table(spark)), 6, "total_gain_db", "noise_figure_db", "noise_floor_dbm", "detectable_dbm")
+    return rounded(C.cascade(_chains(spark, sf), keys=("site",)), 6, "total_gain_db", "noise_figure_db", "noise_floor_dbm", "detectable_dbm")
 
 
-@query(f"WITH {_STAGES} SELECT stage_idx, name, round(-12e0 + before, 6) AS input_dbm, lim AS max_input_dbm FROM ch WHERE -12e0 + before > lim")
+@query(f"WITH {_STAGES} SELECT site, stage_idx, name, round(source_dbm + before, 6) AS input_dbm, lim AS max_input_dbm FROM ch WHERE source_dbm + before > lim")
 def input_safety(spark, sf):
-    return rounded(C.input_violations(C.chain_table(spark), -12.0), 6, "input_dbm")
+    return rounded(C.input_violations(_chains(spark, sf), "source_dbm", ("site",)), 6, "input_dbm")
 
 
-@query(f"WITH {_STAGES} SELECT greatest(0e0, ceil(greatest(max(0e0 + before - (lim - 10e0)), 0) / 10) * 10) AS attenuation_db FROM ch")
+@query(f"WITH {_STAGES} SELECT site, greatest(0e0, ceil(greatest(max(source_dbm + before - (lim - 10e0)), 0) / 10) * 10) AS attenuation_db FROM ch GROUP BY 1")
 def required_attenuation(spark, sf):
-    return C.required_attenuation(C.chain_table(spark), 0.0)
+    return C.required_attenuation(_chains(spark, sf), "source_dbm", keys=("site",))
 
 
-_ANTENNAS = "an(name, lo, hi, claimed, dim, measured) AS (VALUES " + ", ".join(f"('{n}', {a!r}::DOUBLE, {b!r}::DOUBLE, {'NULL' if c is None else c}::DOUBLE, {d!r}::DOUBLE, NULL::DOUBLE)" for n, a, b, c, d, _ in S.ANTENNAS) + ")"
+_ANTENNAS = "an(name, lo, hi, claimed, dim) AS (VALUES " + ", ".join(f"('{n}', {a!r}::DOUBLE, {b!r}::DOUBLE, {'NULL' if c is None else c}::DOUBLE, {d!r}::DOUBLE)" for n, a, b, c, d, _ in S.ANTENNAS) + ")"
 
 
 @query(
-    f"WITH {_ANTENNAS}, q AS (SELECT *, 299792458e0 / 900e6 AS wl FROM an), b AS (SELECT *, 10 * log10(greatest(4 * pi() * 0.6e0 * dim * dim / (wl * wl), 1e-6)) AS bound FROM q), r AS (SELECT name, CASE WHEN NOT (900e6 BETWEEN lo AND hi) THEN 'out of band' WHEN claimed > bound + 1 THEN 'implausible gain' END AS finding, round(bound, 6) AS bound_dbi, round(sqrt(pow(10e0, claimed / 10) * wl * wl / (4 * pi()) / 0.6e0), 6) AS needed_m, coalesce(measured, 0e0) AS effective_gain_dbi FROM b) SELECT * FROM r WHERE finding IS NOT NULL"
+    f"WITH {_ANTENNAS}, q AS (SELECT s_suppkey AS site, name, lo, hi, claimed, dim * (1 + (s_suppkey % 4) / 10e0) AS dim, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey % 7 * 1e0 END AS measured, 300e6 + 50e6 * (s_suppkey % 100) AS f FROM supplier, an), b AS (SELECT *, 299792458e0 / f AS wl FROM q), r AS (SELECT site, name, CASE WHEN NOT (f BETWEEN lo AND hi) THEN 'out of band' WHEN claimed > 10 * log10(greatest(4 * pi() * 0.6e0 * dim * dim / (wl * wl), 1e-6)) + 1 THEN 'implausible gain' END AS finding, round(10 * log10(greatest(4 * pi() * 0.6e0 * dim * dim / (wl * wl), 1e-6)), 6) AS bound_dbi, round(sqrt(pow(10e0, claimed / 10) * wl * wl / (4 * pi()) / 0.6e0), 6) AS needed_m, coalesce(measured, 0e0) AS effective_gain_dbi FROM b) SELECT * FROM r WHERE finding IS NOT NULL"
 )
 def antenna_audit(spark, sf):
-    return rounded(C.audit(C.antenna_table(spark), 900e6), 6, "bound_dbi", "needed_m")
+    """Every site's set of antennas, of its own sizes, at its own frequency."""
+    k = F.col("site")
+    a = _per_site(_sites(spark, sf), S.ANTENNAS, "name min_frequency_hz max_frequency_hz claimed_gain_dbi largest_dimension_m measured_gain_dbi")
+    a = a.withColumns({"largest_dimension_m": F.col("largest_dimension_m") * (1 + (k % 4) / 10), "measured_gain_dbi": F.when(k % 3 == 0, (k % 7).cast("double")), "frequency_hz": 300e6 + 50e6 * (k % 100)})
+    return rounded(C.audit(a, "frequency_hz", ("site",)), 6, "bound_dbi", "needed_m")
 
 
 @query(f"WITH {EM} SELECT row_id, round(pow(10e0, (27e0 - (peak_power_dbfs / 4 - 60e0) - 20 * log10(4 * pi() * frequency_hz / 299792458e0)) / 35e0), 4) AS range_m FROM em")

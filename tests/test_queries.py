@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from bandscope import schema as S
 from bandscope.operators import attribution, calibration, clustering, joins, occupancy, scoring, sessions
 from bandscope.operators.staging import staged
 from bandscope.plans import queries, views
@@ -19,7 +20,7 @@ SF = "/root/testdata/sf0.001"
 def con():
     c = duckdb.connect()
     c.execute("set TimeZone='UTC'")
-    for t in ("events", "embeddings"):
+    for t in ("events", "embeddings", "supplier"):
         c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return c
 
@@ -211,6 +212,22 @@ def test_calibration_trims_compression_and_refuses_outside(spark):
     assert got == {1: (True, True), 2: (False, False), 3: (False, False), 4: (False, False)}
 
 
+def test_one_chain_and_its_antennas(spark):
+    """The deployed chain without a key: one row, the published formula."""
+    stages = calibration.chain_table(spark)
+    got = calibration.cascade(stages).first()
+    factor, ahead = 1.0, 1.0
+    for _, _, gain, noise, _ in S.CHAIN:
+        factor += (10 ** (noise / 10) - 1) / ahead
+        ahead *= 10 ** (gain / 10)
+    assert got.total_gain_db == pytest.approx(sum(r[2] for r in S.CHAIN)) and got.noise_figure_db == pytest.approx(10 * np.log10(factor))
+    assert got.detectable_dbm == pytest.approx(-174 + 10 * np.log10(12_500) + got.noise_figure_db + 13)
+    assert [r.stage_idx for r in calibration.input_violations(stages, -20.0).collect()] == [4]
+    assert calibration.required_attenuation(stages, -20.0).first()[0] == 20.0 and calibration.required_attenuation(stages, -90.0).first()[0] == 0.0
+    found = {r.name: r.finding for r in calibration.audit(calibration.antenna_table(spark), 900e6).collect()}
+    assert found["panel 700-2700 MHz 35 dBi"] == "implausible gain" and found["8 dBi 2.4/5/5.8 GHz"] == "out of band" and len(found) < len(S.ANTENNAS)
+
+
 def test_range_percentiles(spark):
     e = spark.createDataFrame([(1, 446e6, -60.0), (2, 446e6, None)], "row_id long, frequency_hz double, estimated_dbm double")
     got = {r.row_id: r.range_m for r in calibration.estimate_range(e, draws=4_000).collect()}
