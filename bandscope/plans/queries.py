@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..functions import dsp
 from ..functions import expr as X
 from ..functions import publish as P
 from ..operators import attribution as A
@@ -857,3 +858,64 @@ def capture_leading(spark, sf):
     x = I.leading(I.read_iq(spark, folder, settings), 5_000).select("start_sample", F.posexplode("iq").alias("i", "x")).where("i % 2 = 0")
     sample = F.col("start_sample") + F.floor(F.col("i") / 2)
     return x.select(F.floor(sample / 8_192).alias("block_idx"), sample.alias("sample"), F.col("x").cast("double").alias("re"))
+
+
+# Spectra of that capture: windowed transforms of 64 samples, 32 apart.
+
+_SPECTRA = f"""x AS MATERIALIZED (SELECT vec_id * 32 + i AS n, CAST(embedding[2 * i + 1] AS DOUBLE) AS re, CAST(embedding[2 * i + 2] AS DOUBLE) AS im FROM embeddings, range(0, 32) AS r(i)),
+w AS MATERIALIZED (SELECT i, v / sum(v) OVER () AS v FROM (SELECT i, 0.35875e0 - 0.48829e0 * cos(2 * pi() * i / 64) + 0.14128e0 * cos(4 * pi() * i / 64) - 0.01168e0 * cos(6 * pi() * i / 64) AS v FROM range(0, 64) AS r(i))),
+fr AS (SELECT f FROM range(0, (SELECT CAST((max(n) + 1 - 64) // 32 + 1 AS BIGINT) FROM x)) AS r(f)),
+sp AS MATERIALIZED (SELECT f, k AS bin, pow(sum(v * (re * cos(2 * pi() * (k * i % 64) / 64) + im * sin(2 * pi() * (k * i % 64) / 64))), 2) + pow(sum(v * (im * cos(2 * pi() * (k * i % 64) / 64) - re * sin(2 * pi() * (k * i % 64) / 64))), 2) AS p
+  FROM fr, w, range(0, 64) AS b(k) JOIN x ON x.n = f * 32 + i GROUP BY 1, 2)"""
+_PLACE = "446593750e0 + (CASE WHEN bin < 32 THEN bin ELSE bin - 64 END) * (2e6 / 64)"
+
+
+def _capture(spark, sf) -> DataFrame:
+    """The embeddings as one capture on disk, read back in blocks."""
+    settings = S.Settings(num_channels=64, decimation=32, hold_frames=256)
+    v = table(spark, sf, "embeddings")
+    folder = f"{new_path(spark)}/cap".removeprefix("file://")
+    I.write_blocks(v.select(F.lit("c").alias("capture_id"), (F.col("vec_id") * 32).alias("start_sample"), F.lit(0.0).alias("start_time"), F.col("embedding").alias("iq")), folder, "cf32", segment_samples=4_096)
+    return I.read_iq(spark, folder, settings)
+
+
+@query(f"WITH {_SPECTRA}, m AS (SELECT bin, 10 * log10(greatest(avg(p), 1e-300)) AS power_db FROM sp GROUP BY 1), fl AS (SELECT median(power_db) AS floor_db FROM m) SELECT {_PLACE} AS frequency_hz, round(power_db, 5) AS power_db, round(floor_db, 5) AS floor_db, power_db > floor_db + 1 AS occupied FROM m, fl")
+def capture_survey(spark, sf):
+    return rounded(D2.survey(_capture(spark, sf), 2e6, 446_593_750.0, 64, 32).drop("capture_id"), 5, "power_db", "floor_db")
+
+
+@query(f"WITH {_SPECTRA} SELECT f AS frame, CAST(bin AS INTEGER) AS bin, {_PLACE} AS frequency_hz, round(10 * log10(greatest(p, 1e-30)), 4) AS power_db FROM sp")
+def capture_spectrogram(spark, sf):
+    """All frames of a capture's picture; a screen would thin them evenly."""
+    blocks = _capture(spark, sf)
+    total = blocks.agg(F.sum("n")).first()[0]
+    return rounded(D2.spectrogram(blocks, 2e6, 446_593_750.0, total, 64, 32, max_frames=total).drop("capture_id"), 4, "power_db")
+
+
+# Detection in that capture: the filter bank and the threshold over held noise, as in the chain from samples to emissions.
+
+_BANK = S.Settings(num_channels=64, decimation=32, pfa=1e-2)
+_TAPS = ", ".join(repr(float(x)) for x in dsp.prototype(_BANK))
+_FACTOR = repr(D.os_factor(1e-2))
+_OUT = ", ".join(map(str, _BANK.excluded_bins()))
+
+
+@query(
+    f"""WITH {_SPECTRA.partition("w AS")[0]}
+h AS MATERIALIZED (SELECT i - 1 AS i, [{_TAPS}][i] AS v FROM range(1, 769) AS r(i)),
+fr AS (SELECT f FROM range(0, (SELECT CAST((max(n) + 1 - 768) // 32 + 1 AS BIGINT) FROM x)) AS r(f)),
+fold AS MATERIALIZED (SELECT f, i % 64 AS j, sum(v * re) AS re, sum(v * im) AS im FROM fr, h JOIN x ON x.n = f * 32 + i GROUP BY 1, 2),
+c AS MATERIALIZED (SELECT f, k AS bin, pow(sum(re * cos(2 * pi() * (k * j % 64) / 64) + im * sin(2 * pi() * (k * j % 64) / 64)), 2) + pow(sum(im * cos(2 * pi() * (k * j % 64) / 64) - re * sin(2 * pi() * (k * j % 64) / 64)), 2) AS p FROM fold, range(0, 64) AS b(k) GROUP BY 1, 2),
+o(d) AS (VALUES {_REFS}),
+a AS MATERIALIZED (SELECT q.f // 64 AS hold, q.bin, list_sort(list(r.p))[18] AS held FROM c q CROSS JOIN o JOIN c r ON r.f = q.f AND r.bin = ((q.bin + o.d) % 64 + 64) % 64 WHERE q.f % 64 = 0 GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT c.f, coalesce(avg(CASE WHEN p < 8 * held THEN p END), avg(p)) AS level FROM c JOIN a ON a.hold = c.f // 64 AND a.bin = c.bin GROUP BY 1),
+n AS (SELECT c.f, c.bin, p, held * l.level / m.level AS noise FROM c JOIN a ON a.hold = c.f // 64 AND a.bin = c.bin JOIN l ON l.f = c.f JOIN l m ON m.f = c.f // 64 * 64)
+SELECT f AS frame, CAST(bin AS INTEGER) AS bin, round(10 * log10(p), 1) AS power_db, round(10 * log10(p / noise), 1) AS snr_db FROM n WHERE p > noise * {_FACTOR}::DOUBLE AND bin NOT IN ({_OUT})"""
+)
+def capture_detections(spark, sf):
+    v = table(spark, sf, "embeddings")
+    folder = f"{new_path(spark)}/det".removeprefix("file://")
+    I.write_blocks(v.select(F.lit("c").alias("capture_id"), (F.col("vec_id") * 32).alias("start_sample"), F.lit(0.0).alias("start_time"), F.col("embedding").alias("iq")), folder, "cf32")
+    hits = D2.detect(I.read_iq(spark, folder, _BANK), _BANK)
+    level = lambda x: F.round(10 * F.log10(x), 1)  # noqa: E731; the kernel works in single precision
+    return hits.select("frame", "bin", level(F.col("power")).alias("power_db"), level(F.col("power") / F.col("noise")).alias("snr_db"))
