@@ -34,6 +34,7 @@ def main(argv: list[str] | None = None) -> int:
         c.add_argument("--duration", type=float, default=1.0)
         c.add_argument("--target-rate", type=float)
         c.add_argument("--target-centre", type=float)
+        c.add_argument("--write", choices=("cf32", "cs16", "cs8"))
     c = sub.add_parser("battle")
     c.add_argument("path")
     c.add_argument("--json", action="store_true")
@@ -70,7 +71,14 @@ def main(argv: list[str] | None = None) -> int:
                 return 1
             if a.target_rate:
                 part = iq.extract_span(blocks, a.start, a.duration, a.rate, a.target_rate, (a.target_centre or a.centre) - a.centre)
-            part.drop("halo").write.mode("overwrite").parquet(a.store or "extract.parquet")
+            if a.write:  # raw samples, counted from the span's first, with a sidecar
+                if not a.target_rate:
+                    first = int(a.start * a.rate)
+                    part = part.withColumn("start_sample", F.col("start_sample") - F.lit(first // iq.block_samples(settings) * iq.block_samples(settings)))
+                name, began = (F.lit("extract"), F.lit(a.start)) if a.target_rate else (F.col("capture_id"), F.col("start_time"))
+                iq.write_blocks(part.withColumns({"capture_id": name, "start_time": began}), a.store or "extract", a.write, sample_rate=a.target_rate or a.rate, centre_hz=a.target_centre or a.centre)
+            else:
+                part.drop("halo", "last").write.mode("overwrite").parquet(a.store or "extract.parquet")
         else:
             spectrum = signal.survey(blocks, a.rate, a.centre, 1 << 13, 1 << 13).select("capture_id", "frequency_hz", F.pow(F.lit(10.0), F.col("power_db") / 10).alias("power"))
             _show(signal.mean_error(signal.reference_errors(spectrum, a.nominal, a.centre)))
@@ -89,7 +97,7 @@ def main(argv: list[str] | None = None) -> int:
             _show(reports.demo(spark, scene, settings)["summary"])
         else:
             blocks, truth = signal.synthesise(spark, scene, settings)
-            blocks.write.mode("overwrite").parquet(f"{a.out or scene.name}.blocks")
+            iq.write_blocks(blocks, a.out or scene.name, a.format, sample_rate=scene.sample_rate, centre_hz=scene.centre_frequency)
             truth.write.mode("overwrite").json(f"{a.out or scene.name}.truth")
     return 0
 

@@ -458,3 +458,21 @@ def test_command_line(spark, tmp_path, capsys):
     assert "PMR8/114.8Hz" in told
     assert main(["dashboard", store, str(tmp_path / "d.html")]) == 0 and "off-grid" in (tmp_path / "d.html").read_text()
     assert main(["extract", str(tmp_path / "cap.cf32"), *shape, "--start", "99"]) == 1
+
+
+def test_command_line_writes_raw_captures(spark, tmp_path):
+    from bandscope.__main__ import main
+    from bandscope.sources import store
+
+    pytest.importorskip("yaml")
+    store.write_scenario(SCENE, str(tmp_path / "s.yaml"))
+    assert main(["simulate", str(tmp_path / "s.yaml"), "--out", str(tmp_path / "sim"), "--format", "cs16"]) == 0
+    told = json.loads((tmp_path / "sim" / "scene.json").read_text())
+    assert told["format"] == "cs16" and told["sample_rate"] == SCENE.sample_rate
+    assert spark.read.json(str(tmp_path / "sim.truth")).count() == 2
+    found = signal.run_capture(iq.read_iq(spark, str(tmp_path / "sim"), SMALL), SMALL, 114.8).collect()
+    assert sorted((r.pmr_channel or 0, r.ctcss_tone_hz) for r in found) == [(0, None), (8, 114.8)]
+    shape = ["--rate", "500000", "--centre", str(SMALL.centre_hz), "--channels", "40", "--start", "0.5", "--duration", "1.0", "--target-rate", "250000", "--write", "cf32"]
+    assert main(["extract", str(tmp_path / "sim"), *shape, "--store", str(tmp_path / "part")]) == 0
+    part = iq.read_iq(spark, str(tmp_path / "part"), SMALL).agg(F.sum("n")).first()[0]
+    assert part == 250_000 and json.loads((tmp_path / "part" / "extract.json").read_text())["sample_rate"] == 250_000.0
