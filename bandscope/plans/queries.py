@@ -919,3 +919,32 @@ def capture_detections(spark, sf):
     hits = D2.detect(I.read_iq(spark, folder, _BANK), _BANK)
     level = lambda x: F.round(10 * F.log10(x), 1)  # noqa: E731; the kernel works in single precision
     return hits.select("frame", "bin", level(F.col("power")).alias("power_db"), level(F.col("power") / F.col("noise")).alias("snr_db"))
+
+
+# The tracker as a stream: hits arrive in four steps, and a mark after the last closes what is open.
+
+
+@query(
+    f"""WITH {CELLS}, hit AS (SELECT * FROM cells WHERE power > 2e-2), r AS (SELECT bin, frame, power, sum(fresh) OVER (PARTITION BY bin ORDER BY frame ROWS UNBOUNDED PRECEDING) AS run FROM (
+    SELECT *, CASE WHEN frame - lag(frame) OVER (PARTITION BY bin ORDER BY frame) <= 2 THEN 0 ELSE 1 END AS fresh FROM hit))
+SELECT CAST(bin AS INTEGER) AS bin, min(frame) AS start_frame, max(frame) AS end_frame, round(max(power), 6) AS peak_power, round(avg(power), 6) AS mean_power, count(*) AS detected_frames
+FROM r GROUP BY bin, run HAVING max(frame) - min(frame) + 1 >= 3 AND count(*) / (max(frame) - min(frame) + 1) >= 0.35e0"""
+)
+def tracked_stream(spark, sf):
+    from ..streaming.tracker import OUT, track_stream
+
+    settings = S.Settings(sample_rate=32_000.0, num_channels=64, decimation=32, hangover_frames=2, min_frames=3, max_frames=1 << 40)  # a frame is a millisecond
+    place = new_path(spark)
+    kept = "capture_id string, bin int, frame long, power double, noise double, left_power double, right_power double, frame_ts timestamp"
+    hits = frames(spark, sf).select("frame", F.posexplode("power").alias("bin", "power")).where("power > 2e-2")
+    hits = hits.select(F.lit("c").alias("capture_id"), "bin", "frame", "power", F.lit(1e-2).alias("noise"), *(F.lit(0.0).alias(c) for c in ("left_power", "right_power")), F.timestamp_millis(F.col("frame") + 1_700_000_000_000).alias("frame_ts"))
+    top = frames(spark, sf).agg(F.coalesce(F.max("frame"), F.lit(0))).first()[0] + 1
+    for step in range(4):  # files in the order of time, as a receiver writes them
+        hits.where((F.col("frame") >= top * step // 4) & (F.col("frame") < top * (step + 1) // 4)).coalesce(1).write.mode("append").parquet(f"{place}/in")
+    mark = spark.range(1).select(F.lit("c").alias("capture_id"), F.lit(D2.NO_BIN).alias("bin"), F.lit(top + 100).cast("long").alias("frame"), *(F.lit(0.0).alias(c) for c in ("power", "noise", "left_power", "right_power")), F.timestamp_millis(F.lit(top + 100 + 1_700_000_000_000)).alias("frame_ts"))
+    mark.write.mode("append").parquet(f"{place}/in")
+    stream = spark.readStream.schema(kept).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+    q = track_stream(stream, settings).writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/mark").trigger(availableNow=True).start()
+    q.awaitTermination()
+    out = spark.read.schema(OUT).parquet(f"{place}/out")
+    return rounded(out.select("bin", "start_frame", "end_frame", "peak_power", "mean_power", "detected_frames"), 6, "peak_power", "mean_power")

@@ -16,7 +16,7 @@ from ..operators.signal import NO_BIN, detect
 
 log = logging.getLogger(__name__)
 
-STATE = "start long, last long, count long, peak double, total double, noise double, left_p double, right_p double"
+STATE = "start long, last long, count long, peak double, total double, noise double, left_p double, right_p double, origin long"
 OUT = "capture_id string, bin int, start_frame long, end_frame long, peak_power double, mean_power double, mean_noise double, left_power double, right_power double, detected_frames long"
 _COLUMNS = [c.split()[0] for c in OUT.split(", ")]
 
@@ -24,8 +24,8 @@ _COLUMNS = [c.split()[0] for c in OUT.split(", ")]
 def track_stream(hits: DataFrame, settings: S.Settings, frame_time: str = "frame_ts") -> DataFrame:
     """Emissions of a stream of hit cells (capture_id, bin, frame, power, noise, left_power, right_power, and ``frame_ts``).
 
-    The event time is the frame's; a key's open emission closes when a hit lies more than the hangover later, when it reaches the
-    longest extent, or when the watermark passes its last hit by the hangover. Later rows than the watermark are dropped by Spark.
+    The event time is the frame's; a key's open emission closes when a hit lies more than the hangover later, at multiples of the
+    longest extent from the first hit of its run, as in batches, or when the watermark passes its last hit by the hangover. Later rows than the watermark are dropped by Spark.
     A row of ``NO_BIN`` is no hit: it only moves the watermark, so a mark two hangovers after the end closes what is open.
     """
     hang, least, most, share = settings.hangover_frames, settings.min_frames, settings.max_frames, settings.min_occupancy
@@ -52,11 +52,13 @@ def track_stream(hits: DataFrame, settings: S.Settings, frame_time: str = "frame
             return
         rows = pd.concat(list(batches)).sort_values("frame")
         for f, p, n, a, b in zip(rows["frame"], rows["power"], rows["noise"], rows["left_power"], rows["right_power"], strict=True):
-            if s is not None and (f - s[1] > hang or f - s[0] >= most):
+            goes_on = s is not None and f - s[1] <= hang
+            origin = s[8] if goes_on else f
+            if s is not None and not (goes_on and (f - origin) // most == (s[0] - origin) // most):
                 out += close(key, s)
                 s = None
-            s = (f, f, 1, p, p, n, a, b) if s is None else (s[0], max(s[1], f), s[2] + 1, max(s[3], p), s[4] + p, s[5] + n, s[6] + a, s[7] + b)
-        state.update(tuple(int(v) if i < 3 else float(v) for i, v in enumerate(s)))
+            s = (f, f, 1, p, p, n, a, b, origin) if s is None else (s[0], max(s[1], f), s[2] + 1, max(s[3], p), s[4] + p, s[5] + n, s[6] + a, s[7] + b, origin)
+        state.update(tuple(int(v) if i in (0, 1, 2, 8) else float(v) for i, v in enumerate(s)))
         last_ms = int(pd.Timestamp(rows[frame_time].iloc[-1]).timestamp() * 1000)
         state.setTimeoutTimestamp(max(last_ms + hang_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=_COLUMNS)
@@ -73,7 +75,8 @@ def capture_stream(blocks: DataFrame, settings: S.Settings) -> DataFrame:
     """
     if "halo" not in blocks.columns:
         raise ValueError("streamed blocks need their halo")
-    at = F.timestamp_micros(((F.col("start_time") + F.col("frame") / settings.frame_rate) * 1e6).cast("long"))
+    # A watermark begins at the epoch and what isn't later is dropped, so a capture that starts there is a second late.
+    at = F.timestamp_micros(((F.col("start_time") + 1.0 + F.col("frame") / settings.frame_rate) * 1e6).cast("long"))
     return track_stream(detect(blocks, settings, "last" in blocks.columns).withColumn("frame_ts", at), settings)
 
 

@@ -421,6 +421,27 @@ def test_a_growing_capture_as_a_stream_equals_the_batch(spark, tmp_path):
     assert max(r.end_frame for r in got) > 0.98 * 1_200_000 / SMALL.decimation
 
 
+def test_the_streamed_tracker_cuts_as_the_batch_does(spark, tmp_path):
+    """Long runs with gaps at their cuts, in several batches: the same pieces."""
+    from bandscope.operators.sessions import tracked
+    from bandscope.streaming import tracker
+
+    settings = S.Settings(sample_rate=32_000.0, num_channels=64, decimation=32, hangover_frames=3, min_frames=2, max_frames=10, min_occupancy=0.3)
+    rng = np.random.default_rng(3)
+    rows = [("c", b, int(f), float(rng.random()), 1.0, 0.5, 0.25) for b in range(6) for f in np.flatnonzero(rng.random(400) < [0.2, 0.4, 0.6, 0.8, 0.95, 1.0][b])]
+    rows.append(("c", signal.NO_BIN, 500, 0.0, 0.0, 0.0, 0.0))
+    hits = spark.createDataFrame(rows, "capture_id string, bin int, frame long, power double, noise double, left_power double, right_power double").withColumn("frame_ts", F.timestamp_millis(F.col("frame") + 1_000_000))
+    for step in range(3):
+        hits.where((F.col("frame") >= step * 150) & (F.col("frame") < (step + 1) * 150 + 10_000 * (step == 2))).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(hits.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = tracker.track_stream(stream, settings).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "mark")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    place = lambda r: (r.bin, r.start_frame, r.end_frame, r.detected_frames, round(r.peak_power, 9), round(r.mean_power, 9))
+    want = tracked(hits.where("bin >= 0"), 3, 2, 10, 0.3, ["capture_id"])
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(place, got.collect())) == sorted(map(place, want.collect())) and got.count() > 100
+
+
 def test_spectrogram_spans_the_capture(spark):
     blocks, _ = signal.synthesise(spark, SCENE, SMALL)
     table = signal.spectrogram(blocks, 500_000.0, SMALL.centre_hz, 1_200_000, max_frames=50).cache()
