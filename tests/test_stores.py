@@ -247,5 +247,9 @@ def test_order_of_battle_and_page(spark, made):
 def test_demo(spark):
     scene = dsp.Scenario(duration_s=1.2, sample_rate=500_000.0, centre_frequency=446_206_250.0, noise_floor_dbm=-95, emitters=[dsp.Emitter("a", channel=8, distance_m=300, transmissions=[(0.2, 1.0)])])
     out = reports.demo(spark, scene, S.Settings(sample_rate=500_000.0, centre_hz=446_206_250.0, num_channels=40, decimation=20))
+    told, first = reports.demo_rows(out, scene)
+    assert {(r.emitter, r.distance_m) for r in told.collect()} == {(e.name, float(e.distance_m)) for e in scene.emitters if e.transmissions}
+    times = [r.timestamp for r in first.collect()]
+    assert times == sorted(times) and len(times) <= 12
     s = out["summary"].first()
     assert (s.transmissions, s.detected, s.spurious, s.channel_accuracy) == (1, 1, 0, 1.0) and abs(s.duration_rmse_s) < 0.05
