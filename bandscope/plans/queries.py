@@ -732,10 +732,15 @@ def _reports(spark, sf) -> DataFrame:
     )
 
 
+def _plain(path: str) -> str:
+    """A path of the local file system without its scheme, which SQLite and Arrow want."""
+    return path.removeprefix("file://").removeprefix("file:")
+
+
 def _stored(spark, sf, extension: str) -> DataFrame:
     path = f"{new_path(spark)}/store.{extension}"
     if extension == "db":
-        path = path.removeprefix("file://").removeprefix("file:")
+        path = _plain(path)
         if "://" in path:
             raise ValueError("a SQLite store needs a file system")
     store.write_reports(_reports(spark, sf), path)
@@ -840,7 +845,7 @@ def capture_files(spark, sf):
     blocks = v.select(F.lit("c").alias("capture_id"), (F.col("vec_id") * 32).alias("start_sample"), F.lit(0.0).alias("start_time"), F.col("embedding").alias("iq"))
     every = None
     for form in I.FORMATS:
-        folder = f"{new_path(spark)}/{form}".removeprefix("file://")
+        folder = _plain(f"{new_path(spark)}/{form}")
         I.write_blocks(blocks, folder, form, segment_samples=8_192)
         x = I.read_iq(spark, folder, settings).select(F.lit(form).alias("form"), "start_sample", F.posexplode("iq").alias("i", "x"))
         x = x.groupBy("form", (F.col("start_sample") + F.floor(F.col("i") / 2)).alias("sample")).agg(*(F.max(F.when(F.col("i") % 2 == k, F.col("x").cast("double"))).alias(c) for k, c in enumerate(("re", "im"))))
@@ -853,7 +858,7 @@ def capture_leading(spark, sf):
     """The first samples of a capture, over the ends of segments and of blocks."""
     settings = S.Settings(num_channels=64, decimation=32, hold_frames=256)
     v = table(spark, sf, "embeddings")
-    folder = f"{new_path(spark)}/lead".removeprefix("file://")
+    folder = _plain(f"{new_path(spark)}/lead")
     I.write_blocks(v.select(F.lit("c").alias("capture_id"), (F.col("vec_id") * 32).alias("start_sample"), F.lit(0.0).alias("start_time"), F.col("embedding").alias("iq")), folder, "cf32", segment_samples=2_048)
     x = I.leading(I.read_iq(spark, folder, settings), 5_000).select("start_sample", F.posexplode("iq").alias("i", "x")).where("i % 2 = 0")
     sample = F.col("start_sample") + F.floor(F.col("i") / 2)
@@ -874,7 +879,7 @@ def _capture(spark, sf) -> DataFrame:
     """The embeddings as one capture on disk, read back in blocks."""
     settings = S.Settings(num_channels=64, decimation=32, hold_frames=256)
     v = table(spark, sf, "embeddings")
-    folder = f"{new_path(spark)}/cap".removeprefix("file://")
+    folder = _plain(f"{new_path(spark)}/cap")
     I.write_blocks(v.select(F.lit("c").alias("capture_id"), (F.col("vec_id") * 32).alias("start_sample"), F.lit(0.0).alias("start_time"), F.col("embedding").alias("iq")), folder, "cf32", segment_samples=4_096)
     return I.read_iq(spark, folder, settings)
 
@@ -914,7 +919,7 @@ SELECT f AS frame, CAST(bin AS INTEGER) AS bin, round(10 * log10(p), 1) AS power
 )
 def capture_detections(spark, sf):
     v = table(spark, sf, "embeddings")
-    folder = f"{new_path(spark)}/det".removeprefix("file://")
+    folder = _plain(f"{new_path(spark)}/det")
     I.write_blocks(v.select(F.lit("c").alias("capture_id"), (F.col("vec_id") * 32).alias("start_sample"), F.lit(0.0).alias("start_time"), F.col("embedding").alias("iq")), folder, "cf32")
     hits = D2.detect(I.read_iq(spark, folder, _BANK), _BANK)
     level = lambda x: F.round(10 * F.log10(x), 1)  # noqa: E731; the kernel works in single precision
