@@ -55,6 +55,8 @@ LATIN_PATTERN = rf" ?[{_L}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{_N}]+| ?[^{_S}{_L}{_N}]
 #: Words in one generation of a Python worker's memory. When it is full, it becomes the older one and the words
 #: met again move on from there; so frequent words stay and there are never more than two generations.
 MEMO_WORDS = 300_000
+#: Bytes of text that are split into words at once, of which each takes some sixty bytes.
+SLICE = 1 << 20
 #: Longer words are encoded but not remembered.
 MEMO_WORD_BYTES = 64
 
@@ -244,7 +246,7 @@ def encode_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", t
 
     def run(batches):
         bpe = _tokenizer(shared.value)
-        for part in slices(batches, 1):
+        for part in slices(batches, 1, SLICE):
             ids = bpe.encode_batch(texts_of(part, 1))
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.string())],
