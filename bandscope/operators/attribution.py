@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from .joins import band_join, interval_join
-from .staging import staged
+from .joins import interval_join
+from .onair import strongest_parents
 
 
 def _side(emissions: DataFrame, prefix: str) -> DataFrame:
@@ -21,43 +21,26 @@ def _side(emissions: DataFrame, prefix: str) -> DataFrame:
 
 
 def parent_pairs(emissions: DataFrame, margin_db: float = S.LEVEL_MARGIN_DB) -> DataFrame:
-    """(weak, strong) pairs on air together, the strong one at least the margin above. Stage them where they are read more than once."""
+    """(weak, strong) pairs on air together, the strong one at least the margin above. They grow with the square of traffic; attribution itself doesn't list them."""
     return interval_join(_side(emissions, "w"), _side(emissions, "s"), ("w_t0", "w_t1"), ("s_t0", "s_t1"), F.col("s_p") - F.col("w_p") >= margin_db)
 
 
-def _first_parent(matches: DataFrame) -> DataFrame:
-    """The strongest parent of each weak emission, the earliest row of equals."""
-    best = F.min(F.struct((-F.col("s_p")).alias("o"), F.col("s_id").alias("id"), F.col("s_f").alias("f")))
-    return matches.groupBy("w_id").agg(best.alias("b")).select(F.col("w_id").alias("row_id"), F.col("b.id").alias("parent_id"), F.col("b.f").alias("parent_hz"))
-
-
-def splatter(pairs: DataFrame, tolerance_hz: float = S.PRODUCT_TOLERANCE_HZ) -> DataFrame:
+def splatter(emissions: DataFrame, tolerance_hz: float = S.PRODUCT_TOLERANCE_HZ, margin_db: float = S.LEVEL_MARGIN_DB) -> DataFrame:
     """Weak emissions with a mirror partner about a parent: the partner is a weak child of the same parent."""
-    child = pairs.select("w_id", "s_id", "s_f", "s_p", (2 * F.col("s_f") - F.col("w_f")).alias("mirror"))
-    other = pairs.select(F.col("w_id").alias("o_id"), F.col("s_id").alias("os_id"), F.col("w_f").alias("o_f"))
-    return _first_parent(band_join(child, other, "mirror", "o_f", tolerance_hz, [("s_id", "os_id")], F.col("o_id") != F.col("w_id")))
+    return strongest_parents(emissions, tolerance_hz, margin_db, ("SPLATTER",)).drop("kind")
 
 
-def intermodulation(pairs: DataFrame, tolerance_hz: float = S.PRODUCT_TOLERANCE_HZ) -> DataFrame:
+def intermodulation(emissions: DataFrame, tolerance_hz: float = S.PRODUCT_TOLERANCE_HZ, margin_db: float = S.LEVEL_MARGIN_DB) -> DataFrame:
     """Weak emissions at twice one parent's frequency less another's; the doubled parent is named."""
-    first = pairs.select("w_id", "s_id", "s_f", "s_p", (2 * F.col("s_f") - F.col("w_f")).alias("wanted"))
-    second = pairs.select(F.col("w_id").alias("w2_id"), F.col("s_id").alias("s2_id"), F.col("s_f").alias("s2_f"))
-    return _first_parent(band_join(first, second, "wanted", "s2_f", tolerance_hz, [("w_id", "w2_id")], F.col("s2_id") != F.col("s_id")))
+    return strongest_parents(emissions, tolerance_hz, margin_db, ("INTERMOD3",)).drop("kind")
 
 
 def attribute(emissions: DataFrame, tolerance_hz: float = S.PRODUCT_TOLERANCE_HZ, margin_db: float = S.LEVEL_MARGIN_DB) -> DataFrame:
     """All rows, with ``attributed_to_hz`` and ``attribution`` set where a relation explains them; splatter comes first."""
-    pairs = staged(parent_pairs(emissions, margin_db))  # both relations join them with themselves
-    a = splatter(pairs, tolerance_hz).select("row_id", F.col("parent_hz").alias("a_hz"))
-    b = intermodulation(pairs, tolerance_hz).select("row_id", F.col("parent_hz").alias("b_hz"))
-    base = emissions.drop("attributed_to_hz", "attribution")
-    return (
-        base.join(a, "row_id", "left")
-        .join(b, "row_id", "left")
-        .withColumn("attributed_to_hz", F.coalesce("a_hz", "b_hz"))
-        .withColumn("attribution", F.when(F.col("a_hz").isNotNull(), "SPLATTER").when(F.col("b_hz").isNotNull(), "INTERMOD3"))
-        .drop("a_hz", "b_hz")
-    )
+    first = F.max(F.struct("kind", "parent_hz"))  # by name, splatter comes last
+    found = strongest_parents(emissions, tolerance_hz, margin_db).groupBy("row_id").agg(first.alias("b"))
+    found = found.select("row_id", F.col("b.parent_hz").alias("attributed_to_hz"), F.col("b.kind").alias("attribution"))
+    return emissions.drop("attributed_to_hz", "attribution").join(found, "row_id", "left")
 
 
 def totals(attributed: DataFrame) -> DataFrame:

@@ -286,3 +286,22 @@ def test_dynamic_range_leaves_out_compressed_levels(spark):
 def test_attribution_reads_staged_pairs(spark):
     plan = attribution.attribute(staged(views.emissions(spark, SF)))._jdf.queryExecution().executedPlan().toString()
     assert "Generate explode(sequence(FLOOR((w_t0" not in plan and "NestedLoop" not in plan
+
+
+def test_attribution_lists_no_pairs(spark, monkeypatch):
+    """Odd rows over many slabs against brute force; no table of pairs is written, which grew with the square of traffic."""
+    from bandscope.operators import onair, staging
+
+    monkeypatch.setattr(onair, "SLAB", 2.0)
+    rng = random.Random(6)
+    line = lambda i: (i, float(rng.randint(0, 90)), rng.choice([0.0, 0.0, -3.0, 1.0, 2.0, 7.0, 60.0]), 446e6 + rng.choice([500.0, 900.0, 12_500.0]) * rng.randint(0, 9) + rng.choice([0.0, 0.125]), float(rng.choice([-1, -9, -11, -15, -25])), None)
+    rows = [line(i) for i in range(250)]
+    before = set(staging._written)
+    told = attribution.attribute(emissions(spark, rows + [(900, None, 1.0, 446e6, -1.0, None), (901, 1.0, 5.0, 446e6, None, None)])).collect()
+    assert set(staging._written) == before
+    want = brute_attribution(rows) | {900: (None, None), 901: (None, None)}
+    assert {r.row_id: (r.attributed_to_hz, r.attribution) for r in told} == want
+    assert {k for _, k in want.values()} >= {None, "SPLATTER"}
+    few = [(i, t, d, f, p, None) for i, t, d, f, p, _ in rows if p > -12]
+    told = attribution.intermodulation(emissions(spark, rows)).count(), attribution.splatter(emissions(spark, few)).count()
+    assert told[0] > 0 and told[1] == sum(k == "SPLATTER" for _, k in brute_attribution(few).values())
