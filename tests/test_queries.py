@@ -305,3 +305,15 @@ def test_attribution_lists_no_pairs(spark, monkeypatch):
     few = [(i, t, d, f, p, None) for i, t, d, f, p, _ in rows if p > -12]
     told = attribution.intermodulation(emissions(spark, rows)).count(), attribution.splatter(emissions(spark, few)).count()
     assert told[0] > 0 and told[1] == sum(k == "SPLATTER" for _, k in brute_attribution(few).values())
+
+
+def test_mean_errors_ties_and_halves(spark, tmp_path):
+    """Of equal peaks the first counts, and a mean that ends in a half is rounded up whatever the order of summation."""
+    rows = [(i, 1, v) for i, v in enumerate([5.0, 90.5, 3.25, 90.5, None])]
+    cents = [36.03] * 63 + [36.05 + 0.24]  # 2306.18 / 64 = 36.0340625
+    for user in range(2, 12):
+        random.Random(user).shuffle(cents)
+        rows += [(100 * user + i, user, v) for i, v in enumerate(cents)]
+    spark.createDataFrame(rows, "event_id long, user_id long, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.user_id: (r.peak_id, r.mean_hz) for r in queries.QUERIES["mean_errors"](spark, str(tmp_path)).collect()}
+    assert got[1][0] == 1 and {got[u][1] for u in range(2, 12)} == {36.034063}
