@@ -6,19 +6,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from . import bestmatch
 from .joins import interval_join
 
 
-def hits(reports: DataFrame, truth: DataFrame, scene_start: float | None = None, tolerance_hz: float = S.SCORE_TOLERANCE_HZ) -> DataFrame:
-    """(report_id, truth_id, overlap_s) for reports and transmissions that meet in time and frequency."""
+def _sides(reports: DataFrame, truth: DataFrame, scene_start: float | None) -> tuple[DataFrame, DataFrame]:
     if scene_start is None:
         scene_start = reports.agg(F.coalesce(F.min("timestamp"), F.lit(0.0))).first()[0]
     r = reports.select(F.col("row_id").alias("report_id"), (F.col("timestamp") - scene_start).alias("r0"), (F.col("timestamp") - scene_start + F.col("duration_s")).alias("r1"), F.col("frequency_hz").alias("rf"))
     t = truth.select("truth_id", F.col("start_s").alias("s0"), F.col("stop_s").alias("s1"), F.col("frequency_hz").alias("tf"))
+    return r, t
+
+
+def hits(reports: DataFrame, truth: DataFrame, scene_start: float | None = None, tolerance_hz: float = S.SCORE_TOLERANCE_HZ) -> DataFrame:
+    """(report_id, truth_id, overlap_s) for reports and transmissions that meet in time and frequency. They grow with the square of traffic; ``best_matches`` doesn't list them."""
+    r, t = _sides(reports, truth, scene_start)
     met = interval_join(r, t, ("r0", "r1"), ("s0", "s1"), F.abs(F.col("rf") - F.col("tf")) <= tolerance_hz)
     return met.select("report_id", "truth_id", (F.least("r1", "s1") - F.greatest("r0", "s0")).alias("overlap_s"))
 
 
+def best_matches(reports: DataFrame, truth: DataFrame, scene_start: float | None = None, tolerance_hz: float = S.SCORE_TOLERANCE_HZ) -> DataFrame:
+    """The same rows as ``matches`` of ``hits``, without a row for each pair."""
+    r, t = _sides(reports, truth, scene_start)
+    return bestmatch.best_matches(r.toDF("id", "t0", "t1", "f"), t.toDF("id", "t0", "t1", "f"), tolerance_hz)
+
+
 def matches(met: DataFrame) -> DataFrame:
     """Each report's transmission: the one of the greatest overlap, the first of equals; with the number of those it met."""
     best = F.max(F.struct("overlap_s", (-F.col("truth_id")).alias("o")))
@@ -26,6 +38,7 @@ def matches(met: DataFrame) -> DataFrame:
 
 
 def spurious(reports: DataFrame, met: DataFrame) -> DataFrame:
+    """Reports that meet no transmission; ``met`` holds the hits or the matches."""
     return reports.join(met.select(F.col("report_id").alias("row_id")).distinct(), "row_id", "left_anti")
 
 

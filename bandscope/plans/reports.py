@@ -82,10 +82,9 @@ def demo(spark: SparkSession, scene: dsp.Scenario, settings: S.Settings, friend_
     blocks, truth = signal.synthesise(spark, scene, settings)
     reports = staged(signal.run_capture(blocks, settings, friend_hz))
     truth = truth.withColumn("truth_id", F.monotonically_increasing_id())
-    met = staged(scoring.hits(reports, truth, 0.0))
-    matched = scoring.matches(met)
+    matched = staged(scoring.best_matches(reports, truth, 0.0))
     told = scoring.by_truth(reports, truth, matched)
-    return {"reports": reports, "truth": told, "summary": scoring.summary(told, matched, scoring.spurious(reports, met).count(), scene.duration_s), "by_snr": scoring.detection_by_snr(told)}
+    return {"reports": reports, "truth": told, "summary": scoring.summary(told, matched, scoring.spurious(reports, matched).count(), scene.duration_s), "by_snr": scoring.detection_by_snr(told)}
 
 
 def published(reports: DataFrame, site: publish.Site | None = None, draws: int = 20_000) -> DataFrame:

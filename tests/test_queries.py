@@ -202,6 +202,31 @@ def test_scoring_cases(spark):
     assert (empty.transmissions, empty.probability_of_detection, empty.duration_rmse_s) == (0, 0.0, 0.0)
 
 
+@pytest.mark.parametrize("slab, few", [(2.0, 1), (40.0, 1), (3.0, 8)])
+def test_best_matches_equal_those_of_listed_pairs(spark, monkeypatch, slab, few):
+    from bandscope.operators import bestmatch
+
+    monkeypatch.setattr(bestmatch, "SLAB", slab)
+    monkeypatch.setattr(bestmatch, "FEW", few)
+    pick = random.Random(int(slab))
+    length = lambda: pick.choice([0.0, -3.0, 1.0, 2.0, 5.0, 5.0, 9.0, 40.0, 1e-17, pick.random()])
+    tf = [446e6, 446e6 + 700.0, 446e6 - 5_900.0, 446e6 + 6_250.0, 446e6 + 12_500.0]
+    reports = emissions(spark, [(2 * i, float(pick.randrange(-4, 60)), length(), pick.choice([446e6, 446e6 + 350.0]), -1.0, None) for i in range(300)] + [(601, None, 1.0, 446e6, -1.0, None), (603, 1.0, 1.0, None, -1.0, None)])
+    # Ends that differ by less than a difference of times can tell.
+    told = [(i, a := float(pick.randrange(-4, 60)), a + length(), pick.choice(tf)) for i in range(300, 0, -1)] + [(301, 1e-18, 30.0, 446e6), (300, 2e-18, 30.0, 446e6), (302, None, 1.0, 446e6)]
+    truth = spark.createDataFrame(told, "truth_id long, start_s double, stop_s double, frequency_hz double")
+    columns = ["report_id", "truth_id", "overlap_s", "met"]
+    want = sorted(map(tuple, scoring.matches(scoring.hits(reports, truth, 0.0)).select(columns).collect()))
+    assert sorted(map(tuple, scoring.best_matches(reports, truth, 0.0).select(columns).collect())) == want and len(want) > 200
+    assert scoring.best_matches(reports.where("row_id < 0"), truth).count() == 0 == scoring.best_matches(reports, truth.where("truth_id < 0"), 0.0).count()
+
+
+@pytest.mark.parametrize("name", ["score_matches", "spurious", "score_summary", "detection_by_snr"])
+def test_scores_list_no_pairs(spark, monkeypatch, name):
+    monkeypatch.setattr(queries.R, "interval_join", lambda *a, **k: pytest.fail("pairs are listed"))
+    queries.QUERIES[name](spark, SF).collect()
+
+
 def test_calibration_trims_compression_and_refuses_outside(spark):
     points = [("g", float(x), x + 50.0 if x < -10 else -5.0 + 45.0) for x in range(-70, 1, 5)]
     df = spark.createDataFrame(points, "gain_key string, measured_dbfs double, input_dbm double")
