@@ -237,6 +237,19 @@ def test_calibration_trims_compression_and_refuses_outside(spark):
     assert got == {1: (True, True), 2: (False, False), 3: (False, False), 4: (False, False)}
 
 
+def test_trimming_leaves_keys_that_are_done_and_tells_the_driver_no_points(spark, monkeypatch):
+    """Points of keys that are done aren't stored again, and no dropped point passes through the driver."""
+    rng = random.Random(3)
+    rows = [(k, i, float(i), 2.0 * i + rng.random() / 10 + (9.0 + i if i % 12 == 5 and i // 12 < k else 0.0)) for k in range(5) for i in range(60)] + [(7, 1, 1.0, 1.0), (None, 1, 1.0, 1.0), (None, 2, 2.0, 2.0), (8, 1, None, 1.0)]
+    stored = []
+    monkeypatch.setattr(calibration, "staged", lambda df: stored.append(staged(df)) or stored[-1])
+    df = spark.createDataFrame(rows, "k long, i long, x double, y double")
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda *a, **k: pytest.fail("rows of the driver"))
+    got = {r.gain_key: r.num_points for r in calibration.fit_trimmed(df, "k", "x", "y").collect()}
+    assert got == {None: 2, 0: 60, 1: 59, 2: 58, 3: 57, 4: 56}
+    assert [t.count() for t in stored if "place" in t.columns] == [303, 59 * 4, 58 * 3, 57 * 2, 56]
+
+
 def test_one_chain_and_its_antennas(spark):
     """The deployed chain without a key: one row, the published formula."""
     stages = calibration.chain_table(spark)
