@@ -743,7 +743,10 @@ def _stored(spark, sf, extension: str) -> DataFrame:
         path = _plain(path)
         if "://" in path:
             raise ValueError("a SQLite store needs a file system")
-    store.write_reports(_reports(spark, sf), path)
+    reports = _reports(spark, sf)
+    if extension == "db":
+        reports = reports.repartition(4 * spark.sparkContext.defaultParallelism, "timestamp")  # parts are written row by row: a small file would be one task
+    store.write_reports(reports, path)
     back = store.read_reports(spark, path)
     return back.select("*", "gains.*").drop("row_id", "gains")
 

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from .. import schema as S
 
@@ -27,6 +27,8 @@ TYPES = {"pmr_channel": "INTEGER", "bin_index": "INTEGER", "calibrated": "INTEGE
 _SPARK = {"INTEGER": T.LongType(), "TEXT": T.StringType(), "REAL": T.DoubleType()}
 _ARROW = {"INTEGER": pa.int64(), "TEXT": pa.string(), "REAL": pa.float64()}
 ROWS = 10_000
+#: Memory for pages while a store is written, in KiB.
+CACHE_KB = 131_072
 
 
 def _kind(column: str) -> str:
@@ -42,6 +44,21 @@ def _typed(column: str, value):
     return value if value is None else {"INTEGER": int, "TEXT": str, "REAL": float}[_kind(column)](value)
 
 
+def _array(column: str, values: tuple) -> pa.Array:
+    try:
+        return pa.array(values, _ARROW[_kind(column)])
+    except (pa.ArrowInvalid, pa.ArrowTypeError):  # values of other types, which SQLite allows in any column
+        return pa.array([_typed(column, v) for v in values], _ARROW[_kind(column)])
+
+
+def count_rows(path: str) -> int:
+    """Rows of a store, counted by SQLite; 0 without the file."""
+    if not os.path.exists(path):
+        return 0
+    with sqlite3.connect(path) as db:
+        return db.execute(f"SELECT count(*) FROM {TABLE}").fetchone()[0]
+
+
 class _Keys(InputPartition):
     """Rows whose key lies between two numbers, both included."""
 
@@ -65,7 +82,7 @@ class _Reader(DataSourceReader):
         with sqlite3.connect(self.path) as db:
             rows = db.execute(f"SELECT {', '.join(self.columns)} FROM {TABLE} WHERE {KEY} BETWEEN ? AND ? ORDER BY {KEY}", (keys.first, keys.last))
             while some := rows.fetchmany(ROWS):
-                yield pa.RecordBatch.from_arrays([pa.array([_typed(c, v) for v in values], _ARROW[_kind(c)]) for c, values in zip(self.columns, zip(*some, strict=True), strict=True)], names=self.columns)
+                yield pa.RecordBatch.from_arrays([_array(c, values) for c, values in zip(self.columns, zip(*some, strict=True), strict=True)], names=self.columns)
 
 
 @dataclass
@@ -76,7 +93,7 @@ class Part(WriterCommitMessage):
     rows: int
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
     def __init__(self, path: str, columns: list[str]):
         self.path, self.columns, self.job = path, columns, uuid.uuid4().hex
 
@@ -85,18 +102,24 @@ class _Writer(DataSourceWriter):
         db.execute(f"CREATE TABLE IF NOT EXISTS {TABLE} ({KEY} INTEGER PRIMARY KEY AUTOINCREMENT, {', '.join(f'{c} {_kind(c)}' for c in S.STORE_COLUMNS)})")
         for c in set(S.STORE_COLUMNS).difference(_columns(db)):
             db.execute(f"ALTER TABLE {TABLE} ADD COLUMN {c} {_kind(c)}")
+
+    def _indexed(self, db: sqlite3.Connection) -> None:
+        """Last, so that a new store's indexes are sorted once and not built row by row."""
         for c in ("timestamp", "pmr_channel"):
             db.execute(f"CREATE INDEX IF NOT EXISTS {TABLE}_{c} ON {TABLE} ({c})")
 
-    def write(self, rows: Iterator) -> Part:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Part:
         part = Part(f"{self.path}.{self.job}.{uuid.uuid4().hex}.part", 0)
 
         def counted():
-            for row in rows:
-                part.rows += 1
-                yield tuple(int(v) if isinstance(v, bool) else v for v in row)
+            for batch in batches:
+                part.rows += len(batch)
+                columns = [c.cast(pa.int64()) if pa.types.is_boolean(c.type) else c for c in batch.columns]
+                yield from zip(*(c.to_pylist() for c in columns), strict=True)
 
         with sqlite3.connect(part.path) as db:
+            db.execute("PRAGMA journal_mode = OFF")  # a part that isn't finished is thrown away
+            db.execute("PRAGMA synchronous = OFF")
             db.execute(f"CREATE TABLE part ({', '.join(f'{c} {_kind(c)}' for c in self.columns)})")
             db.executemany(f"INSERT INTO part VALUES ({', '.join('?' * len(self.columns))})", counted())
         db.close()
@@ -104,6 +127,7 @@ class _Writer(DataSourceWriter):
 
     def commit(self, messages: list[Part | None]) -> None:
         with sqlite3.connect(self.path, timeout=60.0, isolation_level=None) as db:
+            db.execute(f"PRAGMA cache_size = -{CACHE_KB}")
             db.execute("BEGIN IMMEDIATE")
             try:
                 self._made(db)
@@ -112,6 +136,7 @@ class _Writer(DataSourceWriter):
                         source = sqlite3.connect(m.path)
                         db.executemany(f"INSERT INTO {TABLE} ({', '.join(self.columns)}) VALUES ({', '.join('?' * len(self.columns))})", source.execute("SELECT * FROM part ORDER BY rowid"))
                         source.close()
+                self._indexed(db)
                 db.execute("COMMIT")
             except BaseException:
                 db.execute("ROLLBACK")

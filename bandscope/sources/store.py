@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.dsp import Scenario
-from .sqlite import SqliteStore
+from .sqlite import SqliteStore, count_rows
 
 GAIN_FIELDS = ("lna_db", "vga_db", "amp_enabled")
 
@@ -89,9 +89,9 @@ def write_reports(reports: DataFrame, path: str) -> int:
         rows = rows.withColumns({c: F.col(c).cast("string" if c in ("classification", "attribution") else "bigint" if c in ("pmr_channel", "bin_index", "calibrated", "amp_enabled") else "double") for c in rows.columns})
         spark = reports.sparkSession
         spark.dataSource.register(SqliteStore)
-        before = read_sqlite(spark, path).count() if os.path.exists(path) else 0
+        before = count_rows(path)
         rows.write.format("sqlite_store").mode("append").save(path)
-        return read_sqlite(spark, path).count() - before
+        return count_rows(path) - before
     if extension == ".jsonl":
         out = reports.select(*(c for c in reports.columns if c in S.STORE_COLUMNS or c == "gains"))
         before = out.count()

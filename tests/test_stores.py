@@ -70,6 +70,27 @@ def test_single_file_store_is_written_and_read_by_ranges(spark, made, tmp_path):
         assert {r[1] for r in db.execute("pragma index_list(emissions)")} >= {"emissions_timestamp", "emissions_pmr_channel"}
 
 
+def test_single_file_store_is_counted_by_sqlite_and_indexed_last(spark, made, tmp_path, monkeypatch):
+    from bandscope.sources import sqlite
+
+    path = str(tmp_path / "new.db")
+    whole = store.read_sqlite
+    monkeypatch.setattr(store, "read_sqlite", lambda *a: pytest.fail("a store is read whole to be counted"))
+    assert store.write_reports(made, path) == 3 and store.write_reports(made, path) == 3
+    part, said = str(tmp_path / "p.part"), []
+    with sqlite3.connect(part) as db:
+        db.execute("create table part (timestamp real)")
+        db.execute("insert into part values (5), (7)")
+    connect = sqlite3.connect
+    monkeypatch.setattr(sqlite.sqlite3, "connect", lambda *a, **k: (db := connect(*a, **k)).set_trace_callback(said.append) or db)
+    sqlite._Writer(str(tmp_path / "one.db"), ["timestamp"]).commit([sqlite.Part(part, 2)])
+    assert max(i for i, x in enumerate(said) if x.startswith("INSERT")) < min(i for i, x in enumerate(said) if x.startswith("CREATE INDEX"))
+    monkeypatch.setattr(sqlite.sqlite3, "connect", connect)
+    with sqlite3.connect(path) as db:  # SQLite allows values of any type in a column
+        db.execute("insert into emissions (timestamp, pmr_channel, classification) values (9007199254740993, 3.5, 12)")
+    assert [(r.timestamp, r.pmr_channel, r.classification) for r in whole(spark, path).where("row_id = 7").collect()] == [(9007199254740992.0, 3, "12")]
+
+
 def test_single_file_store_grows_columns_and_keeps_whole_writes(spark, made, tmp_path):
     path = str(tmp_path / "old.sqlite")
     with sqlite3.connect(path) as db:
