@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from .joins import interval_join
-from .onair import strongest_parents
+from .onair import related, strongest_parents
 
 
 def _side(emissions: DataFrame, prefix: str) -> DataFrame:
@@ -37,8 +37,8 @@ def intermodulation(emissions: DataFrame, tolerance_hz: float = S.PRODUCT_TOLERA
 
 def attribute(emissions: DataFrame, tolerance_hz: float = S.PRODUCT_TOLERANCE_HZ, margin_db: float = S.LEVEL_MARGIN_DB) -> DataFrame:
     """All rows, with ``attributed_to_hz`` and ``attribution`` set where a relation explains them; splatter comes first."""
-    first = F.max(F.struct("kind", "parent_hz"))  # by name, splatter comes last
-    found = strongest_parents(emissions, tolerance_hz, margin_db).groupBy("row_id").agg(first.alias("b"))
+    first = F.min(F.struct((F.col("kind") != "SPLATTER").alias("later"), (-F.col("p")).alias("o"), "parent_id", "parent_hz", "kind"))
+    found = related(emissions, tolerance_hz, margin_db).groupBy("row_id").agg(first.alias("b"))
     found = found.select("row_id", F.col("b.parent_hz").alias("attributed_to_hz"), F.col("b.kind").alias("attribution"))
     return emissions.drop("attributed_to_hz", "attribution").join(found, "row_id", "left")
 

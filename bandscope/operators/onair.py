@@ -3,7 +3,8 @@
 Pairs of emissions that are on air together grow with the square of traffic. What attribution asks of them does not: of
 each emission, how many weaker and stronger ones of each frequency it meets (two are as good as more), and the strongest.
 Spark deals emissions to slabs of time; within one, a kernel answers that by tables over powers of two, for each frequency
-in about rows times the logarithm of rows. Few emissions cross from slab to slab; what they meet is summed up over slabs.
+in about rows times the logarithm of rows. Few emissions cross from slab to slab; how many they meet is summed up over slabs
+and told to each of theirs, which then names the strongest it holds. So counts by frequency travel, no parents.
 
 A task holds the emissions of one slab (``SLAB`` mean durations) and a number for each of them and frequency.
 """
@@ -23,7 +24,7 @@ SLAB = 16.0
 CELLS = 1 << 24
 Two = tuple[np.ndarray, np.ndarray]
 
-AROUND = "row_id bigint, fs array<double>, weaker array<tinyint>, stronger array<tinyint>, best_p array<double>, best_id array<bigint>"
+COUNTS = "fs array<double>, weaker array<tinyint>, stronger array<tinyint>"
 FOUND = "row_id bigint, kind string, p double, parent_id bigint, parent_hz double"
 
 
@@ -155,85 +156,101 @@ def _summed(counts: np.ndarray) -> np.ndarray:
     return np.pad(np.cumsum(counts, axis=1, dtype=np.int32), ((0, 0), (1, 0)))
 
 
+def _lists(counts: np.ndarray, f: np.ndarray, weaker: np.ndarray, stronger: np.ndarray) -> list[pa.Array]:
+    ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    return [pa.ListArray.from_arrays(ends, pa.array(x, t)) for x, t in ((f, pa.float64()), (weaker, pa.int8()), (stronger, pa.int8()))]
+
+
 def crossing(width: float, margin_db: float):
-    """Kernel: what emissions that cross slabs meet in this one, each pair in the slab in which the later one starts."""
+    """Kernel: how many of each frequency emissions that cross slabs meet in this one, each pair in the slab in which the later one starts."""
 
     def kernel(rows: pa.Table) -> pa.Table:
         s = _Slab(rows, margin_db)
         asked = np.flatnonzero(rows["crosses"].to_numpy()[s.kept])
-        out: dict[str, list] = {"id": [], "f": [], "weaker": [], "stronger": [], "p": [], "best": [], "n": []}
+        slab = rows["slab"][0].as_py()
+        out: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int8), np.zeros(0, np.int8))]
         f = np.unique(s.f)
-        base = int(np.searchsorted(s.when, rows["slab"][0].as_py() * width)) - 1
+        base = int(np.searchsorted(s.when, slab * width)) - 1
         for some in _chunks(asked, len(f)):
-            weaker, stronger, best = s.around(some, f, base)
+            weaker, stronger, _ = s.around(some, f, base)
             i, j = np.nonzero((weaker > 0) | (stronger > 0))
-            b = s.by_rank[best[i, j]]
-            none = best[i, j] < 0
-            for name, x in (("f", f[j]), ("weaker", weaker[i, j]), ("stronger", stronger[i, j]), ("p", np.where(none, -np.inf, s.p[b])), ("best", np.where(none, 0, s.id[b]))):
-                out[name].append(x)
-            out["id"].append(s.id[some])
-            out["n"].append(np.bincount(i, minlength=len(some)))
-        flat = {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in out.items()}
-        ends = np.concatenate([[0], np.cumsum(flat["n"])]).astype(np.int32)
-        lists = [pa.ListArray.from_arrays(ends, pa.array(flat[k], t)) for k, t in (("f", pa.float64()), ("weaker", pa.int8()), ("stronger", pa.int8()), ("p", pa.float64()), ("best", pa.int64()))]
-        return pa.table([pa.array(flat["id"], pa.int64()), *lists], names=["row_id", "fs", "weaker", "stronger", "best_p", "best_id"])
+            out.append((np.bincount(i, minlength=len(some)), f[j], weaker[i, j], stronger[i, j]))
+        lists = _lists(*(np.concatenate(x) for x in zip(*out, strict=True)))
+        return pa.table([pa.array(s.id[asked], pa.int64()), pa.array(np.full(len(asked), slab), pa.int64()), *lists], names=["row_id", "slab", "fs", "weaker", "stronger"])
 
     return kernel
 
 
-def relations(width: float, tolerance: float, margin_db: float, kinds: tuple[str, ...]):
-    """Kernel: the strongest parent of each emission in this slab by splatter, and by intermodulation for those that start here."""
-
-    def kernel(rows: pa.Table) -> pa.Table:
+def _summed_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of each row and frequency over all its slabs, 2 for more."""
+    for batch in batches:
+        n, (fs, weaker, stronger) = batch.num_rows, (batch.column(c) for c in ("fs", "weaker", "stronger"))
+        whose = np.repeat(np.arange(n), np.diff(fs.offsets.to_numpy()))
+        f, weaker, stronger = (x.flatten().to_numpy(zero_copy_only=False) for x in (fs, weaker, stronger))
+        order = np.lexsort((f, whose))
+        whose, f = whose[order], f[order]
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(whose) > 0) | (np.diff(f) > 0)])[: len(f)])
+        of = lambda x: np.minimum(np.add.reduceat(x[order].astype(np.int64), first), 2) if len(first) else x  # noqa: B023, E731
+        lists = _lists(np.bincount(whose[first], minlength=n), f[first], of(weaker), of(stronger))
+        yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("slabs"), *lists], names=["row_id", "slabs", "fs", "weaker", "stronger"])
+
+
+def _told(known: pa.Table, ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, ...]:
+    """What is known of the ``rows`` with these ids: whose it is, frequency, weaker and stronger ones met."""
+    by_id = known["row_id"].to_numpy()
+    order = np.argsort(by_id, kind="stable")
+    place = np.searchsorted(by_id[order], ids)
+    lists = [pa.concat_arrays(known[c].chunks) if known[c].num_chunks else pa.array([], known.schema.field(c).type) for c in ("fs", "weaker", "stronger")]
+    counts = np.diff(lists[0].offsets.to_numpy())
+    begin, own = (np.cumsum(counts) - counts)[order][place], counts[order][place]
+    at = np.repeat(begin - (np.cumsum(own) - own), own) + np.arange(own.sum())
+    return np.repeat(rows, own), *(x.flatten().to_numpy(zero_copy_only=False)[at] for x in lists)
+
+
+def relations(tolerance: float, margin_db: float, kinds: tuple[str, ...]):
+    """Kernel: the strongest parent of each emission in this slab; of those that cross, what they meet in all is ``known``."""
+
+    def kernel(rows: pa.Table, known: pa.Table) -> pa.Table:
         s = _Slab(rows, margin_db)
         n = len(s.id)
-        known = rows.select(["fs", "weaker", "stronger", "best_p", "best_id"]).take(pa.array(s.kept)).combine_chunks()
         crosses = rows["crosses"].to_numpy()[s.kept]
-        told = {c: pa.concat_arrays(known[c].chunks) if known[c].num_chunks else pa.array([], known.schema.field(c).type) for c in known.column_names}
-        counts = np.diff(told["fs"].offsets.to_numpy())
-        told = {c: v.flatten().to_numpy(zero_copy_only=False) for c, v in told.items()}
-        whose = np.repeat(np.arange(n), counts)
-        f = np.unique(np.concatenate([s.f, told["fs"]]))
-        d, at, known_at = len(f), np.searchsorted(f, s.f), np.searchsorted(f, told["fs"])
+        across = np.flatnonzero(crosses)
+        whose, told_f, told_weaker, told_stronger = _told(known, s.id[across], across)
+        f = np.unique(np.concatenate([s.f, told_f]))
+        d, at, known_at = len(f), np.searchsorted(f, s.f), np.searchsorted(f, told_f)
         x = 2 * f[:, None] - f[None, :]  # [parent, weak]
         lo, hi = _band(f, x, tolerance)
         weaker = np.zeros((n, d), np.int8)
-        np.add.at(weaker, (whose, known_at), np.minimum(told["weaker"], 2))
         out: list[tuple] = []
 
         def tell(kind: str, weak: np.ndarray, p: np.ndarray, parent: np.ndarray, hz: np.ndarray) -> None:
             out.append((s.id[weak], np.full(len(weak), kind), p, parent, hz))
 
-        def intermodulation(weak: np.ndarray, stronger: np.ndarray, p: np.ndarray, parent: np.ndarray) -> None:
+        def intermodulation(weak: np.ndarray, stronger: np.ndarray, best: np.ndarray) -> None:
             total = _summed(stronger)
             row, w = np.arange(len(weak))[:, None], at[weak][:, None]
             every = np.arange(d)[None, :]
             own = np.abs(x[every, w] - f[every]) <= tolerance  # the parent itself lies where the other one is sought
-            good = (stronger > 0) & (total[row, hi[every, w]] - total[row, lo[every, w]] > own)
-            p = np.where(good, p, -np.inf)
+            good = (best >= 0) & (total[row, hi[every, w]] - total[row, lo[every, w]] > own)
+            b = s.by_rank[best]
+            p, parent = np.where(good, s.p[b], -np.inf), s.id[b]
             top = p.max(axis=1, initial=-np.inf)
             first = np.where(good & (p == top[:, None]), parent, np.iinfo(np.int64).max)
             j = first.argmin(axis=1)
             some = np.flatnonzero(good.any(axis=1))
             tell("INTERMOD3", weak[some], top[some], first[some, j[some]], f[j[some]])
 
-        # Emissions of this slab alone meet all they meet here.
-        for some in _chunks(np.flatnonzero(~crosses), d):
-            weaker[some], stronger, best = s.around(some, f)
+        # Emissions of this slab alone meet all they meet here; of the others, the strongest of every slab are compared later.
+        for some in _chunks(np.arange(n), d):
+            met, stronger, best = s.around(some, f)
+            mine = slice(*np.searchsorted(whose, [some[0], some[-1] + 1]))
+            i, j = whose[mine] - some[0], known_at[mine]
+            for table, told in ((met, told_weaker), (stronger, told_stronger)):
+                table[crosses[some]] = 0
+                np.add.at(table, (i, j), told[mine])
+            weaker[some] = met
             if "INTERMOD3" in kinds:
-                b = s.by_rank[best]
-                intermodulation(some, stronger, s.p[b], s.id[b])
-        if "INTERMOD3" in kinds:
-            for some in _chunks(np.flatnonzero(crosses & (np.floor(s.t0 / width) == rows["slab"][0].as_py())), d):
-                to = np.full(n, -1)
-                to[some] = np.arange(len(some))
-                mine = np.flatnonzero(to[whose] >= 0)
-                mine = mine[np.lexsort((-told["best_id"][mine], told["best_p"][mine]))]
-                i, j = to[whose[mine]], known_at[mine]
-                stronger, p, parent = np.zeros((len(some), d), np.int32), np.full((len(some), d), -np.inf), np.zeros((len(some), d), np.int64)
-                np.add.at(stronger, (i, j), told["stronger"][mine])
-                p[i, j], parent[i, j] = told["best_p"][mine], told["best_id"][mine]
-                intermodulation(some, stronger, p, parent)
+                intermodulation(some, stronger, best)
         if "SPLATTER" in kinds:
             fit = np.zeros((n, d), bool)  # [parent, frequency of a weak one]
             own = np.abs(f[None, :] - x) <= tolerance  # the weak one itself lies where its partner is sought
@@ -256,8 +273,8 @@ def relations(width: float, tolerance: float, margin_db: float, kinds: tuple[str
     return kernel
 
 
-def strongest_parents(emissions: DataFrame, tolerance_hz: float, margin_db: float, kinds: tuple[str, ...] = ("SPLATTER", "INTERMOD3")) -> DataFrame:
-    """(row_id, kind, parent_id, parent_hz): the strongest parent by each relation, of equals the one of the smaller number.
+def related(emissions: DataFrame, tolerance_hz: float, margin_db: float, kinds: tuple[str, ...] = ("SPLATTER", "INTERMOD3")) -> DataFrame:
+    """(row_id, kind, p, parent_id, parent_hz): the strongest parents by each relation, one for each slab of an emission.
 
     Emissions without a number, time, frequency or power take no part.
     """
@@ -268,9 +285,17 @@ def strongest_parents(emissions: DataFrame, tolerance_hz: float, margin_db: floa
     first, last = (F.floor(c / width) for c in (F.least("t0", "t1"), F.greatest("t0", "t1")))
     dealt = e.withColumn("crosses", first != last).withColumn("slab", F.explode(F.sequence(first, last)))
     tasks = 4 * spark.sparkContext.defaultParallelism  # narrow rows with long work: by size alone they would be one task
-    met = dealt.repartition(tasks, "slab").groupBy("slab").applyInArrow(crossing(width, margin_db), AROUND)
-    lists = ["fs", "weaker", "stronger", "best_p", "best_id"]
-    met = met.groupBy("row_id").agg(F.collect_list(F.struct(*lists)).alias("c")).select("row_id", *(F.flatten(F.col(f"c.{c}")).alias(c) for c in lists))
-    found = dealt.join(met, "row_id", "left").repartition(tasks, "slab").groupBy("slab").applyInArrow(relations(width, tolerance_hz, margin_db, kinds), FOUND)
+    slabs = dealt.repartition(tasks, "slab").groupBy("slab")  # read twice, dealt once
+    met = slabs.applyInArrow(crossing(width, margin_db), f"row_id bigint, slab bigint, {COUNTS}")
+    lists = ["fs", "weaker", "stronger"]
+    met = met.groupBy("row_id").agg(F.collect_list(F.struct("slab", *lists)).alias("c"))
+    met = met.select("row_id", F.array_distinct("c.slab").alias("slabs"), *(F.flatten(F.col(f"c.{c}")).alias(c) for c in lists))
+    met = met.mapInArrow(_summed_up, f"row_id bigint, slabs array<bigint>, {COUNTS}").select(F.explode("slabs").alias("slab"), "row_id", *lists)
+    return slabs.cogroup(met.repartition(tasks, "slab").groupBy("slab")).applyInArrow(relations(tolerance_hz, margin_db, kinds), FOUND)
+
+
+def strongest_parents(emissions: DataFrame, tolerance_hz: float, margin_db: float, kinds: tuple[str, ...] = ("SPLATTER", "INTERMOD3")) -> DataFrame:
+    """(row_id, kind, parent_id, parent_hz): the strongest parent by each relation, of equals the one of the smaller number."""
     best = F.min(F.struct((-F.col("p")).alias("o"), F.col("parent_id").alias("id"), F.col("parent_hz").alias("f")))
+    found = related(emissions, tolerance_hz, margin_db, kinds)
     return found.groupBy("row_id", "kind").agg(best.alias("b")).select("row_id", "kind", F.col("b.id").alias("parent_id"), F.col("b.f").alias("parent_hz"))

@@ -355,3 +355,18 @@ def test_mean_errors_ties_and_halves(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, user_id long, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     got = {r.user_id: (r.peak_id, r.mean_hz) for r in queries.QUERIES["mean_errors"](spark, str(tmp_path)).collect()}
     assert got[1][0] == 1 and {got[u][1] for u in range(2, 12)} == {36.034063}
+
+
+def test_attribution_sends_counts_alone(spark, monkeypatch):
+    """Emissions that cross slabs are told counts, once for each frequency; lists of parents by slab filled the disk."""
+    from bandscope.operators import onair
+
+    monkeypatch.setattr(onair, "SLAB", 0.5)
+    rng = random.Random(8)
+    rows = [(i, rng.uniform(0, 300), rng.uniform(20, 60), 446e6 + 900.0 * rng.randint(0, 60), rng.uniform(-60, 0), None) for i in range(800)]
+    e = staged(emissions(spark, rows))
+    sent = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before = sent()
+    told = {r.row_id: (r.attributed_to_hz, r.attribution) for r in attribution.attribute(e).collect()}
+    assert 0 < sent() - before < 800_000
+    assert told == brute_attribution(rows)
