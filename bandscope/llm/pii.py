@@ -19,9 +19,9 @@ the final classifier, a naive Bayes over kind, length class and votes, whose
 probability must reach ``ACCEPT`` for a candidate to be added.
 
 Only built-in expressions; the one shuffle moves pre-aggregated counts. The
-texts are read twice, for the counts and for the result, so nothing that was
-found is ever written outside the result. All steps are linear in the text and,
-but for sorting, in the number of spans.
+texts are read once: spans and votes are written to the shared folder, and
+counts and result come from there. All steps are linear in the text and, but for
+sorting, in the number of spans.
 
 Defined edge cases: a null or empty text has no spans; tables without any span
 train nothing; repeated rows give repeated results; the whole text is read, with
@@ -43,17 +43,17 @@ ACCEPT = 0.9
 CONTEXT_CHARS = 32
 
 # The patterns of the contract. A run that can't match from its start can't from within, so starts inside
-# a run are skipped unless the last match ended there; this keeps long runs linear.
+# a run are skipped unless the last match ended there; this keeps long runs linear. A look at the first character comes before all else, as it rules out most places.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
-IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
-CARD = r"(?:\G|(?<![0-9]))[0-9](?:[\x20-]?[0-9])++"
+IP = r"(?=[0-9])(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
+CARD = r"(?=[0-9])(?:\G|(?<![0-9]))[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"
 
 # Candidates of the method. A number that a letter follows is matched with the letter and then dropped, so no start within it is tried.
-NUMBER = r"(?<![0-9A-Za-z.])[0-9](?:[\x20./-]?[0-9]){8,}+[A-Za-z]?+"
-ACCOUNT = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}+(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-NAME = r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Madame|Monsieur|Señor|Señora)\.?\x20[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]++(?:\x20[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]++)?"
+NUMBER = r"(?=[0-9])(?<![0-9A-Za-z.])[0-9](?:[\x20./-]?[0-9]){8,}+[A-Za-z]?+"
+ACCOUNT = r"(?=[A-Z])(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}+(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+NAME = r"(?=[MDPHFS])(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Madame|Monsieur|Señor|Señora)\.?\x20[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]++(?:\x20[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]++)?"
 
 BASE = ["email", "ip", "card", "phone"]
 KINDS = [*BASE, "number", "account", "name"]
@@ -172,12 +172,13 @@ def find_pii(docs: DataFrame, text_col: str = "text", out_col: str = "pii") -> D
     found = prefixed.select(*kept, base_spans(F.col(clean)).alias(base), candidates(F.col(clean)).alias(extra))
     outside = found.select(*kept, base, apart(F.col(extra), F.col(base)).alias(extra))
     size = lambda s: F.least(F.floor((s["end"] - s["start"]) / 4), F.lit(9)).cast("int")
-    told = F.transform(F.concat(base, extra), lambda s: F.struct(s["kind"].alias("kind"), size(s).alias("size"), votes(s).alias("v")))
-    good = accepted_patterns(outside.select(F.explode(told).alias("s")).select("s.kind", "s.size", "s.v"))
-    name = lambda s: F.concat_ws(" ", s["kind"], size(s).cast("string"), F.concat(F.lit("["), F.array_join(F.transform(votes(s), lambda x: x.cast("string")), ", "), F.lit("]")))
+    told = lambda c: F.transform(c, lambda s: F.struct(*(s[x].alias(x) for x in ("kind", "start", "end", "text")), size(s).alias("size"), votes(s).alias("v")))
+    voted = stored(outside.select(*kept, told(F.col(base)).alias(base), told(F.col(extra)).alias(extra)))
+    good = accepted_patterns(voted.select(F.explode(F.concat(base, extra)).alias("s")).select("s.kind", "s.size", "s.v"))
+    name = lambda s: F.concat_ws(" ", s["kind"], s["size"].cast("string"), F.concat(F.lit("["), F.array_join(F.transform(s["v"], lambda x: x.cast("string")), ", "), F.lit("]")))
     added = F.filter(extra, lambda s: name(s).isin(good) if good else F.lit(False))
     plain = lambda c: F.transform(c, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text")))
-    return outside.select(*kept, F.concat(plain(F.col(base)), plain(added)).alias(out_col))
+    return voted.select(*kept, F.concat(plain(F.col(base)), plain(added)).alias(out_col))
 
 
 def digests(found: DataFrame, id_col: str = "doc_id", out_col: str = "pii") -> DataFrame:

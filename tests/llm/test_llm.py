@@ -571,6 +571,14 @@ def brute_pii(t):
     return sorted(out, key=lambda x: (x[1], pii.KINDS.index(x[0])))
 
 
+def test_pii_reads_texts_once(spark):
+    """What was found is written once; the result's plan searches no text again."""
+    docs = spark.createDataFrame([(1, "Call Mr. Ben Ko: +44 20 7946 0018, card 4111 1111 1111 1111"), (2, None)], "doc_id long, text string")
+    found = pii.find_pii(docs)
+    assert "regexp_replace" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.doc_id: [s.kind for s in r.pii if s.kind in pii.BASE] for r in found.collect()} == {1: ["card", "phone"], 2: []}
+
+
 def test_pii_by_brute_force(spark):
     rng = random.Random(3)
     bits = ["a@b.c", "@", "x.y", "_", "mail", "1.2.3.4", "255", "256", ".", "4111111111111111", "5", " ", "-", "+1", "+", "(555)", "0", "12", "é", "🎉", "\u0001", "\n", "Mr Smith", "999", "%"]
