@@ -41,8 +41,9 @@ SYMBOLS = "#*$%&|<>"
 #: Texts are cut into pieces of about so many characters.
 PIECE_CHARS = 50_000
 
-# Fixed value: the published pre-tokenisation pattern of the vocabularies.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Fixed value: the published pre-tokenisation pattern of the vocabularies, and one that makes the same pieces without stepping back.
+PUBLISHED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PATTERN = r"'(?:[stmd]|re|ve|ll)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
 
 #: White space by Unicode's property, as the pattern has it. The library's regular expressions fail on runs of a million, so long ones are

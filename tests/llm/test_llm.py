@@ -395,6 +395,21 @@ def test_quality_edges(edges):
     assert len(vocabulary.ids(" " * 1_000_000 + "end")) > 1 and len(vocabulary.ids("y" * 1_000_000)) > 1
 
 
+def test_quality_pattern_makes_the_published_pieces(monkeypatch):
+    """The pattern in use never steps back within a word, which takes a third less time, and makes the same tokens."""
+    assert quality.PATTERN != quality.PUBLISHED and " ?\\p{L}++" in quality.PATTERN
+    with open(tokenizer_file("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = f.read()
+    ours = quality.Vocabulary(ranks)
+    monkeypatch.setattr(quality, "PATTERN", quality.PUBLISHED)
+    published = quality.Vocabulary(ranks)
+    rng = random.Random(4)
+    signs = "abcdestvmlr" * 3 + "'" * 6 + "  \n\t\r" * 3 + "019²½.,#’€\x1c\x85\xa0\u3000日本한عقқ१"
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 200))) for _ in range(1_500)]
+    for text in [*texts, " " * 20_000 + "a", "a" * 60_000, "ab " * 30_000, " \n" * 8_000, "x" + " " * 4_999 + "y", ""]:
+        assert ours.ids(text).tolist() == published.ids(text).tolist()
+
+
 def test_quality_method_by_brute_force(spark):
     """Fertility, fallback, entropy and verdict from the tokens themselves."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
