@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bandscope import schema as S
+from bandscope.functions import expr
 from bandscope.operators import attribution, calibration, clustering, joins, occupancy, scoring, sessions
 from bandscope.operators.staging import staged
 from bandscope.plans import queries, views
@@ -93,6 +94,35 @@ def test_interval_join_has_no_nested_loop(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def odd_spans(spark):
+    rng = random.Random(9)
+    length = lambda: rng.choice([0.0, -3.0, 0.0625, 2.0, 2.0, 7.5, 40.0, 1e12, float("inf"), float("nan"), -float("inf"), None, rng.random()])
+    rows = [(i, s := rng.choice([float(rng.randrange(-4, 60)), 1e9 + rng.random()]), (d := length()) is not None and s + d or None) for i in range(400)] + [(None, 1.0, 9.0), (400, None, 9.0), (401, float("nan"), 9.0)]
+    return spark.createDataFrame(rows, "id long, t0 double, t1 double")
+
+
+@pytest.mark.parametrize("slab", [0.5, 2.0, 40.0])
+def test_overlapping_pairs_meet_once(spark, monkeypatch, slab):
+    monkeypatch.setattr(joins, "SLAB", slab)
+    e = odd_spans(spark)
+    got = joins.overlapping_pairs(e, "id", "t0", "t1").select("a_id", "b_id", expr.rounded_product(F.least("a_t1", "b_t1") - F.greatest("a_t0", "b_t0"), 3).alias("s")).toArrow().to_pylist()
+    c = duckdb.connect()
+    c.register("e", e.toArrow())
+    want = c.sql("SELECT a.id AS a_id, b.id AS b_id, round(least(a.t1, b.t1) - greatest(a.t0, b.t0), 3) AS s FROM e a JOIN e b ON a.id < b.id AND a.t0 < b.t1 AND b.t0 < a.t1").fetchall()
+    assert sorted((r["a_id"], r["b_id"], str(r["s"])) for r in got) == sorted((a, b, str(s)) for a, b, s in want) and len(want) > 1_000
+    assert joins.overlapping_pairs(e.where("id < 0"), "id", "t0", "t1").count() == 0
+
+
+def test_overlap_pairs_store_little_more_than_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(queries, "staged", lambda df: pytest.fail("rows are stored before the join"))
+    plan = queries.QUERIES["overlap_pairs"](spark, SF)
+    plan.collect()
+    text = plan._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert text.count("ReusedExchange") == 1 == text.count("- Exchange ") and "Broadcast" not in text and "NestedLoop" not in text
+    e = odd_spans(spark).where("t0 IS NOT NULL AND NOT isnan(t0) AND t1 IS NOT NULL")
+    assert e.count() <= joins.in_slabs(e, "t0", "t1").count() <= (1 + 1 / joins.SLAB) * e.count()
+
+
 def test_clusters_equal_one_fold(spark):
     rng = random.Random(2)
     for _ in range(3):
