@@ -614,8 +614,8 @@ def mean_errors(spark, sf):
     found = D2.mean_error(e, "user_id").select("user_id", F.col("captures").alias("n"), F.col("error_hz").alias("mean_hz"), F.col("standard_error_hz").alias("error_hz"))
     first = F.when(F.col("error_hz").isNotNull() & F.col("event_id").isNotNull(), F.struct("error_hz", (-F.col("event_id")).alias("o")))  # of equals, as the SQL meets them in the table
     peaks = e.groupBy("user_id").agg(F.max_by("event_id", first).alias("peak_id"))
-    # A mean of 64 values of two decimals ends in a half at the seventh place; the noise of a summation order must not decide it.
-    return rounded(rounded(found.join(peaks, "user_id"), 12, "mean_hz"), 6, "mean_hz", "error_hz")
+    # A mean of 64 values of two decimals ends in a half at the seventh place: summed as the rows come and rounded by a product, as in the SQL.
+    return found.join(peaks, "user_id").withColumns({c: X.rounded_product(c, 6) for c in ("mean_hz", "error_hz")})
 
 
 # Sweeps of which some points are compressed: each user's events, every ninth one far off the line.

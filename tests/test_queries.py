@@ -387,6 +387,24 @@ def test_mean_errors_ties_and_halves(spark, tmp_path):
     assert got[1][0] == 1 and {got[u][1] for u in range(2, 12)} == {36.034063}
 
 
+def test_mean_errors_round_as_the_sql_does(spark, tmp_path):
+    """Where a mean ends in a half, the sum of the rows as they come decides, in Spark as in DuckDB."""
+    rng = random.Random(3)
+    rows = []
+    for user in range(60):
+        cents = [rng.randrange(1, 20_000) for _ in range(63)]
+        cents.append(100 + (2 - sum(cents) - 100) % 4)  # the sum of cents is 2 modulo 4, so a 64th of it ends in a half at the seventh place
+        rows += [(64 * user + i, user, c / 100) for i, c in enumerate(cents)]
+    rows += [(10_000 + i, 99, v) for i, v in enumerate([-3.5, None, -0.0000005])]
+    spark.createDataFrame(rows, "event_id long, user_id long, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = {r[0]: r for r in c.sql(queries.ORACLE["mean_errors"]).fetchall()}
+    assert {r[0]: tuple(r) for r in queries.QUERIES["mean_errors"](spark, str(tmp_path)).collect()} == want
+    ups = [want[u][2] * 6_400 > sum(round(v * 100) for _, x, v in rows if x == u) for u in range(60)]
+    assert 0 < sum(ups) < 60
+
+
 def test_attribution_sends_counts_alone(spark, monkeypatch):
     """Emissions that cross slabs are told counts, once for each frequency; lists of parents by slab filled the disk."""
     from bandscope.operators import onair
