@@ -325,6 +325,33 @@ def test_range_query_covers_all_emissions_with_default_draws(spark, monkeypatch)
         assert np.allclose(got[i][1:], np.percentile(10 ** (loss / (10 * n)), [5, 50, 68, 90, 95]), rtol=0.08)
 
 
+def test_order_statistics_are_those_of_a_sort():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 3, 50, 1_000):
+        for x in (rng.standard_normal(n), rng.integers(0, 4, n).astype(np.float32), np.full(n, np.inf)):
+            ranks = np.unique(rng.integers(0, n, 6)).tolist()
+            a, b = calibration.order_statistics(x.copy(), ranks, calibration.settling(ranks, n))
+            assert (a == np.sort(x)[ranks]).all() and (b == np.sort(x)[np.minimum(np.add(ranks, 1), n - 1)]).all()
+
+
+def test_every_row_ranks_all_draws_of_its_own(spark):
+    """Each row's percentiles are those of its own stream of 20,000 draws, in full; the same power gives other draws in another row."""
+    e = spark.createDataFrame([(i, 446e6, -60.0 - i // 2) for i in range(6)] + [(6, 446e6, None)], "row_id long, frequency_hz double, estimated_dbm double")
+    told = calibration.estimate_range(e).select("row_id", "range_m", F.xxhash64("row_id", F.lit(1)).alias("key")).collect()
+    z = calibration._quantiles()
+    assert len(set(z)) == 1 << 16 and abs(z.mean()) < 1e-12 and abs(z.std() - 1) < 1e-4
+    for r in told[:6]:
+        bits = np.random.SFC64(0)
+        bits.state = bits.state | {"state": {"state": np.array([r.key % 2**64] * 3 + [1], np.uint64)}}
+        words = bits.random_raw(12 + 10_000)[12:].view(np.uint16)
+        loss = 27 + 60 + r.row_id // 2 - 20 * np.log10(4 * np.pi * 446e6 / 299_792_458.0)
+        metres = 10 ** ((loss + np.sqrt(77) * z[words[:20_000]]) / (10 * np.maximum(3.5 + 0.5 * z[words[20_000:]], 2)))
+        assert [r.range_m[p] for p in (5, 50, 68, 90, 95)] == pytest.approx(np.percentile(metres, [5, 50, 68, 90, 95]).tolist(), rel=1e-5)
+    assert told[6].range_m is None and len({r.range_m[50] for r in told[:6]}) == 6
+    odd = calibration.estimate_range(e.limit(1), 7, (1, 99)).first().range_m
+    assert sorted(odd) == [1, 50, 99] and odd[1] < odd[50] < odd[99]
+
+
 def test_gaps_and_ranks_are_those_of_whole_groups(spark):
     """Days apart, emissions over midnight, ties, nulls and single rows: the cut by day and cell changes nothing."""
     rng = random.Random(5)
